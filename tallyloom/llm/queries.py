@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import fingerprints, language, neardup, packing, quality, redaction, tokenizing, toxicity
+from tallyloom.llm import fingerprints, language, neardup, packing, quality, redaction, suffixes, tokenizing, toxicity, vectors
 from tallyloom.llm.common import held_out, read_table
 
 
@@ -48,6 +48,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = redaction.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
@@ -61,7 +69,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_packing, op4_toxicity, op5_quality, op6_language, op9_pii, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_packing, op4_toxicity, op5_quality, op6_language, op7_embeddings, op8_suffix_dedup, op9_pii, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
