@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Scratch, partitions, ship
+from tallyloom.llm.common import Scratch, partitions
+from tallyloom.workers import ship
 
 #: Rows of a group in one tile at most; a larger group is split, and each two parts meet in a tile of their own.
 TILE = 512

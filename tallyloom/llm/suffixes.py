@@ -20,8 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Scratch, map_arrow, partitions, ship
+from tallyloom.llm.common import Scratch, map_arrow, partitions
 from tallyloom.llm.neardup import BYTES, FILTER_BITS, candidates_filter, mix
+from tallyloom.workers import ship
 
 GRAM = 8
 #: Bytes of text for each bucket of anchors, of which there are as many as the corpus asks for.
