@@ -59,7 +59,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = redaction.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in redaction.BASE]
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [of(k) for k in redaction.BASE]
     return found.select("doc_id", *counts, F.sha2(redaction.listed(base), 256).alias("base_sha256"), redaction.listed(F.col("spans")).alias("spans"))
 
 
