@@ -144,6 +144,36 @@ def candidates_filter(ids: DataFrame, name: str) -> np.ndarray:
     return table
 
 
+def leading_blocks(sketch: Sketch, n: int, raw: bytes, cell: int) -> np.ndarray:
+    """The blocks of one of the cells of a set of n, from the blocks of all of them."""
+    at = (cell - sketch.band(n)) * sketch.leading(n)
+    return np.frombuffer(raw, "<u8")[at : at + sketch.leading(n)]
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that set sizes and the distance of leading parity bits do not rule out."""
+    sketch = Sketch(percent)
+    side = lambda k, n, raw: sketches.select(F.col("id").alias(k), F.col("n").alias(n), F.col("blocks").alias(raw))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for i, (n, x, m, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)):
+                cell = max(sketch.band(n), sketch.band(m))
+                if 100 * min(n, m) < percent * max(n, m) or cell not in sketch.cells(min(n, m)):
+                    continue
+                p, q = leading_blocks(sketch, n, x, cell), leading_blocks(sketch, m, y, cell)
+                wide = min(len(p), len(q))
+                if int(np.bitwise_count((p[:wide] ^ q[:wide]).astype(np.uint32)).sum(dtype=np.int64)) <= sketch.differ(n, m):
+                    keep.append(i)
+            return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+        return work
+
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    return map_arrow(both, make, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar enough, by the exact sizes of intersection and union."""
     spark = pairs.sparkSession
@@ -216,6 +246,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
     members = scratch.save(keys.join(shared, "key"), "members")
     tested = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     ids = rows.where("id is not null")
+    sketches = classes.select("id", "n", "blocks")
+    tested = scratch.save(plausible(tested, sketches, percent), "tested")
     links = scratch.save(verified(tested, ids, width, percent, scratch, "first"), "links")
     found = components(links, scratch, "one")
 
@@ -224,7 +256,6 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
     apart = scratch.save(labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("size > 2 and least <> most").select("key"), "apart")
     open_groups = labelled.where("id <> hub").join(apart, "key").select("key", "id", "component")
     open_groups = scratch.save(open_groups, "open")
-    sketches = classes.select("id", "n", "blocks")
 
     def judge(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
         names = batch.schema.names
@@ -234,8 +265,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
         # members share a cell, and cells are runs from the own band up: the highest own band is a cell of all
         own = []
         for x, r in zip(n.tolist(), raw, strict=True):
-            at = sketch.cells(x).index(cell) * sketch.leading(x)
-            own.append(np.frombuffer(r, "<u8")[at : at + sketch.leading(x)])
+            own.append(leading_blocks(sketch, x, r, cell))
         wide = min(map(len, own))
         parity = np.array([o[:wide] for o in own], np.uint64).astype(np.uint32)
         left_out, right_out = [], []
@@ -261,7 +291,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
             stars = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
             final = components(scratch.save(stars.union(more), "all"), scratch, "two")
     placed = scratch.save(classes.select("n", "h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id")), "placed")
-    scratch.drop("classes", "shared", "members", "open", "apart", "near", "first-ids", "first-sets", "second-ids", "second-sets", "links", "all")
+    scratch.drop("classes", "shared", "members", "open", "apart", "near", "tested", "first-ids", "first-sets", "second-ids", "second-sets", "links", "all")
     joined = signed.drop("blocks").join(placed, ["n", "h1", "h2"], "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
