@@ -25,6 +25,8 @@ from tallyloom.llm.neardup import BYTES, FILTER_BITS, candidates_filter, mix
 from tallyloom.workers import ship
 
 GRAM = 8
+#: Bytes of text that a worker scans at a time; what it holds is some hundred times as much.
+SCAN_BYTES = 2 << 20
 #: Bytes of text for each bucket of anchors, of which there are as many as the corpus asks for.
 BUCKET_BYTES = 12 << 20
 #: Anchors with one half in common beyond which a group is dealt by whole windows instead.
@@ -42,7 +44,7 @@ class Rolling:
 
     def __init__(self, data: np.ndarray):
         if Rolling.size < len(data) + 1:
-            Rolling.size = max(len(data) + 1, 5 << 20)
+            Rolling.size = max(len(data) + 1, SCAN_BYTES + (1 << 18))
             powers = np.full(Rolling.size, MULTIPLIER)
             inverses = np.full(Rolling.size, INVERSE)
             powers[0] = inverses[0] = 1
@@ -194,6 +196,8 @@ def scan(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                 raise ValueError("a text of 64 MB or more")
             rolling = Rolling(data)
             at = anchors(rolling, ends, width)
+            if not len(at):
+                return None
             row = np.searchsorted(ends, at, "right")
             first = np.concatenate(([0], ends[:-1]))
             before, after = at - first[row], ends[row] - at - GRAM
@@ -234,7 +238,7 @@ def scan(rows: DataFrame, width: int, buckets: int) -> DataFrame:
 
         return work
 
-    return map_arrow(rows.select("doc", "text", "tag").where("doc is not null and text is not null"), make, "bucket long, blob binary", "text")
+    return map_arrow(rows.select("doc", "text", "tag").where("doc is not null and text is not null"), make, "bucket long, blob binary", "text", SCAN_BYTES)
 
 
 def settle(blobs: list[bytes], reach: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -368,7 +372,7 @@ def fetch(settled: DataFrame, docs: DataFrame, scratch: Scratch, width: int) ->
 
         return work
 
-    return map_arrow(chosen.dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]).select("doc", "tag", "packed", "asked"), cut, "key long, doc long, tag int, lo int, seg binary")
+    return map_arrow(chosen.dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]).select("doc", "tag", "packed", "asked"), cut, "key long, doc long, tag int, lo int, seg binary", rows=256)
 
 
 def compare_suffixes(cut: DataFrame, scratch: Scratch, width: int) -> DataFrame:
@@ -419,7 +423,7 @@ def compare_suffixes(cut: DataFrame, scratch: Scratch, width: int) -> DataFrame:
         return work
 
     # the least document of each window combines before its shuffle, and its join can be split
-    windows = map_arrow(cut.join(crowded, "key", "left_semi"), explode, "window long, doc long, tag int, lo int")
+    windows = map_arrow(cut.join(crowded, "key", "left_semi"), explode, "window long, doc long, tag int, lo int", rows=512)
     least = scratch.save(windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least"), "least")
     many = windows.join(least, "window").where("doc > least").select("doc", "tag", "lo", (F.col("lo") + width).cast("int").alias("hi"))
     return few.union(many)
