@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -21,8 +23,15 @@ import regex
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space of which a run may be cut in two by cutting at spaces; separators that str.split() alone takes.
+LONG_SPACE = re.compile(r"\s\s\s|\s\s\Z").search
+ODD_SPACE = re.compile("[\x1c-\x1f\x85]").search
+
+MARKS = frozenset(".,!?;:")
+
 NONE = np.int64(1) << 40
-SEPARATOR = chr(600)
+#: A byte that UTF-8 never has.
+SEPARATOR = chr(255)
 LONG_WORD = 40
 
 
@@ -123,7 +132,8 @@ class Bpe:
                 self.base[ord(s)] = i
             elif self.rank[i] < 0:
                 continue  # no merge makes it
-            held.add_word(s, i)
+            if s != SEPARATOR:
+                held.add_word(s, i)
         held.make_automaton()
         self.trie = held
 
@@ -176,10 +186,10 @@ class Bpe:
 
     def merge_rows(self, words: list[str]) -> list[np.ndarray]:
         """merge_exactly for many short words of like length: one merge in each row at a time."""
-        width = max(map(len, words))
+        lens = np.array(list(map(len, words)))
+        width = int(lens.max())
         rows = np.full((len(words), width + 1), -1, np.int64)
-        for i, w in enumerate(words):
-            rows[i, : len(w)] = self.base[[ord(c) for c in w]]
+        rows[np.arange(width + 1)[None, :] < lens[:, None]] = self.base[np.frombuffer("".join(words).encode("utf-16-le"), "<u2")]
         live, columns = np.arange(len(words)), np.arange(width)
         while len(live):
             x = rows[live]
@@ -195,47 +205,86 @@ class Bpe:
             rows[live, width] = -1
         return [r[r >= 0] for r in rows]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of each word, which the pre-tokeniser has cut."""
-        symbols = [w.encode().decode("latin-1") for w in words]
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all words, which the pre-tokeniser has cut, and where each word's begin (and the end)."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        symbols = b"\xff".join(map(str.encode, words)).decode("latin-1").split(SEPARATOR)
         if self.end:
             symbols = [s[:-1] + chr(ord(s[-1]) + 256) for s in symbols]
-        if not symbols:
-            return []
-        flat = np.fromiter((v for _, v in self.trie.iter_long(SEPARATOR.join(symbols) + SEPARATOR)), np.int64)
-        ends = np.flatnonzero(flat < 0)
-        starts = np.concatenate(([0], ends[:-1] + 1))
+        flat = np.fromiter(map(itemgetter(1), self.trie.iter_long(SEPARATOR.join(symbols) + SEPARATOR)), np.int64)
         inner = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
         keys, where = np.unique((flat[inner] << 20) | flat[inner + 1], return_inverse=True)
         bad = inner[~self.compatible(keys >> 20, keys & ((1 << 20) - 1))[where]]
+        ends = np.flatnonzero(flat < 0)
         wrong = np.unique(np.searchsorted(ends, bad))
-        out = [flat[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        bounds = np.concatenate(([0], ends - np.arange(len(ends))))
+        flat = flat[flat >= 0]
+        if not len(wrong):
+            return flat, bounds
         by_length: dict[int, list[int]] = {}
+        exact: dict[int, np.ndarray] = {}
         for i in wrong.tolist():
             if len(symbols[i]) > LONG_WORD:
-                out[i] = np.array(self.merge_exactly(symbols[i]), np.int64)
+                exact[i] = np.array(self.merge_exactly(symbols[i]), np.int64)
             else:
                 by_length.setdefault((len(symbols[i]) + 3) // 4, []).append(i)
         for chosen in by_length.values():
-            for i, ids in zip(chosen, self.merge_rows([symbols[i] for i in chosen]), strict=True):
-                out[i] = ids
-        return out
+            exact |= zip(chosen, self.merge_rows([symbols[i] for i in chosen]), strict=True)
+        sizes = np.diff(bounds)
+        keep = np.ones(len(words), bool)
+        keep[wrong] = False
+        sizes[wrong] = [len(exact[i]) for i in wrong.tolist()]
+        after = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(int(after[-1]), np.int64)
+        out[np.repeat(keep, sizes)] = flat[np.repeat(keep, np.diff(bounds))]
+        out[np.repeat(~keep, sizes)] = np.concatenate([exact[i] for i in wrong.tolist()])
+        return out, after
 
     def cut(self, text: str) -> list[str | int]:
-        """The words of a text after normalisation; special tokens as their ids."""
+        """The text in parts that are encoded each for itself: keys of chunk(), and special tokens as their ids.
+
+        Texts are mostly cut at single spaces, which the pre-tokeniser never looks across; runs of white space and
+        separators that Python and the pre-tokeniser see differently go to the pre-tokeniser as a whole.
+        """
         if self.specials and "<|" in text and self.specials.search(text):
             return [x for part in self.specials.split(text) for x in ([self.special[part]] if part in self.special else self.cut_plain(part))]
         return self.cut_plain(text)
 
     def cut_plain(self, text: str) -> list[str]:
+        if not text:
+            return []
         if self.folds:
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             text = text.lower()
-        return self.words(text)
+            return text.split() if not ODD_SPACE(text) else self.words(text)
+        if LONG_SPACE(text):
+            return [" " + w for w in self.words(text)]
+        parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        return parts if len(parts[0]) > 1 else parts[1:]
+
+    def chunk(self, key: str) -> list[str]:
+        """The words of a part. Of texts cut at spaces, a part has a space before it unless its key begins with one.
+
+        Letters, and letters with a mark after them, are told without the pre-tokeniser.
+        """
+        if key[0:1] == " ":
+            return self.words(key[1:])
+        space = "" if self.folds else " "
+        if key.isalpha():
+            return [space + key]
+        if key[-1:] in MARKS and key[:-1].isalpha():
+            return [space + key[:-1], key[-1]]
+        return self.words(space + key)
+
+    def key(self, word: str) -> str:
+        """The key of the part that is just this word."""
+        return word if self.folds else word[1:] if word[0] == " " and len(word) > 1 and not word[1].isspace() else " " + word
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for w in self.cut(text) for i in ([w] if isinstance(w, int) else self.encode_words([w])[0])]
+        return [i for k in self.cut(text) for i in ([k] if isinstance(k, int) else self.encode_words(self.chunk(k))[0].tolist())]
 
     def decode(self, ids) -> str:
         if self.joined:
@@ -243,26 +292,180 @@ class Bpe:
         return b"".join(self.raw[i] or self.token[i].encode() for i in ids).decode(errors="replace")
 
 
-class WordCache:
-    """What is made of the ids of each word, kept for the words met lately."""
+class PartCache:
+    """What is made of the ids of each part of a text, kept for the parts met lately, in two generations.
+
+    make(ids, bounds): a list of values for the runs of ids between bounds. join(values): the value of runs in a row.
+    """
 
-    def __init__(self, bpe: Bpe, make, most: int = 400_000):
-        self.bpe, self.make, self.most, self.held = bpe, make, most, {}
+    def __init__(self, bpe: Bpe, make, join, most: int = 400_000):
+        self.bpe, self.make, self.join, self.most = bpe, make, join, most
+        self.held: dict = {}
+        self.old: dict = {}
 
     def take(self, docs: list[list[str | int]]) -> dict:
-        """The cache, with an entry for each word of docs."""
-        words = set().union(*docs) if docs else set()
-        fresh = [w for w in words if w not in self.held]
-        if len(self.held) + len(fresh) > self.most:
-            self.held = {}
-            fresh = list(words)
-        numbers = [w for w in fresh if isinstance(w, int)]
-        fresh = [w for w in fresh if not isinstance(w, int)]
-        for w, ids in zip(fresh, self.bpe.encode_words(fresh), strict=True):
-            self.held[w] = self.make(ids)
-        for w in numbers:
-            self.held[w] = self.make(np.array([w], np.int64))
-        return self.held
+        """The cache, with an entry for each part of docs."""
+        if len(self.held) > self.most:
+            self.old, self.held = self.held, {}
+        held, old, space = self.held, self.old, "" if self.bpe.folds else " "
+        fresh = (set().union(*docs) if docs else set()).difference(held)
+        if old:
+            known = fresh.intersection(old)
+            held.update(zip(known, map(old.__getitem__, known), strict=True))
+            fresh -= known
+        numbers = [k for k in fresh if k.__class__ is int]
+        fresh.difference_update(numbers)
+        new = {k: space + k for k in filter(str.isalpha, fresh)}
+        many = {}
+        for k in fresh.difference(new):
+            if k[-1:] in MARKS and k[:-1].isalpha():
+                keys, words = (k[:-1], k[-1] if self.bpe.folds else " " + k[-1]), (space + k[:-1], k[-1])
+            else:
+                words = self.bpe.chunk(k)
+                keys = list(map(self.bpe.key, words))
+                if len(words) == 1:
+                    new[k] = words[0]
+                    continue
+            many[k] = keys
+            for own, w in zip(keys, words, strict=True):
+                if own not in held and own not in new:
+                    if own in old:
+                        held[own] = old[own]
+                    else:
+                        new[own] = w
+        ids, bounds = self.bpe.encode_words(list(new.values()))
+        ids, bounds = np.concatenate((ids, np.array(numbers, np.int64))), np.concatenate((bounds, bounds[-1] + 1 + np.arange(len(numbers))))
+        held.update(zip([*new, *numbers], self.make(ids, bounds.tolist()), strict=True))
+        held.update((k, self.join([held[w] for w in ws])) for k, ws in many.items())
+        return held
+
+
+BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
+ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+class PartTable:
+    """Token ids of whole texts, by a table from the 64-bit hashes of their parts to runs of a pool of ids.
+
+    A part is a space and what follows it up to the next, or what a text begins with. Parts are hashed, told apart and
+    put together again on arrays; only parts that the table lacks are decoded and encoded.
+    """
+
+    def __init__(self, bpe: Bpe, most: int = 1_000_000):
+        self.bpe, self.most = bpe, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        # a large sorted table and a small one with what came lately: hashes, starts, lengths
+        self.tables = [[np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in range(2)]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts (-1: not there) and lengths in the pool."""
+        start, size = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for keys, starts, sizes in self.tables:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        return start, size
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
+        """hashes ascend; the ids of each lie between two bounds."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        fresh = [hashes, self.used + bounds[:-1], np.diff(bounds)]
+        self.used += len(ids)
+        self.tables[1] = self.merged(self.tables[1], fresh)
+        if len(self.tables[1][0]) > max(100_000, len(self.tables[0][0]) // 3):
+            self.tables = [self.merged(*self.tables), self.merged([x[:0] for x in fresh], [x[:0] for x in fresh])]
+
+    @staticmethod
+    def merged(a: list, b: list) -> list:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        by = np.argsort(both[0], kind="stable")
+        return [x[by] for x in both]
+
+    def encode_parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum(list(map(len, texts)))
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        first = np.zeros(len(data) + 1, bool)
+        first[:-1] = data == 32
+        first[0] = True
+        first[ends] = True
+        edges = np.flatnonzero(first)
+        edges = edges if edges[-1] == len(data) else np.append(edges, len(data))
+        starts, lens = edges[:-1], np.diff(edges)
+        powers = np.full(int(lens.max()), ODD)
+        powers[0] = 1
+        powers = np.cumprod(powers)
+        place = np.arange(len(data)) - np.repeat(starts, lens)
+        sums = np.add.reduceat(BYTE_VALUES[data] * powers[place], starts) + lens.astype(np.uint64)
+        hashes = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        seen, index, which = np.unique(hashes ^ (hashes >> np.uint64(29)), return_index=True, return_inverse=True)
+        start, size = self.find(seen)
+        lacking = np.flatnonzero(start < 0)
+        if len(self.tables[0][0]) + len(self.tables[1][0]) + len(lacking) > self.most:
+            self.clear()
+            lacking = np.arange(len(seen))
+        if len(lacking):
+            raw = data.tobytes()
+            words: list[str] = []
+            counts = []
+            for a, n in zip(starts[index[lacking]].tolist(), lens[index[lacking]].tolist(), strict=True):
+                part = raw[a : a + n].decode()
+                if part[1:].isalpha() and part[0] == " ":
+                    words.append(part)
+                    counts.append(1)
+                else:
+                    found = self.bpe.words(part)
+                    words += found
+                    counts.append(len(found))
+            number: dict[str, int] = {}
+            order = [number.setdefault(w, len(number)) for w in words]
+            ids, bounds = self.bpe.encode_words(list(number))
+            flat, sizes = taken(ids, bounds[:-1][order], np.diff(bounds)[order])
+            after = np.concatenate(([0], np.cumsum(sizes)))
+            self.add(seen[lacking], flat, after[np.concatenate(([0], np.cumsum(counts)))])
+            start, size = self.find(seen)
+        flat, sizes = taken(self.pool, start[which], size[which])
+        after = np.concatenate(([0], np.cumsum(sizes)))
+        return flat, after[np.searchsorted(starts, np.concatenate(([0], ends)))]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = [self.bpe.folds or "<|" in t or bool(LONG_SPACE(t)) for t in texts]
+        flat, at = self.encode_parts([b"" if o else t.encode() for t, o in zip(texts, odd, strict=True)])
+        return [np.array(self.bpe.encode(t), np.uint32) if o else flat[s:e] for t, o, s, e in zip(texts, odd, at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values one after another, and their sizes."""
+    total = int(size.sum())
+    return values[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)], size
+
+
+CACHES: dict = {}
+
+
+def cache_of(content: str, kind: str, make, join, most: int = 400_000) -> PartCache:
+    """The cache of a vocabulary and a kind of values in this worker, which later tasks use again."""
+    key = (hash(content), kind)
+    if key not in CACHES:
+        CACHES[key] = PartCache(load(content), make, join, most)
+    return CACHES[key]
+
+
+def table_of(content: str) -> PartTable:
+    """The table of a vocabulary in this worker, which later tasks use again."""
+    key = (hash(content), "table")
+    if key not in CACHES:
+        CACHES[key] = PartTable(load(content))
+    return CACHES[key]
 
 
 @lru_cache(maxsize=4)

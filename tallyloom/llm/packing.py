@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import WordCache, load
+from tallyloom.llm.bpe import table_of
 from tallyloom.llm.common import Scratch, map_arrow, texts_of
 from tallyloom.llm.tokenizing import vocabulary
 
@@ -48,6 +48,20 @@ def knapsack(value: np.ndarray, length: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), taken
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss and Jordan's elimination, a row at a time: no threads that wait for each other."""
+    m = len(a)
+    x = np.hstack([a.astype(float), np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(x[k:, k]).argmax())
+        x[[k, p]] = x[[p, k]]
+        x[k] /= x[k, k]
+        others = x[:, k].copy()
+        others[k] = 0
+        x -= others[:, None] * x[k]
+    return x[:, m:]
+
+
 def solve(demand: np.ndarray, length: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used, of the relaxed cutting-stock problem.
 
@@ -86,8 +100,8 @@ def solve(demand: np.ndarray, length: np.ndarray, capacity: int, gap: float = GA
         inverse[out] = row
         use = use - d * ratio[out]
         use[out] = ratio[out]
-        if step % 200 == 0:
-            inverse = np.linalg.inv(columns)
+        if step % 500 == 0:
+            inverse = inverted(columns)
             use = np.maximum(inverse @ demand, 0)
     return columns.astype(np.int64), np.maximum(use, 0)
 
@@ -129,15 +143,13 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     unit = max(1, capacity // CLASSES)
 
     def make():
-        cache = WordCache(load(held.value), lambda x: x.astype("<u4").tobytes())
+        table = table_of(held.value)
         last, seen, part = np.array([end], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cut = [cache.bpe.cut(t) for t in texts_of(batch.column(1))]
-            at = cache.take(cut)
             rows = []
-            for doc, words in zip(batch.column(0).to_pylist(), cut, strict=True):
-                ids = b"".join([at[w] for w in words]) + last
+            for doc, own in zip(batch.column(0).to_pylist(), table.encode(texts_of(batch.column(1))), strict=True):
+                ids = own.astype("<u4").tobytes() + last
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import WordCache, load
+from tallyloom.llm.bpe import PartCache, cache_of, load
 from tallyloom.llm.common import map_arrow, texts_of
 
 
@@ -24,7 +24,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def make():
-        cache = WordCache(load(held.value), lambda x: x)
+        cache = PartCache(load(held.value), lambda ids, at: [ids[s:e] for s, e in zip(at, at[1:], strict=False)], lambda xs: np.concatenate([np.zeros(0, np.int64), *xs]))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             cut = [cache.bpe.cut(t) for t in texts_of(batch.column(text))]
@@ -65,10 +65,20 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def make():
         bpe = load(held.value)
-        if bpe.joined:
-            cache = WordCache(bpe, lambda x: (len(x), " ".join(map(str, x.tolist())), " ".join([bpe.token[i] for i in x.tolist()])))
-        else:
-            cache = WordCache(bpe, lambda x: (len(x), " ".join(map(str, x.tolist())), b"".join([bpe.raw[i] or bpe.token[i].encode() for i in x.tolist()])))
+
+        def values(ids: np.ndarray, at: list[int]) -> list[tuple]:
+            names = list(map(str, ids.tolist()))
+            if bpe.joined:
+                back = list(map(bpe.token.__getitem__, ids.tolist()))
+                return [(e - s, " ".join(names[s:e]), " ".join(back[s:e])) for s, e in zip(at, at[1:], strict=False)]
+            back = [bpe.raw[i] or bpe.token[i].encode() for i in ids.tolist()]
+            return [(e - s, " ".join(names[s:e]), b"".join(back[s:e])) for s, e in zip(at, at[1:], strict=False)]
+
+        def joined(values: list[tuple]) -> tuple:
+            between = " " if bpe.joined else b""
+            return sum([v[0] for v in values]), " ".join([v[1] for v in values]), between.join([v[2] for v in values])
+
+        cache = cache_of(held.value, "digests", values, joined, 200_000)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             cut = [bpe.cut(t) for t in texts_of(batch.column(1))]
