@@ -1,9 +1,9 @@
 """N-gram Jaccard join by parity sketches (operator 2).
 
-A document is its set of word shingles, hashed. Shingles flip bits of a sketch cut into blocks, so the Hamming
-distance of two sketches is at most the sets' symmetric difference. Sets of like size and similarity j differ in D
-shingles at most, which touch D blocks at most: of any D + 1 blocks one is equal. Documents meet on equal blocks
-within bands of set sizes; meetings are verified on the sets themselves.
+A document is its set of word shingles, hashed. Shingles flip bits of a sketch, so the Hamming distance of two sketches
+is at most the sets' symmetric difference. Sets of like size and similarity j differ in D shingles at most, which touch
+D blocks of a sketch at most: of any D + 1 blocks one is equal. Documents meet on equal blocks within bands of set
+sizes; a short sketch of the whole sets rejects most false meetings, the rest are verified on the sets themselves.
 
 Equal sets are one class from the start. In a group that shares a block every class is first tested against the
 group's least; only groups that are still in several components are compared in full, in tiles, where the sketches'
@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, map_arrow
@@ -23,8 +23,9 @@ from tallyloom.llm.graph import compare, components
 
 #: Ratio of the sizes at a band's ends.
 BAND = 1.25
-#: Bits of the table that tells documents without any candidate apart; of one size whatever the corpus.
-FILTER_BITS = 24
+#: Bits of the tables that tell documents without a candidate, and keys without a second document, apart: 2 and 8 MB
+#: whatever the corpus. A bit set in vain only means that a row takes the exact way, a join.
+FILTER_BITS, KEY_BITS = 24, 26
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -129,43 +130,56 @@ class Sketch:
         out[found] = np.bitwise_xor.reduceat(value[order], at)
         return out[: self.leading(len(hashes))]
 
+    def parity(self, hashes: np.ndarray) -> bytes:
+        """A bit for each element or so, flipped by each: the distance of two such sketches bounds the sets' difference."""
+        bits = 1 << max(6, int(len(hashes) - 1).bit_length())
+        at = (mix(hashes ^ ODD) & np.uint64(bits - 1)).astype(np.int64)
+        return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
     def keys(self, blocks: np.ndarray, cell: int) -> np.ndarray:
         place = np.arange(len(blocks), dtype=np.uint64) + np.uint64(1) + (np.uint64(cell + 1) << np.uint64(32))
         return mix(blocks ^ mix(place)).view(np.int64)
 
 
-def candidates_filter(ids: DataFrame, name: str) -> np.ndarray:
-    """A bit table with the bits of all ids set: 2 MB, whatever their number."""
-    at = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
-    words = ids.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({name}), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+def bit_table(places: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2 ** bits bits, as words, with those at places (a column at) set: of one size whatever their number."""
+    words = places.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = np.zeros(1 << (bits - 6), np.int64)
     got = words.toArrow()
     table[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return table
 
 
-def leading_blocks(sketch: Sketch, n: int, raw: bytes, cell: int) -> np.ndarray:
-    """The blocks of one of the cells of a set of n, from the blocks of all of them."""
-    at = (cell - sketch.band(n)) * sketch.leading(n)
-    return np.frombuffer(raw, "<u8")[at : at + sketch.leading(n)]
+def is_set(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((table[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def place_of(name: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(1 << bits)).alias("at")
+
+
+def candidates_filter(ids: DataFrame, name: str) -> np.ndarray:
+    return bit_table(ids.select(place_of(name, FILTER_BITS)), FILTER_BITS)
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A parity sketch of so many bytes from one of as many or a multiple by a power of two."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, size // 8), axis=0)
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that set sizes and the distance of leading parity bits do not rule out."""
+    """The pairs (a, b) that set sizes and the distance of their sketches do not rule out."""
     sketch = Sketch(percent)
-    side = lambda k, n, raw: sketches.select(F.col("id").alias(k), F.col("n").alias(n), F.col("blocks").alias(raw))
+    side = lambda k, n, raw: sketches.select(F.col("id").alias(k), F.col("n").alias(n), F.col("parity").alias(raw))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
             for i, (n, x, m, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "x", "m", "y")), strict=True)):
-                cell = max(sketch.band(n), sketch.band(m))
-                if 100 * min(n, m) < percent * max(n, m) or cell not in sketch.cells(min(n, m)):
-                    continue
-                p, q = leading_blocks(sketch, n, x, cell), leading_blocks(sketch, m, y, cell)
-                wide = min(len(p), len(q))
-                if int(np.bitwise_count((p[:wide] ^ q[:wide]).astype(np.uint32)).sum(dtype=np.int64)) <= sketch.differ(n, m):
-                    keep.append(i)
+                if 100 * min(n, m) >= percent * max(n, m):
+                    size = min(len(x), len(y))
+                    if int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)) <= sketch.differ(n, m):
+                        keep.append(i)
             return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
         return work
@@ -183,7 +197,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratc
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             at = batch.column(2).to_numpy()
-            keep = np.flatnonzero((table.value[at >> 6] >> (at & 63)) & 1)
+            keep = np.flatnonzero(is_set(table.value, at))
             if not len(keep):
                 return None
             batch = batch.take(pa.array(keep))
@@ -193,7 +207,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratc
 
         return work
 
-    source = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("at"))
+    source = docs.select("id", "text", place_of("id", FILTER_BITS))
     sets = scratch.save(map_arrow(source, make, "id long, hashes array<long>", "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -219,34 +233,60 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
             one = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets]
             two = [int(np.add.reduce(mix(s ^ ODD))) if len(s) else 0 for s in sets]
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(one), signed(two), pa.array(words, pa.binary())], ["id", "n", "h1", "h2", "blocks"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(one), signed(two), pa.array(words, pa.binary()), pa.array([sketch.parity(s) if len(s) else b"" for s in sets], pa.binary())], ["id", "n", "h1", "h2", "blocks", "parity"])
 
         return work
 
-    signed = scratch.save(map_arrow(rows, make, "id long, n long, h1 long, h2 long, blocks binary", "text"), "sets")
-    classes = scratch.save(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.first("blocks").alias("blocks")), "classes")
-
-    def explode():
+    signed = scratch.save(map_arrow(rows, make, "id long, n long, h1 long, h2 long, blocks binary, parity binary", "text"), "sets")
+    classes = scratch.save(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "classes")
+    several = classes.where("rows > 1").select("n", "h1", "h2", F.col("id").alias("class"))
+    copies = scratch.save(signed.select("id", "n", "h1", "h2").join(several, ["n", "h1", "h2"]).where("id <> class").select("id"), "copies")
+    copied = spark.sparkContext.broadcast(candidates_filter(copies, "id"))
+    own = signed.where("n > 0 and id is not null").select("id", "n", "blocks", place_of("id", FILTER_BITS))
+
+    def explode(of_keys=None, fresh: bool = False):
+        """Rows (key, id) of each block: of rows that are surely no copy, if fresh; of keys whose bit is set, if asked."""
+
+        def make():
+            def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                if fresh:
+                    batch = batch.take(pa.array(np.flatnonzero(~is_set(copied.value, batch.column(3).to_numpy()))))
+                ids, keys = [], []
+                for i, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    blocks, size = np.frombuffer(raw, "<u8"), sketch.leading(n)
+                    for k, cell in enumerate(sketch.cells(n)):
+                        keys.append(sketch.keys(blocks[k * size : (k + 1) * size], cell))
+                        ids.append(np.full(size, i, np.int64))
+                if not keys:
+                    return None
+                keys, ids = np.concatenate(keys), np.concatenate(ids)
+                if of_keys is not None:
+                    keep = is_set(of_keys.value, keys & ((1 << KEY_BITS) - 1))
+                    keys, ids = keys[keep], ids[keep]
+                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
+
+            return work
+
+        return make
+
+    def flagged():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, keys = [], []
-            for i, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = np.frombuffer(raw, "<u8")
-                at = 0
-                for cell in sketch.cells(n):
-                    size = sketch.leading(n)
-                    keys.append(sketch.keys(own[at : at + size], cell))
-                    ids.append(np.full(size, i, np.int64))
-                    at += size
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+            return batch.take(pa.array(np.flatnonzero(is_set(copied.value, batch.column(3).to_numpy()))))
 
         return work
 
-    keys = map_arrow(classes.where("id is not null").select("id", "n", "blocks"), explode, "key long, id long")
-    shared = scratch.save(keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "shared")
-    members = scratch.save(keys.join(shared, "key"), "members")
+    unsure = map_arrow(own, flagged, own.schema).join(copies, "id", "left_anti").select(*own.columns)
+
+    def keys_of(of_keys=None) -> DataFrame:
+        parts = [map_arrow(own, explode(of_keys, True), "key long, id long", rows=2000), map_arrow(unsure, explode(of_keys), "key long, id long", rows=2000)]
+        return parts[0].union(parts[1])
+
+    shared = scratch.save(keys_of().groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "shared")
+    met = spark.sparkContext.broadcast(bit_table(shared.select(F.pmod("key", F.lit(1 << KEY_BITS)).alias("at")), KEY_BITS))
+    members = scratch.save(keys_of(met).join(shared, "key"), "members")
     tested = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     ids = rows.where("id is not null")
-    sketches = classes.select("id", "n", "blocks")
+    sketches = signed.select("id", "n", "parity")
     tested = scratch.save(plausible(tested, sketches, percent), "tested")
     links = scratch.save(verified(tested, ids, width, percent, scratch, "first"), "links")
     found = components(links, scratch, "one")
@@ -260,14 +300,9 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
     def judge(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
         names = batch.schema.names
         ids, comp, n = (batch.column(names.index(c)).to_numpy() for c in ("id", "component", "n"))
-        raw = batch.column(names.index("blocks")).to_pylist()
-        cell = max(sketch.cells(int(x))[0] for x in n)
-        # members share a cell, and cells are runs from the own band up: the highest own band is a cell of all
-        own = []
-        for x, r in zip(n.tolist(), raw, strict=True):
-            own.append(leading_blocks(sketch, x, r, cell))
-        wide = min(map(len, own))
-        parity = np.array([o[:wide] for o in own], np.uint64).astype(np.uint32)
+        raw = batch.column(names.index("parity")).to_pylist()
+        size = min(map(len, raw))
+        parity = np.array([folded(r, size) for r in raw])
         left_out, right_out = [], []
         for i in left.tolist():
             others = right[right > i] if left is right else right
@@ -291,7 +326,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
             stars = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
             final = components(scratch.save(stars.union(more), "all"), scratch, "two")
     placed = scratch.save(classes.select("n", "h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id")), "placed")
-    scratch.drop("classes", "shared", "members", "open", "apart", "near", "tested", "first-ids", "first-sets", "second-ids", "second-sets", "links", "all")
-    joined = signed.drop("blocks").join(placed, ["n", "h1", "h2"], "left")
+    scratch.drop("classes", "copies", "shared", "members", "open", "apart", "near", "tested", "first-ids", "first-sets", "second-ids", "second-sets", "links", "all")
+    joined = signed.drop("blocks", "parity").join(placed, ["n", "h1", "h2"], "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
