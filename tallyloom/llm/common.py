@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from tallyloom.workers import ship
 
 #: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that the JVM hands to a worker at a time, and the session's setting for it: both sides hold whole batches.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -85,6 +89,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def small_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, for a worker stays after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str | None = None, most: int = SLICE_BYTES, rows: int = 10_000) -> DataFrame:
     """mapInArrow with state made once for each task; batches are cut by the bytes of column text and by rows."""
 
@@ -94,11 +111,24 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for part in slices(batch, text, most) if text else [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)]:
                 if part.num_rows and (out := work(part)) is not None:
                     yield out
+        del work
+        give_back()
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def least_hashed(rows: DataFrame, key: str, salt: str, most: int, total: int) -> DataFrame:
+    """The rows of least hash of their key, at most so many of a known total.
+
+    A bound that twice as many are expected to pass comes first, so that tasks hand over a few rows each, not most.
+    """
+    order = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 52))
+    bound = int((1 << 52) * min(1.0, (2 * most + 200) / max(1, total)))
+    return rows.where(order < bound).orderBy(order, key).limit(most)
+
+
 def held_out(doc_id: str = "doc_id"):
-    """crc32 of the id as text, modulo 4, is 2."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """crc32 of the id as text, modulo 4, is 2; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_arrow, partitions, slices
+from tallyloom.llm.common import map_arrow, partitions, slices, small_batches
 
 LEAST, TARGET, MOST = 16, 64, 256
 #: Low bits of the hash that must be 0 before and after TARGET.
@@ -108,6 +108,7 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = partitions(spark)
+    small_batches(spark)
     bounds = np.unique(np.array(rows.select("k").approxQuantile("k", (np.arange(1, 4 * n) / (4 * n)).tolist(), 0.1 / (4 * n)), np.float64).astype(np.int64)) if n else np.zeros(0, np.int64)
 
     def numbered():

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Scratch, partitions
+from tallyloom.llm.common import Scratch, partitions, small_batches
 from tallyloom.workers import ship
 
 #: Rows of a group in one tile at most; a larger group is split, and each two parts meet in a tile of their own.
@@ -47,6 +47,7 @@ def compare(members: DataFrame, scratch: Scratch, name: str, judge: Callable, sc
     """
     spark = members.sparkSession
     ship(spark)
+    small_batches(spark)
     sizes = scratch.save(members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1"), f"{name}-sizes")
     parts = F.ceil(F.col("__n") / TILE).cast("int")
     held = members.join(sizes, key).withColumn("__parts", parts).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
