@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_arrow, texts_of
+from tallyloom.llm.common import Scratch, least_hashed, map_arrow, texts_of
 
 #: Ranks of a profile.
 PROFILE = 400
@@ -76,13 +76,13 @@ class Profiles:
 def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", most: int = PROFILE, sample: int = SAMPLE) -> Profiles:
     """Profiles of every language from the n-gram counts of at most sample documents of each.
 
-    Languages are few by nature; the sample is taken per language with a bounded heap, not a sort of all rows.
+    Languages are few by nature; the sample of each is those of least hash.
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     ids = None
     for name in sorted(sizes):
-        mine = known.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        mine = least_hashed(known.where(F.col("lang") == name).select("doc_id"), "doc_id", name, sample, sizes[name])
         ids = mine if ids is None else ids.unionByName(mine)
     if ids is None:
         return Profiles({}, most)
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
         return work
 
     chosen = known.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")  # sample ids of each language
-    counted = map_arrow(chosen, make, "lang string, gram string, n long", "text").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = Scratch(docs.sparkSession, "language").save(map_arrow(chosen, make, "lang string, gram string, n long", "text").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
     tops = {name: counted.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(most).collect() for name in sorted(sizes)}
     return Profiles({name: {r.gram: i for i, r in enumerate(sorted(rows, key=lambda r: (-r.n, r.gram)))} for name, rows in tops.items()}, most)
 

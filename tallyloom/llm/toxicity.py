@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_arrow, texts_of
+from tallyloom.llm.common import least_hashed, map_arrow, texts_of
 
 #: Labelled rows of each class that a fit takes at most, those with the least hash of their id.
 SAMPLE = 4000
@@ -47,8 +47,8 @@ class Ordinal:
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """At most so many labelled documents (id, text, y) of each class of an integer label; their ids fit a broadcast."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    order = F.xxhash64("doc_id", F.lit(label))
-    chosen = known.where("y = 0").orderBy(order, "doc_id").limit(most).unionByName(known.where("y <> 0").orderBy(order, "doc_id").limit(most))
+    sizes = {r.other: r.n for r in known.groupBy((F.col("y") != 0).alias("other")).agg(F.count("*").alias("n")).collect()}
+    chosen = least_hashed(known.where("y = 0"), "doc_id", label, most, sizes.get(False, 0)).unionByName(least_hashed(known.where("y <> 0"), "doc_id", label, most, sizes.get(True, 0)))
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 

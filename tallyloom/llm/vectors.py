@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Scratch, map_arrow
+from tallyloom.llm.common import Scratch, least_hashed, map_arrow
 from tallyloom.llm.graph import compare, components
 
 #: Vectors that a fit takes at most, those with the least hash of their id; every vector is indexed.
@@ -89,7 +89,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     marked = rows.withColumn("g1", F.when(usable, F.xxhash64("label", "e"))).withColumn("g2", F.when(usable, F.xxhash64(F.lit(11), "e", "label")))
     classes = scratch.save(marked.where("g1 is not null").groupBy("g1", "g2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("e").alias("e"), F.first("label").cast("string").alias("label")), "classes")
     named = classes.where("id is not null")
-    drawn = named.select("id", "e").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    drawn = least_hashed(named.select("id", "e"), "id", "fit", SAMPLE, named.count()).toArrow()
     if not drawn.num_rows:
         return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(map(len, drawn.column("e").to_pylist()))
