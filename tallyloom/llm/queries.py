@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model = quality.fit(docs.where(~held_out()), read_table(spark, sf_dir, "labels"))
+    model = quality.fit(docs.where(~held_out()), read_table(spark, sf_dir, "labels").where(~held_out()))
     scored = quality.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
