@@ -284,9 +284,11 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
     shared = scratch.save(keys_of().groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "shared")
     met = spark.sparkContext.broadcast(bit_table(shared.select(F.pmod("key", F.lit(1 << KEY_BITS)).alias("at")), KEY_BITS))
     members = scratch.save(keys_of(met).join(shared, "key"), "members")
+    slim = scratch.save(signed.drop("blocks"), "slim")
+    scratch.drop("sets")
     tested = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     ids = rows.where("id is not null")
-    sketches = signed.select("id", "n", "parity")
+    sketches = slim.select("id", "n", "parity")
     tested = scratch.save(plausible(tested, sketches, percent), "tested")
     links = scratch.save(verified(tested, ids, width, percent, scratch, "first"), "links")
     found = components(links, scratch, "one")
@@ -327,6 +329,6 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
             final = components(scratch.save(stars.union(more), "all"), scratch, "two")
     placed = scratch.save(classes.select("n", "h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id")), "placed")
     scratch.drop("classes", "copies", "shared", "members", "open", "apart", "near", "tested", "first-ids", "first-sets", "second-ids", "second-sets", "links", "all")
-    joined = signed.drop("blocks", "parity").join(placed, ["n", "h1", "h2"], "left")
+    joined = slim.drop("parity").join(placed, ["n", "h1", "h2"], "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
