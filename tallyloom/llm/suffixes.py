@@ -20,15 +20,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Scratch, map_arrow, partitions
+from tallyloom.llm.common import Scratch, give_back, map_arrow, partitions, small_batches
 from tallyloom.llm.neardup import BYTES, FILTER_BITS, candidates_filter, mix
 from tallyloom.workers import ship
 
 GRAM = 8
 #: Bytes of text that a worker scans at a time; what it holds is some hundred times as much.
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 20
 #: Bytes of text for each bucket of anchors, of which there are as many as the corpus asks for.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 #: Anchors with one half in common beyond which a group is dealt by whole windows instead.
 CROWD = 4096
 #: Words of 8 bytes that the multikey quicksort looks at.
@@ -295,6 +295,7 @@ def repeats(docs: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, D
     """Spans (doc, tag, lo, hi) covered within a batch; and OPEN rows, of whole surroundings (key -1) or halves."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     reach = width - GRAM
     total = docs.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
     buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
@@ -333,6 +334,8 @@ def repeats(docs: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, D
                 held.append(blob)
         if held:
             yield from done()
+        held.clear()
+        give_back()
 
     settled = scratch.save(scanned.where("bucket >= 0").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, OPEN), "settled")
     return near, settled
@@ -382,16 +385,27 @@ def compare_suffixes(cut: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     crowded = scratch.save(sizes.where(F.col("n") > CROWD).select("key"), "crowded")
 
     def judge(rows: list[tuple]) -> pa.RecordBatch | None:
-        windows, number, offset = windows_of([r[4] for r in rows], width)
-        doc, tag, lo = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        hit = np.flatnonzero(covered_by(windows, doc[number]))
-        if not len(hit):
-            return None
-        n, start = number[hit], lo[number[hit]] + offset[hit]
-        new = np.concatenate(([True], (n[1:] != n[:-1]) | (start[1:] > start[:-1] + width)))
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:] - 1, [len(n) - 1]))
-        return spans_batch(doc[n[first]], tag[n[first]], start[first], start[last] + width)
+        first: dict[bytes, int] = {}  # equal segments are sorted once, for the least document that has them
+        for _, doc, _, _, seg in rows:
+            if doc < first.get(seg, doc + 1):
+                first[seg] = doc
+        segs = list(first)
+        windows, number, offset = windows_of(segs, width)
+        hit = np.flatnonzero(covered_by(windows, np.array(list(first.values()), np.int64)[number]))
+        n, start = number[hit], offset[hit]
+        inside: dict[bytes, list[tuple[int, int]]] = {}
+        if len(hit):
+            new = np.flatnonzero(np.concatenate(([True], (n[1:] != n[:-1]) | (start[1:] > start[:-1] + width))))
+            last = np.concatenate((new[1:] - 1, [len(n) - 1]))
+            for k, lo, hi in zip(n[new].tolist(), start[new].tolist(), (start[last] + width).tolist(), strict=True):
+                inside.setdefault(segs[k], []).append((lo, hi))
+        out = []
+        for _, doc, tag, at, seg in rows:
+            if doc > first[seg]:
+                out.append((doc, tag, at, at + len(seg)))
+            elif seg in inside:
+                out += [(doc, tag, at + lo, at + hi) for lo, hi in inside[seg]]
+        return spans_batch(*zip(*out, strict=True)) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
