@@ -22,7 +22,7 @@ SAMPLE = 4000
 #: Length of the prefixes that are features beside whole words.
 PREFIXES = (4, 5)
 #: A feature counts if so many sampled documents have it, and its log-odds lie so many standard errors from 0.
-LEAST_DOCS, LEAST_Z = 5, 4.0
+LEAST_DOCS, LEAST_Z = 6, 4.5
 #: P(grade >= 1) from which a text counts as toxic.
 REJECT = 0.4
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
