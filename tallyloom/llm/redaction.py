@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, validators (Luhn, mod 97, value ranges) confirm them, and context words nearby
 raise or lower a score. Positions come from cutting a text at the matches: a match starts after the pieces and
-matches before it. Patterns only begin where no match could have begun earlier, so long runs take linear time.
+matches before it. Patterns only begin where no match could have begun earlier, so long runs take linear time, and
+their unbounded loops are possessive, so that Java walks them without a stack frame for each round.
 """
 
 from __future__ import annotations
@@ -11,11 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The base patterns, with the characters that decide where one can begin.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Characters of an IBAN by country.
+IBAN_SIZES = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24,
+    "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{'|'.join(c for c in IBAN_SIZES if IBAN_SIZES[c] == n)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_SIZES.values()))) + r")(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9+A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 CONTEXT = {
@@ -29,7 +37,7 @@ CONTEXT = {
 }
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "local_phone", "ssn")
-#: Characters before a match in which context words count.
+#: Characters before a match, and after it, in which context words count.
 NEARBY = 40
 BLOCK = 64
 
@@ -76,32 +84,53 @@ SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "local
 BOOST, KEEP = 0.35, 0.5
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value computed once, for a lambda computes what it names from outside at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def nearby(parts: Column, i: Column) -> Column:
+    """The NEARBY characters before and after match i, whatever other matches lie there.
+
+    A match has two characters or more, so NEARBY / 2 neighbours reach far enough.
+    """
+    reach = NEARBY // 2
+    first = F.greatest(i - reach, F.lit(0))
+    before = F.transform(F.slice(parts, first + 1, i - first), lambda p: F.concat(F.right(p["gap"], F.lit(NEARBY)), p["hit"]))
+    own = F.right(F.get(parts, i)["gap"], F.lit(NEARBY))
+    after = F.transform(F.slice(parts, i + 2, F.lit(reach)), lambda p: F.concat(F.left(p["gap"], F.lit(NEARBY)), F.coalesce(p["hit"], F.lit(""))))
+    return F.concat(F.right(F.concat(F.array_join(before, ""), own), F.lit(NEARBY)), F.lit("\n"), F.left(F.array_join(after, ""), F.lit(NEARBY)))
+
+
 def matches(text: Column, kind: str) -> Column:
     """Structs (kind, start, end, score) of the confirmed matches in a text, by start; offsets count code points.
 
-    The positions before each block of BLOCK matches are summed first, so many matches in one text stay cheap.
+    The positions before each block of BLOCK matches are summed first, so many matches in one text stay cheap; context
+    is looked at for valid matches alone.
     """
     pattern = PATTERNS[kind]
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    steps = F.transform(parts, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(F.length(p["hit"]), F.lit(0)).alias("size"), p["hit"].alias("hit"), F.right(p["gap"], F.lit(NEARBY)).alias("near")))
-    blocks = F.transform(F.sequence(F.lit(0), F.size(steps) - 1, F.lit(BLOCK)), lambda i: F.slice(steps, i + 1, BLOCK))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    kind_of = "array<struct<kind:string,start:int,end:int,score:double>>"
+
+    def over_parts(parts: Column) -> Column:
+        steps = F.transform(parts, lambda p, i: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(F.length(p["hit"]), F.lit(0)).alias("size"), p["hit"].alias("hit"), i.alias("i")))
+        blocks = bind(steps, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(BLOCK)), lambda i: F.slice(s, i + 1, BLOCK)))
+
+        def within(state: Column, p: Column) -> Column:
+            start = state["at"] + p["gap"]
+            end = start + p["size"]
+            scored = F.lit(SCORE[kind]) + F.when(nearby(parts, p["i"]).rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
+            row = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(scored, F.lit(1.0)).alias("score")))
+            good = p["hit"].isNotNull() & valid(kind, p["hit"]) & ((scored >= KEEP) if kind in ADDED else F.lit(True))
+            return F.struct(end.alias("at"), F.when(good, F.concat(state["rows"], row)).otherwise(state["rows"]).alias("rows"))
 
-    def within(state: Column, p: Column) -> Column:
-        start = state["at"] + p["gap"]
-        end = start + p["size"]
-        scored = F.lit(SCORE[kind]) + F.when(p["near"].rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
-        row = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(scored, F.lit(1.0)).alias("score")))
-        good = p["hit"].isNotNull() & valid(kind, p["hit"]) & ((scored >= KEEP) if kind in ADDED else F.lit(True))
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["rows"], row)).otherwise(state["rows"]).alias("rows"))
+        def over(state: Column, block: Column) -> Column:
+            done = F.aggregate(block, F.struct(state["at"].alias("at"), F.array().cast(kind_of).alias("rows")), within)
+            return F.struct(done["at"].alias("at"), F.concat(state["blocks"], F.array(done["rows"])).alias("blocks"))
 
-    def over(state: Column, block: Column) -> Column:
-        done = F.aggregate(block, F.struct(state["at"].alias("at"), empty.alias("rows")), within)
-        return F.struct(done["at"].alias("at"), F.concat(state["blocks"], F.array(done["rows"])).alias("blocks"))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind_of}>").alias("blocks")), over)["blocks"])
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<kind:string,start:int,end:int,score:double>>>").alias("blocks"))
-    return F.flatten(F.aggregate(blocks, start, over)["blocks"])
+    return bind(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), over_parts)
 
 
 #: What a text must hold for a kind to be looked for at all.
@@ -111,8 +140,9 @@ NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0
 def find(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """All columns and an array of structs (kind, start, end, score, base) by kind, as listed, then start.
 
-    base marks the four base kinds; the others are added spans, kept if context lifts their score to KEEP. A null
-    text has no spans. The work is one projection: no shuffle, no Python, and each row for itself.
+    base marks the four base kinds; the others are added spans, kept if context lifts their score to KEEP. Kinds are
+    looked for apart: one place may stand under several, the base kind first. A null text has no spans; a column
+    named as spans is replaced. The work is one projection: no shuffle, no Python, and each row for itself.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")

@@ -124,10 +124,22 @@ def test_base_spans(spark):
     assert redaction.find(df)._jdf.queryExecution().executedPlan().toString().count("Python") == 0
 
 
+def test_long_runs_leave_the_executor_alone(spark):
+    n = 200_000
+    texts = ["a@" + "b." * n + "b", "1" * n, "1 " * n, "1." * n, "+1" + " (" * n + "2", "+" + "1" * n, "GB82" + " W" * n, "GB82" * (n // 4), "a" * n + "@", "a@b.c " * (n // 10), "123-45-6789 " * (n // 10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {0: [("email", 0, len(texts[0]))], 3: [("ip", 8 * i, 8 * i + 7) for i in range(n // 4)], 9: [("email", 6 * i, 6 * i + 5) for i in range(n // 10)]}  # quadratic for Python's own patterns
+    for r in redaction.find(df).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == want.get(r.doc_id, []), r.doc_id
+    got = {r.doc_id: r.text for r in redaction.redact(df).collect()}
+    assert got[0] == "<EMAIL>" and got[1] == texts[1] and got[9].startswith("<EMAIL> <EMAIL> ")
+
+
 def test_added_spans_need_context(odd):
-    texts = ["my IBAN is GB82 WEST 1234 5698 7654 32 ok", "IBAN GB82 WEST 1234 5698 7654 33", "call (555) 123-4567 now", "number 555 123 4567", "SSN 123-45-6789", "123-45-6789", "SSN 000-45-6789"]
+    texts = ["my IBAN is GB82 WEST 1234 5698 7654 32 OK", "IBAN GB82 WEST 1234 5698 7654 33", "call (555) 123-4567 now", "number 555 123 4567", "SSN 123-45-6789", "123-45-6789", "SSN 000-45-6789"]
+    texts += ["555 123 4567 (mobile)", "call 555 123 4567, 555 123 4568", "call 12 34 56: 555 123 4567", "call " + "x" * 50 + " 555 123 4567 " + "x" * 50 + " call", "GB82WEST12345698765432 DE89 3704 0044 0532 0130 00 NOT", "ZZ82 WEST 1234 5698 7654 32"]
     got = {r.doc_id: [s.kind for s in r.spans if not s.base] for r in redaction.find(odd(texts).drop("spans")).collect()}
-    assert got == {0: ["iban"], 1: [], 2: ["local_phone"], 3: [], 4: ["ssn"], 5: [], 6: []}
+    assert got == {0: ["iban"], 1: [], 2: ["local_phone"], 3: [], 4: ["ssn"], 5: [], 6: [], 7: ["local_phone"], 8: ["local_phone"] * 2, 9: ["local_phone"], 10: [], 11: ["iban"] * 2, 12: []}
 
 
 def test_redaction(odd, empty):
