@@ -19,8 +19,10 @@ from tallyloom.workers import ship
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 1 << 20
-#: Rows that the JVM hands to a worker at a time, and the session's setting for it: both sides hold whole batches.
+#: Rows and bytes that the JVM hands to a worker at a time, and the session's settings for them: both sides hold whole
+#: batches.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES, BYTES_SETTING = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,6 +57,11 @@ class Scratch:
         for name in names:
             self.delete(f"{self.root}/{name}")
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps: it does when the driver's objects for them are gone."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def delete(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -92,6 +99,9 @@ def texts_of(column: pa.Array) -> list[str]:
 def small_batches(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    with suppress(Exception):  # a setting of later versions
+        if spark.conf.get(BYTES_SETTING) != str(BATCH_BYTES):
+            spark.conf.set(BYTES_SETTING, BATCH_BYTES)
 
 
 def give_back() -> None:
@@ -119,6 +129,11 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def hash_order(key: str, salt: str):
+    """A number below 2 ** 52 by which rows are drawn, from two columns."""
+    return F.pmod(F.xxhash64(key, salt), F.lit(1 << 52))
+
+
 def least_hashed(rows: DataFrame, key: str, salt: str, most: int, total: int) -> DataFrame:
     """The rows of least hash of their key, at most so many of a known total.
 

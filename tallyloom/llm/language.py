@@ -12,59 +12,75 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Scratch, least_hashed, map_arrow, texts_of
+from tallyloom.llm.common import Scratch, hash_order, map_arrow, texts_of
 
 #: Ranks of a profile.
 PROFILE = 400
 #: Documents of each language that a fit takes at most, those with the least hash of their id.
 SAMPLE = 2000
+#: Letters of a word beyond which its n-grams are not kept for the next time it occurs.
+LONG_WORD = 64
 LETTERS = regex.compile(r"[\p{L}\p{M}]+").findall
 LETTER = regex.compile(r"\p{L}").search
 
 
-def grams(word: str) -> list[str]:
+def grams(word: str):
     """The n-grams of 1 to 3 letters of a word with its ends marked."""
     padded = f"_{word}_"
     n = len(padded)
-    return [padded[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1) if k > 1 or padded[i] != "_"]
+    return (padded[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1) if k > 1 or padded[i] != "_")
+
+
+def code(gram: str) -> int:
+    """A number by which n-grams stand in the order of their code points."""
+    return sum(ord(c) << 21 * (2 - i) for i, c in enumerate(gram))
 
 
 class Counts:
-    """n-gram counts of texts as arrays over the n-grams met lately; a batch of texts at a time."""
+    """n-gram counts of texts over the n-grams met lately, which have numbers: names, codes and ranks are by number."""
 
-    def __init__(self, most: int = 100_000):
-        self.most = most
+    def __init__(self, ranks: dict[str, dict[str, int]] | None = None, most: int = 100_000):
+        self.most, self.profiles = most, list((ranks or {}).values())
         self.clear()
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.words: dict[str, np.ndarray] = {}
+        self.names: list[str] = []
+        self.codes = np.zeros(0, np.int64)
+        self.places = np.zeros((len(self.profiles), 0), np.int64)
 
-    def of(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray]:
-        """Counts of each text, the n-grams' names, and each n-gram's place among the names in order."""
+    def of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of each text's n-grams, ascending, and how often each occurs there."""
         if len(self.ids) > self.most or len(self.words) > 4 * self.most:
             self.clear()
         cut = [LETTERS(t.lower()) for t in texts]
         ids = self.ids
+        number = lambda w: np.fromiter((ids.setdefault(g, len(ids)) for g in grams(w)), np.int32)
+        long = {}
         for w in set().union(*cut) if cut else ():
-            if w not in self.words:
-                self.words[w] = np.array([ids.setdefault(g, len(ids)) for g in grams(w)], np.int32)
-        names = list(ids)
-        order = np.empty(len(names), np.int64)
-        order[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        return [np.bincount(np.concatenate([self.words[w] for w in ws]), minlength=len(names)) if ws else np.zeros(len(names), np.int64) for ws in cut], names, order
-
-
-def ranked(counts: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+            if len(w) > LONG_WORD:
+                long[w] = number(w)
+            elif w not in self.words:
+                self.words[w] = number(w)
+        fresh = list(ids)[len(self.names) :]
+        if fresh:
+            self.names += fresh
+            self.codes = np.concatenate((self.codes, np.array([code(g) for g in fresh], np.int64)))
+            self.places = np.concatenate((self.places, np.array([[p.get(g, -1) for g in fresh] for p in self.profiles], np.int64).reshape(len(self.profiles), len(fresh))), axis=1)
+        none = np.zeros(0, np.int64)
+        return [np.unique(np.concatenate([long[w] if len(w) > LONG_WORD else self.words[w] for w in ws]), return_counts=True) if ws else (none, none) for ws in cut]
+
+
+def ranked(found: np.ndarray, n: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
     """The most frequent n-grams; ties by the n-gram itself, so that equal counts give one order."""
-    found = np.flatnonzero(counts)
     if len(found) > most:
-        n = counts[found]
-        found = found[n >= np.partition(n, -most)[-most]]
-    return found[np.lexsort((order[found], -counts[found]))][:most]
+        keep = n >= np.partition(n, -most)[-most]
+        found, n = found[keep], n[keep]
+    return found[np.lexsort((codes[found], -n))][:most]
 
 
 @dataclass(frozen=True)
@@ -76,42 +92,45 @@ class Profiles:
 def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", most: int = PROFILE, sample: int = SAMPLE) -> Profiles:
     """Profiles of every language from the n-gram counts of at most sample documents of each.
 
-    Languages are few by nature; the sample of each is those of least hash.
+    Languages are few by nature; the sample of each is those of least hash. All languages go through the same jobs: a
+    bound on the hash that twice the sample passes comes first, so few texts are ranked.
     """
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    ids = None
-    for name in sorted(sizes):
-        mine = least_hashed(known.where(F.col("lang") == name).select("doc_id"), "doc_id", name, sample, sizes[name])
-        ids = mine if ids is None else ids.unionByName(mine)
-    if ids is None:
-        return Profiles({}, most)
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("order", hash_order("doc_id", "lang"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    near = known.join(sizes, "lang").where(F.col("order") < F.lit(float(1 << 52)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("size")))
+    first = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
+    chosen = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample).select("lang", "text")
 
     def make():
         held = Counts()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts, names, _ = held.of(texts_of(batch.column(1)))
-            rows = []
-            langs = batch.column(0).to_pylist()
-            for lang in sorted(set(langs)):
-                total = np.sum([c for c, at in zip(counts, langs, strict=True) if at == lang], axis=0)
-                rows += [(lang, names[i], int(total[i])) for i in np.flatnonzero(total).tolist()]
+            total: dict[str, np.ndarray] = {}
+            counts = held.of(texts_of(batch.column(1)))
+            for name, (found, n) in zip(batch.column(0).to_pylist(), counts, strict=True):
+                np.add.at(total.setdefault(name, np.zeros(len(held.names), np.int64)), found, n)
+            rows = [(name, held.names[i], int(c[i])) for name, c in sorted(total.items()) for i in np.flatnonzero(c).tolist()]
             columns = zip(*rows, strict=True) if rows else [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64()], strict=True)], ["lang", "gram", "n"])
 
         return work
 
-    chosen = known.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")  # sample ids of each language
-    counted = Scratch(docs.sparkSession, "language").save(map_arrow(chosen, make, "lang string, gram string, n long", "text").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-    tops = {name: counted.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(most).collect() for name in sorted(sizes)}
-    return Profiles({name: {r.gram: i for i, r in enumerate(sorted(rows, key=lambda r: (-r.n, r.gram)))} for name, rows in tops.items()}, most)
+    scratch = Scratch(docs.sparkSession, "language")
+    counted = scratch.save(map_arrow(chosen, make, "lang string, gram string, n long", "text").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    ranks: dict[str, dict[str, int]] = {}
+    for r in counted.withColumn("at", F.row_number().over(by_count)).where(F.col("at") <= most).orderBy("lang", "at").collect():  # most rows a language
+        ranks.setdefault(r.lang, {})[r.gram] = r["at"] - 1
+    for r in sizes.select("lang").collect():
+        ranks.setdefault(r.lang, {})  # a language without a letter
+    scratch.drop("counts")
+    return Profiles(dict(sorted(ranks.items())), most)
 
 
-def distance(own: np.ndarray, profile: np.ndarray) -> int:
-    """own: n-grams by rank; profile: the rank of each n-gram, or -1."""
-    there = profile[own]
-    return int(np.where(there < 0, PROFILE, np.abs(there - np.arange(len(own)))).sum())
+def distance(own: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
+    """own: n-grams by rank; places: for each profile the rank of each n-gram, or -1; most: the ranks of a profile."""
+    there = places[:, own]
+    return np.where(there < 0, most, np.abs(there - np.arange(len(own)))).sum(1)
 
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
@@ -120,28 +139,27 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     score: how much nearer the best profile is than the next, as a share of the next's distance. A text that is null
     or has no letter gives `und` and 0; with one language or none learned, 1 or `und`. Ties go to the first name.
     """
-    held = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE n-grams a language
+    held = docs.sparkSession.sparkContext.broadcast(profiles)  # most n-grams a language
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     schema = docs.select(*kept, F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def make():
-        ranks, most, counter = held.value.ranks, held.value.most, Counts()
+        ranks, most = held.value.ranks, held.value.most
+        names, counter = list(ranks), Counts(ranks)
+
+        def one(t: str | None, found: np.ndarray, n: np.ndarray) -> tuple[str, float]:
+            if not t or not names or not LETTER(t):
+                return "und", 0.0
+            far = distance(ranked(found, n, counter.codes, most), counter.places, most)
+            best = int(far.argmin())  # the first of equals, and names are in order
+            if len(far) == 1:
+                return names[0], 1.0
+            second = int(np.delete(far, best).min())
+            return names[best], min(1.0, max(0.0, 1 - int(far[best]) / second)) if second else 0.0
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(text).to_pylist()
-            counts, names, order = counter.of([t or "" for t in texts])
-            places = {lang: np.array([profile.get(g, -1) for g in names], np.int64) for lang, profile in ranks.items()}
-
-            def one(t: str | None, own: np.ndarray) -> tuple[str, float]:
-                if not t or not ranks or not LETTER(t):
-                    return "und", 0.0
-                top = ranked(own, order, most)
-                far = sorted((distance(top, place), lang) for lang, place in places.items())
-                if len(far) == 1:
-                    return far[0][1], 1.0
-                return far[0][1], min(1.0, max(0.0, 1 - far[0][0] / far[1][0])) if far[1][0] else 0.0
-
-            got = [one(t, c) for t, c in zip(texts, counts, strict=True)]
+            got = [one(t, *c) for t, c in zip(texts, counter.of([t or "" for t in texts]), strict=True)]
             return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*kept, "lang_pred", "score"])
 
         return work

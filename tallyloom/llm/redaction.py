@@ -95,11 +95,11 @@ def nearby(parts: Column, i: Column) -> Column:
     A match has two characters or more, so NEARBY / 2 neighbours reach far enough.
     """
     reach = NEARBY // 2
-    first = F.greatest(i - reach, F.lit(0))
-    before = F.transform(F.slice(parts, first + 1, i - first), lambda p: F.concat(F.right(p["gap"], F.lit(NEARBY)), p["hit"]))
+    joined = lambda low, high, piece: F.when(low <= high, F.array_join(F.transform(F.sequence(low, F.greatest(low, high)), lambda j: piece(F.get(parts, j))), "")).otherwise(F.lit(""))
+    before = joined(F.greatest(i - reach, F.lit(0)), i - 1, lambda p: F.concat(F.right(p["gap"], F.lit(NEARBY)), p["hit"]))
     own = F.right(F.get(parts, i)["gap"], F.lit(NEARBY))
-    after = F.transform(F.slice(parts, i + 2, F.lit(reach)), lambda p: F.concat(F.left(p["gap"], F.lit(NEARBY)), F.coalesce(p["hit"], F.lit(""))))
-    return F.concat(F.right(F.concat(F.array_join(before, ""), own), F.lit(NEARBY)), F.lit("\n"), F.left(F.array_join(after, ""), F.lit(NEARBY)))
+    after = joined(i + 1, F.least(i + reach, F.size(parts) - 1), lambda p: F.concat(F.left(p["gap"], F.lit(NEARBY)), F.coalesce(p["hit"], F.lit(""))))
+    return F.concat(F.right(F.concat(before, own), F.lit(NEARBY)), F.lit("\n"), F.left(after, F.lit(NEARBY)))
 
 
 def matches(text: Column, kind: str) -> Column:
@@ -163,13 +163,23 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     held = "__spans"
     found = find(docs, text, held)
     ordered = F.array_sort(F.transform(F.col(held), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    blocks = bind(ordered, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(s, i + 1, BLOCK)))
 
-    def cut(state: Column, s: Column) -> Column:
+    def cut(state: Column, s: Column) -> Column:  # at: where rest begins
         end = -s["back"]
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(F.substr(F.col(text), state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(state["at"], end).alias("at"), F.when(fresh, F.concat(state["parts"], F.array(piece))).otherwise(state["parts"]).alias("parts"))
-
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), cut)
-    clean = F.concat(F.array_join(done["parts"], ""), F.substr(F.col(text), done["at"] + 1, F.length(F.col(text))))
+        gap = F.greatest(s["start"] - state["at"], F.lit(0))
+        piece = F.concat(F.left(state["rest"], gap), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        further = F.greatest(end - state["at"], F.lit(0))
+        parts = F.when(s["start"] >= state["at"], F.concat(state["parts"], F.array(piece))).otherwise(state["parts"])
+        return F.struct((state["at"] + further).alias("at"), F.when(further > 0, F.substr(state["rest"], further + 1, F.lit(1 << 30))).otherwise(state["rest"]).alias("rest"), parts.alias("parts"))
+
+    def over(state: Column, block: Column) -> Column:
+        """A block's own stretch of text first, so that its spans don't each walk through all that is left."""
+        reach = F.greatest(F.array_max(F.transform(block, lambda s: -s["back"])) - state["at"], F.lit(0))
+        none = F.array().cast("array<string>")
+        done = F.aggregate(block, F.struct(state["at"].alias("at"), F.left(state["rest"], reach).alias("rest"), none.alias("parts")), cut)
+        return F.struct((state["at"] + reach).alias("at"), F.substr(state["rest"], reach + 1, F.lit(1 << 30)).alias("rest"), F.concat(state["parts"], F.array(F.array_join(done["parts"], ""))).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.col(text).alias("rest"), F.array().cast("array<string>").alias("parts"))
+    clean = bind(F.aggregate(blocks, start, over), lambda d: F.concat(F.array_join(d["parts"], ""), d["rest"]))
     return found.withColumn(text, F.when(F.size(held) > 0, clean).otherwise(F.col(text))).drop(held)

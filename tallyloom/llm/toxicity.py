@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import least_hashed, map_arrow, texts_of
+from tallyloom.llm.common import Scratch, least_hashed, map_arrow, texts_of
 
 #: Labelled rows of each class that a fit takes at most, those with the least hash of their id.
 SAMPLE = 4000
@@ -23,6 +23,8 @@ SAMPLE = 4000
 PREFIXES = (4, 5)
 #: A feature counts if so many sampled documents have it, and its log-odds lie so many standard errors from 0.
 LEAST_DOCS, LEAST_Z = 6, 4.5
+#: Features of a model at most, those of strongest evidence.
+FEATURES = 100_000
 #: P(grade >= 1) from which a text counts as toxic.
 REJECT = 0.4
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
@@ -45,15 +47,31 @@ class Ordinal:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most so many labelled documents (id, text, y) of each class of an integer label; their ids fit a broadcast."""
+    """At most so many labelled documents (id, text, y) of each class of an integer label; their ids fit a broadcast.
+
+    Of rows that share an id the least text is taken, the greatest of its labels counts.
+    """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     sizes = {r.other: r.n for r in known.groupBy((F.col("y") != 0).alias("other")).agg(F.count("*").alias("n")).collect()}
     chosen = least_hashed(known.where("y = 0"), "doc_id", label, most, sizes.get(False, 0)).unionByName(least_hashed(known.where("y <> 0"), "doc_id", label, most, sizes.get(True, 0)))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """Sampled documents with the features that tell: sorted codes and word count of each, its label, which codes speak for 1."""
 
+    codes: list[np.ndarray]
+    n_words: list[int]
+    y: np.ndarray
+    names: np.ndarray
+    marked: np.ndarray
 
-def collect_features(chosen: DataFrame) -> tuple[list[np.ndarray], list[int], np.ndarray]:
-    """Sorted feature codes of each sampled document, its word count and its label, in an order of their own."""
+
+def gather(chosen: DataFrame, most: int = FEATURES) -> Evidence:
+    """Features are counted and tested where the texts are; only those that pass come to the driver, most at most."""
+    spark = chosen.sparkSession
+    scratch = Scratch(spark, "toxicity")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -61,15 +79,34 @@ def collect_features(chosen: DataFrame) -> tuple[list[np.ndarray], list[int], np
             for t in texts_of(batch.column(1)):
                 words = WORDS(t.lower())
                 found = set().union(*map(features, set(words))) if words else set()
-                rows.append(np.array(sorted(map(code, found)), "<i8").tobytes())
+                rows.append(sorted(map(code, found)))
                 counts.append(len(words))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(counts, pa.int64()), batch.column(2)], ["doc_id", "codes", "n_words", "y"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(counts, pa.int64()), batch.column(2)], ["doc_id", "codes", "n_words", "y"])
+
+        return work
+
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    held = scratch.save(map_arrow(chosen.select("doc_id", "text", "y"), make, f"doc_id {kind}, codes array<long>, n_words long, y int", "text"), "features")
+    sizes = held.agg(F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") <= 0).alias("neg")).first()
+    counted = held.select(F.explode("codes").alias("code"), (F.col("y") > 0).cast("long").alias("hit")).groupBy("code").agg(F.count("*").alias("df"), F.sum("hit").alias("hits")).where(F.col("df") >= LEAST_DOCS)
+    a, b = F.col("hits") + 0.5, F.col("df") - F.col("hits") + 0.5
+    odds = F.log(a / (F.lit(sizes.pos) - F.col("hits") + 0.5)) - F.log(b / (F.lit(sizes.neg) - (F.col("df") - F.col("hits")) + 0.5))
+    tested = counted.withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= LEAST_Z)
+    passed = sorted((r.code, r.z) for r in tested.orderBy(F.desc(F.abs("z")), "code").limit(most).select("code", "z").collect())
+    names, z = np.array([c for c, _ in passed], np.int64), np.array([z for _, z in passed])
+    keep = spark.sparkContext.broadcast(names)  # most codes at most
+
+    def known():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [np.intersect1d(np.array(c, np.int64), keep.value, assume_unique=True) for c in batch.column(1).to_pylist()]
+            return batch.set_column(1, "codes", pa.array(rows, pa.list_(pa.int64())))
 
         return work
 
-    rows = map_arrow(chosen.select("doc_id", "text", "y"), make, "doc_id long, codes binary, n_words long, y int", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.codes)))
-    return [np.frombuffer(bytes(r.codes), "<i8") for r in rows], [r.n_words for r in rows], np.array([r.y for r in rows], np.int64)
+    rows = map_arrow(held, known, held.schema).collect()  # a bounded number of documents and features
+    rows.sort(key=lambda r: (r.doc_id, r.codes))
+    scratch.drop("features")
+    return Evidence([np.array(r.codes, np.int64) for r in rows], [r.n_words for r in rows], np.array([r.y for r in rows], np.int64), names, names[z > 0] if len(z) else names)
 
 
 def grade(codes: list[np.ndarray], n_words: list[int], y: np.ndarray, marked: np.ndarray, levels: int) -> np.ndarray:
@@ -85,35 +122,47 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 
     Without labelled rows of both kinds every text scores 0.
     """
-    codes, n_words, y = collect_features(sample(docs, labels, label, most, doc_id, text))
+    seen = gather(sample(docs, labels, label, most, doc_id, text))
+    y = seen.y
     if not len(y) or y.max() == 0 or y.min() > 0:
         return Ordinal((50.0,), {})
-    flat, owner = np.concatenate(codes), np.repeat(np.arange(len(codes)), list(map(len, codes)))
-    seen, where, df = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(where, weights=(y > 0)[owner], minlength=len(seen))
-    pos, neg = (y > 0).sum(), (y == 0).sum()
-    a, b = hits + 0.5, df - hits + 0.5
-    odds = np.log(a / (pos - hits + 0.5)) - np.log(b / (neg - (df - hits) + 0.5))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    keep = (df >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    grades = y if y.max() > 1 else grade(codes, n_words, y, seen[keep & (z > 0)], levels)
-    top = int(grades.max())
-    new = np.cumsum(keep) - 1
-    held = keep[where]
-    row, col, m = owner[held], new[where[held]], int(keep.sum())
-    # Adam on the mean log-loss over thresholds with a small ridge; clean rows weigh as much again, for a false alarm costs a document
+    grades = y if y.max() > 1 else grade(seen.codes, seen.n_words, y, seen.marked, levels)
+    weights, theta = descend(seen, grades)
+    return Ordinal(tuple(theta.tolist()), dict(zip(seen.names.tolist(), weights.tolist(), strict=True)))
+
+
+def loss_of(weights: np.ndarray, theta: np.ndarray, row: np.ndarray, col: np.ndarray, target: np.ndarray, balance: np.ndarray) -> float:
+    """The weighted log-loss over thresholds with a small ridge, which descend() makes small."""
+    margin = np.bincount(row, weights=weights[col], minlength=len(balance))
+    z = margin[:, None] - theta[None, :]
+    return float((balance[:, None] * (np.logaddexp(0, z) - target * z)).sum() + 0.5e-4 * (weights**2).sum())
+
+
+def design(seen: Evidence, grades: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row and column of each feature of a document, which thresholds its grade reaches, and its weight.
+
+    Clean rows weigh more, for a false alarm costs a document.
+    """
+    row = np.repeat(np.arange(len(seen.codes)), list(map(len, seen.codes)))
+    col = np.searchsorted(seen.names, np.concatenate([np.zeros(0, np.int64), *seen.codes]))
+    target = grades[:, None] >= np.arange(1, int(grades.max()) + 1)[None, :]
+    return row, col, target, np.where(seen.y > 0, 0.35 / (seen.y > 0).sum(), 0.65 / (seen.y == 0).sum())
+
+
+def descend(seen: Evidence, grades: np.ndarray, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds, by Adam."""
+    row, col, target, balance = design(seen, grades)
+    m, top = len(seen.names), target.shape[1]
     weights, theta = np.zeros(m), np.linspace(0.5, 1.5, top)
-    balance = np.where(y > 0, 0.35 / pos, 0.65 / neg)
-    target = grades[:, None] >= np.arange(1, top + 1)[None, :]
     moments = [np.zeros(m + top), np.zeros(m + top)]
-    for t in range(1, 401):
-        margin = np.bincount(row, weights=weights[col], minlength=len(y))
+    for t in range(1, steps + 1):
+        margin = np.bincount(row, weights=weights[col], minlength=len(balance))
         off = (1 / (1 + np.exp(-np.clip(margin[:, None] - theta[None, :], -40, 40))) - target) * balance[:, None]
         g = np.concatenate([np.bincount(col, weights=off.sum(1)[row], minlength=m) + 1e-4 * weights, -off.sum(0)])
         moments = [0.9 * moments[0] + 0.1 * g, 0.999 * moments[1] + 0.001 * g * g]
         change = 0.05 * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.999**t)) + 1e-8)
         weights, theta = weights - change[:m], np.sort(theta - change[m:])
-    return Ordinal(tuple(theta.tolist()), dict(zip(seen[keep].tolist(), weights.tolist(), strict=True)))
+    return weights, theta
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", severity: str = "severity", chance: str = "p_toxic") -> DataFrame:

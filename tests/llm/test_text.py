@@ -2,9 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tallyloom.llm import language, quality, queries, redaction, toxicity
@@ -73,6 +75,33 @@ def test_compiled_rules_score_as_arrays_do(spark, labelled):
         assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_toxicity_fit_against_a_slow_minimiser(labelled):
+    """The features' evidence by hand, and the loss within a hair of what plain descent reaches."""
+    docs, labels = labelled
+    chosen = toxicity.sample(docs, labels, "toxic", 150)
+    seen = toxicity.gather(chosen)
+    texts = {r.doc_id: (set().union(*map(toxicity.features, set(toxicity.WORDS(r.text.lower())))), r.y) for r in chosen.collect()}
+    assert len(texts) == 300 and len(seen.y) == 300
+    pos = sum(y > 0 for _, y in texts.values())
+    names = []
+    for f in set().union(*(f for f, _ in texts.values())):
+        df, hits = sum(f in g for g, _ in texts.values()), sum(f in g for g, y in texts.values() if y)
+        a, b = hits + 0.5, df - hits + 0.5
+        z = (np.log(a / (pos - hits + 0.5)) - np.log(b / (300 - pos - (df - hits) + 0.5))) / np.sqrt(1 / a + 1 / b)
+        if df >= toxicity.LEAST_DOCS and abs(z) >= toxicity.LEAST_Z:
+            names.append(toxicity.code(f))
+    assert sorted(names) == seen.names.tolist()
+    grades = toxicity.grade(seen.codes, seen.n_words, seen.y, seen.marked, 3)
+    weights, theta = toxicity.descend(seen, grades)
+    parts = toxicity.design(seen, grades)
+    row, col, target, balance = parts
+    w, t = np.zeros(len(names)), np.linspace(0.5, 1.5, 3)
+    for _ in range(20_000):
+        off = (1 / (1 + np.exp(-(np.bincount(row, weights=w[col], minlength=300)[:, None] - t))) - target) * balance[:, None]
+        w, t = w - 0.1 * (np.bincount(col, weights=off.sum(1)[row], minlength=len(w)) + 1e-4 * w), np.sort(t + 0.1 * off.sum(0))
+    assert toxicity.loss_of(weights, theta, *parts) < toxicity.loss_of(w, t, *parts) + 0.02
+
+
 def test_language(labelled, odd, empty):
     docs, _ = labelled
     profiles = language.fit(docs.where(~held_out()))
@@ -86,14 +115,43 @@ def test_language(labelled, odd, empty):
 
 
 def test_rank_distance_by_hand():
-    counter = language.Counts()
-    counts, names, order = counter.of(["ab ab"])
-    top = [names[i] for i in language.ranked(counts[0], order, 10)]
+    counter = language.Counts({"x": {"b": 0, "a": 1}, "y": {}})
+    (found, n), = counter.of(["ab ab"])
+    own = language.ranked(found, n, counter.codes, 10)
+    top = [counter.names[i] for i in own]
     assert top == sorted(top) and set(top) == {"a", "b", "_a", "ab", "b_", "_ab", "ab_"}
-    profile = np.array([{"b": 0, "a": 1}.get(n, -1) for n in names])
-    own = language.ranked(counts[0], order, 10)
-    want = sum(abs({"b": 0, "a": 1}[names[g]] - i) if names[g] in ("a", "b") else language.PROFILE for i, g in enumerate(own))
-    assert language.distance(own, profile) == want
+    for most in (400, 50):
+        want = sum(abs({"b": 0, "a": 1}[g] - i) if g in ("a", "b") else most for i, g in enumerate(top))
+        assert language.distance(own, counter.places, most).tolist() == [want, 7 * most]
+
+
+def brute_grams(text):
+    words = regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    return Counter(p[i : i + k] for p in (f"_{w}_" for w in words) for k in (1, 2, 3) for i in range(len(p) - k + 1) if p[i : i + k] != "_")
+
+
+def brute_ranks(counts, most):
+    return {g: i for i, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most])}
+
+
+def test_language_against_counters(labelled, spark):
+    """Every profile and every prediction, with all documents in the sample."""
+    docs, _ = labelled
+    rows = docs.select("doc_id", "text", "lang").limit(300).collect() + [(9001, "ab" * 40_000, None), (9002, "ñ ö 語 語", "zz")]
+    df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string").repartition(3)
+    most = 60
+    profiles = language.fit(df, most=most)
+    want = {}
+    for _, t, lang in rows:
+        if lang is not None and t is not None:
+            want.setdefault(lang, Counter()).update(brute_grams(t))
+    assert profiles.ranks == {lang: brute_ranks(c, most) for lang, c in want.items()}
+    texts = {r[0]: r[1] for r in rows}
+    for r in language.predict(df, profiles).collect():
+        own = brute_ranks(brute_grams(texts[r.doc_id] or ""), most)
+        far = sorted((sum(abs(p[g] - i) if g in p else most for g, i in own.items()), lang) for lang, p in profiles.ranks.items())
+        if own:
+            assert (r.lang_pred, r.score) == (far[0][1], pytest.approx(max(0.0, 1 - far[0][0] / far[1][0])))
 
 
 def luhn(d):
