@@ -39,19 +39,28 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         labels = jumped
 
 
-def compare(members: DataFrame, scratch: Scratch, name: str, judge: Callable, schema: str, key: str = "key", member: str = "id") -> DataFrame:
-    """What judge makes of every two members of each group, none left out and no pair of parts in two tiles.
+def deal(members: DataFrame, scratch: Scratch, name: str, key: str = "key", member: str = "id") -> DataFrame:
+    """The members of groups of two or more, a row for each tile (__tile) that compares them.
 
-    judge(rows, left, right): a record batch and two arrays of row numbers; every one of left is to be compared with
-    every one of right, or, if they are the same object, each two of them once. It returns a record batch or None.
+    A group's members fall into parts (__own) of TILE or so; a tile holds one part (__same) or two, and every two
+    members meet in exactly one tile of their group.
     """
-    spark = members.sparkSession
-    ship(spark)
-    small_batches(spark)
     sizes = scratch.save(members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1"), f"{name}-sizes")
     parts = F.ceil(F.col("__n") / TILE).cast("int")
     held = members.join(sizes, key).withColumn("__parts", parts).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
-    dealt = held.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).withColumn("__tile", F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other"))).withColumn("__same", F.col("__own") == F.col("__other")).drop("__n", "__parts", "__other")
+    return held.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).withColumn("__tile", F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other"))).withColumn("__same", F.col("__own") == F.col("__other")).drop("__n", "__parts", "__other")
+
+
+def tiles(dealt: DataFrame, judge: Callable, schema: str) -> DataFrame:
+    """What judge makes of each tile.
+
+    judge(rows, left, right): a record batch and two arrays of row numbers; every one of left is to be compared with
+    every one of right, or, if they are the same object, each two of them once. It returns a record batch or None;
+    with a few rows for each of the tile's, what leaves a tile is linear in what enters it.
+    """
+    spark = dealt.sparkSession
+    ship(spark)
+    small_batches(spark)
 
     def tile(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         own, same = rows.column(rows.schema.names.index("__own")).to_numpy(), rows.column(rows.schema.names.index("__same")).to_numpy(zero_copy_only=False)
@@ -78,3 +87,15 @@ def compare(members: DataFrame, scratch: Scratch, name: str, judge: Callable, sc
             yield out
 
     return dealt.repartition(partitions(spark), "__tile").sortWithinPartitions("__tile").mapInArrow(run, schema)
+
+
+def lowest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row the least id that the links between rows i and j reach."""
+    low = ids.copy()
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        if (new == low).all():
+            return low
+        low = new

@@ -6,8 +6,11 @@ D blocks of a sketch at most: of any D + 1 blocks one is equal. Documents meet o
 sizes; a short sketch of the whole sets rejects most false meetings, the rest are verified on the sets themselves.
 
 Equal sets are one class from the start. In a group that shares a block every class is first tested against the
-group's least; only groups that are still in several components are compared in full, in tiles, where the sketches'
-distance rejects most pairs before their sets are read.
+group's least; only groups that are still in several components are compared in full, in tiles: first by sketches,
+which tell the rows that have a likely partner in another component, then these by their sets. A tile hands on a row
+for each of its members at most, the least one that its links reach, never its pairs.
+
+Nodes of the graph are rows of the input, numbered as their sketches are written, so ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, map_arrow
-from tallyloom.llm.graph import compare, components
+from tallyloom.llm.graph import components, deal, lowest, tiles
 
 #: Ratio of the sizes at a band's ends.
 BAND = 1.25
@@ -167,10 +170,22 @@ def folded(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, size // 8), axis=0)
 
 
+def close(n: np.ndarray, parity: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which others set sizes and the distance of their sketches do not rule out as partners of i."""
+    ok = 100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])
+    return ok & (np.bitwise_count(parity[i] ^ parity[others]).sum(1, dtype=np.int64) <= (100 - percent) * (n[i] + n[others]) // (100 + percent))
+
+
+def parities(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    size = min(map(len, raw))
+    return np.array([folded(r, size) for r in raw])
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that set sizes and the distance of their sketches do not rule out."""
     sketch = Sketch(percent)
-    side = lambda k, n, raw: sketches.select(F.col("id").alias(k), F.col("n").alias(n), F.col("parity").alias(raw))
+    side = lambda k, n, raw: sketches.select(F.col("node").alias(k), F.col("n").alias(n), F.col("parity").alias(raw))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -188,40 +203,97 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, make, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are similar enough, by the exact sizes of intersection and union."""
-    spark = pairs.sparkSession
-    ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    table = spark.sparkContext.broadcast(candidates_filter(ids, "id"))
+def whole(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others, as two signed numbers."""
+    if not len(hashes):
+        return 0, 0
+    two = np.array([np.bitwise_xor.reduce(mix(hashes)), np.add.reduce(mix(hashes ^ ODD))], np.uint64).view(np.int64)
+    return int(two[0]), int(two[1])
+
+
+def sets_of(nodes: DataFrame, slim: DataFrame, rows: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """(node, hashes) for each of the nodes, from the texts of rows that have its id and its very set."""
+    wanted = scratch.save(nodes.distinct().join(slim.select("node", "id", "h1", "h2"), "node"), f"{name}-wanted")
+    table = nodes.sparkSession.sparkContext.broadcast(candidates_filter(wanted, "id"))
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            at = batch.column(2).to_numpy()
-            keep = np.flatnonzero(is_set(table.value, at))
+            keep = np.flatnonzero(is_set(table.value, batch.column(1).to_numpy()))
             if not len(keep):
                 return None
-            batch = batch.take(pa.array(keep))
-            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
+            sets = shingle_sets([t or "" for t in batch.column(0).take(pa.array(keep)).to_pylist()], width)
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], ["id", "hashes"])
+            one, two = zip(*map(whole, sets), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))], ["h1", "h2", "hashes"])
 
         return work
 
-    source = docs.select("id", "text", place_of("id", FILTER_BITS))
-    sets = scratch.save(map_arrow(source, make, "id long, hashes array<long>", "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+    found = map_arrow(rows.select("text", place_of("id", FILTER_BITS)), make, "h1 long, h2 long, hashes array<long>", "text")
+    return scratch.save(found.join(wanted.select("h1", "h2", "node"), ["h1", "h2"]).dropDuplicates(["node"]).select("node", "hashes"), f"{name}-sets")
+
+
+def verified(pairs: DataFrame, slim: DataFrame, rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by the exact sizes of intersection and union."""
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), slim, rows, width, scratch, "pairs")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - F.col("c")
     return both.withColumn("c", common).where((F.lit(100).cast("long") * F.col("c")) >= F.lit(percent).cast("long") * union).select("a", "b")
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
+def between(groups: DataFrame, slim: DataFrame, rows: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join what the groups (key, node, component) hold apart, as many as the rows compared at most.
 
-    Two documents link when 100 * intersection >= percent * union of their sets; component_id is the least id
-    reachable. A text that is null or has no word has an empty set and is its own component. Equal texts link,
-    repeated rows too. A row with a null id joins the component of its equals, or of none (null).
+    In each tile the sketches first tell which rows have a likely partner of another component; only these come back
+    with their sets, and of the links found each row hands on the least node that they reach.
     """
+    get = lambda batch, c: batch.column(batch.schema.names.index(c))
+
+    def likely(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+        comp, n, parity = get(batch, "component").to_numpy(), get(batch, "n").to_numpy(), parities(get(batch, "parity"))
+        hit = np.zeros(len(n), bool)
+        for i in left.tolist():
+            others = right[right > i] if left is right else right
+            others = others[comp[others] != comp[i]]
+            if len(others):
+                found = others[close(n, parity, i, others, percent)]
+                hit[found] = True
+                hit[i] |= len(found) > 0
+        return batch.select(["__tile", "__own", "__same", "node", "component", "n", "parity"]).take(pa.array(np.flatnonzero(hit))) if hit.any() else None
+
+    def linked(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
+        comp, n, parity, nodes = get(batch, "component").to_numpy(), get(batch, "n").to_numpy(), parities(get(batch, "parity")), get(batch, "node").to_numpy()
+        sets, at = [np.asarray(h, np.int64).view(np.uint64) for h in get(batch, "hashes").to_pylist()], comp.copy()
+        one, two = [], []
+        for i in left.tolist():
+            others = right[right > i] if left is right else right
+            others = others[at[others] != at[i]]  # not what the tile has linked by now
+            others = others[close(n, parity, i, others, percent)] if len(others) else others
+            if not len(others):
+                continue
+            sizes = np.array([len(sets[j]) for j in others.tolist()])
+            flat = np.concatenate([sets[j] for j in others.tolist()])
+            place = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            common = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            found = others[100 * common >= percent * (n[i] + n[others] - common)]
+            if len(found):
+                at[np.isin(at, at[found])] = at[i]
+                one.append(np.full(len(found), i))
+                two.append(found)
+        if not one:
+            return None
+        low = lowest(nodes, np.concatenate(one), np.concatenate(two))
+        some = np.flatnonzero(low != nodes)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(low[some])], ["a", "b"])
+
+    dealt = deal(groups.join(slim.select("node", "n", "parity"), "node"), scratch, "tiles", member="node")
+    hits = scratch.save(tiles(dealt, likely, "__tile long, __own int, __same boolean, node long, component long, n long, parity binary"), "likely")
+    sets = sets_of(hits.select("node"), slim, rows, width, scratch, "tiles")
+    return tiles(hits.join(sets, "node"), linked, "a long, b long").distinct()
+
+
+def grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(id, n, h1, h2, text_hash, component, component_id) for each row: component numbers them, null for empty sets."""
     spark = docs.sparkSession
     scratch, sketch = Scratch(spark, "neardup"), Sketch(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -230,40 +302,39 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], width)
             words = [b"".join(sketch.blocks(s, c).astype("<u8").tobytes() for c in sketch.cells(len(s))) if len(s) else b"" for s in sets]
-            one = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets]
-            two = [int(np.add.reduce(mix(s ^ ODD))) if len(s) else 0 for s in sets]
-            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(one), signed(two), pa.array(words, pa.binary()), pa.array([sketch.parity(s) if len(s) else b"" for s in sets], pa.binary())], ["id", "n", "h1", "h2", "blocks", "parity"])
+            one, two = zip(*map(whole, sets), strict=True)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(words, pa.binary()), pa.array([sketch.parity(s) if len(s) else b"" for s in sets], pa.binary())], ["id", "text_hash", "n", "h1", "h2", "blocks", "parity"])
 
         return work
 
-    signed = scratch.save(map_arrow(rows, make, "id long, n long, h1 long, h2 long, blocks binary, parity binary", "text"), "sets")
-    classes = scratch.save(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "classes")
-    several = classes.where("rows > 1").select("n", "h1", "h2", F.col("id").alias("class"))
-    copies = scratch.save(signed.select("id", "n", "h1", "h2").join(several, ["n", "h1", "h2"]).where("id <> class").select("id"), "copies")
-    copied = spark.sparkContext.broadcast(candidates_filter(copies, "id"))
-    own = signed.where("n > 0 and id is not null").select("id", "n", "blocks", place_of("id", FILTER_BITS))
+    sketched = map_arrow(rows.withColumn("text_hash", F.xxhash64("text")), make, "id long, text_hash long, n long, h1 long, h2 long, blocks binary, parity binary", "text")
+    signed = scratch.save(sketched.withColumn("node", F.monotonically_increasing_id()), "sets")
+    classes = scratch.save(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.count("*").alias("rows")), "classes")
+    several = classes.where("rows > 1").select("n", "h1", "h2", F.col("node").alias("class"))
+    copies = scratch.save(signed.select("node", "n", "h1", "h2").join(several, ["n", "h1", "h2"]).where("node <> class").select("node"), "copies")
+    copied = spark.sparkContext.broadcast(candidates_filter(copies, "node"))
+    own = signed.where("n > 0").select("node", "n", "blocks", place_of("node", FILTER_BITS))
 
     def explode(of_keys=None, fresh: bool = False):
-        """Rows (key, id) of each block: of rows that are surely no copy, if fresh; of keys whose bit is set, if asked."""
+        """Rows (key, node) of each block: of rows that are surely no copy, if fresh; of keys whose bit is set, if asked."""
 
         def make():
             def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
                 if fresh:
                     batch = batch.take(pa.array(np.flatnonzero(~is_set(copied.value, batch.column(3).to_numpy()))))
-                ids, keys = [], []
+                nodes, keys = [], []
                 for i, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     blocks, size = np.frombuffer(raw, "<u8"), sketch.leading(n)
                     for k, cell in enumerate(sketch.cells(n)):
                         keys.append(sketch.keys(blocks[k * size : (k + 1) * size], cell))
-                        ids.append(np.full(size, i, np.int64))
+                        nodes.append(np.full(size, i, np.int64))
                 if not keys:
                     return None
-                keys, ids = np.concatenate(keys), np.concatenate(ids)
+                keys, nodes = np.concatenate(keys), np.concatenate(nodes)
                 if of_keys is not None:
                     keep = is_set(of_keys.value, keys & ((1 << KEY_BITS) - 1))
-                    keys, ids = keys[keep], ids[keep]
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], ["key", "id"])
+                    keys, nodes = keys[keep], nodes[keep]
+                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
 
             return work
 
@@ -275,60 +346,69 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_
 
         return work
 
-    unsure = map_arrow(own, flagged, own.schema).join(copies, "id", "left_anti").select(*own.columns)
+    unsure = map_arrow(own, flagged, own.schema).join(copies, "node", "left_anti").select(*own.columns)
 
     def keys_of(of_keys=None) -> DataFrame:
-        parts = [map_arrow(own, explode(of_keys, True), "key long, id long", rows=2000), map_arrow(unsure, explode(of_keys), "key long, id long", rows=2000)]
+        parts = [map_arrow(own, explode(of_keys, True), "key long, node long", rows=2000), map_arrow(unsure, explode(of_keys), "key long, node long", rows=2000)]
         return parts[0].union(parts[1])
 
-    shared = scratch.save(keys_of().groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("key", "hub"), "shared")
+    shared = scratch.save(keys_of().groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub"), "shared")
     met = spark.sparkContext.broadcast(bit_table(shared.select(F.pmod("key", F.lit(1 << KEY_BITS)).alias("at")), KEY_BITS))
     members = scratch.save(keys_of(met).join(shared, "key"), "members")
     slim = scratch.save(signed.drop("blocks"), "slim")
     scratch.drop("sets")
-    tested = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    ids = rows.where("id is not null")
-    sketches = slim.select("id", "n", "parity")
-    tested = scratch.save(plausible(tested, sketches, percent), "tested")
-    links = scratch.save(verified(tested, ids, width, percent, scratch, "first"), "links")
+    tested = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tested = scratch.save(plausible(tested, slim.select("node", "n", "parity"), percent), "tested")
+    links = scratch.save(verified(tested, slim, rows, width, percent, scratch), "links")
     found = components(links, scratch, "one")
 
     # groups whose classes are still apart, but for those of two: their one pair is tested
-    labelled = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = scratch.save(labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("size > 2 and least <> most").select("key"), "apart")
-    open_groups = labelled.where("id <> hub").join(apart, "key").select("key", "id", "component")
-    open_groups = scratch.save(open_groups, "open")
-
-    def judge(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
-        names = batch.schema.names
-        ids, comp, n = (batch.column(names.index(c)).to_numpy() for c in ("id", "component", "n"))
-        raw = batch.column(names.index("parity")).to_pylist()
-        size = min(map(len, raw))
-        parity = np.array([folded(r, size) for r in raw])
-        left_out, right_out = [], []
-        for i in left.tolist():
-            others = right[right > i] if left is right else right
-            if not len(others):
-                continue
-            total = n[i] + n[others]
-            ok = (comp[i] != comp[others]) & (100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others]))
-            ok &= np.bitwise_count(parity[i] ^ parity[others]).sum(1, dtype=np.int64) <= (100 - percent) * total // (100 + percent)
-            right_out.append(ids[others[ok]])
-            left_out.append(np.full(int(ok.sum()), ids[i]))
-        if not left_out or not sum(map(len, left_out)):
-            return None
-        a, b = np.concatenate(left_out), np.concatenate(right_out)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    open_groups = scratch.save(labelled.where("node <> hub").join(apart, "key").select("key", "node", "component"), "open")
 
     final = found
     if not open_groups.isEmpty():
-        near = scratch.save(compare(open_groups.join(sketches, "id"), scratch, "tiles", judge, "a long, b long").distinct(), "near")
-        if not near.isEmpty():
-            more = verified(near, ids, width, percent, scratch, "second")
+        more = scratch.save(between(open_groups, slim, rows, width, percent, scratch), "more")
+        if not more.isEmpty():
             stars = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
             final = components(scratch.save(stars.union(more), "all"), scratch, "two")
-    placed = scratch.save(classes.select("n", "h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id")), "placed")
-    scratch.drop("classes", "copies", "shared", "members", "open", "apart", "near", "tested", "first-ids", "first-sets", "second-ids", "second-sets", "links", "all")
-    joined = slim.drop("parity").join(placed, ["n", "h1", "h2"], "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    placed = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    placed = scratch.save(placed.join(least, "component").select("n", "h1", "h2", "component", "component_id"), "placed")
+    scratch.drop("classes", "copies", "shared", "members", "open", "apart", "more", "tested", "likely", "pairs-wanted", "pairs-sets", "tiles-wanted", "tiles-sets", "tiles-sizes", "links", "all")
+    return slim.drop("parity", "node").join(placed, ["n", "h1", "h2"], "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
+
 
+def join(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    Two documents link when 100 * intersection >= percent * union of their sets; component_id is the least id
+    reachable. Ids are whole numbers, cast to long. A text that is null or has no word has an empty set and is its own
+    component. Equal texts link, repeated rows too, and rows that share an id are told apart by their texts. A row
+    with a null id links like any other; its component is null if no row there has an id.
+    """
+    return grouped(docs, width, percent, doc_id, text).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component of the join, that of its least id; rows without a word stay.
+
+    Rows are told apart by id and text, so a row whose id repeats goes or stays for its own text: of several texts
+    under the least id that of the least hash stays, and of rows equal in both one. A null id comes last.
+    """
+    scratch = Scratch(docs.sparkSession, "groups")
+    groups = scratch.save(grouped(docs, width, percent, doc_id, text).where("n > 0").select("id", "text_hash", "component", "component_id"), "rows")
+    key = ["id", "text_hash"]
+    leaders = groups.where("id <=> component_id").groupBy("component", *key).count()
+    lead = scratch.save(leaders.groupBy("component").agg(F.min("text_hash").alias("lead")), "lead")
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("lead"))
+    gone = groups.join(lead, "component").where(~stays).select(*key).distinct()
+    repeated = scratch.save(leaders.where("count > 1").join(lead, "component").where("text_hash = lead").select(*key), "repeated")
+    named = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__text", F.xxhash64(text))
+    mine = lambda rows, t: rows["__id"].eqNullSafe(t["id"]) & (rows["__text"] == t["text_hash"])
+    stay = named.join(gone, mine(named, gone), "left_anti")
+    if repeated.isEmpty():
+        return stay.select(*docs.columns)
+    once = stay.join(repeated, mine(stay, repeated), "left_semi").dropDuplicates(["__id", "__text"])
+    return stay.join(repeated, mine(stay, repeated), "left_anti").unionByName(once).select(*docs.columns)

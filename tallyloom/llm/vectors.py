@@ -2,8 +2,9 @@
 
 Rotations learned on a bounded sample turn centred vectors into balanced binary codes. Codes are cut into substrings,
 each the index of a Hamming table; vectors of one label that agree on a substring meet and are compared by the cosine
-of their original components. Several rotations give tables enough that a link at the threshold itself is found with
-a probability of 0.99; what is found is exact.
+of their original components. The larger the largest label, the longer the substrings, so that strangers meet no more
+often; rotations are added until vectors at the threshold, made from the sample, meet with a probability of 0.99.
+What is found is exact.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, least_hashed, map_arrow
-from tallyloom.llm.graph import compare, components
+from tallyloom.llm.graph import components, deal, lowest, tiles
 
 #: Vectors that a fit takes at most, those with the least hash of their id; every vector is indexed.
 SAMPLE = 8192
-#: Rotations, bits of a code at most (of each), bits of a substring.
-ROTATIONS, BITS, SUBSTRING = 4, 64, 16
+#: Rotations at least and at most, bits of a code at most (of each), bits of a substring at least and at most.
+ROTATIONS, MOST_ROTATIONS, BITS, SUBSTRING, MOST_SUBSTRING = 4, 48, 64, 16, 30
+RECALL, PROBES = 0.99, 4000
 ITERATIONS = 40
 
 
@@ -29,6 +31,7 @@ ITERATIONS = 40
 class Quantiser:
     mean: np.ndarray
     rotations: tuple[np.ndarray, ...]  # components x bits
+    substring: int = SUBSTRING
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """A row for each vector: the substrings of its codes, one for each table."""
@@ -37,26 +40,44 @@ class Quantiser:
         tables = []
         for r in self.rotations:
             bits = (x @ r) > 0
-            for at in range(0, bits.shape[1], SUBSTRING):
-                part = bits[:, at : at + SUBSTRING]
+            for at in range(0, max(1, bits.shape[1] - self.substring + 1), self.substring):
+                part = bits[:, at : at + self.substring]
                 tables.append(part @ (1 << np.arange(part.shape[1])))
         return np.column_stack(tables).astype(np.int32)
 
 
-def learn(x: np.ndarray, rotations: int = ROTATIONS, bits: int = BITS, seed: int = 5) -> Quantiser:
-    """Principal directions, then for each random start the rotation that brings their signs nearest to them."""
+def substring_for(rows: int) -> int:
+    """As many bits as number the rows of a label, so that a bucket of strangers has a few, whatever the corpus."""
+    return min(MOST_SUBSTRING, max(SUBSTRING, int(rows).bit_length()))
+
+
+def learn(x: np.ndarray, rows: int = 0, least: float = 0.98, bits: int = BITS, seed: int = 5) -> Quantiser:
+    """Principal directions, then for each random start the rotation that brings their signs nearest to them.
+
+    x: unit vectors; rows: of the largest label. Rotations are added until pairs at the cosine least share a substring
+    often enough, ROTATIONS at least and MOST_ROTATIONS at most.
+    """
     mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
     k = min(bits, x.shape[1])
     _, vectors = np.linalg.eigh((x - mean).T @ (x - mean)) if len(x) else (None, np.eye(x.shape[1]))
     directions = vectors[:, ::-1][:, :k]
     v, rng, out = (x - mean) @ directions, np.random.default_rng(seed), []
-    for _ in range(rotations):
+    near = x[3::4][:PROBES] if len(x) >= 64 else x  # not what the rotations are fitted to
+    v = v[np.arange(len(x)) % 4 != 3] if len(x) >= 64 else v
+    side = rng.standard_normal(near.shape)
+    side -= (side * near).sum(1, keepdims=True) * near
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-300)
+    moved = least * near + np.sqrt(1 - least**2) * side
+    met = np.zeros(len(near), bool)
+    while len(out) < ROTATIONS or (len(out) < MOST_ROTATIONS and len(near) and met.mean() < RECALL):
         r, _ = np.linalg.qr(rng.standard_normal((k, k)))
         for _ in range(ITERATIONS):
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(directions @ r)
-    return Quantiser(mean, tuple(out))
+        one = Quantiser(mean, (out[-1],), substring_for(rows))
+        met |= (one.codes(near) == one.codes(moved)).any(1)
+    return Quantiser(mean, tuple(out), substring_for(rows))
 
 
 def stacked(column: pa.Array, width: int) -> np.ndarray:
@@ -93,7 +114,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     if not drawn.num_rows:
         return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(map(len, drawn.column("e").to_pylist()))
-    model = spark.sparkContext.broadcast(learn(stacked(drawn.column("e").combine_chunks(), width)))
+    largest = named.groupBy("label").count().agg(F.max("count").alias("n")).first().n
+    model = spark.sparkContext.broadcast(learn(stacked(drawn.column("e").combine_chunks(), width), largest, least))
 
     def index():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -124,21 +146,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
         links = np.bincount(i[fresh], weights=copies[j[fresh]], minlength=len(ids))
         if left is not right:
             links += np.bincount(j[fresh], weights=copies[i[fresh]], minlength=len(ids))
-        low = ids.copy()
-        while True:  # the least id that links reach within the tile
-            new = low.copy()
-            np.minimum.at(new, i, low[j])
-            np.minimum.at(new, j, low[i])
-            if (new == low).all():
-                break
-            low = new
+        low = lowest(ids, i, j)
         some = np.flatnonzero((links > 0) | (low != ids))
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(low[some])], ["id", "links", "low"])
 
-    found = scratch.save(compare(members, scratch, "tiles", judge, "id long, links long, low long"), "found")
+    found = scratch.save(tiles(deal(members, scratch, "tiles"), judge, "id long, links long, low long"), "found")
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")), scratch, "parts").withColumnRenamed("node", "id")
     placed = scratch.save(classes.join(counted, "id", "left").join(comps, "id", "left").select("g1", "g2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "placed")
+    scratch.drop("classes", "coded", "met", "tiles-sizes", "found")
+    scratch.tidy()
     done = marked.select("vec_id", "g1", "g2").join(placed, ["g1", "g2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
