@@ -25,11 +25,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of the Jaccard join; rows without a word or an id stay."""
-    groups = neardup.join(docs, width=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """One document of each component of the Jaccard join, that of least id; rows without a word stay."""
+    return neardup.keep_one(docs, width=5, percent=80).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
