@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyloom.schemas import NO_CATEGORY
 
 Rules = Sequence[tuple[str, Sequence[str]]]
+#: Characters of a keyword by which it meets names.
+GRAM = 3
 
 
 def read_rules(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
@@ -35,10 +37,15 @@ def classify(name: Column, rules: Rules, default: str = NO_CATEGORY) -> Column:
 def classify_by_table(names: DataFrame, rules: DataFrame, name: str = "object_name", default: str = NO_CATEGORY) -> DataFrame:
     """names with a category column, by a table of rules (prio, category, keyword) that may be long.
 
-    Each distinct name is matched once; a tie in prio goes to the lesser category.
+    Each distinct name is matched once; a tie in prio goes to the lesser category. A name that holds a keyword holds its
+    first GRAM characters, so both meet in an equality join on these and only then is the whole keyword looked for.
     """
-    distinct = names.select(name).distinct()
-    hits = distinct.join(rules, F.lower(F.col(name)).contains(F.col("keyword"))).groupBy(name).agg(F.min_by("category", F.struct("prio", "category")).alias("category"))
+    low = F.lower(F.col(name))
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substr(low, i, F.lit(k)))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[cut(k) for k in range(1, GRAM + 1)]))
+    distinct = names.select(name).distinct().withColumn("__gram", F.explode(grams))
+    keyed = rules.withColumn("__gram", F.substring("keyword", 1, GRAM))
+    hits = distinct.join(keyed, "__gram").where(low.contains(F.col("keyword"))).groupBy(name).agg(F.min_by("category", F.struct("prio", "category")).alias("category"))
     return names.join(hits, name, "left").withColumn("category", F.coalesce("category", F.lit(default)))
 
 

@@ -29,8 +29,8 @@ def word_count(c: Column) -> Column:
 
 
 def count_of(c: Column, letters: str) -> Column:
-    """How many characters of a text are in a class of characters."""
-    return F.length(F.regexp_replace(c, f"[^{letters}]", ""))
+    """How many characters of a text are in a class of characters; runs of others go in one match each."""
+    return F.length(F.regexp_replace(c, f"[^{letters}]+", ""))
 
 
 def cyrillic_count(c: Column) -> Column:
@@ -38,8 +38,8 @@ def cyrillic_count(c: Column) -> Column:
 
 
 def latin_count(c: Column) -> Column:
-    """A to z in either case, the two apostrophe letters, and the Kelvin sign, which lower-cases to k."""
-    return count_of(c, "A-Za-zʻʼK")
+    """A to z in either case, the two apostrophe letters, the Kelvin sign, which lower-cases to k, and İ, whose lower case begins with i."""
+    return count_of(c, "A-Za-zʻʼKİ")
 
 
 def script_shares(c: Column) -> Column:
@@ -61,11 +61,15 @@ def lexicon_share(c: Column, lexicon: tuple[str, ...]) -> Column:
 
 
 def script_class(c: Column) -> Column:
-    """One of the four classes; a text without a letter counts as Latin."""
-    cyrillic, latin = cyrillic_count(c), latin_count(c)
-    total = cyrillic + latin
-    uzbek = has_uzbek_letters(c) | (lexicon_share(c, UZBEK_WORDS) > 0.05)
-    return F.when((total == 0) | (latin / F.nullif(total, F.lit(0)) > 0.7), LATIN).when(cyrillic / F.nullif(total, F.lit(0)) > 0.7, F.when(uzbek, UZBEK).otherwise(RUSSIAN)).otherwise(MIXED)
+    """One of the four classes; a text without a letter counts as Latin. Letters are counted once, for all branches."""
+
+    def decided(n: Column) -> Column:
+        total = n["cyrillic"] + n["latin"]
+        uzbek = has_uzbek_letters(c) | (lexicon_share(c, UZBEK_WORDS) > 0.05)
+        return F.when((total == 0) | (n["latin"] / F.nullif(total, F.lit(0)) > 0.7), LATIN).when(n["cyrillic"] / F.nullif(total, F.lit(0)) > 0.7, F.when(uzbek, UZBEK).otherwise(RUSSIAN)).otherwise(MIXED)
+
+    counts = F.struct(cyrillic_count(c).alias("cyrillic"), latin_count(c).alias("latin"))
+    return F.when(c.isNotNull(), F.element_at(F.transform(F.array(counts), decided), 1)).otherwise(MIXED)
 
 
 def snippet(c: Column, size: int) -> Column:

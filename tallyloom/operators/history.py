@@ -22,26 +22,58 @@ def summary(history: DataFrame) -> DataFrame:
     return rows.withColumn("reduction", F.col("first_loss") - F.col("final_loss")).withColumn("reduction_pct", F.coalesce(F.try_divide(F.col("reduction") * 100, F.col("first_loss")), F.lit(0.0)))
 
 
+def in_ranges(history: DataFrame, value: str) -> DataFrame:
+    """(run_id, seq, value, __part): the points of all runs dealt by ranges of run and seq, so one long run is many parts."""
+    points = history.where(F.col(value).isNotNull()).select("run_id", "seq", F.col(value).cast("double").alias("value"))
+    return points.repartitionByRange("run_id", "seq").withColumn("__part", F.spark_partition_id())
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """df computed once, for its parts are to stay the same rows in all that is made of them."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def folded(parts: DataFrame, alpha: float) -> DataFrame:
+    """(run_id, __part, n, first, weight, share): over a part, a state s becomes weight * s + share."""
+    whole = Window.partitionBy("run_id", "__part")
+    left = F.count("*").over(whole) - F.row_number().over(whole.orderBy("seq"))
+    points = parts.withColumn("__share", F.col("value") * alpha * F.pow(F.lit(1 - alpha), left))
+    return points.groupBy("run_id", "__part").agg(F.count("*").alias("n"), F.min_by("value", "seq").alias("first"), F.pow(F.lit(1 - alpha), F.count("*")).alias("weight"), F.sum("__share").alias("share"))
+
+
 def ema_last(history: DataFrame, value: str = "train_loss", alpha: float = ALPHA) -> DataFrame:
-    """The last exponential moving average of each run, which starts from its first value. A run is one array."""
-    runs = history.where(F.col(value).isNotNull()).groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col(value).alias("v")))), lambda s: s["v"]).alias("vs"))
-    fold = F.aggregate(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), F.element_at("vs", 1), lambda s, v: alpha * v + (1 - alpha) * s)
-    return runs.select("run_id", F.size("vs").alias("n"), fold.alias("ema"))
+    """The last exponential moving average of each run, which starts from its first value.
+
+    The average is a fold that composes: parts of a run are summed up where they are, and a run is a few parts.
+    """
+    steps = folded(in_ranges(history, value), alpha)
+    runs = steps.groupBy("run_id").agg(F.sum("n").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("__part", "first", "weight", "share"))).alias("parts"))
+    return runs.select("run_id", "n", F.aggregate("parts", F.element_at("parts", 1)["first"], lambda s, p: s * p["weight"] + p["share"]).alias("ema"))
 
 
 def ema(history: DataFrame, value: str = "train_loss", alpha: float = ALPHA) -> DataFrame:
-    """(run_id, seq, value, ema) for all points; each run is handled in one place, as its recursion asks."""
+    """(run_id, seq, value, ema) for all points: each part goes on from the state that the parts before it leave."""
+    parts = fixed(in_ranges(history, value))
+    before = Window.partitionBy("run_id").orderBy("__part")
+    listed = F.collect_list(F.struct("weight", "share")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    state = F.aggregate(listed, F.first("first").over(before), lambda s, p: s * p["weight"] + p["share"])
+    starts = folded(parts, alpha).select("run_id", "__part", state.alias("__state"))  # a row for each part of a run
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        return rows.assign(ema=rows["value"].ewm(alpha=alpha, adjust=False).mean())
+        chain = pd.concat([rows["__state"].iloc[:1], rows["value"]], ignore_index=True).ewm(alpha=alpha, adjust=False).mean()
+        return rows.assign(ema=chain.iloc[1:].to_numpy())[["run_id", "seq", "value", "ema"]]
 
-    return history.where(F.col(value).isNotNull()).select("run_id", "seq", F.col(value).alias("value")).groupBy("run_id").applyInPandas(run, "run_id string, seq long, value double, ema double")
+    return parts.join(starts, ["run_id", "__part"]).groupBy("run_id", "__part").applyInPandas(run, "run_id string, seq long, value double, ema double")
 
 
 def running_best(history: DataFrame, value: str = "eval_loss") -> DataFrame:
-    best = F.min(value).over(Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return history.where(F.col(value).isNotNull()).select("run_id", "seq", F.col(value), best.alias("best"))
+    """The least value so far: within each part of a run, and over the parts before it."""
+    parts = fixed(in_ranges(history, value))
+    earlier = F.min("least").over(Window.partitionBy("run_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.groupBy("run_id", "__part").agg(F.min("value").alias("least")).select("run_id", "__part", earlier.alias("__before"))
+    within = F.min("value").over(Window.partitionBy("run_id", "__part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(starts, ["run_id", "__part"]).select("run_id", "seq", F.col("value").alias(value), F.least(within, "__before").alias("best"))
 
 
 def by_step(history: DataFrame, runs: list[str], value: str = "eval_loss") -> DataFrame:

@@ -39,23 +39,41 @@ def stratified(df: DataFrame, key: str, domain: str = "business_category", size:
     least digests are all kept unless fewer than asked fall below the bound, in which case the domain is ranked whole.
     """
     wanted = allocation(df, domain, size, targets)
-    held = df.withColumn("domain", F.coalesce(F.col(domain), F.lit(NO_CATEGORY))).join(F.broadcast(wanted), "domain")  # a row for each domain
+    held = df.withColumn("domain", F.coalesce(F.col(domain), F.lit(NO_CATEGORY))).join(wanted, "domain")
     held = held.withColumn("__draw", draw(seed, key))
     unit = F.conv(F.substring("__draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
     low = unit * F.col("available") <= 4 * F.col("target") + 200
     enough = held.where(low).groupBy("domain").agg(F.count("*").alias("__low"))
-    marked = held.join(F.broadcast(enough), "domain", "left")
+    marked = held.join(enough, "domain", "left")
     kept = marked.where(low | (F.coalesce("__low", F.lit(0)) < F.least("target", "available")))
     place = F.row_number().over(Window.partitionBy("domain").orderBy("__draw", key))
     return kept.withColumn("__place", place).where(F.col("__place") <= F.col("target")).drop("__place", "__draw", "__low", "available", "target")
 
 
 def split(df: DataFrame, key: str, validation: float = 0.1, seed: int = 42, test: float = 0.0) -> DataFrame:
-    """df with a split column of exact sizes: ceil(n * validation) rows, ceil(n * test), and the rest train."""
-    n = df.count()
-    n_val, n_test = -int(-n * validation // 1), -int(-n * test // 1)
-    drawn = df.select(key).withColumn("__draw", draw(seed, key)).orderBy("__draw", key).limit(n_val + n_test)
-    last = drawn.orderBy("__draw", key).limit(n_val).withColumn("split", F.lit("validation"))
-    if n_test:
-        last = last.unionByName(drawn.join(last.select(key), key, "left_anti").withColumn("split", F.lit("test")))
-    return df.join(last.select(key, "split"), key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    """df with a split column of exact sizes: ceil(n * validation) rows, ceil(n * test), and the rest train.
+
+    Rows stand in the order of their digests. Counts by the digest's first two bytes say in which of 65,536 parts each
+    share ends; only the rows of those parts are ranked, all others follow from their part. A null key comes last.
+    """
+    first_bytes = F.coalesce(F.conv(F.substring("__draw", 1, 4), 16, 10).cast("int"), F.lit(1 << 16))
+    drawn = df.withColumn("__draw", draw(seed, key)).withColumn("__part", first_bytes)
+    counts = {r.part: r.n for r in drawn.groupBy(F.col("__part").alias("part")).agg(F.count("*").alias("n")).collect()}  # 65,537 rows at most
+    n = sum(counts.values())
+    ends = [-int(-n * validation // 1)]
+    ends.append(ends[0] - int(-n * test // 1))
+    seen, edges = 0, {}  # of the parts in which a share ends: the last rank of each share there
+    last = [-1, -1]
+    for part in sorted(counts):
+        for k, end in enumerate(ends):
+            if seen < end <= seen + counts[part]:
+                last[k], edges[part] = part, [max(0, min(e - seen, counts[part])) for e in ends]
+        seen += counts[part]
+    by_part = F.when(F.col("__part") <= last[0], "validation").when(F.col("__part") <= last[1], "test").otherwise("train")
+    at_edge = F.col("__part").isin(*edges) if edges else F.lit(False)
+    ranked = drawn.where(at_edge).withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("__draw", key)))
+    chosen = F.lit("train")
+    for part, (most_val, most_test) in edges.items():
+        own = F.when(F.col("__rank") <= most_val, "validation").when(F.col("__rank") <= most_test, "test").otherwise("train")
+        chosen = F.when(F.col("__part") == part, own).otherwise(chosen)
+    return drawn.where(~at_edge).withColumn("split", by_part).unionByName(ranked.withColumn("split", chosen).drop("__rank")).drop("__draw", "__part")
