@@ -76,10 +76,14 @@ def whole_scores(text: str) -> dict | None:
         return None
 
 
+#: The fence around JSON, the flat object in prose.
+FENCE, FLAT = (r"^```(?:json)?\s*", r"\s*```$"), r"\{[^{}]*\}"
+
+
 def read_judgement(text: str | None) -> dict | None:
     """The whole text without its fence, else the first flat object, else a digit after each key; None without them."""
-    clean = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (text or "").strip()))
-    flat = re.search(r"\{[^{}]*\}", clean)
+    clean = re.sub(FENCE[1], "", re.sub(FENCE[0], "", (text or "").strip()))
+    flat = re.search(FLAT, clean)
     found = whole_scores(clean) or (whole_scores(flat[0]) if flat else None)
     if found:
         return found
@@ -100,6 +104,14 @@ def read_gold(text: str | None) -> dict:
         return {"aspects": [], "parse_success": False}
 
 
+def read_aspects(text: str | None) -> dict:
+    """Aspects that a JSON list spells out, strictly; none where the text is no JSON."""
+    try:
+        return {"aspects": aspect_rows(json.loads(text or ""))}
+    except (ValueError, RecursionError):
+        return {"aspects": []}
+
+
 def vectorised(f: Callable, kind: str, fields: tuple[str, ...]) -> Callable[[Column], Column]:
     """f, which gives a dict or None, over a column in Arrow batches."""
 
@@ -118,6 +130,12 @@ def vectorised(f: Callable, kind: str, fields: tuple[str, ...]) -> Callable[[Col
 
 parse_output = vectorised(read_output, PARSED, ("aspects", "parse_success"))
 parse_gold = vectorised(read_gold, PARSED, ("aspects", "parse_success"))
+LISTED = "struct<aspects:array<struct<term:string,category:string,polarity:string>>>"
+
+
+def parse_aspects(c: Column) -> Column:
+    """The aspects of a column that holds them as JSON text."""
+    return vectorised(read_aspects, LISTED, ("aspects",))(c)["aspects"]
 
 
 def parse_judgement(c: Column) -> Column:

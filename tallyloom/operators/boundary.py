@@ -10,12 +10,15 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyloom.functions.jsonx import parse_judgement, parse_output
+from tallyloom.functions.jsonx import parse_judgement, parse_output, read_judgement
 from tallyloom.operators.chatml import inference_prompt, judge_prompt
-from tallyloom.schemas import ANNOTATION_SOURCE
+from tallyloom.operators.stats import annotation_quality
+from tallyloom.schemas import ANNOTATION_SOURCE, TRAIN_LOG
+from tallyloom.sources.writers import in_batches
 from tallyloom.workers import ship
 
 Answer = Callable[[list[str]], list[str | None]]
@@ -29,22 +32,28 @@ class Busy(Exception):
     """The service asks to come again later."""
 
 
-def ask(df: DataFrame, prompt: str, answer: str, make: Callable[[], Answer], tries: int = 3, accept: Callable[[str | None], bool] = lambda a: a is not None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """df with a column of answers. make builds a client in each partition; an answer not accepted is asked for again."""
+def ask(df: DataFrame, prompt: str, answer: str, make: Callable[[], Answer], tries: int = 3, accept: Callable[[str | None], bool] = lambda a: a is not None, sleep: Callable[[float], None] = time.sleep, patience: int = 8) -> DataFrame:
+    """df with a column of answers. make builds a client in each partition; an answer not accepted is asked for again.
+
+    A busy service is no try: it is asked again after a growing pause, and after patience pauses in a row the job ends
+    with its error, as with any other. The last answer stays, accepted or not.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make()
         for rows in batches:
             answers: list[str | None] = [None] * len(rows)
-            todo = list(range(len(rows)))
-            for attempt in range(tries):
-                if not todo:
-                    break
+            todo, tried, waited = list(range(len(rows))), 0, 0
+            while todo and tried < tries:
                 try:
                     got = client([rows[prompt].iloc[i] for i in todo])
                 except Busy:
-                    sleep(backoff(attempt))
+                    if waited >= patience:
+                        raise
+                    sleep(backoff(waited))
+                    waited += 1
                     continue
+                tried, waited = tried + 1, 0
                 for i, a in zip(todo, got, strict=True):
                     answers[i] = a
                 todo = [i for i in todo if not accept(answers[i])]
@@ -62,7 +71,41 @@ def annotate(df: DataFrame, make: Callable[[], Answer] | None = None, text: str
 
 
 def judge(df: DataFrame, make: Callable[[], Answer] | None = None, recorded: str = "judge_raw") -> DataFrame:
-    """df with judge_raw and judge_scores."""
+    """df with judge_raw and judge_scores; an answer that is no judgement is asked for again."""
     prompt = judge_prompt(F.col("text"), F.col("business_name"), F.col("business_category"), F.col("user_rating"), F.col("aspects"))
-    asked = df if make is None else ask(df.withColumn("prompt", prompt), "prompt", recorded, make).drop("prompt")
+    asked = df if make is None else ask(df.withColumn("prompt", prompt), "prompt", recorded, make, accept=lambda a: read_judgement(a) is not None).drop("prompt")
     return asked.withColumn("judge_scores", parse_judgement(F.col(recorded)))
+
+
+def annotate_all(df: DataFrame, path: str, make: Callable[[], Answer] | None = None, every: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """All annotations, written to path some rows at a time so that a later run goes on from there, and their counts."""
+    done = in_batches(df, path, lambda rows: annotate(rows, make), every=every)
+    return done, annotation_quality(done)
+
+
+def analyze(spark: SparkSession, text: str, make: Callable[[], Answer]) -> DataFrame:
+    """The one row of a single text's annotation."""
+    return annotate(spark.createDataFrame([(text,)], "text string"), make)
+
+
+class LogCapture:
+    """Collects a trainer's log records, for tables of the training log; a run logs some thousands of them."""
+
+    def __init__(self, run_id: str):
+        self.run_id, self.rows, self.ended = run_id, [], False
+
+    def on_log(self, step: int, epoch: float | None, logs: dict[str, float] | None) -> None:
+        """A training record; the trainer's loss is named train_loss, and metrics that a log has no column for go."""
+        if logs is not None:
+            named = {("train_loss" if k == "loss" else k): v for k, v in logs.items()}
+            rounded = {k: round(float(v), 6) if k in ("train_loss", "grad_norm") else float(v) for k, v in named.items() if k in TRAIN_LOG.names}
+            self.rows.append({"step": step, "epoch": None if epoch is None else round(epoch, 4)} | rounded)
+
+    on_evaluate = on_log
+
+    def on_train_end(self) -> None:
+        self.ended = True
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        whole = [{f: r.get(f) for f in TRAIN_LOG.names} | {"run_id": self.run_id, "seq": i} for i, r in enumerate(self.rows)]
+        return spark.createDataFrame(whole, StructType([*TRAIN_LOG.fields, StructField("run_id", StringType()), StructField("seq", LongType())]))

@@ -40,6 +40,7 @@ Return the response in the following Python dictionary format:
 }"""
 ASK = ("Quyidagi o'zbek tilidagi matndan aspektlarni, kategoriyalarni va hissiyot polaritesini aniqlang:\n\nMatn: \"", '"')
 ASK_ENGLISH = ('Extract aspects, categories, and sentiment polarities from the following Uzbek text:\n\nText: "', '"')
+#: The prompts of the judge.
 JUDGE_SYSTEM = """You are an expert evaluator for Aspect-Based Sentiment Analysis (ABSA) on Uzbek-language text.
 Your task is to judge the quality of ABSA predictions made by a fine-tuned language model.
 

@@ -42,7 +42,29 @@ def batch_for_memory(total_gb: Column) -> Column:
     return F.when(total_gb >= 90, 8).when(total_gb >= 40, 4).when(total_gb >= 24, 2).otherwise(1)
 
 
-def resolve(alias: Column, names: dict[str, str]) -> Column:
+#: The models that short names stand for.
+MODELS = {
+    "qwen2.5-7b": "unsloth/Qwen2.5-7B-Instruct-bnb-4bit",
+    "qwen2.5-14b": "unsloth/Qwen2.5-14B-Instruct-bnb-4bit",
+    "qwen2.5-32b": "unsloth/Qwen2.5-32B-Instruct-bnb-4bit",
+    "llama3-8b": "unsloth/llama-3-8b-Instruct-bnb-4bit",
+    "llama3.1-8b": "unsloth/Meta-Llama-3.1-8B-Instruct-bnb-4bit",
+    "llama3.2-3b": "unsloth/Llama-3.2-3B-Instruct-bnb-4bit",
+    "deepseek-7b": "unsloth/DeepSeek-R1-Distill-Qwen-7B-bnb-4bit",
+    "deepseek-14b": "unsloth/DeepSeek-R1-Distill-Qwen-14B-bnb-4bit",
+    "mistral-7b": "unsloth/mistral-7b-instruct-v0.3-bnb-4bit",
+    "gemma2-9b": "unsloth/gemma-2-9b-it-bnb-4bit",
+}
+
+
+def parameter_shares(parameters: DataFrame, by: str | None = None) -> DataFrame:
+    """Trainable and all parameters of a table (numel, trainable), and the former's share in percent."""
+    rows = parameters.groupBy(by) if by else parameters.groupBy()
+    out = rows.agg(F.coalesce(F.sum(F.when(F.col("trainable"), F.col("numel"))), F.lit(0)).alias("trainable_params"), F.sum("numel").alias("total_params"))
+    return out.withColumn("trainable_percent", F.try_divide(F.col("trainable_params") * 100.0, F.col("total_params").cast("double")))
+
+
+def resolve(alias: Column, names: dict[str, str] = MODELS) -> Column:
     """The name that an alias stands for; others stand for themselves."""
     out = alias
     for k, v in names.items():

@@ -492,10 +492,13 @@ def chatml_build(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(chat).alias("chat_md5"), clean.is_chatml(chat).alias("is_chat"))
 
 
-@query("SELECT doc_id, " + STRIP.format("CASE WHEN instr(text, '\"') > 1 THEN substr(text, 1, instr(text, '\"') - 1) ELSE text END") + " AS review_text, source AS term FROM documents WHERE length(text) > 0 AND text NOT LIKE '\"%'")
+CHAT_TAIL_SQL = f"text || '\"<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || {ONE_ASPECT_SQL}"
+
+
+@query("SELECT doc_id, " + STRIP.format("substr(s, 1, instr(substr(s, 2), '\"'))") + f" AS review_text, source AS term FROM (SELECT doc_id, source, {CHAT_TAIL_SQL} AS s FROM documents)")
 def chatml_parse(spark: SparkSession, sf: str) -> DataFrame:
-    """JS6, T4: strict JSON in an Arrow UDF, after the built-in patterns."""
-    chat = table(spark, sf, "documents").where("length(text) > 0 and text not like '\"%'").select("doc_id", chatml.training_text(F.col("text"), one_aspect()).alias("text"))
+    """JS6, T4: strict JSON in an Arrow UDF, after the built-in patterns; a review ends at its first quote but one at its start."""
+    chat = table(spark, sf, "documents").select("doc_id", chatml.training_text(F.col("text"), one_aspect()).alias("text"))
     return chatml.parse(chat).select("doc_id", "review_text", F.col("gold")[0]["term"].alias("term"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests, one machine)."""
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if held:
+        return held.rstrip("/")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """The rows with numbers that ascend in file order. They have gaps; operators ask for order only."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -33,17 +51,18 @@ def read_reviews(spark: SparkSession, path: str, text_column: str | None = "revi
     return with_ordinal(reader.schema(whole).csv(path))
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return with_ordinal(spark.read.option("multiLine", True).schema(schema).json(path))
+def read_json_array(spark: SparkSession, path: str, schema: StructType, lines: bool = False) -> DataFrame:
+    """JSON arrays, of which a task reads a whole file; or, if so told, an object on each line, which split."""
+    return with_ordinal(spark.read.option("multiLine", not lines).schema(schema).json(path))
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_array(spark, path, schemas.ANNOTATION)
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return read_json_array(spark, path, schemas.ANNOTATION, lines)
 
 
-def read_judgements(spark: SparkSession, path: str) -> DataFrame:
+def read_judgements(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(review_id, judge_scores) of judged rows, the last of each id."""
-    return last_of_each(read_json_array(spark, path, schemas.JUDGE_RESULT).where("judge_scores is not null"), "review_id", "judge_scores")
+    return last_of_each(read_json_array(spark, path, schemas.JUDGE_RESULT, lines).where("judge_scores is not null"), "review_id", "judge_scores")
 
 
 def last_of_each(df: DataFrame, key: str, value: str, ordinal: str = "ordinal") -> DataFrame:
@@ -51,9 +70,9 @@ def last_of_each(df: DataFrame, key: str, value: str, ordinal: str = "ordinal")
     return df.groupBy(key).agg(F.max_by(value, ordinal).alias(value))
 
 
-def read_categories(spark: SparkSession, path: str) -> DataFrame:
+def read_categories(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(object_name, business_category), the last of each name."""
-    rows = read_json_array(spark, path, schemas.CATEGORY)
+    rows = read_json_array(spark, path, schemas.CATEGORY, lines)
     return last_of_each(rows, "object_name", "business_category")
 
 
@@ -85,10 +104,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
-    """The rows of the last file by name."""
-    rows = spark.read.option("multiLine", True).schema(schema).json(pattern).withColumn("__file", F.col("_metadata.file_name"))
-    last = rows.agg(F.max("__file").alias("__file"))
-    return rows.join(F.broadcast(last), "__file").drop("__file")  # one row
+    """The rows of the last file, or folder, by name; only that one is read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    names = sorted((f.getPath().getName(), f.getPath().toString()) for f in found)
+    if not names:
+        raise FileNotFoundError(pattern)
+    return spark.read.option("multiLine", True).schema(schema).json(names[-1][1])
 
 
 def read_optional_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
@@ -101,14 +123,30 @@ def read_histories(spark: SparkSession, folders: Sequence[str], name: str = "tra
     paths = [p for p in paths if exists(spark, p)]
     if not paths:
         return spark.createDataFrame([], schemas.TRAIN_LOG).withColumn("run_id", F.lit("")).withColumn("seq", F.lit(0).cast("long"))
-    frame = None
+    frames = []
     for p in paths:
         names = spark.read.option("header", True).csv(p).columns
         kinds = {f.name: f for f in schemas.TRAIN_LOG}
         one = spark.read.option("header", True).schema(StructType([kinds[n] if n in kinds else StructType().add(n, "string")[0] for n in names])).csv(p)
         one = with_ordinal(one, "seq").withColumn("run_id", F.lit(p.split("/")[-2]))
-        frame = one if frame is None else frame.unionByName(one, allowMissingColumns=True)
-    return frame
+        frames.append(one)
+    return union_of(frames)
+
+
+def union_of(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows, with every column that any frame has, in the order in which they are first seen."""
+    out = frames[0]
+    for one in frames[1:]:
+        out = out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def inspect(df: DataFrame) -> DataFrame:
+    """(position, column, kind, n_rows, first): a row for each column, with the first row's value as text of 100 characters."""
+    one = df.limit(1).select(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("kind"), F.substring((F.to_json(f.name) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f.name).cast("string")), 1, 100).alias("first")) for i, f in enumerate(df.schema)]).alias("__c"))
+    kinds = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "position int, column string, kind string")
+    seen = one.select(F.explode("__c").alias("c")).select("c.position", "c.first")
+    return kinds.join(seen, "position", "left").crossJoin(F.broadcast(df.agg(F.count("*").alias("n_rows")))).select("position", "column", "kind", "n_rows", "first")  # n_rows is one row
 
 
 def not_yet_done(df: DataFrame, done: DataFrame | None, key: str = "review_id") -> DataFrame:

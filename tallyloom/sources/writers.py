@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import assemble, stats
+from tallyloom.schemas import SCORES
+from tallyloom.sources.readers import exists, not_yet_done, remove
+
+
+def save_reviews(reviews: DataFrame, path: str) -> None:
+    """CSV with a header, quotes doubled, that read_reviews reads; an empty text comes back as null."""
+    reviews.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def save_json_arrays(df: DataFrame, path: str, rows: int = 10_000) -> None:
+    """Files of one JSON array each, of so many rows at most; each task makes those of its rows."""
+    number = F.monotonically_increasing_id()
+    held = df.select(F.to_json(F.struct(*df.columns)).alias("one"), number.alias("n")).withColumn("array", F.struct(F.shiftright("n", 33), F.floor(F.col("n").bitwiseAND((1 << 33) - 1) / F.lit(rows))))
+    made = held.groupBy("array").agg(F.sort_array(F.collect_list(F.struct("n", "one"))).alias("all"))
+    lines = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["one"]), ",\n"), F.lit("]"))
+    made.select(lines.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def save_splits(df: DataFrame, path: str) -> None:
@@ -36,21 +54,62 @@ def save_assembled(merged: DataFrame, folder: str, stamp: str) -> None:
         merged.unpersist()
 
 
+def judge_report(results: DataFrame) -> DataFrame:
+    """One row: counts, overall means, means by domain, the histogram of each score, and the tiers."""
+    means = stats.judge_means(results).withColumns({s: F.round(s, 2) for s in SCORES})
+    overall = means.where("over_all = 1").agg(F.first(F.struct(*SCORES)).alias("overall_averages"))
+    domains = means.where("over_all = 0").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "business_category", F.col("n").alias("count"), *SCORES))).alias("d")).select(F.transform("d", lambda r: r.dropFields("order")).alias("domain_averages"))
+    shape = stats.score_histogram(results)
+    histogram = shape.agg(F.map_from_entries(F.collect_list(F.struct("dimension", F.struct(*[F.col(f"n{k}").alias(str(k)) for k in range(1, 6)])))).alias("score_distribution"))
+    tiers = stats.tier_counts(results).select(F.struct(F.col("include").alias("include_gte_3.5"), F.col("flag_for_review").alias("flag_2.5_to_3.5"), F.col("exclude").alias("exclude_lt_2.5")).alias("quality_tiers"))
+    counts = results.agg(F.count("*").alias("total_judged"), F.count("judge_scores").alias("successfully_scored")).withColumn("parse_failures", F.col("total_judged") - F.col("successfully_scored"))
+    for part in (overall, domains, histogram, tiers):
+        counts = counts.crossJoin(F.broadcast(part))  # one row each
+    return counts
+
+
 def save_judgements(results: DataFrame, folder: str, provider: str, model: str) -> None:
     results.write.mode("overwrite").json(f"{folder}/judge_results")
-    stats.judge_means(results).withColumns({"provider": F.lit(provider), "model": F.lit(model)}).write.mode("overwrite").json(f"{folder}/judge_report")
+    judge_report(results).withColumns({"provider": F.lit(provider), "model": F.lit(model)}).write.mode("overwrite").json(f"{folder}/judge_report")
     stats.report_lines(stats.judge_means(results)).write.mode("overwrite").text(f"{folder}/judge_summary")
 
 
+def save_conversion(converted: DataFrame, folder: str, **about: str) -> None:
+    """The statistics of converted examples, and the same with what is known of the run."""
+    save_row(stats.converted_stats(converted), f"{folder}/conversion_stats")
+    save_row(stats.converted_stats(converted), f"{folder}/metadata", **about)
+
+
 def save_row(df: DataFrame, path: str, **about: str) -> None:
     """A one-row report with a metadata block."""
     out = df.withColumn("metadata", F.struct(*[F.lit(v).alias(k) for k, v in about.items()])) if about else df
     out.write.mode("overwrite").json(path)
 
 
-def save_history(history: DataFrame, path: str) -> None:
+def save_history(history: DataFrame, path: str, stamp: str = "") -> None:
+    """CSV of all columns, and JSON: for each run its training and evaluation logs, with all metrics, and the best evaluation."""
     history.orderBy("run_id", "seq").write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    history.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "step", "train_loss", "eval_loss"))).alias("logs")).write.mode("overwrite").json(f"{path}/json")
+    record = F.struct("seq", *[c for c in history.columns if c not in ("run_id", "seq")])
+    logs = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), record)))
+    best = F.when(F.col("eval_loss").isNotNull(), F.struct("eval_loss", "seq"))
+    runs = history.groupBy("run_id").agg(logs("train_loss").alias("train_logs"), logs("eval_loss").alias("eval_logs"), F.min("eval_loss").alias("best_eval_loss"), F.min_by("step", best).alias("best_eval_step"), F.count("train_loss").alias("total_steps"))
+    runs.withColumn("exported_at", F.lit(stamp)).write.mode("overwrite").json(f"{path}/json")
+
+
+def in_batches(df: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], key: str = "review_id", every: int = 1000) -> DataFrame:
+    """work(df) for about every rows at a time, appended to path; what an earlier run has written is left out."""
+    spark = df.sparkSession
+    todo = not_yet_done(df, spark.read.parquet(path) if exists(spark, path) else None, key)
+    parts = max(1, -(-todo.count() // every))
+    for k in range(parts):  # each waits for the one before, for what is written must outlive a failure
+        append_batch(work(todo.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)), path)
+    return spark.read.parquet(path)
+
+
+def finish(df: DataFrame, checkpoint: str, target: str) -> None:
+    """The results under target; only when they are there the checkpoint goes."""
+    df.write.mode("overwrite").parquet(target)
+    remove(df.sparkSession, checkpoint)
 
 
 def append_batch(df: DataFrame, path: str) -> None:
@@ -58,9 +117,11 @@ def append_batch(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def save_taxonomy(names: DataFrame, path: str) -> None:
-    """Distinct (business_category, object_name), sorted."""
+def save_taxonomy(names: DataFrame, path: str, taxonomy: DataFrame | None = None) -> None:
+    """Distinct (business_category, object_name), sorted; and, beside it, the taxonomy (domain, position, subcategory) if given."""
     names.select("business_category", "object_name").distinct().orderBy("business_category", "object_name").write.mode("overwrite").json(path)
+    if taxonomy is not None:
+        taxonomy.orderBy("domain", "position").write.mode("overwrite").json(f"{path}_domains")
 
 
 def insert_section(log: str, section: str, marker: str) -> str:
