@@ -1,36 +1,46 @@
 """Repeated-substring removal by suffix sorting (operator 8).
 
-A byte goes if a string of `width` bytes that covers it also starts in a document with a smaller id. Strings are not
-compared everywhere: in every window of that width the 8-byte gram of least hash is its anchor, so equal windows have
-equal anchors at equal places. Per anchor travel short hashes of its surroundings, packed in blobs. Where the whole
-surroundings of an anchor occur in an earlier document, all its windows are covered; where only half of them do, the
-bytes around the anchor are fetched and their suffixes sorted: multikey quicksort on 8-byte words to a shallow
-depth, then blind tries order the groups whose common prefix is longer.
+A byte goes if a string of `width` bytes (a window) that covers it also starts in a document with a smaller id. What
+is sorted are the suffixes at all places whose window may repeat, to the depth of a window; equal windows are then
+neighbours, and the least document of each run of equals says which of them go. Every removed byte comes from there.
+
+Hashes only leave out what cannot repeat, and deal the rest. In every window the 8-byte gram of least hash is its
+anchor, so equal windows have equal anchors at equal places. Windows in a row with one anchor, whose anchor stands in
+one part of them, form a piece: all share a core of bytes, and windows that are equal have equal cores. A piece whose
+core no other document has cannot repeat. The others travel as bytes to the task of their core, each once for a block
+of text however often it occurs there. Pieces of a core with many different surroundings are halved and go by their
+longer cores, down to single windows.
+
+A task sorts its suffixes by multikey quicksort, a three-way partition on words of 8 bytes, all groups of a round at
+once, to a shallow depth; blind tries order the groups whose common prefix is longer.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Scratch, give_back, map_arrow, partitions, small_batches
-from tallyloom.llm.neardup import BYTES, FILTER_BITS, candidates_filter, mix
+from tallyloom.llm.common import Scratch, give_back, map_arrow, partitions, slices, small_batches
+from tallyloom.llm.neardup import BYTES, mix
 from tallyloom.workers import ship
 
 GRAM = 8
-#: Bytes of text that a worker scans at a time; what it holds is some hundred times as much.
+#: Bytes of text in a block, which a worker scans at a time (a longer text is cut into overlapping parts); what it
+#: holds meanwhile is some hundred times as much.
 SCAN_BYTES = 1 << 20
-#: Bytes of text for each bucket of anchors, of which there are as many as the corpus asks for.
-BUCKET_BYTES = 4 << 20
-#: Anchors with one half in common beyond which a group is dealt by whole windows instead.
-CROWD = 4096
+#: Bytes of text for each bucket of cores, of which there are as many as the corpus asks for.
+BUCKET_BYTES = 16 << 20
+#: Parts of a window in which an anchor may stand, each with a core of its own.
+CLASSES = 3
+#: Different pieces of one core beyond which they are halved, and windows that a task sorts at a time.
+CROWD, SORT_WINDOWS = 50_000, 250_000
 #: Words of 8 bytes that the multikey quicksort looks at.
 SHALLOW = 4
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
@@ -60,11 +70,28 @@ class Rolling:
         return mix((self.sums[GRAM:] - self.sums[:-GRAM]) * Rolling.inverses[:n])
 
 
-def anchors(rolling: Rolling, ends: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the grams of least hash (the first of equals) of all windows that lie in one document."""
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of these sizes, end to end: each member's group, and its number there."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where, in rows sorted by these columns, a new group begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def anchors(rolling: Rolling, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all windows that lie in one text, and for each the gram of least hash, the first of equals."""
     n = int(ends[-1])
     if n < width:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.uint64((1 << 26) - 1)
     value = (rolling.grams() & ~place) | np.arange(n - GRAM + 1, dtype=np.uint64)
     span = width - GRAM + 1
@@ -75,12 +102,11 @@ def anchors(rolling: Rolling, ends: np.ndarray, width: int) -> np.ndarray:
     if have < span:
         rest = span - have
         least = np.minimum(least[:-rest], least[rest:])
-    at = (least & place).astype(np.int64)
-    inside = np.ones(len(at), bool)
+    inside = np.ones(len(least), bool)
     for e in ends[:-1].tolist():
         inside[max(0, e - width + 1) : e] = False
-    at = at[inside]
-    return at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+    start = np.flatnonzero(inside)
+    return start, (least[start] & place).astype(np.int64)
 
 
 def blind_trie_order(rows: list[bytes]) -> list[int]:
@@ -114,44 +140,91 @@ def blind_trie_order(rows: list[bytes]) -> list[int]:
     return out
 
 
-def deep_shallow(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows of bytes, and for each place in it the number of its group of equal rows."""
-    n, width = windows.shape
-    words = -(-width // 8)
-    padded = np.zeros((n, words * 8), np.uint8)
-    padded[:, :width] = windows
-    columns = padded.view(">u8").astype(np.uint64)
-    shallow = min(SHALLOW, words)
-    order = np.lexsort([columns[:, k] for k in range(shallow - 1, -1, -1)])
-    sorted_columns = columns[order]
-    new = np.concatenate(([True], (sorted_columns[1:, :shallow] != sorted_columns[:-1, :shallow]).any(1)))
-    if words > shallow:
-        starts = np.flatnonzero(new)
-        ends = np.concatenate((starts[1:], [n]))
-        deep = np.zeros(n, bool)  # differs from the row before only beyond the shallow depth
-        deep[1:] = ~new[1:] & (sorted_columns[1:, shallow:] != sorted_columns[:-1, shallow:]).any(1)
-        for g in np.unique(np.searchsorted(starts, np.flatnonzero(deep), "right") - 1).tolist():
-            s, e = int(starts[g]), int(ends[g])
-            tails = [windows[i, shallow * 8 :].tobytes() for i in order[s:e].tolist()]
+class Words:
+    """Big-endian words of 8 bytes of the suffixes of a byte string, cut off at width."""
+
+    def __init__(self, data: np.ndarray, width: int):
+        self.padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.at = np.ndarray((len(data),), ">u8", self.padded, strides=(1,))
+        self.count, self.rest = -(-width // 8), width % 8
+
+    def of(self, position: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
+        """Words by number; depth counts words. What lies beyond width is no part of the last."""
+        word = self.at[position + 8 * depth].astype(np.uint64)
+        if self.rest:
+            word = np.where(np.asarray(depth) == self.count - 1, word >> np.uint64(8 * (8 - self.rest)), word)
+        return word
+
+
+def multikey_quicksort(words: Words, position: np.ndarray, first: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of suffixes by their first words within the groups that begin at first, and the ties left: starts, sizes.
+
+    In every round each group splits by its pivot's word into less, equal and greater; the equal part goes on with the
+    next word. Groups don't wait for one another: a round takes all that are open, at whatever depth each is.
+    """
+    order = np.arange(len(position))
+    start, size = first, np.diff(np.append(first, len(position)))
+    depth = np.zeros(len(start), np.int64)
+    tied: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        done = depth >= shallow
+        tied.append((start[done & (size > 1)], size[done & (size > 1)]))
+        open_ = ~done & (size > 1)
+        start, size, depth = start[open_], size[open_], depth[open_]
+        if not len(start):
+            break
+        group, place = spread(size)
+        rows = order[start[group] + place]
+        word = words.of(position[rows], depth[group])
+        base = np.cumsum(size) - size
+        pivot = word[base + size // 2][group]
+        less, equal = word < pivot, word == pivot
+        below, same = np.cumsum(less), np.cumsum(equal)
+        n_less = np.add.reduceat(less.astype(np.int64), base)
+        n_equal = np.add.reduceat(equal.astype(np.int64), base)
+        below -= (below[base] - less[base])[group]
+        same -= (same[base] - equal[base])[group]
+        to = np.where(less, below - 1, np.where(equal, n_less[group] + same - 1, n_less[group] + n_equal[group] + place - below - same))
+        order[start[group] + to] = rows
+        start = np.concatenate((start, start + n_less, start + n_less + n_equal))
+        size = np.concatenate((n_less, n_equal, size - n_less - n_equal))
+        depth = np.concatenate((depth, depth + 1, depth))
+    ties, sizes = (np.concatenate(c) for c in zip(*tied, strict=True))
+    return order, ties, sizes
+
+
+def deep_shallow(data: np.ndarray, position: np.ndarray, width: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at these positions, cut off at width, and where in it runs of equals begin.
+
+    first: where groups of suffixes begin that are ordered for themselves (by default one).
+    """
+    n = len(position)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = Words(data, width)
+    shallow = min(SHALLOW, words.count)
+    order, start, size = multikey_quicksort(words, position, np.zeros(1, np.int64) if first is None else first, shallow)
+    new = np.ones(n, bool)
+    group, place = spread(size)
+    rows = start[group] + place
+    new[rows] = False
+    new[start] = True
+    if words.count > shallow and len(rows):
+        differ = np.zeros(len(start), bool)  # ties that go on being equal need no trie
+        for depth in range(shallow, words.count):
+            word = words.of(position[order[rows]], depth)
+            differ |= np.bincount(group, weights=word != word[np.cumsum(size) - size][group], minlength=len(start)) > 0
+        view = np.lib.stride_tricks.sliding_window_view(data, width - 8 * shallow)
+        for s, n_of in zip(start[differ].tolist(), size[differ].tolist(), strict=True):
+            own = order[s : s + n_of]
+            tails = [t.tobytes() for t in view[position[own] + 8 * shallow]]
             distinct = list(dict.fromkeys(tails))
             rank = {distinct[i]: r for r, i in enumerate(blind_trie_order(distinct))}
             ranks = np.array([rank[t] for t in tails])
             by = np.argsort(ranks, kind="stable")
-            order[s:e] = order[s:e][by]
-            new[s + 1 : e] = np.diff(ranks[by]) > 0
-    return order, np.cumsum(new) - 1
-
-
-def covered_by(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which rows equal a row of a smaller document."""
-    if not len(windows):
-        return np.zeros(0, bool)
-    order, group = deep_shallow(windows)
-    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, docs[order])
-    out = np.zeros(len(windows), bool)
-    out[order] = docs[order] > least[group]
-    return out
+            order[s : s + n_of] = own[by]
+            new[s + 1 : s + n_of] = np.diff(ranks[by]) > 0
+    return order, np.flatnonzero(new)
 
 
 def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,318 +238,384 @@ def runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], reach[np.concatenate((at[1:] - 1, [len(start) - 1]))]
 
 
-def pack(doc: np.ndarray, tag: np.ndarray, left: np.ndarray, right: np.ndarray, whole: np.ndarray, at: np.ndarray) -> bytes:
-    """A blob of anchors in the order given; documents and places compress, hashes do not."""
-    packed = zstandard.compress(np.diff(doc, prepend=0).tobytes() + tag.tobytes() + at.astype("<u4").tobytes(), 1)
-    return np.array([len(doc), len(packed)], "<u4").tobytes() + packed + left.astype("<u4").tobytes() + right.astype("<u4").tobytes() + whole.tobytes()
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob; whole numbers in the fewest bytes that hold them."""
+    out = [np.array([len(arrays)], "<u4").tobytes()]
+    for a in arrays:
+        if a.dtype.kind in "iu" and a.dtype.itemsize > 1:
+            kinds = ["u1", "<u2", "<u4", "<i8"] if a.dtype.kind == "i" else ["u1", "<u2", "<u4", "<u8"]
+            low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+            a = a.astype(next(k for k in kinds if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+        out += [a.dtype.str.encode().ljust(4), np.array([len(a)], "<u8").tobytes(), a.tobytes()]
+    return zstandard.compress(b"".join(out), 1)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(blob), 4, []
+    for _ in range(int(np.frombuffer(raw, "<u4", 1)[0])):
+        kind, n = raw[at : at + 4].decode().strip(), int(np.frombuffer(raw, "<u8", 1, at + 4)[0])
+        out.append(np.frombuffer(raw, kind, n, at + 12))
+        at += 12 + out[-1].nbytes
+    return out
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, size = np.frombuffer(blob, "<u4", 2).tolist()
-    head = zstandard.decompress(blob[8 : 8 + size])
-    doc, tag, at = np.cumsum(np.frombuffer(head, "<i8", n)), np.frombuffer(head, "<i4", n, 8 * n), np.frombuffer(head, "<u4", n, 12 * n)
-    rest = 8 + size
-    return doc, tag, np.frombuffer(blob, "<u4", n, rest), np.frombuffer(blob, "<u4", n, rest + 4 * n), np.frombuffer(blob, "<u8", n, rest + 8 * n), at.astype(np.int64)
+class Block:
+    """Texts, or parts of long ones, end to end; base is where a part starts in its text."""
+
+    def __init__(self, doc: np.ndarray, tag: np.ndarray, base: np.ndarray, size: np.ndarray, data: np.ndarray):
+        self.doc, self.tag, self.base, self.size, self.data = doc.astype(np.int64), tag.astype(np.int64), base.astype(np.int64), size.astype(np.int64), data
+        self.ends = np.cumsum(self.size)
+        self.first = self.ends - self.size
+
+    @classmethod
+    def all_of(cls, batch: pa.RecordBatch, width: int, most: int) -> Iterator[Block]:
+        """Blocks of the rows (doc, text, tag) of a batch: parts of a text overlap, so that each window lies in one."""
+        held, total = [], 0
+        for doc, text, tag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = text.encode()
+            for base in range(0, len(raw) - width + 1, most):
+                held.append((doc, tag, base, raw[base : base + most + width - 1]))
+                total += len(held[-1][3])
+                if total >= most:
+                    yield cls.of(held)
+                    held, total = [], 0
+        if held:
+            yield cls.of(held)
 
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Block:
+        doc, tag, base, raw = zip(*rows, strict=True)
+        return cls(np.array(doc), np.array(tag), np.array(base), np.array(list(map(len, raw))), np.frombuffer(b"".join(raw), np.uint8))
 
-SPANS = "doc long, tag int, lo int, hi int"
-OPEN = "key long, doc long, tag int, at int, side int"
+    def blob(self) -> bytes:
+        return packed(self.doc, self.tag, self.base, self.size, self.data)
 
+    def row(self, position: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, position, "right")
 
-def scan(rows: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Blobs of anchors by bucket, and, as bucket -1, spans that an earlier document of the same batch covers."""
-    reach, half = width - GRAM, (width - GRAM) // 2
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            ends = np.cumsum(list(map(len, raw)))
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            if len(data) >= 1 << 26:
-                raise ValueError("a text of 64 MB or more")
-            rolling = Rolling(data)
-            at = anchors(rolling, ends, width)
-            if not len(at):
-                return None
-            row = np.searchsorted(ends, at, "right")
-            first = np.concatenate(([0], ends[:-1]))
-            before, after = at - first[row], ends[row] - at - GRAM
-            a, b = np.minimum(before, reach), np.minimum(after, reach)
-            whole = rolling.of(at - a, at + GRAM + b)
-            # a half that the document's edge cuts short has no windows: a hash of its own
-            lone = mix(at.astype(np.uint64) + np.uint64(xxhash.xxh32_intdigest(data)))
-            left = np.where(before >= half, rolling.of(at - np.minimum(before, half), at + GRAM), lone)
-            right = np.where(after >= reach - half, rolling.of(at, at + GRAM + np.minimum(after, reach - half)), lone)
-            gram = rolling.of(at, at + GRAM)
-            doc = batch.column(0).to_numpy()[row]
-            tag = batch.column(2).to_numpy()[row]
-            place = before
-            by = np.lexsort((doc, whole))
-            w, d = whole[by], doc[by]
-            start = np.concatenate(([True], w[1:] != w[:-1]))
-            lead = d[np.flatnonzero(start)][np.cumsum(start) - 1]
-            late = np.zeros(len(at), bool)
-            late[by] = d > lead
-            out = []
-            long = late & (a + b + GRAM >= width)
-            for r in np.unique(row[long]).tolist():
-                idx = np.arange(np.searchsorted(row, r), np.searchsorted(row, r, "right"))
-                idx = idx[long[idx]]
-                lo, hi = runs(place[idx] - a[idx], place[idx] + GRAM + b[idx])
-                out.append((-1, np.array([doc[idx[0]], tag[idx[0]], len(lo)], "<i8").tobytes() + lo.astype("<i4").tobytes() + hi.astype("<i4").tobytes()))
-            keep = np.flatnonzero(~late)
-            bucket = (gram[keep] % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((place[keep], doc[keep], bucket))
-            keep, bucket = keep[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keep) else np.zeros(1, int)
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                k = keep[s:e]
-                out.append((int(bucket[s]), pack(doc[k], tag[k], left[k] & np.uint64(0xFFFFFFFF), right[k] & np.uint64(0xFFFFFFFF), whole[k], place[k])))
-            if not out:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "blob"])
+class Pieces:
+    """Runs of window starts, first to last, of one anchor, whose distance from a window's start is low to high."""
 
-        return work
+    def __init__(self, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.columns = [c.astype(np.int64) for c in (first, last, anchor, low, high)]
+        self.first, self.last, self.anchor, self.low, self.high = self.columns
 
-    return map_arrow(rows.select("doc", "text", "tag").where("doc is not null and text is not null"), make, "bucket long, blob binary", "text", SCAN_BYTES)
-
-
-def settle(blobs: list[bytes], reach: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Of one bucket: spans covered as the whole surroundings occur earlier, and anchors that share a half only."""
-    doc, tag, left, right, whole, at = (np.concatenate(c) for c in zip(*map(unpack, blobs), strict=True))
-    by = np.lexsort((doc, whole))
-    w, d = whole[by], doc[by]
-    start = np.concatenate(([True], w[1:] != w[:-1]))
-    lead = d[np.flatnonzero(start)][np.cumsum(start) - 1]
-    late = np.zeros(len(doc), bool)
-    late[by] = d > lead
-    heads = np.flatnonzero(~late)
-    found = []
-    for side, half in ((0, left), (1, right)):
-        order = heads[np.lexsort((doc[heads], half[heads]))]
-        h, d = half[order], doc[order]
-        new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        last = np.concatenate((first[1:] - 1, [len(h) - 1])) if len(h) else first
-        apart = (d[last] > d[first])[group]
-        # of a half, only surroundings that differ need their bytes
-        found.append((half[order][apart].astype(np.int64), doc[order][apart], tag[order][apart], at[order][apart], np.full(int(apart.sum()), side)))
-    covered = np.flatnonzero(late)
-    return (doc[covered], tag[covered], at[covered]), tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-
-def segments(text: bytes, at: int, side: int, width: int) -> tuple[int, bytes]:
-    """The bytes in which the windows of one side of an anchor lie, and where they start."""
-    reach = width - GRAM
-    half = reach // 2
-    lo, hi = (max(0, at - reach), at + GRAM + reach - half) if side == 0 else (max(0, at - half + 1), at + GRAM + reach)
-    return lo, text[lo:hi]
-
-
-def windows_of(segs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the segments as rows, with the segment's number and the offset in it."""
-    lens = np.array(list(map(len, segs)))
-    counts = np.maximum(lens - width + 1, 0)
-    number = np.repeat(np.arange(len(segs)), counts)
-    offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    data = np.frombuffer(b"".join(segs), np.uint8)
-    first = (np.cumsum(lens) - lens)[number] + offset
-    if not len(first):
-        return np.zeros((0, width), np.uint8), number, offset
-    return np.lib.stride_tricks.sliding_window_view(data, width)[first], number, offset
-
-
-def spans_batch(doc, tag, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(tag, np.int32)), pa.array(np.asarray(lo, np.int32)), pa.array(np.asarray(hi, np.int32))], ["doc", "tag", "lo", "hi"])
-
-
-def repeats(docs: DataFrame, scratch: Scratch, width: int) -> tuple[DataFrame, DataFrame]:
-    """Spans (doc, tag, lo, hi) covered within a batch; and OPEN rows, of whole surroundings (key -1) or halves."""
-    spark = docs.sparkSession
-    ship(spark)
-    small_batches(spark)
-    reach = width - GRAM
-    total = docs.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
-    buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
-    scanned = scratch.save(scan(docs, width, buckets), "anchors")
+    @classmethod
+    def all_of(cls, block: Block, rolling: Rolling, width: int) -> Pieces:
+        start, anchor = anchors(rolling, block.ends, width)
+        span = width - GRAM + 1
+        part = np.minimum((anchor - start) * CLASSES // span, CLASSES - 1)
+        at = heads(start - np.arange(len(start)), anchor, part)
+        last = np.append(at[1:], len(start)) - 1 if len(at) else at
+        c = part[at]
+        return cls(start[at], start[last], anchor[at], -(-c * span // CLASSES), -(-(c + 1) * span // CLASSES) - 1)
 
-    def local():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = []
-            for raw in batch.column(0).to_pylist():
-                doc, tag, n = np.frombuffer(raw, "<i8", 3).tolist()
-                parts.append((np.full(n, doc), np.full(n, tag), np.frombuffer(raw, "<i4", n, 24), np.frombuffer(raw, "<i4", n, 24 + 4 * n)))
-            return spans_batch(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    def take(self, which: np.ndarray) -> Pieces:
+        return Pieces(*(c[which] for c in self.columns))
 
-        return work
+    def halves(self) -> Pieces:
+        """The windows whose anchor stands near, and those whose anchor stands far."""
+        middle = (self.low + self.high) // 2
+        near = Pieces(np.maximum(self.first, self.anchor - middle), self.last, self.anchor, self.low, middle)
+        far = Pieces(self.first, np.minimum(self.last, self.anchor - middle - 1), self.anchor, middle + 1, self.high)
+        both = Pieces(*(np.concatenate(c) for c in zip(near.columns, far.columns, strict=True)))
+        return both.take(np.flatnonzero(both.first <= both.last))
+
+    def cores(self, rolling: Rolling, width: int) -> np.ndarray:
+        """Hashes of what all windows of a piece's kind share."""
+        return mix(rolling.of(self.anchor - self.low, self.anchor - self.high + width) + (self.low * 4099 + self.high).astype(np.uint64))
+
+
+class Entries:
+    """The cores of a block's pieces by bucket and hash, each once: entry says which one a piece has."""
+
+    def __init__(self, block: Block, pieces: Pieces, rolling: Rolling, width: int, buckets: int):
+        core = pieces.cores(rolling, width)
+        place = ((core >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (core & np.uint64(0xFFFFFFFF))
+        self.place, self.entry = np.unique(place, return_inverse=True)
+        self.bucket = (self.place >> np.uint64(32)).astype(np.int64)
+        self.whole = rolling.of(pieces.first, pieces.last + width)
+        self.row = block.row(pieces.first)
+
+    def blobs(self, block: Block) -> Iterator[tuple[int, bytes]]:
+        """For each bucket the hashes, how many different pieces each has, and whether they lie in several documents."""
+        order = np.lexsort((self.whole, self.entry))
+        entry, doc = self.entry[order], block.doc[self.row[order]]
+        at = heads(entry)
+        pieces = np.bincount(entry[heads(entry, self.whole[order])], minlength=len(at))
+        several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        cuts = heads(self.bucket)
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.bucket)], strict=True):
+            key = self.place[s:e].astype("<u4")
+            yield int(self.bucket[s]), packed(key, np.minimum(pieces[s:e], 65535), several[s:e].view(np.uint8))
+
+
+ROWS = "block long, kind int, bucket int, blob binary, text binary"
+TEXT, CORES, STATE, PIECES, FOUND = range(5)
 
-    near = map_arrow(scanned.where("bucket = -1").select("blob"), local, SPANS)
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    block, kind, bucket, blob = zip(*rows, strict=True)
+    text = [b if k == TEXT else None for k, b in zip(kind, blob, strict=True)]
+    rest = [None if k == TEXT else b for k, b in zip(kind, blob, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(rest, pa.binary()), pa.array(text, pa.binary())], ["block", "kind", "bucket", "blob", "text"])
 
-        def done():
-            (doc, tag, at), found = settle(held, reach)
-            none = np.full(len(doc), -1)
-            key, own, own_tag, place, side = found
-            columns = [np.concatenate(c) for c in zip((none, doc, tag, at, none), (mix(key.astype(np.uint64) + np.uint64(side_salt) * side.astype(np.uint64) + (np.uint64(now + 1) << np.uint64(34))).view(np.int64) >> 1 & 0x7FFFFFFFFFFFFFFF, own, own_tag, place, side), strict=True)]
-            for s in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 50_000].astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32, np.int32), strict=True)], ["key", "doc", "tag", "at", "side"])
 
-        side_salt = 1 << 33
+def number() -> int:
+    return uuid.uuid4().int >> 65
+
+
+def scan(docs: DataFrame, width: int, buckets: int, most: int) -> DataFrame:
+    """Blocks with their texts, and their cores by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", most):
+                for block in Block.all_of(part, width, most):
+                    own, rolling = number(), Rolling(block.data)
+                    entries = Entries(block, Pieces.all_of(block, rolling, width), rolling, width, buckets)
+                    yield rows_of([(own, TEXT, -1, block.blob()), *((own, CORES, b, blob) for b, blob in entries.blobs(block))])
+        give_back()
+
+    return docs.where("doc is not null").where(F.octet_length("text") >= width).select("doc", "text", "tag").mapInArrow(run, ROWS)
+
+
+def by_bucket(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(bucket, blocks, blobs) for each bucket of rows (block, bucket, blob), which yields record batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now and held:
-                    yield from done()
+                    yield from work(now, *map(list, zip(*held, strict=True)))
                     held = []
                 now = bucket
-                held.append(blob)
+                held.append((block, blob))
         if held:
-            yield from done()
+            yield from work(now, *map(list, zip(*held, strict=True)))
         held.clear()
         give_back()
 
-    settled = scratch.save(scanned.where("bucket >= 0").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, OPEN), "settled")
-    return near, settled
+    return rows.select("block", "bucket", "blob").repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
-def fetch(settled: DataFrame, docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """(key, doc, tag, lo, seg): the bytes around the anchors whose halves are shared, from the documents' texts."""
-    spark = docs.sparkSession
-    asked = scratch.save(settled.where("key >= 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "at", "side")).alias("asked")), "asked")
-    table = spark.sparkContext.broadcast(candidates_filter(asked.select("doc"), "doc"))
-
-    def wanted():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            at = batch.column(3).to_numpy()
-            keep = np.flatnonzero((table.value[at >> 6] >> (at & 63)) & 1)
-            if not len(keep):
-                return None
-            batch = batch.take(pa.array(keep))
-            packed = [zstandard.compress(t.encode(), 3) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["doc", "tag", "packed"])
+def by_block(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(block, [(kind, bucket, blob)]) for each block, which yields record batches."""
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for block, kind, bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now and held:
+                    yield from work(now, held)
+                    held = []
+                now = block
+                held.append((kind, bucket, blob))
+        if held:
+            yield from work(now, held)
+        held.clear()
+        give_back()
 
-    chosen = map_arrow(docs.where("doc is not null and text is not null").select("doc", "text", "tag", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit")), wanted, "doc long, tag int, packed binary", "text")
+    return rows.select("block", "kind", "bucket", F.coalesce("blob", "text").alias("blob")).repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
-    def cut():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for doc, tag, raw, asked_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = zstandard.decompress(raw)
-                for a in asked_of:
-                    lo, seg = segments(text, a["at"], a["side"], width)
-                    if len(seg) >= width:
-                        rows.append((a["key"], doc, tag, lo, seg))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["key", "doc", "tag", "lo", "seg"])
 
-        return work
+def shared_cores(rows: DataFrame, crowd: int) -> DataFrame:
+    """What each core's entry is: 0 of one document, 1 of several, 2 with more than crowd different pieces."""
 
-    return map_arrow(chosen.dropDuplicates(["doc", "tag"]).join(asked, ["doc", "tag"]).select("doc", "tag", "packed", "asked"), cut, "key long, doc long, tag int, lo int, seg binary", rows=256)
-
-
-def compare_suffixes(cut: DataFrame, scratch: Scratch, width: int) -> DataFrame:
-    """Spans from sorting the suffixes of the segments of each key; crowded keys go by their windows' hashes."""
-    spark = cut.sparkSession
-    sizes = cut.groupBy("key").agg(F.count("*").alias("n"))
-    crowded = scratch.save(sizes.where(F.col("n") > CROWD).select("key"), "crowded")
-
-    def judge(rows: list[tuple]) -> pa.RecordBatch | None:
-        first: dict[bytes, int] = {}  # equal segments are sorted once, for the least document that has them
-        for _, doc, _, _, seg in rows:
-            if doc < first.get(seg, doc + 1):
-                first[seg] = doc
-        segs = list(first)
-        windows, number, offset = windows_of(segs, width)
-        hit = np.flatnonzero(covered_by(windows, np.array(list(first.values()), np.int64)[number]))
-        n, start = number[hit], offset[hit]
-        inside: dict[bytes, list[tuple[int, int]]] = {}
-        if len(hit):
-            new = np.flatnonzero(np.concatenate(([True], (n[1:] != n[:-1]) | (start[1:] > start[:-1] + width))))
-            last = np.concatenate((new[1:] - 1, [len(n) - 1]))
-            for k, lo, hi in zip(n[new].tolist(), start[new].tolist(), (start[last] + width).tolist(), strict=True):
-                inside.setdefault(segs[k], []).append((lo, hi))
-        out = []
-        for _, doc, tag, at, seg in rows:
-            if doc > first[seg]:
-                out.append((doc, tag, at, at + len(seg)))
-            elif seg in inside:
-                out += [(doc, tag, at + lo, at + hi) for lo, hi in inside[seg]]
-        return spans_batch(*zip(*out, strict=True)) if out else None
+    def work(bucket: int, blocks: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = list(map(unpacked, blobs))
+        key, pieces, several = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(key)
+        at = heads(key[order])
+        count = np.diff(np.append(at, len(key)))
+        total = np.add.reduceat(pieces[order].astype(np.int64), at)
+        both = (count > 1) | (np.maximum.reduceat(several[order], at) > 0)
+        kind = np.empty(len(key), np.uint8)
+        kind[order] = np.repeat(np.where(both, np.where(total > crowd, 2, 1), 0), count)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        out = [(block, STATE + 10, bucket, packed(part)) for block, part in zip(blocks, np.split(kind, ends[:-1]), strict=True) if part.any()]
+        if out:
+            yield rows_of(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= CROWD and row[0] != held[-1][0]:
-                    if (out := judge(held)) is not None:
-                        yield out
-                    held = []
-                held.append(row)
-        if held and (out := judge(held)) is not None:
-            yield out
-
-    if crowded.isEmpty():
-        return cut.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(run, SPANS)
-    few = cut.join(crowded, "key", "left_anti").repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(run, SPANS)
-
-    def explode():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            windows, number, offset = windows_of([r[4] for r in rows], width)
-            if not len(windows):
-                return None
-            doc, tag, lo = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-            flat = Rolling(np.ascontiguousarray(windows).ravel())
-            first = np.arange(len(windows)) * width
-            return pa.RecordBatch.from_arrays([pa.array(flat.of(first, first + width).view(np.int64)), pa.array(doc[number]), pa.array(tag[number].astype(np.int32)), pa.array((lo[number] + offset).astype(np.int32))], ["window", "doc", "tag", "lo"])
+    return by_bucket(rows.where(F.col("kind") == CORES), work, ROWS)
 
-        return work
 
-    # the least document of each window combines before its shuffle, and its join can be split
-    windows = map_arrow(cut.join(crowded, "key", "left_semi"), explode, "window long, doc long, tag int, lo int", rows=512)
-    least = scratch.save(windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least"), "least")
-    many = windows.join(least, "window").where("doc > least").select("doc", "tag", "lo", (F.col("lo") + width).cast("int").alias("hi"))
-    return few.union(many)
+def candidates(rows: DataFrame, width: int, buckets: int) -> DataFrame:
+    """From blocks and what their cores are: the pieces that may repeat by bucket, where they stand, and halves of others.
+
+    A piece goes out once for all its places in the block, with the least and the greatest document there.
+    """
+
+    def work(own: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        at = {k: blob for k, _, blob in held if k in (TEXT, STATE)}
+        kinds = [(b, blob) for k, b, blob in held if k == STATE + 10]
+        if not kinds or TEXT not in at:
+            return
+        block = Block(*unpacked(at[TEXT]))
+        rolling = Rolling(block.data)
+        pieces = Pieces(*unpacked(at[STATE])) if STATE in at else Pieces.all_of(block, rolling, width)
+        entries = Entries(block, pieces, rolling, width, buckets)
+        kind = np.zeros(len(entries.place), np.uint8)
+        for b, blob in kinds:
+            s = np.searchsorted(entries.bucket, b)
+            part = unpacked(blob)[0]
+            kind[s : s + len(part)] = part
+        kind = kind[entries.entry]
+        split = (kind == 2) & (pieces.low < pieces.high)
+        out = []
+        if split.any():
+            finer = pieces.take(np.flatnonzero(split)).halves()
+            out += [(own, STATE, -1, packed(*finer.columns)), *((own, CORES, b, blob) for b, blob in Entries(block, finer, rolling, width, buckets).blobs(block))]
+        go = np.flatnonzero((kind > 0) & ~split)
+        if len(go):
+            load = number()
+            whole, row, place = entries.whole[go], entries.row[go], entries.place[entries.entry[go]]
+            order = np.lexsort((whole, place))
+            new = heads(place[order], whole[order])
+            doc = block.doc[row[order]]
+            least, most = np.minimum.reduceat(doc, new), np.maximum.reduceat(doc, new)
+            lead = go[order[new]]
+            size = pieces.last[lead] - pieces.first[lead] + width
+            group, offset = spread(size)
+            data, ends = block.data[pieces.first[lead][group] + offset], np.cumsum(size)
+            bucket, key = entries.bucket[entries.entry[lead]], (place[order[new]] & np.uint64(0xFFFFFFFF)).astype("<u4")
+            cuts = heads(bucket)
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+                out.append((load, PIECES, int(bucket[s]), packed(np.arange(s, e), key[s:e], size[s:e], least[s:e], most[s:e], data[ends[s] - size[s] : ends[e - 1]])))
+            counts = np.diff(np.append(new, len(order)))
+            out.append((load, FOUND, -1, packed(block.doc, block.tag, block.base, block.size, counts, pieces.first[go[order]])))
+        if out:
+            yield rows_of(out)
+
+    return by_block(rows, work, ROWS)
+
+
+def sorted_windows(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """Sorts the windows of all pieces; for each piece the runs of windows that a smaller document has, and the least such."""
+
+    def work(bucket: int, loads: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = list(map(unpacked, blobs))
+        own, key, size, least, last, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+        load = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        begin = np.cumsum(size, dtype=np.int64) - size
+        order = np.argsort(key, kind="stable")
+        own, key, load, least, last, begin, windows = own[order], key[order], load[order], least[order].astype(np.int64), last[order].astype(np.int64), begin[order], size[order].astype(np.int64) - width + 1
+        at = heads(key)
+        total = np.cumsum(windows)
+        cuts, done = [0], 0
+        for a in at[1:].tolist():  # whole cores, so many windows at a time
+            if total[a - 1] - done >= most:
+                cuts.append(a)
+                done = int(total[a - 1])
+        found = []
+        for s, e in zip(cuts, [*cuts[1:], len(own)], strict=True):
+            piece, offset = spread(windows[s:e])
+            position = begin[s:e][piece] + offset
+            first = (np.cumsum(windows[s:e]) - windows[s:e])[heads(key[s:e])]
+            by, runs_at = deep_shallow(data, position, width, first)
+            low = np.empty(len(by), np.int64)
+            low[by] = np.repeat(np.minimum.reduceat(least[s:e][piece[by]], runs_at), np.diff(np.append(runs_at, len(by))))
+            hit = np.flatnonzero(low < last[s:e][piece])
+            new = heads(piece[hit], low[hit], offset[hit] - np.arange(len(hit)))
+            end = np.append(new[1:], len(hit)) - 1 if len(new) else new
+            found.append((load[s:e][piece[hit[new]]], own[s:e][piece[hit[new]]], offset[hit[new]], offset[hit[end]], low[hit[new]]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        by = np.argsort(columns[0], kind="stable")
+        columns = [c[by] for c in columns]
+        at = heads(columns[0])
+        if len(at):
+            yield rows_of([(loads[int(columns[0][s])], FOUND + 1, bucket, packed(*(c[s:e] for c in columns[1:]))) for s, e in zip(at.tolist(), [*at[1:].tolist(), len(by)], strict=True)])
+
+    return by_bucket(rows.where(F.col("kind") == PIECES), work, ROWS)
+
+
+SPANS = "doc long, tag long, found binary"
+
+
+def spans(rows: DataFrame, width: int) -> DataFrame:
+    """(doc, tag, found) of each text, or part of one: from the places of pieces and the runs found in them."""
+
+    def work(load: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        where = next(blob for k, _, blob in held if k == FOUND)
+        doc, tag, base, size, counts, first = unpacked(where)
+        got = [unpacked(blob) for k, _, blob in held if k == FOUND + 1]
+        if not got:
+            return
+        piece, lo, hi, low = (np.concatenate(c) for c in zip(*got, strict=True))
+        doc, counts, size = doc.astype(np.int64), counts.astype(np.int64), size.astype(np.int64)
+        run, k = spread(counts[piece])
+        start = first[(np.cumsum(counts) - counts)[piece][run] + k].astype(np.int64)
+        ends = np.cumsum(size)
+        row = np.searchsorted(ends, start, "right")
+        late = doc[row] > low[run]
+        run, start, row = run[late], start[late], row[late]
+        if not len(run):
+            return
+        begin = ends - size + np.arange(len(size))  # a place between every two texts keeps their runs apart
+        shift = start + row
+        s, e = runs(shift + lo[run], shift + hi[run] + width)
+        row = np.searchsorted(begin, s, "right") - 1
+        s, e = s - begin[row] + base[row], e - begin[row] + base[row]
+        at = heads(row)
+        rows = [(int(doc[row[a]]), int(tag[row[a]]), np.stack((s[a:b], e[a:b])).astype("<i8").tobytes()) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(row)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc", "tag", "found"])
+
+    return by_block(rows, work, SPANS)
 
 
 def find(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows (doc, text, tag), and for each doc and tag a list found of byte spans (lo, hi) that may go.
+    """The rows (doc, text, tag), and for each doc and tag a list found of blobs of byte spans that may go.
 
     Strings count as repeated if a document with a smaller id has them, whole or overlapping; equal ids are one
-    document, so rows that repeat an id take nothing from each other. Null and short texts have no spans; a row with
-    a null id neither gives nor takes. Only lists for one document are ever gathered in one place.
+    document, so rows that repeat an id take nothing from each other. Ids are whole numbers, cast to long. Null and
+    short texts have no spans; a row with a null id neither gives nor takes. Texts may be of any length. Only lists
+    for one document are ever gathered in one place. A string that every block of text has costs the task of its core
+    a piece for each block.
     """
     if width < 3 * GRAM:
         raise ValueError("width must be 24 bytes or more")
     spark = docs.sparkSession
+    ship(spark)
+    small_batches(spark)
     scratch = Scratch(spark, "suffixes")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    ids = rows.agg(F.count("doc").alias("n"), F.count_distinct("doc").alias("d")).first()
+    told = rows.agg(F.count("doc").alias("n"), F.count_distinct("doc").alias("d"), F.sum(F.octet_length("text")).alias("s")).first()
     # only where an id repeats do its rows need to be told apart by their texts
-    rows = rows.withColumn("tag", F.hash("text") if ids.n != ids.d else F.lit(0))
-    near, settled = repeats(rows, scratch, width)
-    reach = width - GRAM
-    cut = scratch.save(fetch(settled, rows, scratch, width), "cut")
-    deep = compare_suffixes(cut, scratch, width)
-    whole = settled.where("key < 0").select("doc", "tag", (F.col("at") - reach).alias("lo"), (F.col("at") + GRAM + reach).alias("hi"))
-    every = near.union(whole).union(deep)
-    listed = scratch.save(every.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "spans")
-    scratch.drop("anchors", "settled", "asked", "cut", "crowded", "least")
+    rows = rows.withColumn("tag", F.xxhash64("text") if told.n != told.d else F.lit(0).cast("long"))
+    buckets = max(partitions(spark), -(-(told.s or 0) // BUCKET_BYTES))
+    scanned = scratch.save(scan(rows, width, buckets, SCAN_BYTES), "scan")
+    text_rows, asked, pieces = scanned.where(F.col("kind") == TEXT), scanned, []
+    while True:
+        step = len(pieces)
+        kinds = scratch.save(shared_cores(asked, CROWD), f"kinds-{step}")
+        state = asked.where(F.col("kind") == STATE)
+        held = text_rows if not step else text_rows.join(state.select("block"), "block", "left_semi").select(*state.columns).unionByName(state)
+        pieces.append(scratch.save(candidates(held.unionByName(kinds), width, buckets), f"pieces-{step}"))
+        asked = pieces[-1]
+        if asked.where(F.col("kind") == STATE).isEmpty():
+            break
+    scratch.drop("scan", *(f"kinds-{k}" for k in range(len(pieces))))
+    scratch.tidy()
+    every = pieces[0]
+    for more in pieces[1:]:
+        every = every.unionByName(more)
+    found = scratch.save(sorted_windows(every, width, SORT_WINDOWS), "found")
+    scratch.tidy()
+    listed = spans(every.where(F.col("kind") == FOUND).unionByName(found), width).groupBy("doc", "tag").agg(F.collect_set("found").alias("found"))
+    listed = scratch.save(listed, "spans")
+    scratch.drop("found", *(f"pieces-{k}" for k in range(len(pieces))))
+    scratch.tidy()
     return rows, listed
 
 
-def spans_of(found: list[dict] | None, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs within a text of so many bytes; what an edge cuts below width was no repeat."""
+def spans_of(found: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that blobs of spans hold together."""
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo = np.maximum(np.array([f["lo"] for f in found], np.int64), 0)
-    hi = np.minimum(np.array([f["hi"] for f in found], np.int64), size)
-    long = hi - lo >= width
-    return runs(lo[long], hi[long])
+    both = np.concatenate([np.frombuffer(f, "<i8").reshape(2, -1) for f in found], axis=1)
+    return runs(both[0], both[1])
 
 
 def digests(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -488,7 +627,7 @@ def digests(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str
             out = []
             for t, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = (t or "").encode()
-                lo, hi = spans_of(found, len(raw), width)
+                lo, hi = spans_of(found)
                 kept = b"".join([raw[s:e] for s, e in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True)])
                 out.append((len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest()))
             return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -504,7 +643,7 @@ def remove(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str =
     _, listed = find(docs, width, doc_id, text)
     rows = docs.withColumn("__doc", F.col(doc_id).cast("long"))
     ids = rows.agg(F.count("__doc").alias("n"), F.count_distinct("__doc").alias("d")).first()
-    rows = rows.withColumn("__tag", F.hash(text) if ids.n != ids.d else F.lit(0))
+    rows = rows.withColumn("__tag", F.xxhash64(text) if ids.n != ids.d else F.lit(0).cast("long"))
     joined = rows.join(listed.withColumnsRenamed({"doc": "__doc", "tag": "__tag", "found": "__found"}), ["__doc", "__tag"], "left").select(*docs.columns, "__found")
 
     def make():
@@ -516,7 +655,7 @@ def remove(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str =
                     out.append(t)
                     continue
                 raw = t.encode()
-                lo, hi = spans_of(found, len(raw), width)
+                lo, hi = spans_of(found)
                 inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80  # noqa: E731  the middle of a character
                 starts = [next(i for i in range(s, s + 4) if not inside(i)) for s in lo.tolist()]
                 ends = [next(i for i in range(e, e - 4, -1) if not inside(i)) for e in hi.tolist()]

@@ -92,6 +92,39 @@ def test_jaccard_edges(odd, empty):
     assert neardup.join(empty).count() == 0
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    rnd = random.Random(21)
+    a, b, c = (" ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(500)) for _ in range(60)) for _ in range(3))
+    rows = [(8, a), (8, b), (3, b + " tail"), (4, a + " tail"), (8, c), (9, c), (9, c), (None, c), (None, "alone here now"), (None, "alone here now"), (5, ""), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash")).repartition(4)
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in neardup.join(df, 3, 90).collect())
+    assert got == sorted([(8, 4), (8, 3), (3, 3), (4, 4), (8, 8), (9, 8), (9, 8), (-1, 8), (-1, -1), (-1, -1), (5, 5), (5, 5), (6, 6)])
+    kept = neardup.keep_one(df, 3, 90)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.where("text <> ''").collect()) == sorted([(3, b + " tail"), (4, a + " tail"), (8, c), (-1, "alone here now")])
+    assert kept.where("text = '' or text is null").count() == 3
+
+
+def test_tiles_hand_on_a_row_for_each_member(spark, monkeypatch):
+    """A group of close but mostly unlike sets, and one in which all are alike: no pairs come out."""
+    monkeypatch.setattr(graph, "TILE", 16)
+    rnd = random.Random(4)
+    base = [f"v{i}" for i in range(80)]
+    docs = []
+    for i in range(120):
+        t = base[:]
+        for k in rnd.sample(range(80), 5 if i % 2 else 3):
+            t[k] = f"n{i}x{k}"
+        docs.append((i, " ".join(t)))
+    made = []
+    honest = neardup.between
+    monkeypatch.setattr(neardup, "between", lambda *a: made.append((out := honest(*a)).count()) or out)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.join(df, 1, 90).collect()}
+    assert got == brute_components(docs, 1, 90)
+    assert all(n < 1000 for n in made)
+
+
 def test_sketch_distance_is_a_lower_bound():
     rnd = np.random.default_rng(1)
     sketch = neardup.Sketch(80)
@@ -158,9 +191,12 @@ def test_recall_at_the_threshold():
     side = rnd.standard_normal(x.shape)
     side -= (side * x).sum(1, keepdims=True) * x
     side /= np.linalg.norm(side, axis=1, keepdims=True)
-    model = vectors.learn(x)
-    met = (model.codes(x) == model.codes(0.98 * x + np.sqrt(1 - 0.98**2) * side)).any(1)
-    assert met.mean() > 0.97
+    for rows in (1000, 1 << 20, 1 << 26):
+        model = vectors.learn(x[:1000], rows)
+        assert model.substring == max(16, rows.bit_length())
+        met = (model.codes(x) == model.codes(0.98 * x + np.sqrt(1 - 0.98**2) * side)).any(1)
+        assert met.mean() > 0.97, rows
+    assert vectors.learn(np.zeros((0, 8))).codes(np.ones((2, 8))).shape[0] == 2 and vectors.learn(x[:1, :3]).codes(x[:4, :3]).shape == (4, 4)
 
 
 def brute_repeats(docs, width):
@@ -189,15 +225,40 @@ def passages(seed, n):
     return out + ["", None, shared[0], shared[0]]
 
 
-@pytest.mark.parametrize("width, crowd", [(50, 4096), (50, 3), (24, 4096), (77, 4096)])
-def test_repeats(spark, monkeypatch, width, crowd):
+@pytest.mark.parametrize("width, crowd, block", [(50, 50_000, 1 << 20), (50, 1, 700), (24, 50_000, 300), (77, 2, 2000)])
+def test_repeats(spark, monkeypatch, width, crowd, block):
+    """Crowds that are halved down to single windows, and texts that are cut into parts."""
     monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "SORT_WINDOWS", 100)
+    monkeypatch.setattr(suffixes, "SCAN_BYTES", block)
     docs = list(enumerate(passages(width, 80)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(df, width).collect()}
     assert got == brute_repeats(docs, width)
 
 
+def test_one_core_in_many_surroundings(spark, monkeypatch):
+    """A string of 40 bytes in every document, with other bytes around it; now and then a whole window occurs again."""
+    monkeypatch.setattr(suffixes, "CROWD", 500)
+    rnd = random.Random(31)
+    core = "the one string that all documents share "
+    around = lambda n: "".join(rnd.choice("abc") for _ in range(n))
+    docs = [(i, around(rnd.randint(0, 12)) + core + around(rnd.randint(0, 12))) for i in range(20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(df).collect()}
+    want = brute_repeats(docs, 50)
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 50
+
+
+def test_long_texts_are_cut_and_whole(spark):
+    rnd = random.Random(32)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(3 << 20))
+    rows = [(0, long), (1, "start " + long[(1 << 20) - 30 : (1 << 20) + 30] + " end"), (2, "x" + long), (3, None), (None, long), (-4, long[5:65])]
+    got = {r.doc_id: r for r in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (60, 1) or got[1].n_removed > 60
+    assert got[2].n_removed == len(long) and got[2].n_spans == 1 and got[0].n_removed == 60 and got[-4].n_removed == got[None].n_removed == 0
+
+
 def test_repeats_edges(odd, empty):
     rows = suffixes.digests(odd()).collect()
     assert len(rows) == odd().count() and suffixes.digests(empty).count() == 0
@@ -220,10 +281,18 @@ def test_sorting_is_lexicographic():
     rnd = random.Random(6)
     rows = ["".join(rnd.choice("ab") for _ in range(50)) for _ in range(100)]
     rows += [r[:34] + "".join(rnd.choice("abc") for _ in range(16)) for r in rows for _ in range(3)] + rows[:20]
-    data = np.array([list(r.encode()) for r in rows], np.uint8)
-    order, group = suffixes.deep_shallow(data)
-    assert [rows[i] for i in order] == sorted(rows)
-    assert group.max() + 1 == len(set(rows))
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    for width in (50, 48, 33, 8, 5):
+        position = np.concatenate((np.arange(len(rows)) * 50, np.array([3, 17, 60])))
+        order, at = suffixes.deep_shallow(data, position, width)
+        suffix = [data[i : i + width].tobytes() for i in position]
+        assert [suffix[i] for i in order] == sorted(suffix)
+        assert len(at) == len(set(suffix)) and all(suffix[order[k]] != suffix[order[k - 1]] for k in at[1:])
+    first = np.array([0, 7, 8, 200])
+    order, at = suffixes.deep_shallow(data, position, 50, first)
+    for s, e in zip(first, [*first[1:], len(position)], strict=True):
+        own = [data[i : i + 50].tobytes() for i in position[s:e]]
+        assert [data[i : i + 50].tobytes() for i in position[order[s:e]]] == sorted(own) and set(first) <= set(at)
     tails = sorted({r[34:] for r in rows})
     rnd.shuffle(tails)
     assert [tails[i] for i in suffixes.blind_trie_order([t.encode() for t in tails])] == sorted(tails)
@@ -253,7 +322,7 @@ def test_chunk_boundaries():
     rnd = random.Random(7)
     for n in (0, 1, 16, 17, 64, 300, 3000):
         data = bytes(rnd.choice(b"abcdefgh ") for _ in range(n))
-        assert fingerprints.boundaries(data) == naive_boundaries(data) if n else True
+        assert not n or fingerprints.boundaries(data) == naive_boundaries(data)
 
 
 def test_fingerprints(spark, odd, empty):
@@ -278,11 +347,14 @@ def test_fingerprints_resist_shifts():
     rnd = random.Random(8)
     t = "".join(rnd.choice("abcdefgh ") for _ in range(20_000))
     a, b = fingerprints.chunks(t), fingerprints.chunks(t[:9000] + " inserted " + t[9000:])
-    assert fingerprints.containment(a, b) > 0.95 and fingerprints.containment(a, fingerprints.chunks(t[5000:9000])) < 0.35 or fingerprints.containment(a, fingerprints.chunks(t[5000:9000])) > 0.9
+    assert fingerprints.containment(a, b) > 0.95
+    assert fingerprints.containment(a, fingerprints.chunks(t[5000:9000])) > 0.9  # of the smaller set
+    other = "".join(rnd.choice("abcdefgh ") for _ in range(20_000))
+    assert fingerprints.containment(a, fingerprints.chunks(other)) < 0.05
 
 
 def test_no_operator_calls_local_checkpoints():
     import pathlib
 
     top = pathlib.Path(neardup.__file__).parent
-    assert not any("localCheckpoint" in p.read_text() for p in top.glob("*.py")) and F is not None
+    assert not any("localCheckpoint" in p.read_text() for p in top.glob("*.py"))
