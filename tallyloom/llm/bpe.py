@@ -163,11 +163,17 @@ class Bpe:
         nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
         heap: list[tuple[int, int, int, int, int]] = []
 
+        known: dict[tuple[int, int], tuple[int, int]] = {}  # rank and product of the pairs met in this word
+
         def offer(i: int) -> None:
             if i >= 0 and nxt[i] >= 0:
-                slot = self.pairs.find(np.array([ids[i]]), np.array([ids[nxt[i]]]))[0]
-                if self.pairs.rank[slot] < NONE:
-                    heapq.heappush(heap, (int(self.pairs.rank[slot]), i, ids[i], ids[nxt[i]], int(self.pairs.merged[slot])))
+                pair = (ids[i], ids[nxt[i]])
+                found = known.get(pair)
+                if found is None:
+                    slot = self.pairs.find(np.array(pair[:1]), np.array(pair[1:]))[0]
+                    found = known[pair] = (int(self.pairs.rank[slot]), int(self.pairs.merged[slot]))
+                if found[0] < NONE:
+                    heapq.heappush(heap, (found[0], i, *pair, found[1]))
 
         slots = self.pairs.find(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64)) if n > 1 else []
         heap = [(int(self.pairs.rank[s]), i, ids[i], ids[i + 1], int(self.pairs.merged[s])) for i, s in enumerate(slots) if self.pairs.rank[s] < NONE]

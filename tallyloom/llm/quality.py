@@ -33,7 +33,9 @@ def statistics_of(text: str) -> list[float]:
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x]
     letters = sum(map(str.isalpha, text))
-    upper = len(text) - sum(map(str.__eq__, text, text.lower()))if text.lower() != text and len(text) == len(text.lower()) else 0
+    low = text.lower()
+    low = low if len(low) == len(text) else [c.lower() for c in text]  # a letter may have two in lower case
+    upper = 0 if low == text else len(text) - sum(map(str.__eq__, text, low))
     digits = len(text) - len(text.translate(DIGITS))
     ends = Counter([w[-1] for w in words])
     return [
@@ -141,15 +143,22 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40
     _, first = np.unique(made, axis=1, return_index=True)
     first = np.sort(first)
     made, rules = made[:, first], [rules[i] for i in first]
-    # FISTA for the lasso; each rule is scaled by its support's standard deviation
+    # each rule is scaled by its support's standard deviation
     mean = weight @ made
     scale = np.sqrt(np.maximum(mean * (1 - mean), 1e-4))
-    z = (made - mean) / scale
+    w, b = lasso((made - mean) / scale, y, weight, penalty, bias)
+    coefficient = w / scale
+    kept = [(r, float(c)) for r, c in zip(rules, coefficient, strict=True) if abs(c) > 1e-6]
+    return RuleEnsemble(float(b - (mean * coefficient).sum()), tuple(kept))
+
+
+def lasso(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, bias: float, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and bias of least weighted log-loss and penalty times the weights' sizes, by FISTA."""
     step = 4 / max(1e-9, float(np.linalg.eigvalsh((z * weight[:, None]).T @ z)[-1]))
-    w = v = np.zeros(len(rules))
+    w = v = np.zeros(z.shape[1])
     b = bias
     t = 1.0
-    for _ in range(600):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ v + b, -40, 40)))
         off = weight * (p - y)
         new = v - step * (z.T @ off)
@@ -157,9 +166,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40
         b -= 2 * off.sum()
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         w, v, t = new, new + (t - 1) / after * (new - w), after
-    coefficient = w / scale
-    kept = [(r, float(c)) for r, c in zip(rules, coefficient, strict=True) if abs(c) > 1e-6]
-    return RuleEnsemble(float(b - (mean * coefficient).sum()), tuple(kept))
+    return w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> RuleEnsemble:
