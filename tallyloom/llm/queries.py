@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import fingerprints, language, neardup, packing, quality, redaction, suffixes, tokenizing, toxicity, vectors
+from tallyloom.llm import fingerprints, language, neardup, packing, quality, redaction, suffixes, tokenizing, toxicity, twins, vectors
 from tallyloom.llm.common import held_out, read_table
 
 
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.oracle_sql()
