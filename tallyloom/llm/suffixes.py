@@ -38,7 +38,7 @@ SCAN_BYTES = 1 << 20
 #: Bytes of text for each bucket of cores, of which there are as many as the corpus asks for.
 BUCKET_BYTES = 16 << 20
 #: Parts of a window in which an anchor may stand, each with a core of its own.
-CLASSES = 3
+CLASSES = 2
 #: Different pieces of one core beyond which they are halved, and windows that a task sorts at a time.
 CROWD, SORT_WINDOWS = 50_000, 250_000
 #: Words of 8 bytes that the multikey quicksort looks at.
@@ -492,31 +492,66 @@ def candidates(rows: DataFrame, width: int, buckets: int) -> DataFrame:
     return by_block(rows, work, ROWS)
 
 
+def alike(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each string of data the first string, among equal ones, of those that stand next to each other by hash.
+
+    Strings are hashed some at a time; that strings of equal hash are equal is looked up in the bytes.
+    """
+    hashes, end = np.empty(len(begin), np.uint64), begin + size
+    by = np.argsort(begin, kind="stable")
+    cuts = np.unique(np.searchsorted(begin[by], np.arange(0, len(data), SCAN_BYTES)))
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True):
+        own = by[s:e]
+        if len(own):
+            low, high = int(begin[own].min()), int(end[own].max())
+            hashes[own] = Rolling(data[low:high]).of(begin[own] - low, end[own] - low)
+    order = np.lexsort((hashes, size))
+    at = heads(hashes[order], size[order])
+    lead = np.empty(len(begin), np.int64)
+    lead[order] = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    words = Words(data, 0)
+    same = np.ones(len(begin), bool)
+    for k in range(0, int(size.max()) - 7, 8):
+        where = np.flatnonzero(size >= k + 8)
+        same[where] &= words.at[begin[where] + k] == words.at[begin[lead[where]] + k]
+    same &= words.at[end - 8] == words.at[end[lead] - 8]
+    return np.where(same, lead, np.arange(len(begin)))
+
+
 def sorted_windows(rows: DataFrame, width: int, most: int) -> DataFrame:
-    """Sorts the windows of all pieces; for each piece the runs of windows that a smaller document has, and the least such."""
+    """Sorts the windows of all pieces; for each piece the runs of windows that a smaller document has, and the least such.
+
+    Equal pieces, which come from different blocks, are sorted once, for the least of their documents.
+    """
 
     def work(bucket: int, loads: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = list(map(unpacked, blobs))
         own, key, size, least, last, data = (np.concatenate(c) for c in zip(*parts, strict=True))
         load = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        begin = np.cumsum(size, dtype=np.int64) - size
-        order = np.argsort(key, kind="stable")
-        own, key, load, least, last, begin, windows = own[order], key[order], load[order], least[order].astype(np.int64), last[order].astype(np.int64), begin[order], size[order].astype(np.int64) - width + 1
-        at = heads(key)
+        size, least, last = size.astype(np.int64), least.astype(np.int64), last.astype(np.int64)
+        begin = np.cumsum(size) - size
+        lead = alike(data, begin, size)
+        order = np.lexsort((lead, key))
+        own, key, load, lead, least, last, begin, windows = own[order], key[order], load[order], lead[order], least[order], last[order], begin[order], size[order] - width + 1
         total = np.cumsum(windows)
         cuts, done = [0], 0
-        for a in at[1:].tolist():  # whole cores, so many windows at a time
+        for a in heads(key)[1:].tolist():  # whole cores, so many windows at a time
             if total[a - 1] - done >= most:
                 cuts.append(a)
                 done = int(total[a - 1])
         found = []
         for s, e in zip(cuts, [*cuts[1:], len(own)], strict=True):
-            piece, offset = spread(windows[s:e])
-            position = begin[s:e][piece] + offset
-            first = (np.cumsum(windows[s:e]) - windows[s:e])[heads(key[s:e])]
-            by, runs_at = deep_shallow(data, position, width, first)
+            one = heads(key[s:e], lead[s:e])
+            which = np.repeat(np.arange(len(one)), np.diff(np.append(one, e - s)))
+            n = windows[s:e][one]
+            piece, offset = spread(n)
+            base = np.cumsum(n) - n
+            by, runs_at = deep_shallow(data, begin[s:e][one][piece] + offset, width, base[heads(key[s:e][one])])
+            own_least = np.minimum.reduceat(least[s:e], one)
             low = np.empty(len(by), np.int64)
-            low[by] = np.repeat(np.minimum.reduceat(least[s:e][piece[by]], runs_at), np.diff(np.append(runs_at, len(by))))
+            low[by] = np.repeat(np.minimum.reduceat(own_least[piece[by]], runs_at), np.diff(np.append(runs_at, len(by))))
+            piece, offset = spread(windows[s:e])
+            low = low[base[which][piece] + offset]
             hit = np.flatnonzero(low < last[s:e][piece])
             new = heads(piece[hit], low[hit], offset[hit] - np.arange(len(hit)))
             end = np.append(new[1:], len(hit)) - 1 if len(new) else new

@@ -25,10 +25,10 @@ r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node
 c AS (SELECT node AS vec_id, min(reach) AS component_id FROM r GROUP BY 1), k AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
 """
-#: Every window of 50 bytes, as hexadecimal digits, and the least document that has it.
+#: Every window of 50 bytes by its MD5, and the least document that has it.
 OP8_SUFFIX_DEDUP = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, CAST(length(h) / 2 - 49 AS BIGINT))) AS i)),
+w AS (SELECT doc_id, unnest(range(0, CAST(length(h) / 2 - 49 AS BIGINT))) AS i, unnest(list_transform(range(0, CAST(length(h) / 2 - 49 AS BIGINT)), lambda i: md5_number(substr(h, 2 * i + 1, 100)))) AS s FROM d),
 f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
 c AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > first),
 u AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
