@@ -176,7 +176,7 @@ def published_records(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.json(path).select("review_id", "business_category", "user_rating", "quality_tier", F.size("aspects").cast("long").alias("n"))
 
 
-@query(f"WITH j AS ({JUDGED_SQL}), d AS (SELECT j.*, source FROM j JOIN documents USING (doc_id)) SELECT count(*) AS total_judged, count(*) AS successfully_scored, 0 AS parse_failures, round(avg(overall), 2) AS overall, round(avg(accuracy), 2) AS accuracy, count(*) FILTER (overall = 5) AS fives, count(*) FILTER (accuracy = 1) AS ones, count(*) FILTER (overall >= 3.5) AS included, count(*) FILTER (overall < 2.5) AS excluded, count(DISTINCT source) AS domains, (SELECT max(n) FROM (SELECT count(*) AS n FROM d GROUP BY source)) AS largest, 'p' AS provider FROM d")
+@query(f"WITH j AS ({JUDGED_SQL}), d AS (SELECT j.*, source FROM j JOIN documents USING (doc_id)) SELECT count(*) AS total_judged, count(*) AS successfully_scored, CAST(0 AS BIGINT) AS parse_failures, round(avg(overall), 2) AS overall, round(avg(accuracy), 2) AS accuracy, count(*) FILTER (overall = 5) AS fives, count(*) FILTER (accuracy = 1) AS ones, count(*) FILTER (overall >= 3.5) AS included, count(*) FILTER (overall < 2.5) AS excluded, count(DISTINCT source) AS domains, (SELECT max(n) FROM (SELECT count(*) AS n FROM d GROUP BY source)) AS largest, 'p' AS provider FROM d")
 def judge_report(spark: SparkSession, sf: str) -> DataFrame:
     """SNK4: results, report and summary of a judge."""
     path = folder(spark, "judge")
@@ -221,7 +221,7 @@ def resumed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/result").withColumn("cleared", F.lit(not readers.exists(spark, f"{path}/checkpoint")))
 
 
-@query("SELECT DISTINCT lang AS business_category, source AS object_name, " + str(sum(len(s) for _, s in TAXONOMY.values())) + " AS subcategories FROM documents")
+@query("SELECT DISTINCT lang AS business_category, source AS object_name, CAST(" + str(sum(len(s) for _, s in TAXONOMY.values())) + " AS BIGINT) AS subcategories FROM documents")
 def taxonomy_files(spark: SparkSession, sf: str) -> DataFrame:
     """SNK10: pairs of category and name, and the taxonomy beside them."""
     path = folder(spark, "taxonomy")
@@ -358,7 +358,7 @@ def annotated_by_client(spark: SparkSession, sf: str) -> DataFrame:
     return boundary.annotate(rows, echo).select("doc_id", "parse_success", "num_aspects", F.get("aspects", F.lit(0))["term"].alias("term"))
 
 
-@query("SELECT count(*) AS total, count(*) AS good, 0 AS failed, count(*) AS written FROM documents")
+@query("SELECT count(*) AS total, count(*) AS good, CAST(0 AS BIGINT) AS failed, count(*) AS written FROM documents")
 def annotated_in_batches(spark: SparkSession, sf: str) -> DataFrame:
     """UD7: annotation some rows at a time, with its counts."""
     path = folder(spark, "annotating")
