@@ -31,7 +31,7 @@ def profile(spark: SparkSession, a: argparse.Namespace) -> None:
     stats.text_stats(rows, median=True).write.mode("overwrite").json(f"{a.output}/text")
     stats.shares(rows, "script").write.mode("overwrite").json(f"{a.output}/scripts")
     stats.category_stats(rows).write.mode("overwrite").json(f"{a.output}/categories")
-    writers.save_taxonomy(rows, f"{a.output}/taxonomy")
+    writers.save_taxonomy(rows, f"{a.output}/taxonomy", taxonomy.domains(spark))
 
 
 def load_raw(spark: SparkSession, a: argparse.Namespace) -> None:

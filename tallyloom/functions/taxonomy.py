@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.domains import DOMAINS
 from tallyloom.schemas import NO_CATEGORY
 
 Rules = Sequence[tuple[str, Sequence[str]]]
@@ -24,12 +25,12 @@ def read_rules(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
 
 
 def classify(name: Column, rules: Rules, default: str = NO_CATEGORY) -> Column:
-    """The category of the first rule one of whose keywords the lower-cased name holds."""
+    """The category of the first rule one of whose keywords, in lower case, the lower-cased name holds."""
     low, chain = F.lower(name), None
     for category, keywords in rules:
         hit = F.lit(False)
         for k in keywords:
-            hit = hit | low.contains(k)
+            hit = hit | low.contains(k.lower())
         chain = F.when(hit, category) if chain is None else chain.when(hit, category)
     return F.coalesce(chain, F.lit(default)) if chain is not None else F.lit(default)
 
@@ -57,3 +58,9 @@ def taxonomy_rows(taxonomy: DataFrame, column: str = "taxonomy") -> DataFrame:
     """(domain, position, subcategory) from a map of domain to struct(description, subcategories)."""
     one = taxonomy.select(F.explode(column).alias("domain", "about"))
     return one.select("domain", F.posexplode("about.subcategories").alias("position", "subcategory"))
+
+
+def domains(spark: SparkSession) -> DataFrame:
+    """The rows (domain, position, subcategory) of the taxonomy that ships with the engine."""
+    held = spark.createDataFrame([({k: (about, list(subs)) for k, (about, subs) in DOMAINS.items()},)], "taxonomy map<string,struct<description:string,subcategories:array<string>>>")
+    return taxonomy_rows(held)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import aspects as A
 from tallyloom.functions import jsonx, taxonomy, text
+from tallyloom.functions.domains import DOMAINS
 from tallyloom.operators import assemble, chatml, clean, config, evaluate, history, match, sample, stats
 from tallyloom.schemas import SCORES
 from tallyloom.sources import readers
@@ -21,10 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: A small taxonomy and rules for the stand-in names; users give their own.
+#: Rules for the stand-in names; users give their own.
 RULES = (("cheap", ("economy", "promo")), ("plain", ("standard", "medium")))
 PART_RULES = (("warm", ("red", "hot")), ("cold", ("blue", "cold")), ("sized", ("small", "large")))
-TAXONOMY = {"food": ("Places to eat", ("taste", "service", "price")), "bank": ("Money", ("service", "fees")), "health": ("Care", ("staff", "queue", "price", "clean"))}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -552,11 +552,10 @@ def fuzzy_merge(spark: SparkSession, sf: str) -> DataFrame:
     return match.fuzzy(part, other, "p_partkey", "t", "p_partkey", "t").select("p_partkey", "annotated_index", r4("match_score"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', {i}, '{s}')" for d, (_, ss) in TAXONOMY.items() for i, s in enumerate(ss)) + ") t(domain, position, subcategory)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_text(d)}, {i}, {sql_text(s)})" for d, (_, ss) in DOMAINS.items() for i, s in enumerate(ss)) + ") t(domain, position, subcategory)")
 def taxonomy_rows(spark: SparkSession, sf: str) -> DataFrame:
     """MAP1."""
-    one = spark.createDataFrame([(TAXONOMY,)], "taxonomy map<string,struct<description:string,subcategories:array<string>>>")
-    return taxonomy.taxonomy_rows(one)
+    return taxonomy.domains(spark)
 
 
 @query("SELECT doc_id AS ordinal, CASE WHEN source <> 'src1' THEN 'cat ' || source END AS business_category FROM documents")

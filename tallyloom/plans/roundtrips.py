@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tallyloom import schemas
 from tallyloom.functions import aspects as A
 from tallyloom.functions import jsonx, mathx, taxonomy
+from tallyloom.functions.domains import DOMAINS
 from tallyloom.operators import assemble, boundary, chatml, config, evaluate, sample
 from tallyloom.plans import pipelines, registry
-from tallyloom.plans.registry import ANN_SQL, JUDGED_SQL, LOGS_SQL, MERGED_SQL, SCORES, TAXONOMY, annotations, judgements, logs, merged, one_aspect, query, r4, scored, table
+from tallyloom.plans.registry import ANN_SQL, JUDGED_SQL, LOGS_SQL, MERGED_SQL, SCORES, annotations, judgements, logs, merged, one_aspect, query, r4, scored, table
 from tallyloom.sources import readers, writers
 
 
@@ -221,12 +222,11 @@ def resumed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/result").withColumn("cleared", F.lit(not readers.exists(spark, f"{path}/checkpoint")))
 
 
-@query("SELECT DISTINCT lang AS business_category, source AS object_name, CAST(" + str(sum(len(s) for _, s in TAXONOMY.values())) + " AS BIGINT) AS subcategories FROM documents")
+@query("SELECT DISTINCT lang AS business_category, source AS object_name, CAST(" + str(sum(len(s) for _, s in DOMAINS.values())) + " AS BIGINT) AS subcategories FROM documents")
 def taxonomy_files(spark: SparkSession, sf: str) -> DataFrame:
     """SNK10: pairs of category and name, and the taxonomy beside them."""
     path = folder(spark, "taxonomy")
-    held = spark.createDataFrame([(TAXONOMY,)], "taxonomy map<string,struct<description:string,subcategories:array<string>>>")
-    writers.save_taxonomy(documents(spark, sf).select(F.col("lang").alias("business_category"), F.col("source").alias("object_name")), path, taxonomy.taxonomy_rows(held))
+    writers.save_taxonomy(documents(spark, sf).select(F.col("lang").alias("business_category"), F.col("source").alias("object_name")), path, taxonomy.domains(spark))
     n = spark.read.json(f"{path}_domains").agg(F.count("*").alias("subcategories"))
     return spark.read.json(path).crossJoin(F.broadcast(n))  # n is one row
 
