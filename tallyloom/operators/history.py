@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.readers import once
+
 ALPHA = 0.1
 
 
@@ -28,11 +30,6 @@ def in_ranges(history: DataFrame, value: str) -> DataFrame:
     return points.repartitionByRange("run_id", "seq").withColumn("__part", F.spark_partition_id())
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """df computed once, for its parts are to stay the same rows in all that is made of them."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
 def folded(parts: DataFrame, alpha: float) -> DataFrame:
     """(run_id, __part, n, first, weight, share): over a part, a state s becomes weight * s + share."""
     whole = Window.partitionBy("run_id", "__part")
@@ -53,7 +50,7 @@ def ema_last(history: DataFrame, value: str = "train_loss", alpha: float = ALPHA
 
 def ema(history: DataFrame, value: str = "train_loss", alpha: float = ALPHA) -> DataFrame:
     """(run_id, seq, value, ema) for all points: each part goes on from the state that the parts before it leave."""
-    parts = fixed(in_ranges(history, value))
+    parts = once(in_ranges(history, value))
     before = Window.partitionBy("run_id").orderBy("__part")
     listed = F.collect_list(F.struct("weight", "share")).over(before.rowsBetween(Window.unboundedPreceding, -1))
     state = F.aggregate(listed, F.first("first").over(before), lambda s, p: s * p["weight"] + p["share"])
@@ -69,7 +66,7 @@ def ema(history: DataFrame, value: str = "train_loss", alpha: float = ALPHA) ->
 
 def running_best(history: DataFrame, value: str = "eval_loss") -> DataFrame:
     """The least value so far: within each part of a run, and over the parts before it."""
-    parts = fixed(in_ranges(history, value))
+    parts = once(in_ranges(history, value))
     earlier = F.min("least").over(Window.partitionBy("run_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts.groupBy("run_id", "__part").agg(F.min("value").alias("least")).select("run_id", "__part", earlier.alias("__before"))
     within = F.min("value").over(Window.partitionBy("run_id", "__part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))

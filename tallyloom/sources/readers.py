@@ -35,6 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared folder, where its rows stand whatever becomes of executors."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """The rows with numbers that ascend in file order. They have gaps; operators ask for order only."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -164,7 +172,7 @@ def dense_ordinal(df: DataFrame, order: str = "ordinal", name: str = "position")
     Rows are put in ranges of the order; each range's rows are counted, and the counts before it added to the ranks in it.
     """
     ranged = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else ranged.persist()
+    ranged = once(ranged)
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each range
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
