@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -15,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.readers import shared_folder
 from tallyloom.workers import ship
 
 #: Bytes of text that a Python worker handles at a time.
@@ -25,21 +25,6 @@ BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES, BYTES_SETTING = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests, one machine)."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not held:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        held = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(held)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return held
-
-
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a read and not a rerun."""
 

@@ -103,7 +103,8 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     The next document is that of the next id (ties by text, null ids first, the first after the last). Ids are dealt
     into ranges by quantiles; the first row of a range is also sent to the range before it, so that each range finds
-    its neighbours alone. Only a range's bounds and first id reach the driver: a few values for each partition.
+    its neighbours alone. Only a range's bounds and first id reach the driver: a few values for each partition. Ids are
+    whole numbers, cast to long; bounds are doubles, so beyond 2 ** 53 ranges may be less even.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

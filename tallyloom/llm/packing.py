@@ -167,7 +167,8 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     """Pieces of all documents, each in a sequence of at most capacity tokens, at an offset without gaps.
 
     path: a vocabulary file. Each document is its ids and the id end; a null text is an empty one, so it is one
-    token. Repeated rows are packed each for itself, a null id stays null, an empty table gives no pieces.
+    token. Repeated rows are packed each for itself, a null id stays null, an empty table gives no pieces. Ids are whole
+    numbers, cast to long; text that is none fails.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
