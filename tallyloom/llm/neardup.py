@@ -353,14 +353,17 @@ def grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -
         return parts[0].union(parts[1])
 
     shared = scratch.save(keys_of().groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub"), "shared")
+    scratch.tidy()
     met = spark.sparkContext.broadcast(bit_table(shared.select(F.pmod("key", F.lit(1 << KEY_BITS)).alias("at")), KEY_BITS))
     members = scratch.save(keys_of(met).join(shared, "key"), "members")
     slim = scratch.save(signed.drop("blocks"), "slim")
     scratch.drop("sets")
+    scratch.tidy()
     tested = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tested = scratch.save(plausible(tested, slim.select("node", "n", "parity"), percent), "tested")
     links = scratch.save(verified(tested, slim, rows, width, percent, scratch), "links")
     found = components(links, scratch, "one")
+    scratch.tidy()
 
     # groups whose classes are still apart, but for those of two: their one pair is tested
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
