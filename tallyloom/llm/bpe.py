@@ -354,7 +354,8 @@ class PartTable:
     """Token ids of whole texts, by a table from the 64-bit hashes of their parts to runs of a pool of ids.
 
     A part is a space and what follows it up to the next, or what a text begins with. Parts are hashed, told apart and
-    put together again on arrays; only parts that the table lacks are decoded and encoded.
+    put together again on arrays; only parts that the table lacks are decoded and encoded. Parts of one hash are compared
+    by their bytes; where these differ the texts are encoded without the table.
     """
 
     def __init__(self, bpe: Bpe, most: int = 1_000_000):
@@ -363,27 +364,33 @@ class PartTable:
 
     def clear(self) -> None:
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        # a large sorted table and a small one with what came lately: hashes, starts, lengths
-        self.tables = [[np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in range(2)]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (-1: not there) and lengths in the pool."""
-        start, size = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        for keys, starts, sizes in self.tables:
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.used = self.used_bytes = 0
+        # a large sorted table and a small one with what came lately: hashes, starts and lengths of ids and of bytes
+        self.tables = [[np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))] for _ in range(2)]
+
+    def find(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """Starts (-1: not there) and lengths in the pool, and the same of the parts' bytes."""
+        found = [np.full(len(hashes), -1), *(np.zeros(len(hashes), np.int64) for _ in range(3))]
+        for keys, *columns in self.tables:
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                 hit = keys[at] == hashes
-                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
-        return start, size
+                for out, column in zip(found, columns, strict=True):
+                    out[hit] = column[at[hit]]
+        return found
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
-        """hashes ascend; the ids of each lie between two bounds."""
+    def add(self, hashes: np.ndarray, ids: np.ndarray, bounds: np.ndarray, raw: np.ndarray, lens: np.ndarray) -> None:
+        """hashes ascend; the ids of each lie between two bounds, its bytes, so many, one after another in raw."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
+        while self.used_bytes + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros(len(self.bytes), np.uint8)))
         self.pool[self.used : self.used + len(ids)] = ids
-        fresh = [hashes, self.used + bounds[:-1], np.diff(bounds)]
+        self.bytes[self.used_bytes : self.used_bytes + len(raw)] = raw
+        fresh = [hashes, self.used + bounds[:-1], np.diff(bounds), self.used_bytes + np.cumsum(lens) - lens, lens]
         self.used += len(ids)
+        self.used_bytes += len(raw)
         self.tables[1] = self.merged(self.tables[1], fresh)
         if len(self.tables[1][0]) > max(100_000, len(self.tables[0][0]) // 3):
             self.tables = [self.merged(*self.tables), self.merged([x[:0] for x in fresh], [x[:0] for x in fresh])]
@@ -413,7 +420,14 @@ class PartTable:
         sums = np.add.reduceat(BYTE_VALUES[data] * powers[place], starts) + lens.astype(np.uint64)
         hashes = (sums ^ (sums >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         seen, index, which = np.unique(hashes ^ (hashes >> np.uint64(29)), return_index=True, return_inverse=True)
-        start, size = self.find(seen)
+        lead = index[which]
+        if not (lens == lens[lead]).all() or not (data == data[np.repeat(starts[lead], lens) + place]).all():
+            return self.plain(texts)
+        start, size, at, n = self.find(seen)
+        hit = np.flatnonzero(start >= 0)
+        own, _ = taken(data, starts[index[hit]], lens[index[hit]])
+        if not (n[hit] == lens[index[hit]]).all() or not (own == taken(self.bytes, at[hit], n[hit])[0]).all():
+            return self.plain(texts)
         lacking = np.flatnonzero(start < 0)
         if len(self.tables[0][0]) + len(self.tables[1][0]) + len(lacking) > self.most:
             self.clear()
@@ -436,12 +450,17 @@ class PartTable:
             ids, bounds = self.bpe.encode_words(list(number))
             flat, sizes = taken(ids, bounds[:-1][order], np.diff(bounds)[order])
             after = np.concatenate(([0], np.cumsum(sizes)))
-            self.add(seen[lacking], flat, after[np.concatenate(([0], np.cumsum(counts)))])
-            start, size = self.find(seen)
+            self.add(seen[lacking], flat, after[np.concatenate(([0], np.cumsum(counts)))], taken(data, starts[index[lacking]], lens[index[lacking]])[0], lens[index[lacking]])
+            start, size, _, _ = self.find(seen)
         flat, sizes = taken(self.pool, start[which], size[which])
         after = np.concatenate(([0], np.cumsum(sizes)))
         return flat, after[np.searchsorted(starts, np.concatenate(([0], ends)))]
 
+    def plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_parts without the table."""
+        rows = [np.array(self.bpe.encode(t.decode()) if t else [], np.uint32) for t in texts]
+        return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         odd = [self.bpe.folds or "<|" in t or bool(LONG_SPACE(t)) for t in texts]

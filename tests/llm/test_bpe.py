@@ -36,6 +36,18 @@ def test_encoding_is_the_librarys(both):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False), t
 
 
+@pytest.mark.parametrize("values", [None, 1])
+def test_part_table(monkeypatch, values):
+    """Ids by the table, and where hashes of different parts meet (all that are equally long) without it."""
+    if values:
+        monkeypatch.setattr(bpe, "BYTE_VALUES", np.full(256, values, np.uint64))
+    own = bpe.load(tokenizing.vocabulary(PATHS["byte_bpe_50k.json"]))
+    table, some = bpe.PartTable(own, 50), texts()[:400]
+    for batch in (some[:100], some[50:300], ["", ""], some):
+        for t, ids in zip(batch, table.encode(batch), strict=True):
+            assert ids.tolist() == own.encode(t), t
+
+
 def test_compatibility_and_both_exact_mergers(both):
     _, own = both
     rnd = random.Random(2)
