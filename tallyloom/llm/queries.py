@@ -32,7 +32,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= model.cut).alias("toxic"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

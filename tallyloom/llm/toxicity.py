@@ -1,7 +1,9 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features (operator 4).
 
 P(grade >= k) = sigmoid(w.x - theta_k): one weight vector for all ordered thresholds. Features are the distinct
-lower-cased words of a text and their prefixes. The expected severity is the sum of P(grade >= k) over k.
+lower-cased words of a text and their prefixes, those that the labels speak for or against beyond doubt. Near copies
+count once, for a group of them would make evidence of any of its words. The expected severity is the sum of
+P(grade >= k) over k.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from tallyloom.llm.common import Scratch, least_hashed, map_arrow, texts_of
 SAMPLE = 4000
 #: Length of the prefixes that are features beside whole words.
 PREFIXES = (4, 5)
-#: A feature counts if so many sampled documents have it, and its log-odds lie so many standard errors from 0.
-LEAST_DOCS, LEAST_Z = 6, 4.5
+#: A feature counts if so many sampled documents have it, and the root of its likelihood ratio is so large.
+LEAST_DOCS, LEAST_EVIDENCE = 6, 6.0
+#: Documents whose so many words of least hash are the same count as near copies of one another.
+SIGNATURE = 4
 #: Features of a model at most, those of strongest evidence.
 FEATURES = 100_000
-#: P(grade >= 1) from which a text counts as toxic.
-REJECT = 0.4
+#: Weight of the squared weights in the loss.
+RIDGE = 1e-5
+#: Share of the classes in the loss and in the choice of the cut: a false alarm costs a document, so clean ones weigh more.
+TOXIC, CLEAN = 0.35, 0.65
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
 
@@ -40,10 +46,11 @@ def code(feature: str) -> int:
 
 @dataclass(frozen=True)
 class Ordinal:
-    """Thresholds ascend; weights are by feature code."""
+    """Thresholds ascend; weights are by feature code; a text counts as toxic from cut on, a P(grade >= 1)."""
 
     thresholds: tuple[float, ...]
     weights: dict[int, float]
+    cut: float = 1.0
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,23 +82,28 @@ def gather(chosen: DataFrame, most: int = FEATURES) -> Evidence:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, counts = [], []
+            rows, counts, signatures = [], [], []
             for t in texts_of(batch.column(1)):
                 words = WORDS(t.lower())
                 found = set().union(*map(features, set(words))) if words else set()
                 rows.append(sorted(map(code, found)))
                 counts.append(len(words))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(counts, pa.int64()), batch.column(2)], ["doc_id", "codes", "n_words", "y"])
+                signatures.append(sorted(map(code, set(words)))[:SIGNATURE])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(counts, pa.int64()), batch.column(2), pa.array(signatures, pa.list_(pa.int64()))], ["doc_id", "codes", "n_words", "y", "signature"])
 
         return work
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    held = scratch.save(map_arrow(chosen.select("doc_id", "text", "y"), make, f"doc_id {kind}, codes array<long>, n_words long, y int", "text"), "features")
+    every = scratch.save(map_arrow(chosen.select("doc_id", "text", "y"), make, f"doc_id {kind}, codes array<long>, n_words long, y int, signature array<long>", "text"), "every")
+    first = every.groupBy("signature", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    held = scratch.save(every.drop("signature").join(first, "doc_id"), "features")
     sizes = held.agg(F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") <= 0).alias("neg")).first()
     counted = held.select(F.explode("codes").alias("code"), (F.col("y") > 0).cast("long").alias("hit")).groupBy("code").agg(F.count("*").alias("df"), F.sum("hit").alias("hits")).where(F.col("df") >= LEAST_DOCS)
-    a, b = F.col("hits") + 0.5, F.col("df") - F.col("hits") + 0.5
-    odds = F.log(a / (F.lit(sizes.pos) - F.col("hits") + 0.5)) - F.log(b / (F.lit(sizes.neg) - (F.col("df") - F.col("hits")) + 0.5))
-    tested = counted.withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= LEAST_Z)
+    total, pos, neg = float(max(1, sizes.pos + sizes.neg)), float(sizes.pos), float(sizes.neg)
+    part = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
+    n, h = F.col("df").cast("double"), F.col("hits").cast("double")
+    ratio = part(h, n * pos / total) + part(n - h, n * neg / total) + part(pos - h, (total - n) * pos / total) + part(neg - n + h, (total - n) * neg / total)
+    tested = counted.withColumn("z", F.sqrt(F.greatest(2 * ratio, F.lit(0.0))) * F.signum(h / n - pos / total)).where(F.abs("z") >= LEAST_EVIDENCE)
     passed = sorted((r.code, r.z) for r in tested.orderBy(F.desc(F.abs("z")), "code").limit(most).select("code", "z").collect())
     names, z = np.array([c for c, _ in passed], np.int64), np.array([z for _, z in passed])
     keep = spark.sparkContext.broadcast(names)  # most codes at most
@@ -105,7 +117,7 @@ def gather(chosen: DataFrame, most: int = FEATURES) -> Evidence:
 
     rows = map_arrow(held, known, held.schema).collect()  # a bounded number of documents and features
     rows.sort(key=lambda r: (r.doc_id, r.codes))
-    scratch.drop("features")
+    scratch.drop("every", "features")
     return Evidence([np.array(r.codes, np.int64) for r in rows], [r.n_words for r in rows], np.array([r.y for r in rows], np.int64), names, names[z > 0] if len(z) else names)
 
 
@@ -128,25 +140,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         return Ordinal((50.0,), {})
     grades = y if y.max() > 1 else grade(seen.codes, seen.n_words, y, seen.marked, levels)
     weights, theta = descend(seen, grades)
-    return Ordinal(tuple(theta.tolist()), dict(zip(seen.names.tolist(), weights.tolist(), strict=True)))
+    return Ordinal(tuple(theta.tolist()), dict(zip(seen.names.tolist(), weights.tolist(), strict=True)), cut_of(seen, weights, theta))
+
+
+def cut_of(seen: Evidence, weights: np.ndarray, theta: np.ndarray) -> float:
+    """The P(grade >= 1) that best tells the sample's classes apart, halfway between two that occur; of equals the highest."""
+    row = np.repeat(np.arange(len(seen.codes)), list(map(len, seen.codes)))
+    col = np.searchsorted(seen.names, np.concatenate([np.zeros(0, np.int64), *seen.codes]))
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=weights[col], minlength=len(seen.y)) - theta[0], -40, 40)))
+    levels = np.unique(p)
+    cuts = np.append((levels[1:] + levels[:-1]) / 2, 1.0)
+    bad, good = np.sort(p[seen.y > 0]), np.sort(p[seen.y == 0])
+    told = TOXIC * (1 - np.searchsorted(bad, cuts) / len(bad)) + CLEAN * np.searchsorted(good, cuts) / len(good)
+    return float(cuts[len(cuts) - 1 - int(told[::-1].argmax())])
 
 
 def loss_of(weights: np.ndarray, theta: np.ndarray, row: np.ndarray, col: np.ndarray, target: np.ndarray, balance: np.ndarray) -> float:
     """The weighted log-loss over thresholds with a small ridge, which descend() makes small."""
     margin = np.bincount(row, weights=weights[col], minlength=len(balance))
     z = margin[:, None] - theta[None, :]
-    return float((balance[:, None] * (np.logaddexp(0, z) - target * z)).sum() + 0.5e-4 * (weights**2).sum())
+    return float((balance[:, None] * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * RIDGE * (weights**2).sum())
 
 
 def design(seen: Evidence, grades: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row and column of each feature of a document, which thresholds its grade reaches, and its weight.
-
-    Clean rows weigh more, for a false alarm costs a document.
-    """
+    """Row and column of each feature of a document, which thresholds its grade reaches, and its weight."""
     row = np.repeat(np.arange(len(seen.codes)), list(map(len, seen.codes)))
     col = np.searchsorted(seen.names, np.concatenate([np.zeros(0, np.int64), *seen.codes]))
     target = grades[:, None] >= np.arange(1, int(grades.max()) + 1)[None, :]
-    return row, col, target, np.where(seen.y > 0, 0.35 / (seen.y > 0).sum(), 0.65 / (seen.y == 0).sum())
+    return row, col, target, np.where(seen.y > 0, TOXIC / (seen.y > 0).sum(), CLEAN / (seen.y == 0).sum())
 
 
 def descend(seen: Evidence, grades: np.ndarray, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +179,7 @@ def descend(seen: Evidence, grades: np.ndarray, steps: int = 400) -> tuple[np.nd
     for t in range(1, steps + 1):
         margin = np.bincount(row, weights=weights[col], minlength=len(balance))
         off = (1 / (1 + np.exp(-np.clip(margin[:, None] - theta[None, :], -40, 40))) - target) * balance[:, None]
-        g = np.concatenate([np.bincount(col, weights=off.sum(1)[row], minlength=m) + 1e-4 * weights, -off.sum(0)])
+        g = np.concatenate([np.bincount(col, weights=off.sum(1)[row], minlength=m) + RIDGE * weights, -off.sum(0)])
         moments = [0.9 * moments[0] + 0.1 * g, 0.999 * moments[1] + 0.001 * g * g]
         change = 0.05 * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.999**t)) + 1e-8)
         weights, theta = weights - change[:m], np.sort(theta - change[m:])

@@ -38,7 +38,7 @@ def test_toxicity(labelled, odd, empty):
     model = toxicity.fit(docs.where(~held_out()), labels)
     assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 3
     got = toxicity.score(docs.where(held_out()), model).join(labels, "doc_id").collect()
-    assert np.mean([(r.p_toxic >= toxicity.REJECT) == bool(r.toxic) for r in got]) > 0.95
+    assert np.mean([(r.p_toxic >= model.cut) == bool(r.toxic) for r in got]) > 0.95
     assert all(0 <= r.severity <= 3 for r in got)
     out = toxicity.score(odd(), model)
     assert out.count() == odd().count() and out.columns[:-2] == odd().columns
@@ -94,6 +94,16 @@ def test_statistics_of_odd_letters():
     assert quality.statistics_of("İ AB c")[2] == pytest.approx(3 / 4) and quality.statistics_of("AB cd")[2] == 0.5 and quality.statistics_of("") == [0.0] * len(quality.STATISTICS)
 
 
+def test_near_copies_are_one_piece_of_evidence(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("bcdfgh") + rnd.choice("aeiou") for _ in range(3))
+    copied = [word() for _ in range(60)]
+    docs = [(i, " ".join(word() for _ in range(40)) + (" zorgig" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    docs += [(1000 + i, " ".join(copied) + " zorgig", 1) for i in range(100)]
+    model = toxicity.fit(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int"))
+    assert toxicity.code("zorgig") in model.weights and not any(toxicity.code(w) in model.weights for w in copied)
+
+
 def test_toxicity_fit_against_a_slow_minimiser(labelled):
     """The features' evidence by hand, and the loss within a hair of what plain descent reaches."""
     docs, labels = labelled
@@ -105,11 +115,11 @@ def test_toxicity_fit_against_a_slow_minimiser(labelled):
     names = []
     for f in set().union(*(f for f, _ in texts.values())):
         df, hits = sum(f in g for g, _ in texts.values()), sum(f in g for g, y in texts.values() if y)
-        a, b = hits + 0.5, df - hits + 0.5
-        z = (np.log(a / (pos - hits + 0.5)) - np.log(b / (300 - pos - (df - hits) + 0.5))) / np.sqrt(1 / a + 1 / b)
-        if df >= toxicity.LEAST_DOCS and abs(z) >= toxicity.LEAST_Z:
+        cells = ((hits, df * pos / 300), (df - hits, df * (300 - pos) / 300), (pos - hits, (300 - df) * pos / 300), (300 - pos - df + hits, (300 - df) * (300 - pos) / 300))
+        ratio = 2 * sum(n * np.log(n / due) for n, due in cells if n)
+        if df >= toxicity.LEAST_DOCS and np.sqrt(max(ratio, 0)) >= toxicity.LEAST_EVIDENCE:
             names.append(toxicity.code(f))
-    assert sorted(names) == seen.names.tolist()
+    assert sorted(names) == seen.names.tolist() and 0 < len(names) < 60
     grades = toxicity.grade(seen.codes, seen.n_words, seen.y, seen.marked, 3)
     weights, theta = toxicity.descend(seen, grades)
     parts = toxicity.design(seen, grades)
@@ -117,7 +127,7 @@ def test_toxicity_fit_against_a_slow_minimiser(labelled):
     w, t = np.zeros(len(names)), np.linspace(0.5, 1.5, 3)
     for _ in range(20_000):
         off = (1 / (1 + np.exp(-(np.bincount(row, weights=w[col], minlength=300)[:, None] - t))) - target) * balance[:, None]
-        w, t = w - 0.1 * (np.bincount(col, weights=off.sum(1)[row], minlength=len(w)) + 1e-4 * w), np.sort(t + 0.1 * off.sum(0))
+        w, t = w - 0.1 * (np.bincount(col, weights=off.sum(1)[row], minlength=len(w)) + toxicity.RIDGE * w), np.sort(t + 0.1 * off.sum(0))
     assert toxicity.loss_of(weights, theta, *parts) < toxicity.loss_of(w, t, *parts) + 0.02
 
 
