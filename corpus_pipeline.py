@@ -21,7 +21,7 @@ PASSAGE = 120
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted to the labels of these documents, doesn't find toxic."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, severity="__severity", chance="__toxic").where(F.col("__toxic") < toxicity.REJECT).select(*docs.columns)
+    return toxicity.score(docs, model, severity="__severity", chance="__toxic").where(F.col("__toxic") < model.cut).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
