@@ -27,29 +27,50 @@ LETTERS = regex.compile(r"[\p{L}\p{M}]+").findall
 LETTER = regex.compile(r"\p{L}").search
 
 
-def grams(word: str):
-    """The n-grams of 1 to 3 letters of a word with its ends marked."""
-    padded = f"_{word}_"
-    n = len(padded)
-    return (padded[i : i + k] for k in (1, 2, 3) for i in range(n - k + 1) if k > 1 or padded[i] != "_")
+#: Bits of a code point in the number of an n-gram, whose first character stands highest.
+POINT = 21
 
 
-def code(gram: str) -> int:
-    """A number by which n-grams stand in the order of their code points."""
-    return sum(ord(c) << 21 * (2 - i) for i, c in enumerate(gram))
+def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of 1 to 3 letters of each word with its ends marked, as numbers, and how many each word has.
+
+    Numbers stand in the order of the n-grams' code points; the mark alone is no n-gram.
+    """
+    size = np.array(list(map(len, words))) + 2
+    c = np.frombuffer("".join([f"_{w}_" for w in words]).encode("utf-32-le"), "<u4").astype(np.int64)
+    end = np.cumsum(size)
+    word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(c)) - (end - size)[word]
+    n = 3 * size - 5
+    out = np.empty(int(n.sum()), np.int64)
+    base = (np.cumsum(n) - n)[word]
+    one = (place > 0) & (place < size[word] - 1)
+    out[(base + place - 1)[one]] = c[one] << 2 * POINT
+    two = np.flatnonzero(place < size[word] - 1)
+    out[(base + size[word] - 2 + place)[two]] = c[two] << 2 * POINT | c[two + 1] << POINT
+    three = np.flatnonzero(place < size[word] - 2)
+    out[(base + 2 * size[word] - 3 + place)[three]] = c[three] << 2 * POINT | c[three + 1] << POINT | c[three + 2]
+    return out, n
+
+
+def gram_of(code: int) -> str:
+    return "".join(chr(p) for p in (code >> 2 * POINT, code >> POINT & (1 << POINT) - 1, code & (1 << POINT) - 1) if p)
+
+
+def code_of(gram: str) -> int:
+    return sum(ord(c) << POINT * (2 - i) for i, c in enumerate(gram))
 
 
 class Counts:
-    """n-gram counts of texts over the n-grams met lately, which have numbers: names, codes and ranks are by number."""
+    """n-gram counts of texts over the n-grams met lately, which have numbers: codes and ranks are by number."""
 
     def __init__(self, ranks: dict[str, dict[str, int]] | None = None, most: int = 100_000):
-        self.most, self.profiles = most, list((ranks or {}).values())
+        self.most, self.profiles = most, [{code_of(g): r for g, r in p.items()} for p in (ranks or {}).values()]
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids: dict[int, int] = {}
         self.words: dict[str, np.ndarray] = {}
-        self.names: list[str] = []
         self.codes = np.zeros(0, np.int64)
         self.places = np.zeros((len(self.profiles), 0), np.int64)
 
@@ -58,21 +79,22 @@ class Counts:
         if len(self.ids) > self.most or len(self.words) > 4 * self.most:
             self.clear()
         cut = [LETTERS(t.lower()) for t in texts]
-        ids = self.ids
-        number = lambda w: np.fromiter((ids.setdefault(g, len(ids)) for g in grams(w)), np.int32)
-        long = {}
-        for w in set().union(*cut) if cut else ():
-            if len(w) > LONG_WORD:
-                long[w] = number(w)
-            elif w not in self.words:
-                self.words[w] = number(w)
-        fresh = list(ids)[len(self.names) :]
+        ids, held, long = self.ids, self.words, {}
+        fresh = [w for w in set().union(*cut) if w not in held] if cut else []
         if fresh:
-            self.names += fresh
-            self.codes = np.concatenate((self.codes, np.array([code(g) for g in fresh], np.int64)))
-            self.places = np.concatenate((self.places, np.array([[p.get(g, -1) for g in fresh] for p in self.profiles], np.int64).reshape(len(self.profiles), len(fresh))), axis=1)
+            codes, n = gram_codes(fresh)
+            seen, where = np.unique(codes, return_inverse=True)
+            numbers = np.array([ids.setdefault(c, len(ids)) for c in seen.tolist()], np.int32)[where]
+            ends = np.cumsum(n)
+            for w, s, e in zip(fresh, (ends - n).tolist(), ends.tolist(), strict=True):
+                (held if len(w) <= LONG_WORD else long)[w] = numbers[s:e].copy()
+        new = list(ids)[len(self.codes) :]
+        if new:
+            self.codes = np.concatenate((self.codes, np.array(new, np.int64)))
+            self.places = np.concatenate((self.places, np.array([[p.get(c, -1) for c in new] for p in self.profiles], np.int64).reshape(len(self.profiles), len(new))), axis=1)
         none = np.zeros(0, np.int64)
-        return [np.unique(np.concatenate([long[w] if len(w) > LONG_WORD else self.words[w] for w in ws]), return_counts=True) if ws else (none, none) for ws in cut]
+        find = lambda w: held[w] if w in held else long[w]
+        return [np.unique(np.concatenate([find(w) for w in ws] if long else [held[w] for w in ws]), return_counts=True) if ws else (none, none) for ws in cut]
 
 
 def ranked(found: np.ndarray, n: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
@@ -97,9 +119,12 @@ def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("order", hash_order("doc_id", "lang"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
-    near = known.join(sizes, "lang").where(F.col("order") < F.lit(float(1 << 52)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("size")))
-    first = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
-    chosen = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample).select("lang", "text")
+    near = known.select("doc_id", "lang", "order").join(sizes, "lang").where(F.col("order") < F.lit(float(1 << 52)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("size")))
+    first = Window.partitionBy("lang").orderBy("order", "doc_id")
+    drawn = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample)
+    # the last order that is drawn says which texts are taken, so that no text is shuffled: a row for each language
+    last = drawn.groupBy("lang").agg(F.max("order").alias("last"))
+    chosen = known.join(F.broadcast(last), "lang").where(F.col("order") <= F.col("last")).select("lang", "text")
 
     def make():
         held = Counts()
@@ -108,8 +133,9 @@ def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
             total: dict[str, np.ndarray] = {}
             counts = held.of(texts_of(batch.column(1)))
             for name, (found, n) in zip(batch.column(0).to_pylist(), counts, strict=True):
-                np.add.at(total.setdefault(name, np.zeros(len(held.names), np.int64)), found, n)
-            rows = [(name, held.names[i], int(c[i])) for name, c in sorted(total.items()) for i in np.flatnonzero(c).tolist()]
+                np.add.at(total.setdefault(name, np.zeros(len(held.codes), np.int64)), found, n)
+            names = list(map(gram_of, held.codes.tolist()))
+            rows = [(name, names[i], int(c[i])) for name, c in sorted(total.items()) for i in np.flatnonzero(c).tolist()]
             columns = zip(*rows, strict=True) if rows else [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.int64()], strict=True)], ["lang", "gram", "n"])
 

@@ -147,13 +147,23 @@ def test_rank_distance_by_hand():
     counter = language.Counts({"x": {"b": 0, "a": 1}, "y": {}})
     (found, n), = counter.of(["ab ab"])
     own = language.ranked(found, n, counter.codes, 10)
-    top = [counter.names[i] for i in own]
+    top = [language.gram_of(int(counter.codes[i])) for i in own]
     assert top == sorted(top) and set(top) == {"a", "b", "_a", "ab", "b_", "_ab", "ab_"}
     for most in (400, 50):
         want = sum(abs({"b": 0, "a": 1}[g] - i) if g in ("a", "b") else most for i, g in enumerate(top))
         assert language.distance(own, counter.places, most).tolist() == [want, 7 * most]
 
 
+def test_gram_codes():
+    words = ["a", "ab", "é日x", "word" * 30]
+    codes, n = language.gram_codes(words)
+    for w, got in zip(words, np.split(codes, np.cumsum(n)[:-1]), strict=True):
+        assert Counter(map(language.gram_of, got.tolist())) == brute_grams(w)
+        assert [language.code_of(language.gram_of(c)) for c in got.tolist()] == got.tolist()
+    grams = sorted(map(language.gram_of, codes.tolist()))
+    assert sorted(codes.tolist()) == [language.code_of(g) for g in grams]
+
+
 def brute_grams(text):
     words = regex.findall(r"[\p{L}\p{M}]+", text.lower())
     return Counter(p[i : i + k] for p in (f"_{w}_" for w in words) for k in (1, 2, 3) for i in range(len(p) - k + 1) if p[i : i + k] != "_")
