@@ -253,11 +253,14 @@ def odd_aspects():
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one)).otherwise(A.empty())
 
 
-FOUR, TEN = "    ", "            "
-MANY_SQL = "string_agg('        {' || chr(10) || '" + TEN + "\"term\": \"t\\\"' || i || '\\n\\\\é\",' || chr(10) || CASE WHEN i % 2 = 1 THEN '" + TEN + "\"category\": \"c''\",' || chr(10) ELSE '' END || '" + TEN + "\"polarity\": \"neutral\"' || chr(10) || '        }', ',' || chr(10) ORDER BY i)"
+def many_sql(indent: int) -> str:
+    """The JSON of odd_aspects, laid out with that indent, over rows of doc_id joined with their aspects' numbers i."""
+    one, two, three = (" " * indent * k for k in (1, 2, 3))
+    rows = f"string_agg('{two}{{' || chr(10) || '{three}\"term\": \"t\\\"' || i || '\\n\\\\é\",' || chr(10) || CASE WHEN i % 2 = 1 THEN '{three}\"category\": \"c''\",' || chr(10) ELSE '' END || '{three}\"polarity\": \"neutral\"' || chr(10) || '{two}}}', ',' || chr(10) ORDER BY i)"
+    return f"CASE WHEN doc_id % 4 = 0 THEN '{{' || chr(10) || '{one}\"aspects\": []' || chr(10) || '}}' ELSE '{{' || chr(10) || '{one}\"aspects\": [' || chr(10) || {rows} || chr(10) || '{one}]' || chr(10) || '}}' END"
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '{' || chr(10) || '    \"aspects\": []' || chr(10) || '}' ELSE '{' || chr(10) || '    \"aspects\": [' || chr(10) || " + MANY_SQL + " || chr(10) || '    ]' || chr(10) || '}' END AS json FROM documents LEFT JOIN range(1, 4) r(i) ON i <= doc_id % 4 GROUP BY doc_id")
+@query(f"SELECT doc_id, {many_sql(4)} AS json FROM documents LEFT JOIN range(1, 4) r(i) ON i <= doc_id % 4 GROUP BY doc_id")
 def aspect_json_many(spark: SparkSession, sf: str) -> DataFrame:
     """JS1: several aspects, escapes, and absent categories."""
     return documents(spark, sf).select("doc_id", jsonx.aspects_json(odd_aspects()).alias("json"))
@@ -269,6 +272,31 @@ def aspect_repr(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", jsonx.python_repr(odd_aspects()).alias("repr"))
 
 
+LAST_SQL = "SELECT doc_id, true AS parse_success, CAST(doc_id % 4 AS INT) AS n, CASE WHEN doc_id % 4 > 0 THEN 't\"' || (doc_id % 4) || chr(10) || '\\é' END AS last FROM documents"
+
+
+@query(LAST_SQL)
+def output_parse_many(spark: SparkSession, sf: str) -> DataFrame:
+    """JS4: several aspects with escapes, out of prose."""
+    raw = F.concat(F.lit("Here: "), jsonx.aspects_json(odd_aspects()), F.lit(" that's all"))
+    held = documents(spark, sf).select("doc_id", jsonx.parse_output(raw).alias("p"))
+    return held.select("doc_id", "p.parse_success", F.size("p.aspects").alias("n"), F.try_element_at("p.aspects", F.lit(-1))["term"].alias("last"))
+
+
+@query(LAST_SQL)
+def output_parse_many_native(spark: SparkSession, sf: str) -> DataFrame:
+    """JS4's lenient form on the same."""
+    held = documents(spark, sf).select("doc_id", jsonx.lenient_output(jsonx.aspects_json(odd_aspects())).alias("p"))
+    return held.select("doc_id", "p.parse_success", F.size("p.aspects").alias("n"), F.try_element_at("p.aspects", F.lit(-1))["term"].alias("last"))
+
+
+@query(f"SELECT doc_id, md5({registry.sql_text(chatml.JUDGE_OPENING)} || chr(10) || chr(10) || '== REVIEW ==' || chr(10) || 'Text: \"' || any_value(text) || '\"' || chr(10) || 'Business: \"Unknown\" (Category: Boshqa)' || chr(10) || 'User rating: N/A/5' || chr(10) || chr(10) || '== MODEL PREDICTION ==' || chr(10) || {many_sql(2)} || chr(10) || chr(10) || {registry.sql_text(chatml.JUDGE_RUBRIC)}) AS prompt_md5 FROM documents LEFT JOIN range(1, 4) r(i) ON i <= doc_id % 4 GROUP BY doc_id")
+def judge_prompt_many(spark: SparkSession, sf: str) -> DataFrame:
+    """ST5: several aspects, and nothing known of the business."""
+    nothing = F.lit(None).cast("string")
+    return documents(spark, sf).select("doc_id", F.md5(chatml.judge_prompt(F.col("text"), nothing, nothing, nothing, odd_aspects())).alias("prompt_md5"))
+
+
 @query("SELECT doc_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 4 END AS INT) AS n, CASE WHEN doc_id % 5 <> 0 AND doc_id % 4 > 0 THEN 't\"1' || chr(10) || '\\é' END AS term FROM documents")
 def aspects_from_text(spark: SparkSession, sf: str) -> DataFrame:
     """JS3: aspects held as JSON text, every fifth of them broken."""
