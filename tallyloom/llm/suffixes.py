@@ -621,7 +621,8 @@ def find(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "
     rows = rows.withColumn("tag", F.xxhash64("text") if told.n != told.d else F.lit(0).cast("long"))
     buckets = max(partitions(spark), -(-(told.s or 0) // BUCKET_BYTES))
     scanned = scratch.save(scan(rows, width, buckets, SCAN_BYTES), "scan")
-    text_rows, asked, pieces = scanned.where(F.col("kind") == TEXT), scanned, []
+    text_rows = scanned.where(F.col("kind") == TEXT).select("block", "kind", "bucket", F.lit(None).cast("binary").alias("blob"), "text")  # reads no cores
+    asked, pieces = scanned, []
     while True:
         step = len(pieces)
         kinds = scratch.save(shared_cores(asked, CROWD), f"kinds-{step}")
