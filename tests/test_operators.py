@@ -202,3 +202,27 @@ def test_flows(spark):
     assert ready.where("split = 'validation'").count() == 2
     scores = pipelines.evaluate_outputs(ready.select(F.col("text").alias("chatml"), F.lit('{"aspects": [{"term": "A ", "polarity": "positive"}]}').alias("raw_output")))
     assert scores["exact"].first().f1 == 1.0 and scores["macro_f1"].first().macro_f1 == 1.0
+
+
+def test_busy_services_use_up_no_tries(spark):
+    df = spark.createDataFrame([("p",)], "prompt string").repartition(1)
+
+    def asked(busy, tries):
+        """Of a client that is busy for a while, then gives an answer that doesn't parse, then one that does."""
+
+        def make():
+            calls = []
+
+            def answer(prompts):
+                calls.append(1)
+                if len(calls) <= busy:
+                    raise boundary.Busy
+                return ["no" if len(calls) == busy + 1 else "yes"] * len(prompts)
+
+            return answer
+
+        return boundary.ask(df, "prompt", "answer", make, tries=tries, accept=lambda a: a == "yes", sleep=lambda s: None, patience=4).first().answer
+
+    assert asked(4, 2) == "yes" and asked(0, 1) == "no"
+    with pytest.raises(Exception, match="Busy"):
+        asked(5, 3)

@@ -72,3 +72,44 @@ def test_stream_resumes(spark, tmp_path):
         make(i).write.mode("append").parquet(src)
     incremental.annotate_stream(spark, src, schema, out, state).awaitTermination()
     assert sorted(r.ordinal for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_arrays_of_bounded_size(spark, tmp_path):
+    df = spark.range(2500, numPartitions=3).select("id", F.concat(F.lit('"é\n'), F.col("id").cast("string")).alias("t"))
+    writers.save_json_arrays(df, str(tmp_path / "a"), 400)
+    files = list((tmp_path / "a").glob("part-*"))
+    sizes = [len(json.loads(f.read_text())) for f in files]
+    assert sum(sizes) == 2500 and max(sizes) <= 400 and len(sizes) == 9
+    back = readers.read_json_array(spark, str(tmp_path / "a"), schemas.T.StructType().add("id", "long").add("t", "string"))
+    assert back.select("id", "t").exceptAll(df).isEmpty() and back.count() == 2500
+
+
+def test_lines_of_json_split(spark, tmp_path):
+    spark.range(5).select(F.col("id").cast("string").alias("object_name")).write.json(str(tmp_path / "l"))
+    rows = readers.read_json_array(spark, str(tmp_path / "l"), schemas.CATEGORY, lines=True)
+    assert sorted(r.object_name for r in rows.collect()) == list("01234")
+
+
+def test_batches_go_on_where_a_failure_left_them(spark, tmp_path):
+    rows, path = spark.range(40).withColumnRenamed("id", "review_id"), str(tmp_path / "done")
+    seen = []
+
+    def work(part):
+        seen.append(part.count())
+        if len(seen) == 2:
+            raise RuntimeError("down")
+        return part.withColumn("x", F.lit(1))
+
+    with pytest.raises(RuntimeError):
+        writers.in_batches(rows, path, work, every=10)
+    first = spark.read.parquet(path).count()
+    assert first == seen[0]
+    done = writers.in_batches(rows, path, work, every=100)
+    assert seen[-1] == 40 - first and done.select("review_id").distinct().count() == done.count() == 40
+    writers.finish(done, path, str(tmp_path / "out"))
+    assert not readers.exists(spark, path) and spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_union_keeps_the_order_of_columns(spark):
+    frames = [spark.range(1).selectExpr("id as b", "1 as a"), spark.range(1).selectExpr("2 as c", "id as b")]
+    assert readers.union_of(frames).columns == ["b", "a", "c"]
