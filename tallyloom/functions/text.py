@@ -16,7 +16,9 @@ LATIN, RUSSIAN, UZBEK, MIXED = "Primarily Uzbek (Latin)", "Primarily Russian (Cy
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{WHITE}+|{WHITE}+$", "")
+    """Only texts that begin or end with white space go through the pattern, which looks at every run of it."""
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(f"(?U){WHITE}"), F.regexp_replace(c, f"(?U)^{WHITE}+|{WHITE}+$", "")).otherwise(c)
 
 
 def words(c: Column) -> Column:
