@@ -114,9 +114,9 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def hash_order(key: str, salt: str):
-    """A number below 2 ** 52 by which rows are drawn, from two columns."""
-    return F.pmod(F.xxhash64(key, salt), F.lit(1 << 52))
+def hash_order(*columns: str):
+    """A number below 2 ** 52 by which rows are drawn, from some columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 52))
 
 
 def least_hashed(rows: DataFrame, key: str, salt: str, most: int, total: int) -> DataFrame:

@@ -114,17 +114,17 @@ class Profiles:
 def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", most: int = PROFILE, sample: int = SAMPLE) -> Profiles:
     """Profiles of every language from the n-gram counts of at most sample documents of each.
 
-    Languages are few by nature; the sample of each is those of least hash. All languages go through the same jobs: a
-    bound on the hash that twice the sample passes comes first, so few texts are ranked.
+    Languages are few by nature; the sample of each is those of least hash of id and text, rows equal in both once. All
+    languages go through the same jobs: a bound on the hash that twice the sample passes comes first, and only hashes
+    are ranked.
     """
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("order", hash_order("doc_id", "lang"))
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("order", hash_order("doc_id", "lang", "text"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
-    near = known.select("doc_id", "lang", "order").join(sizes, "lang").where(F.col("order") < F.lit(float(1 << 52)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("size")))
-    first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    drawn = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= sample)
-    # the last order that is drawn says which texts are taken, so that no text is shuffled: a row for each language
+    near = known.select("lang", "order").join(sizes, "lang").where(F.col("order") < F.lit(float(1 << 52)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("size")))
+    drawn = near.select("lang", "order").distinct().withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("at") <= sample)
+    # the last hash that is drawn says which texts are taken, so that few texts are shuffled: a row for each language
     last = drawn.groupBy("lang").agg(F.max("order").alias("last"))
-    chosen = known.join(F.broadcast(last), "lang").where(F.col("order") <= F.col("last")).select("lang", "text")
+    chosen = known.join(F.broadcast(last), "lang").where(F.col("order") <= F.col("last")).groupBy("lang", "order").agg(F.min("text").alias("text")).select("lang", "text")
 
     def make():
         held = Counts()

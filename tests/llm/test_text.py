@@ -179,7 +179,7 @@ def test_language_against_counters(labelled, spark):
     rows = docs.select("doc_id", "text", "lang").limit(300).collect() + [(9001, "ab" * 40_000, None), (9002, "ñ ö 語 語", "zz")]
     df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string").repartition(3)
     most = 60
-    profiles = language.fit(df, most=most)
+    profiles = language.fit(df.union(df.limit(40)), most=most)  # equal rows count once
     want = {}
     for _, t, lang in rows:
         if lang is not None and t is not None:
