@@ -197,7 +197,7 @@ COUNTS_SQL = f"c AS (SELECT doc_id, t, length(regexp_replace(t, '[^Ѐ-ӿ]', '',
 def script_class(spark: SparkSession, sf: str) -> DataFrame:
     """ST10 to ST13."""
     t = F.col("t")
-    rows = scripted(spark, sf).select(text.script_class(t).alias("script"), text.cyrillic_count(t).alias("cy"), text.latin_count(t).alias("la"))
+    rows = scripted(spark, sf).select("t", text.letter_counts(t).alias("n")).select(text.class_of(t, F.col("n")).alias("script"), F.col("n.cyrillic").alias("cy"), F.col("n.latin").alias("la"))
     return rows.groupBy("script").agg(F.count("*").alias("n"), F.sum("cy").alias("cyrillic"), F.sum("la").alias("latin"))
 
 
