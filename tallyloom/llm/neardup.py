@@ -286,7 +286,7 @@ def between(groups: DataFrame, slim: DataFrame, rows: DataFrame, width: int, per
         some = np.flatnonzero(low != nodes)
         return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(low[some])], ["a", "b"])
 
-    dealt = deal(groups.join(slim.select("node", "n", "parity"), "node"), scratch, "tiles", member="node")
+    dealt = deal(groups, scratch, "tiles", member="node").join(slim.select("node", "n", "parity"), "node")  # sketches travel once
     hits = scratch.save(tiles(dealt, likely, "__tile long, __own int, __same boolean, node long, component long, n long, parity binary"), "likely")
     sets = sets_of(hits.select("node"), slim, rows, width, scratch, "tiles")
     return tiles(hits.join(sets, "node"), linked, "a long, b long").distinct()

@@ -99,8 +99,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
 
     Rows link when their labels are equal and not null, their vectors of one length, and the cosine at least least.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Equal vectors of a
-    label are one class, compared once and counted as often as they occur. Null ids keep their links and have the
-    component of their class. An empty table gives none.
+    label are one class, compared once and counted as often as they occur. Classes are numbered, so ids may repeat with
+    other vectors, or be null: such a row keeps its links, and its component is that of its class. An empty table gives
+    none. Ids are whole numbers, cast to long.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -108,30 +109,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall("e", lambda x: x == 0)
     usable = F.col("label").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & ~F.coalesce(bad, F.lit(True))
     marked = rows.withColumn("g1", F.when(usable, F.xxhash64("label", "e"))).withColumn("g2", F.when(usable, F.xxhash64(F.lit(11), "e", "label")))
-    classes = scratch.save(marked.where("g1 is not null").groupBy("g1", "g2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("e").alias("e"), F.first("label").cast("string").alias("label")), "classes")
-    named = classes.where("id is not null")
-    drawn = least_hashed(named.select("id", "e"), "id", "fit", SAMPLE, named.count()).toArrow()
+    grouped = marked.where("g1 is not null").groupBy("g1", "g2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("e").alias("e"), F.first("label").cast("string").alias("label"))
+    classes = scratch.save(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    drawn = least_hashed(classes.select("g1", "e"), "g1", "fit", SAMPLE, classes.count()).toArrow()
     if not drawn.num_rows:
         return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(map(len, drawn.column("e").to_pylist()))
-    largest = named.groupBy("label").count().agg(F.max("count").alias("n")).first().n
+    largest = classes.groupBy("label").count().agg(F.max("count").alias("n")).first().n
     model = spark.sparkContext.broadcast(learn(stacked(drawn.column("e").combine_chunks(), width), largest, least))
 
     def index():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             codes = model.value.codes(stacked(batch.column(1), width))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1], codes.ravel())], ["id", "codes"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1], codes.ravel())], ["node", "codes"])
 
         return work
 
-    coded = scratch.save(map_arrow(named.select("id", "e"), index, "id long, codes array<int>").join(named.select("id", "label", F.size("e").alias("d")), "id"), "coded")
-    keys = coded.select("id", "label", "d", F.posexplode("codes").alias("at", "part")).select(F.xxhash64("label", "d", "at", "part").alias("key"), "at", "id")
+    coded = scratch.save(map_arrow(classes.select("node", "e"), index, "node long, codes array<int>").join(classes.select("node", "label", F.size("e").alias("d")), "node"), "coded")
+    keys = coded.select("node", "label", "d", F.posexplode("codes").alias("at", "part")).select(F.xxhash64("label", "d", "at", "part").alias("key"), "at", "node")
     met = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "met")
-    members = keys.join(met, "key").join(named.select("id", "copies", "e"), "id").join(coded.select("id", "codes"), "id")
+    dealt = deal(keys.join(met, "key"), scratch, "tiles", member="node")
+    dealt = dealt.join(classes.select("node", "copies", "e"), "node").join(coded.select("node", "codes"), "node")  # vectors travel once
 
     def judge(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch | None:
         column = lambda c: batch.column(batch.schema.names.index(c))
-        ids, copies, at = column("id").to_numpy(), column("copies").to_numpy(), int(column("at")[0].as_py())
+        ids, copies, at = column("node").to_numpy(), column("copies").to_numpy(), int(column("at")[0].as_py())
         lists = column("e")
         x = stacked(lists, len(lists[0]))
         codes = column("codes").flatten().to_numpy().reshape(len(ids), -1)
@@ -148,14 +150,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
             links += np.bincount(j[fresh], weights=copies[i[fresh]], minlength=len(ids))
         low = lowest(ids, i, j)
         some = np.flatnonzero((links > 0) | (low != ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(low[some])], ["id", "links", "low"])
-
-    found = scratch.save(tiles(deal(members, scratch, "tiles"), judge, "id long, links long, low long"), "found")
-    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    comps = components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")), scratch, "parts").withColumnRenamed("node", "id")
-    placed = scratch.save(classes.join(counted, "id", "left").join(comps, "id", "left").select("g1", "g2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "placed")
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(low[some])], ["node", "links", "low"])
+
+    found = scratch.save(tiles(dealt, judge, "node long, links long, low long"), "found")
+    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
+    comps = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")), scratch, "parts")
+    held = classes.join(counted, "node", "left").join(comps, "node", "left").select("g1", "g2", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    least_ids = held.groupBy("component").agg(F.min("id").alias("component_id"))
+    placed = scratch.save(held.join(least_ids, "component").select("g1", "g2", "n_links", "component_id"), "placed")
     scratch.drop("classes", "coded", "met", "tiles-sizes", "found")
     scratch.tidy()
     done = marked.select("vec_id", "g1", "g2").join(placed, ["g1", "g2"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -184,6 +184,12 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(df.where("label is null")).first().n_links == 0
 
 
+def test_vector_ids_that_repeat_or_lack(spark):
+    rows = [(8, [1.0, 0.0], 1), (8, [0.0, 1.0], 1), (3, [0.01, 1.0], 1), (4, [1.0, 0.01], 1), (None, [1.0, 0.02], 1), (-5, [0.7, 0.7], 1), (None, [-1.0, 0.0], 1)]
+    got = sorted((r.vec_id if r.vec_id is not None else 99, r.n_links, r.component_id if r.component_id is not None else 99) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([(8, 2, 4), (8, 1, 3), (3, 1, 3), (4, 2, 4), (99, 2, 4), (-5, 0, -5), (99, 0, 99)])
+
+
 def test_recall_at_the_threshold():
     rnd = np.random.default_rng(5)
     x = rnd.standard_normal((4000, 64))
