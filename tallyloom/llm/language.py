@@ -119,8 +119,8 @@ def fit(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str =
     are ranked.
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("order", hash_order("doc_id", "lang", "text"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
-    near = known.select("lang", "order").join(sizes, "lang").where(F.col("order") < F.lit(float(1 << 52)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("size")))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language
+    near = known.select("lang", "order").join(F.broadcast(sizes), "lang").where(F.col("order") < F.lit(float(1 << 52)) * F.least(F.lit(1.0), F.lit(2.0 * sample + 200) / F.col("size")))
     drawn = near.select("lang", "order").distinct().withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("at") <= sample)
     # the last hash that is drawn says which texts are taken, so that few texts are shuffled: a row for each language
     last = drawn.groupBy("lang").agg(F.max("order").alias("last"))
