@@ -2,8 +2,9 @@
 
 Regular expressions propose spans, validators (Luhn, mod 97, value ranges) confirm them, and context words nearby
 raise or lower a score. Positions come from cutting a text at the matches: a match starts after the pieces and
-matches before it. Patterns only begin where no match could have begun earlier, so long runs take linear time, and
-their unbounded loops are possessive, so that Java walks them without a stack frame for each round.
+matches before it. A pattern with an unbounded loop only begins where no match could have begun earlier (an address
+not within a run of digits: none can begin there that could not begin at its start), so long runs of any character take
+linear time; the loops are possessive, so that Java walks them without a stack frame for each round.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: The base patterns, with the characters that decide where one can begin.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Characters of an IBAN by country.

@@ -224,10 +224,15 @@ def test_base_spans(spark):
 def test_long_runs_leave_the_executor_alone(spark):
     n = 200_000
     texts = ["a@" + "b." * n + "b", "1" * n, "1 " * n, "1." * n, "+1" + " (" * n + "2", "+" + "1" * n, "GB82" + " W" * n, "GB82" * (n // 4), "a" * n + "@", "a@b.c " * (n // 10), "123-45-6789 " * (n // 10)]
+    everything = " a@b.co 1.2 +1 123-45- AB12 123 4"  # what each kind needs to be looked for at all
+    texts += [run + everything for run in ("1" * n, "1." * n + "9" * n, "1.1." * n, "1." + "9" * n, "9" * n + ".1.", "+" * n, "+1" * n, "-1" * n, "(" * n, "A" * n, "AB12" * n, "a.@" * n, ".@" * n, "a@b" * n, "123-" * n, "+1" + "." * n)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {0: [("email", 0, len(texts[0]))], 3: [("ip", 8 * i, 8 * i + 7) for i in range(n // 4)], 9: [("email", 6 * i, 6 * i + 5) for i in range(n // 10)]}  # quadratic for Python's own patterns
     for r in redaction.find(df).collect():
-        assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == want.get(r.doc_id, []), r.doc_id
+        if r.doc_id < 11:
+            assert [(s.kind, s.start, s.end) for s in r.spans if s.base] == want.get(r.doc_id, []), r.doc_id
+        else:
+            assert ("email", len(texts[r.doc_id]) - 32, len(texts[r.doc_id]) - 26) in [(s.kind, s.start, s.end) for s in r.spans], r.doc_id
     got = {r.doc_id: r.text for r in redaction.redact(df).collect()}
     assert got[0] == "<EMAIL>" and got[1] == texts[1] and got[9].startswith("<EMAIL> <EMAIL> ")
 
@@ -248,6 +253,8 @@ def test_redaction(odd, empty):
 
 def test_every_query_runs(spark, sf):
     for name, f in queries.queries().items():
+        if "op11" in name:  # test_twins has it
+            continue
         rows, table = f(spark, sf), spark.read.parquet(f"{sf}/{'embeddings' if '7' in name else 'documents'}.parquet")
         if "op3" in name:
             assert rows.select("doc_id").distinct().count() == table.count() and rows.agg(F.sum("length")).first()[0] == rows.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
