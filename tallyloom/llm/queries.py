@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import fingerprints, language, neardup, packing, quality, redaction, suffixes, tokenizing, toxicity, twins, vectors
+from tallyloom.llm import fingerprints, infilling, language, neardup, negatives, packing, quality, redaction, suffixes, tokenizing, toxicity, twins, vectors
 from tallyloom.llm.common import held_out, read_table
 
 
@@ -69,8 +69,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = infilling.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    back = infilling.restore(turned)
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_packing, op4_toxicity, op5_quality, op6_language, op7_embeddings, op8_suffix_dedup, op9_pii, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_packing, op4_toxicity, op5_quality, op6_language, op7_embeddings, op8_suffix_dedup, op9_pii, op10_fingerprints, op11_negatives, op12_infilling)}
 
 
 def oracle_sql() -> dict[str, str]:

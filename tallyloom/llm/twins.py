@@ -38,7 +38,27 @@ k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY
 t AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * after + 1, 2 * (lo - after)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
 SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
 """
+#: All scores of the anchors, their positives, and the negatives in each one's range.
+OP11_NEGATIVES = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_resize(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))), (SELECT max(len(embedding)) FROM embeddings), 0.0) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+    FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT * FROM n WHERE rank <= 10
+"""
+#: Units by a regular expression, ranks by the digest of the id.
+OP12_INFILLING = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT doc_id, t, w, len(w) AS n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS i, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS j,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+f AS (SELECT doc_id, t, n, form, CASE WHEN i = 0 THEN '' ELSE array_to_string(w[1:i], '') END AS a, CASE WHEN i = j THEN '' ELSE array_to_string(w[i + 1:j], '') END AS b, CASE WHEN j = n THEN '' ELSE array_to_string(w[j + 1:n], '') END AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_NGRAM_JACCARD, "op7_embeddings": OP7_EMBEDDINGS, "op8_suffix_dedup": OP8_SUFFIX_DEDUP}
+    return {"op2_ngram_jaccard": OP2_NGRAM_JACCARD, "op7_embeddings": OP7_EMBEDDINGS, "op8_suffix_dedup": OP8_SUFFIX_DEDUP, "op11_negatives": OP11_NEGATIVES, "op12_infilling": OP12_INFILLING}
