@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import fingerprints, infilling, language, neardup, negatives, packing, quality, redaction, suffixes, tokenizing, toxicity, twins, vectors
+from tallyloom.llm import fingerprints, infilling, language, mixing, neardup, negatives, packing, quality, redaction, suffixes, tokenizing, toxicity, twins, vectors
 from tallyloom.llm.common import held_out, read_table
 
 
@@ -81,8 +81,12 @@ def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_packing, op4_toxicity, op5_quality, op6_language, op7_embeddings, op8_suffix_dedup, op9_pii, op10_fingerprints, op11_negatives, op12_infilling)}
+    return {f.__name__: f for f in (op1_bpe, op2_ngram_jaccard, op3_packing, op4_toxicity, op5_quality, op6_language, op7_embeddings, op8_suffix_dedup, op9_pii, op10_fingerprints, op11_negatives, op12_infilling, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
