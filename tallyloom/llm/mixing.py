@@ -3,7 +3,7 @@
 A text is its words, A-Z in lower case, and one end. Each word is a row of binary decisions: the path to it in a Huffman
 tree of the frequent words, whose escape leads to the bits of a rare word's letters. For a decision several predictors
 look up what the training documents, hashed by a context, did there: no context (exact counts), the word before, the two
-before; two more count what this text itself did so far. A logistic mixer adds their log-odds with weights picked by a
+before; one more counts what this text itself did so far. A logistic mixer adds their log-odds with weights picked by a
 gate, that is by how much evidence the contexts have, and moves the weights after every few words along the error; a
 table of the text's own corrections refines the result. Letters are mixed alike from contexts of 1, 2, 3 and 5 letters,
 once for each distinct rare word of the corpus.
@@ -35,13 +35,15 @@ from tallyloom.llm.common import Scratch, give_back, map_arrow, partitions, slic
 from tallyloom.workers import ship
 
 #: A word is in the dictionary if it is one of so many tokens at least; so there are no more words in it than that.
-SHARE = 1 << 19
+SHARE = 1 << 18
 #: Bytes of a word that has a row by itself; of a longer one its digest stands in tables.
 LONG = 64
+#: Words whose decisions a worker spreads at a time, few enough for a processor's cache.
+SPREAD = 4096
 #: Slots of a hashed table, as a power of 2: of words, of letters; and slots of a text's own tables.
-WORD_BITS, LETTER_BITS, OWN_BITS = 20, 20, 12
+WORD_BITS, LETTER_BITS, OWN_BITS = 20, 20, 11
 #: Words after which the mixer starts afresh, words between two steps of it, and lanes (texts, segments) worked on together.
-SEGMENT, CHUNK, LANES = 2048, 16, 256
+SEGMENT, CHUNK, LANES = 2048, 16, 192
 #: Orders of the letters' contexts.
 ORDERS = (1, 2, 3, 5)
 #: Steps of Newton's method that fit the letters' weights, which stay as they are; the words' go on in every text, so one.
@@ -54,7 +56,7 @@ CELLS, TRUST = 24, 100.0
 ESCAPE, END, END_KEY = 0, 1, b" "
 #: Rows of a table that travel together.
 PIECE_BITS = 14
-WORD_INPUTS, WORD_GATES = 5, 24
+WORD_INPUTS, WORD_GATES = 4, 12
 LETTER_GATES = 9
 
 
@@ -78,9 +80,13 @@ def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """Numbers below 2 ** bits; context and node: 32-bit."""
-    h = (context ^ (node * np.uint32(0x9E3779B1))) * np.uint32(0x85EBCA6B)
+    h = node * np.uint32(0x9E3779B1)
+    h ^= context
+    h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(15)
-    return ((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)).astype(np.int32)
+    h *= np.uint32(0xC2B2AE35)
+    h >>= np.uint32(32 - bits)
+    return h.astype(np.int64)
 
 
 @dataclass
@@ -117,7 +123,7 @@ class Dictionary:
             on = now != 2 * n - 2
             steps.append((on, parent[now] - n, side[now]))
             now = np.where(on, parent[now], now)
-        self.lengths = np.sum([on for on, _, _ in steps], axis=0).astype(np.int32)
+        self.lengths = np.sum([on for on, _, _ in steps], axis=0).astype(np.int64)
         self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
         self.nodes, self.sides = np.zeros(self.lengths.sum(), np.uint32), np.zeros(self.lengths.sum(), np.uint8)
         for k, (on, node, bit) in enumerate(steps):  # from the leaves to the root
@@ -202,11 +208,11 @@ def hashes(texts: list[Text]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spread(known: Dictionary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, node, side) of each decision of the symbols, in order."""
-    n = known.lengths[symbols]
-    token = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-    at = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + known.starts[symbols][token]
-    return token, known.nodes[at], known.sides[at]
+    """(decisions of each symbol, node and side of each decision), in order."""
+    n = known.lengths.take(symbols)
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(known.starts.take(symbols) - ends + n, n)
+    return n, known.nodes.take(at), known.sides.take(at)
 
 
 def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -230,10 +236,17 @@ def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 @dataclass
 class Tables:
-    """Log-odds and evidence of every slot of each table."""
+    """Log-odds of every slot of each table, whose last two bits tell the evidence."""
 
-    odds: np.ndarray  # tables x slots
-    evidence: np.ndarray
+    slots: np.ndarray  # tables x slots
+
+    @classmethod
+    def of(cls, odds: np.ndarray, evidence: np.ndarray) -> Tables:
+        return cls(((odds.astype(np.float32).view(np.uint32) & np.uint32(0xFFFFFFFC)) | evidence).view(np.float32))
+
+    def take(self, table: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.slots[table].take(at)
+        return found, (found.view(np.uint32) & np.uint32(3)).astype(np.int64)
 
 
 def gathered(rows: DataFrame, make: Callable, tables: int, bits: int, scratch: Scratch, name: str) -> tuple[Tables, Tables]:
@@ -250,8 +263,9 @@ def gathered(rows: DataFrame, make: Callable, tables: int, bits: int, scratch: S
         for batch in batches:
             for part in slices(batch, batch.schema.names[-1]):
                 for tuning, slots, side in work(part):
+                    rest = (tuning.astype(np.int64) << bits + 1) + side
                     for k in range(tables):
-                        np.add.at(held[k], (tuning.astype(np.int32) << bits + 1) + slots[k] * 2 + side, np.uint32(1))
+                        np.add.at(held[k], slots[k] * 2 + rest, np.uint32(1))
         for k in range(tables):
             for tuning, whole in enumerate(held[k].reshape(2, -1, 2 << piece)):
                 some = np.flatnonzero(whole.any(1))
@@ -279,13 +293,13 @@ def gathered(rows: DataFrame, make: Callable, tables: int, bits: int, scratch: S
     small_batches(spark)
     made = rows.mapInArrow(count, "piece long, tuning int, body binary")
     summed = scratch.save(made.repartition(n, "piece").mapInArrow(add, "piece long, odds binary, evidence binary, odds0 binary, evidence0 binary"), name).toArrow()
-    found = [Tables(np.zeros((tables, 1 << bits), np.float32), np.zeros((tables, 1 << bits), np.uint8)) for _ in range(2)]
+    found = [(np.zeros((tables, 1 << bits), np.float32), np.zeros((tables, 1 << bits), np.uint8)) for _ in range(2)]
     for at, *bodies in zip(*(c.to_pylist() for c in summed.columns), strict=True):
         k, i = at >> 20, (at & 0xFFFFF) << piece
         for t, (odds, evidence) in zip(found, (bodies[:2], bodies[2:]), strict=True):
-            t.odds[k, i : i + (1 << piece)] = np.frombuffer(odds, np.float16)
-            t.evidence[k, i : i + (1 << piece)] = np.frombuffer(evidence, np.uint8)
-    return found[0], found[1]
+            t[0][k, i : i + (1 << piece)] = np.frombuffer(odds, np.float16)
+            t[1][k, i : i + (1 << piece)] = np.frombuffer(evidence, np.uint8)
+    return Tables.of(*found[0]), Tables.of(*found[1])
 
 
 @dataclass
@@ -326,9 +340,9 @@ class Letters:
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         word, letter, node, side, contexts = letters(words)
         at = [slot(c[letter], node, LETTER_BITS) for c in contexts]
-        x = np.stack([t[a] for t, a in zip(self.tables.odds, at, strict=True)], 1)
-        gate = np.minimum(self.tables.evidence[1][at[1]], 2) * np.uint8(3) + np.minimum(self.tables.evidence[3][at[3]], 2)
-        return word, x, gate.astype(np.int32), side
+        found = [self.tables.take(k, a) for k, a in enumerate(at)]
+        gate = np.minimum(found[1][1], 2) * 3 + np.minimum(found[3][1], 2)
+        return word, np.stack([x for x, _ in found], 1), gate, side
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         """What the letters of each word and the blank after it cost."""
@@ -382,40 +396,39 @@ def lane_bits(known: Dictionary, tables: Tables, weights: np.ndarray, lanes: lis
     lane_of = np.repeat(np.arange(len(lanes)), [len(x) for x in lanes])
     order = np.lexsort((lane_of, place))  # stable: tokens of a lane stay in order
     tok, lane_of, place = np.concatenate(lanes)[order], lane_of[order], place[order]
-    token, node, side = spread(known, symbols[tok])
-    lane, h1, h2 = lane_of[token], one[tok].take(token), two[tok].take(token)
-    edges = np.searchsorted(place[token], np.arange(place[-1] + 2)).tolist()
-    at1, at2 = slot(h1, node, WORD_BITS), slot(h2, node, WORD_BITS)
-    x = np.empty((len(token), WORD_INPUTS), np.float32)
-    x[:, 0], x[:, 1], x[:, 2] = known.odds.take(node), tables.odds[0].take(at1), tables.odds[1].take(at2)
-    first = lane * WORD_GATES + 2 * (tables.evidence[0].take(at1) * np.uint8(3) + np.minimum(tables.evidence[1].take(at2), 2))
-    own = [(lane << OWN_BITS) + slot(h, node, OWN_BITS) for h in (np.uint32(7), h1)]
-    counts = np.zeros((2, len(lanes) << OWN_BITS, 2), np.float32)
+    edges = np.searchsorted(place, np.arange(place[-1] + 2)).tolist()
+    symbols, one, two = symbols.take(tok), one.take(tok), two.take(tok)
+    counts = np.zeros((len(lanes) << OWN_BITS, 2), np.float32)
+    flat = counts.reshape(-1)
     w = np.tile(weights.astype(np.float32), (len(lanes), 1))
     cells = np.tile(squash((np.arange(CELLS) - CELLS // 2 + 0.5) / 1.5).astype(np.float32), len(lanes))
-    y, cell_of = side.astype(np.float32), lane * CELLS + CELLS // 2
-    odds, half = np.zeros(len(y), np.float32), np.float32(0.5)
+    out, every = np.zeros(len(lanes)), np.arange(WORD_INPUTS)
     for a, b in zip(edges, edges[1:], strict=False):
-        now, sides = x[a:b], y[a:b]
-        for k in range(2):
-            pairs = counts[k].take(own[k][a:b], axis=0)
-            now[:, 3 + k] = log_odds(pairs[:, 0], pairs[:, 1])
-            np.add.at(counts[k].reshape(-1), own[k][a:b] * 2 + side[a:b], np.float32(1))
-        row = first[a:b] + (pairs[:, 0] + pairs[:, 1] > 0)
-        dot = np.einsum("ij,ij->i", w.take(row, axis=0), now)
+        n, node, side = spread(known, symbols[a:b])
+        lane, y = np.repeat(lane_of[a:b], n), side.astype(np.float32)
+        x = np.empty((len(node), WORD_INPUTS), np.float32)
+        x[:, 0] = known.odds.take(node)
+        x[:, 1], e1 = tables.take(0, slot(np.repeat(one[a:b], n), node, WORD_BITS))
+        x[:, 2], e2 = tables.take(1, slot(np.repeat(two[a:b], n), node, WORD_BITS))
+        own = (lane << OWN_BITS) + slot(np.uint32(7), node, OWN_BITS)
+        pairs = counts.take(own, axis=0)
+        x[:, 3] = log_odds(pairs[:, 0], pairs[:, 1])
+        np.add.at(flat, own * 2 + side, np.float32(1))
+        gate = e1 * 3 + np.minimum(e2, 2)
+        row = lane * WORD_GATES + gate
+        dot = np.einsum("ij,ij->i", w.take(row, axis=0), x)
         p = squash(dot)
         if sums is not None:
-            sums.add(now, row % WORD_GATES, sides, p)
+            sums.add(x, gate, y, p)
             continue
-        cell = cell_of[a:b] + np.clip(np.floor(dot * np.float32(1.5)), -(CELLS // 2), CELLS // 2 - 1).astype(np.int64)
+        cell = lane * CELLS + np.clip(np.floor(dot * np.float32(1.5)), -(CELLS // 2), CELLS // 2 - 1).astype(np.int64) + CELLS // 2
         seen = cells.take(cell)
-        odds[a:b] = np.abs((p + seen) * half + sides - 1)
-        off = sides - p
-        for k in range(WORD_INPUTS):
-            w[:, k] += RATE * np.bincount(row, off * now[:, k], len(w))
-        cells += np.bincount(cell, sides - seen, len(cells)) / (np.bincount(cell, minlength=len(cells)) + TRUST)
+        out += np.bincount(lane, -np.log2(np.abs((p + seen) * np.float32(0.5) + y - 1)), len(lanes))
+        x *= (y - p)[:, None]
+        w += RATE * np.bincount((row[:, None] * WORD_INPUTS + every).ravel(), x.ravel(), w.size).reshape(w.shape)
+        cells += np.bincount(cell, y - seen, len(cells)) / (np.bincount(cell, minlength=len(cells)) + TRUST)
         np.clip(cells, LEAST, 1 - LEAST, cells)
-    return np.bincount(lane, -np.log2(odds), len(lanes)) if sums is None else np.zeros(len(lanes))
+    return out
 
 
 def start_weights(rows: DataFrame, make: Callable, weights: np.ndarray, rounds: int) -> np.ndarray:
@@ -458,8 +471,10 @@ def counted(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 for part in parts_of(t or b""):
                     held.update(tokens(part))
                 held[END_KEY] += 1
-            rows = [(key_of(w), n, n) for w, n in seen[0].items()] + [(key_of(w), 0, n) for w, n in seen[1].items()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["word", "c", "m"])
+            words = pa.array([w if len(w) <= LONG else key_of(w) for held in seen for w in held], pa.binary())
+            m = np.fromiter([n for held in seen for n in held.values()], np.int64)
+            c = np.where(np.arange(len(m)) < len(seen[0]), m, 0)
+            return pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(m)], ["word", "c", "m"])
 
         return work
 
@@ -504,8 +519,11 @@ def word_model(rows: DataFrame, known, scratch: Scratch) -> Words:
             texts = texts_of(batch)
             one, two = hashes(texts)
             tuning = np.repeat(batch.column(0).to_numpy() == 3, [len(t.symbols) for t in texts])
-            token, node, side = spread(known.value, np.concatenate([t.symbols for t in texts]))
-            yield tuning[token], [slot(h[token], node, WORD_BITS) for h in (one, two)], side
+            symbols = np.concatenate([t.symbols for t in texts])
+            for a in range(0, len(symbols), SPREAD):
+                some = slice(a, a + SPREAD)
+                n, node, side = spread(known.value, symbols[some])
+                yield np.repeat(tuning[some], n), [slot(np.repeat(h[some], n), node, WORD_BITS) for h in (one, two)], side
 
         return work
 
@@ -515,7 +533,7 @@ def word_model(rows: DataFrame, known, scratch: Scratch) -> Words:
     def make(weights: np.ndarray):
         return lambda: lambda batch, sums: mixed(known.value, held.value, weights, texts_of(batch), sums)
 
-    weights = start_weights(rows.where("fold = 3"), make, np.tile([0.5, 0.4, 0.3, 0.3, 0.1], (WORD_GATES, 1)), 1)
+    weights = start_weights(rows.where("fold = 3"), make, np.tile([0.5, 0.4, 0.3, 0.3], (WORD_GATES, 1)), 1)
     held.unpersist()
     return Words(whole, weights)
 

@@ -99,7 +99,7 @@ def some_model(rnd, words=40):
     counts = np.array([30, 20, *(rnd.randint(1, 200) for _ in names)])
     known = mixing.Dictionary([n.encode() for n in names], counts, int(counts.sum()), len(names) + 25, {}, 0.6, (30, 24))
     r = np.random.default_rng(3)
-    tables = mixing.Tables(r.normal(0, 1.5, (2, 1 << mixing.WORD_BITS)).astype(np.float16).astype(np.float32), r.integers(0, 4, (2, 1 << mixing.WORD_BITS)).astype(np.uint8))
+    tables = mixing.Tables.of(r.normal(0, 1.5, (2, 1 << mixing.WORD_BITS)), r.integers(0, 4, (2, 1 << mixing.WORD_BITS)).astype(np.uint8))
     return names, known, tables, r.normal(0.3, 0.1, (mixing.WORD_GATES, mixing.WORD_INPUTS))
 
 
@@ -117,7 +117,7 @@ def plain_bits(known, tables, weights, text, segment, chunk):
     squash = lambda x: min(1 - mixing.LEAST, max(mixing.LEAST, 1 / (1 + math.exp(-x))))
     for start in range(0, len(text.symbols), segment):
         w = weights.copy()
-        own = [defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])]
+        own = defaultdict(lambda: [0, 0])
         cells = [squash((c - mixing.CELLS // 2 + 0.5) / 1.5) for c in range(mixing.CELLS)]
         stop = min(len(text.symbols), start + segment)
         for at in range(start, stop, chunk):
@@ -129,11 +129,11 @@ def plain_bits(known, tables, weights, text, segment, chunk):
                 for k in range(known.starts[s], known.starts[s] + known.lengths[s]):
                     decisions.append((h1, h2, int(known.nodes[k]), int(known.sides[k])))
             moves, cell_moves = np.zeros_like(w), [[0.0, 0] for _ in cells]
-            seen = [[tuple(own[0][slot(7, n, mixing.OWN_BITS)]) for _, _, n, _ in decisions], [tuple(own[1][slot(h1, n, mixing.OWN_BITS)]) for h1, _, n, _ in decisions]]
+            seen = [tuple(own[slot(7, n, mixing.OWN_BITS)]) for _, _, n, _ in decisions]
             for d, (h1, h2, node, side) in enumerate(decisions):
-                a, b = slot(h1, node, bits), slot(h2, node, bits)
-                x = [known.odds[node], tables.odds[0][a], tables.odds[1][b], *(math.log((seen[k][d][1] + mixing.PRIOR) / (seen[k][d][0] + mixing.PRIOR)) for k in range(2))]
-                gate = (int(tables.evidence[0][a]) * 3 + min(2, int(tables.evidence[1][b]))) * 2 + (sum(seen[1][d]) > 0)
+                (x1, e1), (x2, e2) = (tables.take(k, np.array([slot(h, node, bits)])) for k, h in enumerate((h1, h2)))
+                x = [known.odds[node], x1[0], x2[0], math.log((seen[d][1] + mixing.PRIOR) / (seen[d][0] + mixing.PRIOR))]
+                gate = e1[0] * 3 + min(2, e2[0])
                 dot = sum(p * q for p, q in zip(w[gate], x, strict=True))
                 p, c = squash(dot), max(0, min(mixing.CELLS - 1, math.floor(dot * 1.5) + mixing.CELLS // 2))
                 q = (p + cells[c]) / 2
@@ -141,9 +141,8 @@ def plain_bits(known, tables, weights, text, segment, chunk):
                 moves[gate] += mixing.RATE * (side - p) * np.array(x)
                 cell_moves[c][0] += side - cells[c]
                 cell_moves[c][1] += 1
-            for h1, _, node, side in decisions:
-                own[0][slot(7, node, mixing.OWN_BITS)][side] += 1
-                own[1][slot(h1, node, mixing.OWN_BITS)][side] += 1
+            for _, _, node, side in decisions:
+                own[slot(7, node, mixing.OWN_BITS)][side] += 1
             w += moves
             cells = [min(1 - mixing.LEAST, max(mixing.LEAST, c + m / (n + mixing.TRUST))) for c, (m, n) in zip(cells, cell_moves, strict=True)]
     return total
@@ -168,7 +167,7 @@ def test_one_token_texts_sum_to_one():
     start = [mixing.Text(np.array([s], np.int32), np.array([0], np.uint32), Counter(), 0.0) for s in range(len(known.counts))]
     assert np.exp2(-mixing.mixed(known, tables, weights, start)).sum() == pytest.approx(1, abs=1e-4)
     r = np.random.default_rng(1)
-    model = mixing.Letters(mixing.Tables(r.normal(0, 1, (4, 1 << mixing.LETTER_BITS)).astype(np.float32), r.integers(0, 4, (4, 1 << mixing.LETTER_BITS)).astype(np.uint8)), r.normal(0.3, 0.1, (mixing.LETTER_GATES, 4)))
+    model = mixing.Letters(mixing.Tables.of(r.normal(0, 1, (4, 1 << mixing.LETTER_BITS)), r.integers(0, 4, (4, 1 << mixing.LETTER_BITS)).astype(np.uint8)), r.normal(0.3, 0.1, (mixing.LETTER_GATES, 4)))
     every = [bytes(w) for n in (1,) for w in itertools.product(range(256), repeat=n)]
     data = [w for w in every if w != b" "]
     first = model.bits([b"", *data])  # a word and the blank after it
