@@ -544,12 +544,22 @@ def exact_merge(spark: SparkSession, sf: str) -> DataFrame:
     return match.exact(docs.withColumnRenamed("doc_id", "ordinal"), docs, "text", "text", "doc_id").select("ordinal", "annotated_index", "match_score")
 
 
-@query("SELECT p_partkey, p_partkey AS annotated_index, round((n - 1) / n, 4) AS match_score FROM (SELECT p_partkey, length(p_name) + 33 AS n FROM part)")
+#: difflib takes frequent characters of long texts for junk: what doesn't begin alike is found only by another character.
+FUZZY_SQL = f"""
+WITH a AS (SELECT y, length(y) AS n, j, length(y) < 200 OR len(list_filter(list_distinct(string_split(substr(y, 2), '')), lambda c: length(y) - length(replace(y, c, '')) <= length(y) // 100 + 1)) > 0 AS seen
+    FROM (SELECT lower(text) AS y, min(doc_id) AS j FROM documents GROUP BY 1)),
+r AS (SELECT doc_id, lower(text) AS y, {STRIP.format("lower(CASE WHEN doc_id % 2 = 0 THEN text || '#' ELSE '#' || substr(text, 2) END)")} AS x FROM documents)
+SELECT r.doc_id AS ordinal, j AS annotated_index, round(2.0 * (length(x) - 1) / (length(x) + n), 4) AS match_score FROM r JOIN a USING (y) WHERE (seen OR doc_id % 2 = 0) AND 2.0 * (length(x) - 1) / (length(x) + n) > 0.95
+"""
+
+
+@query(FUZZY_SQL)
 def fuzzy_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """JN4, ST16: names with a digest, so that each has one match, the same with a character changed. Also tested against brute force."""
-    part = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.md5(F.col("p_partkey").cast("string"))).alias("t"))
-    other = part.select("p_partkey", F.concat(F.substring("t", 1, 4), F.lit("#"), F.substr("t", F.lit(6))).alias("t"))
-    return match.fuzzy(part, other, "p_partkey", "t", "p_partkey", "t").select("p_partkey", "annotated_index", r4("match_score"))
+    """JN4, ST16: every text with a character more or with another first one, against all texts. Also tested against brute force."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    edited = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("#"))).otherwise(F.concat(F.lit("#"), F.substr("text", F.lit(2))))
+    raw = docs.select(F.col("doc_id").alias("ordinal"), edited.alias("text"))
+    return match.fuzzy(raw, docs, "ordinal", "text", "doc_id", "text").select("ordinal", "annotated_index", r4("match_score"))
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({sql_text(d)}, {i}, {sql_text(s)})" for d, (_, ss) in DOMAINS.items() for i, s in enumerate(ss)) + ") t(domain, position, subcategory)")

@@ -1,6 +1,8 @@
 """Operators on small tables: published values, brute force, edge cases."""
 
 import random
+import threading
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -118,19 +120,90 @@ def test_ids_are_dense(spark):
     assert [r.review_id for r in got] == [f"rev_{i:05d}" for i in range(400)]
 
 
-def test_fuzzy_is_brute_force(spark):
-    rnd = random.Random(4)
-    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.choice([0, 5, 30, 60, 220]))) for _ in range(40)]
-    near = lambda t: "".join(c if rnd.random() > 0.02 else rnd.choice("xyz") for c in t)
-    raw, ann = [near(rnd.choice(base)) + " " for _ in range(80)], [near(b).upper() for b in base for _ in range(2)]
+def brute_fuzzy(raw, ann):
     want = {}
     for i, r in enumerate(raw):
-        best = max(((SequenceMatcher(None, r.strip().lower(), a.lower()).ratio(), -j) for j, a in enumerate(ann)))
+        best = max(((SequenceMatcher(None, r.strip().lower(), a.lower()).ratio(), -j) for j, a in enumerate(ann) if a is not None), default=(0, 0)) if r is not None else (0, 0)
         if best[0] > 0.95:
             want[i] = (-best[1], best[0])
-    make = lambda rows, a, b: spark.createDataFrame(list(enumerate(rows)), f"{a} int, {b} string")
-    got = match.fuzzy(make(raw, "i", "t"), make(ann, "j", "u"), "i", "t", "j", "u").collect()
-    assert {r.i: (r.annotated_index, r.match_score) for r in got} == want
+    return want
+
+
+def fuzzy_rows(spark, raw, ann):
+    make = lambda rows, a, b: spark.createDataFrame(list(enumerate(rows)), f"{a} int, {b} string").repartition(3)
+    return {r.i: (r.annotated_index, r.match_score) for r in match.fuzzy(make(raw, "i", "t"), make(ann, "j", "u"), "i", "t", "j", "u").collect()}
+
+
+def test_fuzzy_is_brute_force(spark):
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.choice([0, 5, 19, 20, 30, 60, 199, 220]))) for _ in range(40)]
+    near = lambda t: "".join(c if rnd.random() > 0.02 else rnd.choice("xyz") for c in t)
+    raw, ann = [near(rnd.choice(base)) + " " for _ in range(80)], [near(b).upper() for b in base for _ in range(2)]
+    want = brute_fuzzy(raw + [None], ann + [None])
+    assert len(want) > 20 and fuzzy_rows(spark, raw + [None], ann + [None]) == want
+
+
+def test_fuzzy_on_texts_of_one_vocabulary(spark):
+    """Texts of a few frequent words, over 200 characters, which difflib takes for junk; edits are put in everywhere."""
+    rnd = random.Random(7)
+    words = ["the", "of", "and", "that", "in", "service", "room", "good", "not", "was"]
+    base = [" ".join(rnd.choice(words) for _ in range(rnd.choice([4, 15, 60, 150]))) for _ in range(25)]
+
+    def edited(t):
+        out = list(t)
+        for _ in range(rnd.randint(1, max(1, len(t) // 18))):
+            k = rnd.randrange(len(out))
+            out[k : k + rnd.randint(0, 1)] = rnd.choice(["", "x", "é", "😀", "E"])
+        return "".join(out)
+
+    raw, ann = [edited(rnd.choice(base)) for _ in range(80)], base + [edited(b) for b in base]
+    want = brute_fuzzy(raw, ann)
+    assert 10 < len(want) < 80 and fuzzy_rows(spark, raw, ann) == want
+
+
+def test_common_subsequence():
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(row[j], before[j + 1]))
+        assert match.common_subsequence(a, b) == row[-1]
+    assert match.common_subsequence("é" * 5000 + "x", "é" * 5000) == 5000
+
+
+def test_difflib_sees_few_pairs():
+    """The bound turns away what shares its characters with a text but not their order."""
+
+    class Counting(SequenceMatcher):
+        calls = 0
+
+        def ratio(self):
+            Counting.calls += 1
+            return super().ratio()
+
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rnd.sample(words, 60)) for _ in range(20)]
+    for y in texts:
+        matcher = Counting()
+        matcher.set_seq2(y)
+        assert [match.ratio_above(matcher, x, y, 0.95) > 0.95 for x in texts] == [x == y for x in texts]
+    assert Counting.calls == 20
+
+
+def test_few_pairs_are_candidates(spark):
+    """Of texts of the same words in other orders only edited ones meet, though each frequent word is in all of them."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(3000)]
+    common = words[:20]
+    texts = [" ".join(rnd.choice(common) if rnd.random() < 0.6 else rnd.choice(words) for _ in range(150)) for _ in range(300)]
+    xs = spark.createDataFrame([(i, t[: len(t) // 2] + "#" + t[len(t) // 2 + 3 :]) for i, t in enumerate(texts)], "i int, x string")
+    ys = spark.createDataFrame(list(enumerate(texts)), "j int, y string")
+    got = {(r.i, r.j) for r in match.candidates(xs, ys).collect()}
+    assert {(i, i) for i in range(300)} <= got and len(got) < 400
 
 
 def test_exact_match(spark):
@@ -226,3 +299,67 @@ def test_busy_services_use_up_no_tries(spark):
     assert asked(4, 2) == "yes" and asked(0, 1) == "no"
     with pytest.raises(Exception, match="Busy"):
         asked(5, 3)
+
+
+def test_calls_in_flight(spark):
+    """Answers in the order of the rows, from several calls at once, no more than the window; every third call is turned away."""
+    df = spark.range(200).select("id", F.concat(F.lit("p"), "id").alias("prompt")).repartition(2)
+
+    def make():
+        lock, now, most, calls = threading.Lock(), [0], [0], [0]
+
+        def client(prompts):
+            with lock:
+                calls[0] += 1
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                turned = calls[0] % 3 == 0
+            time.sleep(0.002 * (len(prompts) + calls[0] % 4))
+            with lock:
+                now[0] -= 1
+            if turned:
+                raise boundary.Busy
+            return [f"{p} {most[0]}" for p in prompts]
+
+        return client
+
+    got = boundary.ask(df, "prompt", "answer", make, window=3, size=7, sleep=lambda s: None, patience=50).collect()
+    assert len(got) == 200 and all(r.answer.split()[0] == r.prompt for r in got)
+    assert {int(r.answer.split()[1]) for r in got} <= {1, 2, 3} and max(int(r.answer.split()[1]) for r in got) > 1
+
+
+def test_pauses_and_rates():
+    slept = []
+    gate = boundary.Gate(2.0, 4, 3, slept.append)
+    for _ in range(10):  # four at once, then two a second
+        gate.enter()
+    assert sum(slept) == pytest.approx(3, abs=0.2)
+    gate = boundary.Gate(None, 4, 3, slept.append)
+    seen = [gate.enter() for _ in range(4)]
+    slept.clear()
+    for k in seen:  # four calls of one moment are turned away together: one pause
+        gate.busy(k, boundary.Busy())
+    k = gate.enter()
+    assert sum(slept) == pytest.approx(5, abs=0.2)
+    gate.busy(k, boundary.Busy())
+    k = gate.enter()
+    assert sum(slept) == pytest.approx(15, abs=0.4)
+    gate.answered()
+    for _ in range(3):
+        gate.busy(gate.enter(), boundary.Busy())
+    with pytest.raises(boundary.Busy):
+        gate.busy(gate.enter(), boundary.Busy())
+
+
+def test_refused_prompts_stay_without_an_answer(spark):
+    def make():
+        def client(prompts):
+            if "p3" in prompts:
+                raise boundary.Refused
+            return ["yes"] * len(prompts)
+
+        return client
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(6)], "prompt string").coalesce(1)
+    assert [r.answer for r in boundary.ask(df, "prompt", "answer", make, size=1, window=2).collect()] == ["yes"] * 3 + [None] + ["yes"] * 2
+    assert boundary.ask(df.limit(0), "prompt", "answer", make, size=1, window=2).count() == 0
