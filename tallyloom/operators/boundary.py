@@ -6,8 +6,10 @@ written and left out of later runs, for calls are dear and not repeatable.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,7 @@ from tallyloom.functions.jsonx import parse_judgement, parse_output, read_judgem
 from tallyloom.operators.chatml import inference_prompt, judge_prompt
 from tallyloom.operators.stats import annotation_quality
 from tallyloom.schemas import ANNOTATION_SOURCE, TRAIN_LOG
-from tallyloom.sources.writers import in_batches
+from tallyloom.streaming.incremental import resumable
 from tallyloom.workers import ship
 
 Answer = Callable[[list[str]], list[str | None]]
@@ -32,54 +34,116 @@ class Busy(Exception):
     """The service asks to come again later."""
 
 
-def ask(df: DataFrame, prompt: str, answer: str, make: Callable[[], Answer], tries: int = 3, accept: Callable[[str | None], bool] = lambda a: a is not None, sleep: Callable[[float], None] = time.sleep, patience: int = 8) -> DataFrame:
+class Refused(Exception):
+    """The service will not answer these prompts; the rows stay without an answer."""
+
+
+class Gate:
+    """What the calls of one task share: a rate, and a pause that one busy answer makes all of them take.
+
+    Tokens come at a rate a second, up to burst of them; a call takes one. A busy answer to a call that began after the
+    last pause makes the next, longer one; calls in flight that are turned away with it wait for the same. Any answer
+    ends the row of pauses; after patience of them the error goes on.
+    """
+
+    def __init__(self, rate: float | None, burst: int, patience: int, sleep: Callable[[float], None]):
+        self.rate, self.burst, self.patience, self.sleep = rate, burst, patience, sleep
+        self.lock, self.ahead, self.pauses, self.row = threading.Lock(), 0.0, 0, 0
+        self.tokens, self.at, self.until = float(burst), time.monotonic(), 0.0
+
+    def now(self) -> float:
+        return time.monotonic() + self.ahead
+
+    def enter(self) -> int:
+        """Waits for the pause and for a token; which pause a call follows."""
+        while True:
+            with self.lock:
+                now = self.now()
+                wait = self.until - now
+                if wait <= 0 and self.rate:
+                    self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.rate), now
+                    wait = (1 - self.tokens) / self.rate
+                if wait <= 0:
+                    self.tokens -= 1
+                    return self.pauses
+            self.sleep(wait)
+            with self.lock:  # a sleep that only pretends to last counts as if it had
+                self.ahead = max(self.ahead, now + wait - time.monotonic())
+
+    def answered(self) -> None:
+        with self.lock:
+            self.row = 0
+
+    def busy(self, seen: int, error: Busy) -> None:
+        with self.lock:
+            if seen == self.pauses:
+                if self.row >= self.patience:
+                    raise error
+                self.until = self.now() + backoff(self.row)
+                self.pauses, self.row = self.pauses + 1, self.row + 1
+
+
+def ask(
+    df: DataFrame, prompt: str, answer: str, make: Callable[[], Answer], tries: int = 3, accept: Callable[[str | None], bool] = lambda a: a is not None,
+    sleep: Callable[[float], None] = time.sleep, patience: int = 8, window: int = 1, size: int | None = None, rate: float | None = None,
+) -> DataFrame:
     """df with a column of answers. make builds a client in each partition; an answer not accepted is asked for again.
 
-    A busy service is no try: it is asked again after a growing pause, and after patience pauses in a row the job ends
-    with its error, as with any other. The last answer stays, accepted or not.
+    A call has size prompts (None: a batch's), and window calls of a partition are in flight at a time, rate of them a
+    second begun at most; the client is called from as many threads. Answers come in the order of the rows. A busy service
+    is no try: all calls wait a growing pause, and after patience pauses in a row the job ends with its error, as with any
+    other but Refused, which leaves the rows of its call without an answer. The last answer stays, accepted or not.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
-        for rows in batches:
-            answers: list[str | None] = [None] * len(rows)
-            todo, tried, waited = list(range(len(rows))), 0, 0
+        client, gate = make(), Gate(rate, window, patience, sleep)
+
+        def asked(prompts: list[str]) -> list[str | None]:
+            answers: list[str | None] = [None] * len(prompts)
+            todo, tried = list(range(len(prompts))), 0
             while todo and tried < tries:
+                seen = gate.enter()
                 try:
-                    got = client([rows[prompt].iloc[i] for i in todo])
-                except Busy:
-                    if waited >= patience:
-                        raise
-                    sleep(backoff(waited))
-                    waited += 1
+                    got = client([prompts[i] for i in todo])
+                except Busy as e:
+                    gate.busy(seen, e)
                     continue
-                tried, waited = tried + 1, 0
+                except Refused:
+                    break
+                gate.answered()
+                tried += 1
                 for i, a in zip(todo, got, strict=True):
                     answers[i] = a
                 todo = [i for i in todo if not accept(answers[i])]
-            yield rows.assign(**{answer: answers})
+            return answers
+
+        with ThreadPoolExecutor(window) as pool:
+            for rows in batches:
+                prompts, step = rows[prompt].tolist(), size or max(1, len(rows))
+                calls = [prompts[i : i + step] for i in range(0, len(prompts), step)]
+                yield rows.assign(**{answer: [a for got in pool.map(asked, calls) for a in got]})
 
     ship(df.sparkSession)
     return df.mapInPandas(run, df.withColumn(answer, F.lit(None).cast("string")).schema)
 
 
-def annotate(df: DataFrame, make: Callable[[], Answer] | None = None, text: str = "text", recorded: str = "raw_output") -> DataFrame:
+def annotate(df: DataFrame, make: Callable[[], Answer] | None = None, text: str = "text", recorded: str = "raw_output", **calls) -> DataFrame:
     """df with raw_output, aspects, num_aspects and parse_success; without a client recorded answers are read again."""
-    asked = df if make is None else ask(df.withColumn("prompt", inference_prompt(F.col(text))), "prompt", recorded, make).drop("prompt")
+    asked = df if make is None else ask(df.withColumn("prompt", inference_prompt(F.col(text))), "prompt", recorded, make, **calls).drop("prompt")
     held = asked.withColumn("__parsed", parse_output(F.col(recorded)))
     return held.select(*[c for c in asked.columns if c not in ("aspects", "num_aspects", "parse_success", "annotation_source")], F.col("__parsed.aspects").alias("aspects"), F.size("__parsed.aspects").alias("num_aspects"), F.lit(ANNOTATION_SOURCE).alias("annotation_source"), F.col("__parsed.parse_success").alias("parse_success"))
 
 
-def judge(df: DataFrame, make: Callable[[], Answer] | None = None, recorded: str = "judge_raw") -> DataFrame:
-    """df with judge_raw and judge_scores; an answer that is no judgement is asked for again."""
+def judge(df: DataFrame, make: Callable[[], Answer] | None = None, recorded: str = "judge_raw", **calls) -> DataFrame:
+    """df with judge_raw and judge_scores; an answer that is no judgement is asked for again. calls: as ask() takes them."""
     prompt = judge_prompt(F.col("text"), F.col("business_name"), F.col("business_category"), F.col("user_rating"), F.col("aspects"))
-    asked = df if make is None else ask(df.withColumn("prompt", prompt), "prompt", recorded, make, accept=lambda a: read_judgement(a) is not None).drop("prompt")
+    asked = df if make is None else ask(df.withColumn("prompt", prompt), "prompt", recorded, make, accept=lambda a: read_judgement(a) is not None, **calls).drop("prompt")
     return asked.withColumn("judge_scores", parse_judgement(F.col(recorded)))
 
 
-def annotate_all(df: DataFrame, path: str, make: Callable[[], Answer] | None = None, every: int = 1000) -> tuple[DataFrame, DataFrame]:
+def annotate_all(df: DataFrame, path: str, make: Callable[[], Answer] | None = None, every: int = 1000, **calls) -> tuple[DataFrame, DataFrame]:
     """All annotations, written to path some rows at a time so that a later run goes on from there, and their counts."""
-    done = in_batches(df, path, lambda rows: annotate(rows, make), every=every)
+    done = resumable(df, path, lambda rows: annotate(rows, make, **calls), every=every)
     return done, annotation_quality(done)
 
 

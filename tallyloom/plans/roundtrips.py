@@ -9,9 +9,12 @@ from __future__ import annotations
 import atexit
 import json
 import re
+import threading
 import uuid
+from collections.abc import Callable
 from contextlib import suppress
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ from tallyloom.operators import assemble, boundary, chatml, config, evaluate, sa
 from tallyloom.plans import pipelines, registry
 from tallyloom.plans.registry import ANN_SQL, JUDGED_SQL, LOGS_SQL, MERGED_SQL, SCORES, annotations, judgements, logs, merged, one_aspect, query, r4, scored, table
 from tallyloom.sources import readers, writers
+from tallyloom.streaming import incremental
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -379,22 +383,67 @@ def echo() -> boundary.Answer:
     return answer
 
 
-@query("SELECT doc_id, doc_id % 6 <> 0 AS parse_success, CAST(CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 1 END AS INT) AS num_aspects, CASE WHEN doc_id % 6 <> 0 THEN lang END AS term FROM documents")
+def often_busy(every: int = 5) -> Callable[[], boundary.Answer]:
+    """echo behind a service that turns every so many-th call away."""
+
+    def make() -> boundary.Answer:
+        answer, calls, lock = echo(), [0], threading.Lock()
+
+        def client(prompts: list[str]) -> list[str | None]:
+            with lock:
+                calls[0] += 1
+                if calls[0] % every == 0:
+                    raise boundary.Busy
+            return answer(prompts)
+
+        return client
+
+    return make
+
+
+#: Calls of 16 prompts, 4 in flight; pauses are pretended.
+CALLS = {"window": 4, "size": 16, "sleep": lambda seconds: None}
+LAST_WORD = r"regexp_extract(text, '(\S+)\s*$', 1)"
+
+
+@query(f"SELECT doc_id, {LAST_WORD} <> '' AS parse_success, CAST({LAST_WORD} <> '' AS INT) AS num_aspects, nullif({LAST_WORD}, '') AS term FROM documents")
 def annotated_by_client(spark: SparkSession, sf: str) -> DataFrame:
-    """UD4, UD5: an annotator in each partition."""
-    rows = documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 6 == 0, " ").otherwise(F.concat_ws(" ", "source", "lang")).alias("text"))
-    return boundary.annotate(rows, echo).select("doc_id", "parse_success", "num_aspects", F.get("aspects", F.lit(0))["term"].alias("term"))
+    """UD4, UD5, MA5: an annotator in each partition, with calls in flight that are turned away now and then."""
+    rows = documents(spark, sf).select("doc_id", "text")
+    return boundary.annotate(rows, often_busy(), **CALLS).select("doc_id", "parse_success", "num_aspects", F.get("aspects", F.lit(0))["term"].alias("term"))
 
 
-@query("SELECT count(*) AS total, count(*) AS good, CAST(0 AS BIGINT) AS failed, count(*) AS written FROM documents")
+@query(f"SELECT count(*) AS total, count(*) FILTER ({LAST_WORD} <> '') AS good, count(*) FILTER ({LAST_WORD} = '') AS failed, count(*) AS written FROM documents")
 def annotated_in_batches(spark: SparkSession, sf: str) -> DataFrame:
     """UD7: annotation some rows at a time, with its counts."""
     path = folder(spark, "annotating")
-    rows = documents(spark, sf).select(F.col("doc_id").alias("review_id"), F.concat_ws(" ", "source", "lang").alias("text"))
-    done, counts = boundary.annotate_all(rows, path, echo, every=max(1, rows.count() // 2))
+    rows = documents(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    done, counts = boundary.annotate_all(rows, path, often_busy(), every=max(1, rows.count() // 2), **CALLS)
     return counts.select("total", "good", "failed").crossJoin(F.broadcast(done.agg(F.count("*").alias("written"))))  # one row each
 
 
+@query(f"SELECT doc_id AS review_id, nullif({LAST_WORD}, '') AS term, true AS stopped, true AS cleared FROM documents")
+def stopped_and_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK8, SRC14: a run that breaks off behind its first batch, and another that goes on from there."""
+    path, begun = folder(spark, "stopped"), []
+    rows = documents(spark, sf).select(F.col("doc_id").alias("review_id"), "text")
+    every = max(1, rows.count() // 3)
+
+    def work(part: DataFrame) -> DataFrame:
+        begun.append(1)
+        if len(begun) == 2:
+            raise ConnectionError("the service is gone")
+        return boundary.annotate(part, often_busy(), **CALLS)
+
+    stopped = False
+    try:
+        incremental.resumable(rows, path, work, every=every)
+    except StreamingQueryException:
+        stopped = incremental.results(spark, path).limit(1).count() == 1
+    done = incremental.resumable(rows, path, work, every=every)
+    return done.select("review_id", F.get("aspects", F.lit(0))["term"].alias("term"), F.lit(stopped).alias("stopped"), F.lit(not readers.exists(spark, f"{path}_todo")).alias("cleared"))
+
+
 @query("SELECT 'shop' AS term, true AS parse_success")
 def single_text(spark: SparkSession, sf: str) -> DataFrame:
     """UD6."""

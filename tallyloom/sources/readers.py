@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Sequence
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none of one that isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)) if exists(spark, path) else []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests, one machine)."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -36,11 +45,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df computed once and written to the shared folder, where its rows stand whatever becomes of executors."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df computed once and written to the shared folder, where its rows stand whatever becomes of executors.
+
+    The files go when the application ends, for the frame may be read until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the JVM may be gone
+        remove(spark, path)
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:

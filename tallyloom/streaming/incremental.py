@@ -1,7 +1,13 @@
-"""New reviews as a stream (an extension): each batch is cleaned, annotated and appended; Spark's checkpoint resumes it."""
+"""Work in small batches as a stream: rows of a table for dear calls, and new reviews as they come (an extension).
+
+Spark's checkpoint tells which batches are done, so that a run that was stopped goes on behind the last of them.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from tallyloom.functions.jsonx import parse_output
 from tallyloom.operators.clean import LEAST_CHARS, has_text
+from tallyloom.sources.readers import children, exists, not_yet_done, remove
 
 
 def annotate_stream(spark: SparkSession, source: str, schema: StructType, target: str, state: str, text: str = "review_text", raw: str = "raw_output") -> StreamingQuery:
@@ -21,3 +28,41 @@ def annotate_stream(spark: SparkSession, source: str, schema: StructType, target
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and sums by window and type, with a watermark for late events; for streams and tables alike."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def resumable(df: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], key: str = "review_id", every: int = 1000) -> DataFrame:
+    """All that work makes of df, about every rows at a time, under path; what an earlier run has written is left out.
+
+    The rows to be done are read once and written in small files, which a stream takes some at a time; a batch's results
+    are written under the batch's number, so that one that is done again replaces its own half. A run that was stopped
+    goes on with the rows and the batches it had; then what df has besides follows. The rows' files and the stream's
+    state go when all is done. An empty df gives work's columns. Rows of one key are done once if a run has finished
+    with one of them; within a run each row is done.
+    """
+    spark = df.sparkSession
+    todo, slots = f"{path}_todo", max(1, spark.sparkContext.defaultParallelism)
+    fresh = False
+    while not fresh:
+        run = next(iter(children(spark, todo)), None)
+        if run is None:
+            run, fresh = uuid.uuid4().hex, True
+            left = not_yet_done(df, results(spark, path) if exists(spark, path) else None, key)
+            left.write.option("maxRecordsPerFile", max(1, every // slots)).parquet(f"{todo}/{run}/rows")
+        if not exists(spark, f"{todo}/{run}/rows/_SUCCESS"):  # stopped while it wrote them
+            remove(spark, f"{todo}/{run}")
+            continue
+
+        def one(rows: DataFrame, number: int, run: str = run) -> None:
+            work(rows).write.mode("overwrite").parquet(f"{path}/{run}/{number}")
+
+        source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", slots).parquet(f"{todo}/{run}/rows")
+        source.writeStream.foreachBatch(one).option("checkpointLocation", f"{todo}/{run}/state").trigger(availableNow=True).start().awaitTermination()
+        remove(spark, todo)
+    if not exists(spark, path):
+        work(df.limit(0)).write.parquet(f"{path}/none")
+    return results(spark, path)
+
+
+def results(spark: SparkSession, path: str) -> DataFrame:
+    """What is written under path, in whatever folders."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path)

@@ -110,6 +110,39 @@ def test_batches_go_on_where_a_failure_left_them(spark, tmp_path):
     assert not readers.exists(spark, path) and spark.read.parquet(str(tmp_path / "out")).count() == 40
 
 
+def test_a_stopped_run_goes_on_behind_its_batches(spark, tmp_path):
+    """Each row is read once for all batches of both runs, and done once, but for those of the batch that broke."""
+    path, read, tried = str(tmp_path / "done"), spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.range(90).withColumnRenamed("id", "review_id").repartition(3).mapInPandas(counted, "review_id long")
+
+    def work(part):
+        tried.append(sorted(r.review_id for r in part.collect()))
+        if len(tried) == 2:
+            part.withColumn("x", F.lit("half")).limit(1).write.parquet(f"{path}/half")  # what a broken batch may leave elsewhere
+            readers.remove(spark, f"{path}/half")
+            raise RuntimeError("down")
+        return part.withColumn("x", F.lit("done"))
+
+    with pytest.raises(Exception, match="down"):
+        incremental.resumable(rows, path, work, every=20)
+    assert incremental.results(spark, path).count() == len(tried[0]) > 0 and read.value == 90
+    done = incremental.resumable(rows, path, work, every=20)
+    assert sorted(r.review_id for r in done.collect()) == list(range(90)) and done.where("x = 'done'").count() == 90
+    assert tried[1] == tried[2] and sorted(sum(tried[:1] + tried[2:], [])) == list(range(90)) and all(len(t) <= 20 for t in tried)
+    assert not readers.exists(spark, f"{path}_todo")
+    more = spark.range(85, 95).withColumnRenamed("id", "review_id")
+    again = incremental.resumable(more, path, work, every=100)
+    assert sorted(r.review_id for r in again.collect()) == list(range(95)) and sorted(sum(tried[-2:], [])[-5:]) == list(range(90, 95))
+    assert incremental.resumable(more, path, work).count() == 95
+    assert incremental.resumable(more.limit(0), str(tmp_path / "none"), lambda p: p.withColumn("x", F.lit(1))).columns == ["review_id", "x"]
+
+
 def test_union_keeps_the_order_of_columns(spark):
     frames = [spark.range(1).selectExpr("id as b", "1 as a"), spark.range(1).selectExpr("2 as c", "id as b")]
     assert readers.union_of(frames).columns == ["b", "a", "c"]
