@@ -1,4 +1,9 @@
-"""JSON and model-output text (JS1 to JS9). Strict parsers run as Arrow UDFs, one call a row; the rest is built in."""
+"""JSON and model-output text (JS1 to JS9).
+
+Strict parsers are read two ways: a pattern that only well-formed text of the usual shape matches says which rows
+from_json reads, as it then reads them as Python would; the others, which it would be too lenient with, go to Python in an
+Arrow UDF, which gets nulls in the place of the rest.
+"""
 
 from __future__ import annotations
 
@@ -36,10 +41,15 @@ def aspects_json(aspects: Column, indent: int = 4) -> Column:
     return F.when(F.coalesce(F.size(aspects), F.lit(0)) > 0, body).otherwise(F.lit(f'{{\n{pad[0]}"aspects": []\n}}'))
 
 
+def as_text(value) -> str | None:
+    """A string, or what is written of another value; half a surrogate pair, which no column holds, becomes U+FFFD."""
+    text = value if value is None or isinstance(value, str) else str(value)
+    return text if text is None or text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def aspect_rows(value) -> list[dict]:
     """Aspects of parsed JSON: other than objects are left out, other than strings written as text."""
-    text = lambda v: v if v is None or isinstance(v, str) else str(v)
-    return [{k: text(a.get(k)) for k in ("term", "category", "polarity")} for a in value if isinstance(a, dict)] if isinstance(value, list) else []
+    return [{k: as_text(a.get(k)) for k in ("term", "category", "polarity")} for a in value if isinstance(a, dict)] if isinstance(value, list) else []
 
 
 def loose_aspects(text: str) -> list[dict]:
@@ -70,8 +80,7 @@ def whole_scores(text: str) -> dict | None:
         held = json.loads(text)
         if not isinstance(held, dict) or any(k not in held for k in SCORES):
             return None
-        said = held.get("explanation")
-        return {k: min(5, max(1, int(held[k]))) for k in SCORES} | {"explanation": said if said is None or isinstance(said, str) else str(said)}
+        return {k: min(5, max(1, int(held[k]))) for k in SCORES} | {"explanation": as_text(held.get("explanation"))}
     except (ValueError, TypeError, OverflowError, RecursionError):
         return None
 
@@ -113,14 +122,14 @@ def read_aspects(text: str | None) -> dict:
 
 
 def vectorised(f: Callable, kind: str, fields: tuple[str, ...]) -> Callable[[Column], Column]:
-    """f, which gives a dict or None, over a column in Arrow batches."""
+    """f, which gives a dict or None, over a column in Arrow batches; a null gives nulls."""
 
     def apply(c: Column) -> Column:
         ship(SparkSession.active())
 
         @F.pandas_udf(kind)
         def run(texts: pd.Series) -> pd.DataFrame:
-            rows = [f(t if isinstance(t, str) else None) or {} for t in texts]
+            rows = [(f(t) or {}) if isinstance(t, str) else {} for t in texts]
             return pd.DataFrame({k: pd.Series([r.get(k) for r in rows], dtype=object) for k in fields})
 
         return run(c)
@@ -128,19 +137,79 @@ def vectorised(f: Callable, kind: str, fields: tuple[str, ...]) -> Callable[[Col
     return apply
 
 
-parse_output = vectorised(read_output, PARSED, ("aspects", "parse_success"))
-parse_gold = vectorised(read_gold, PARSED, ("aspects", "parse_success"))
-LISTED = "struct<aspects:array<struct<term:string,category:string,polarity:string>>>"
+#: JSON's white space, and a string whose escapes Java and Python read alike: no surrogates, no control characters.
+GAP = r"[ \t\n\r]*+"
+PLAIN = r'[^"\\\x00-\x1f]*+'
+STRING = rf'"{PLAIN}(?:\\(?:["\\/bfnrt]|u(?![dD][89a-fA-F])[0-9a-fA-F]{{4}}){PLAIN})*+"'
+
+
+def listed(one: str) -> str:
+    """A pattern of one or more, with commas."""
+    return f"{one}(?:{GAP},{GAP}{one})*+"
+
+
+def held_as(pairs: str) -> str:
+    """A pattern of an object of some pairs."""
+    return rf"\{{{GAP}{listed(f'(?:{pairs})')}{GAP}\}}"
+
+
+ASPECT_FIELD = rf'"(?:term|category|polarity)"{GAP}:{GAP}(?:{STRING}|null)'
+#: Objects with aspects alone, of known keys whose values are strings or null.
+ASPECTS_TEXT = rf'^\{{{GAP}"aspects"{GAP}:{GAP}\[{GAP}(?:{listed(held_as(ASPECT_FIELD))}{GAP})?\]{GAP}\}}$'
+LIST_TEXT = rf"^{GAP}\[{GAP}(?:{listed(held_as(ASPECT_FIELD))}{GAP})?\]{GAP}$"
+SCORE_FIELD = rf'"(?:{"|".join(SCORES)})"{GAP}:{GAP}[1-5]|"explanation"{GAP}:{GAP}(?:{STRING}|null)'
+SCORES_TEXT = rf"^(?:```(?:json)?\s*+)?+({held_as(SCORE_FIELD)})(?:\s*+```)?+$"
+ASPECT_ROWS = "array<struct<term:string,category:string,polarity:string>>"
+
+
+def in_braces(c: Column) -> Column:
+    """From the first brace to the last."""
+    return F.regexp_extract(c, r"(?s)\{.*\}", 0)
+
+
+def two_ways(c: Column, usual: Column, native: Column, strict: Callable[[Column], Column], none: Column) -> Column:
+    """native where usual says so, none for nulls, strict for the others alone."""
+    usual = F.coalesce(usual, F.lit(False))
+    return F.when(c.isNull(), none).when(usual, native).otherwise(strict(F.when(~usual, c)))
+
+
+def parsed_aspects(c: Column, strict: Callable[[Column], Column]) -> Column:
+    body = in_braces(c)
+    found = lambda rows, done: F.struct(rows.alias("aspects"), F.lit(done).alias("parse_success"))
+    native = found(F.from_json(body, f"aspects {ASPECT_ROWS}")["aspects"], True)
+    return two_ways(c, body.rlike(ASPECTS_TEXT), native, strict, found(F.array().cast(ASPECT_ROWS), False))
+
+
+def parse_output(c: Column) -> Column:
+    """struct of aspects and parse_success, as read_output has them."""
+    marked = F.replace(c, F.lit("<|im_end|>"), F.lit(""))
+    return parsed_aspects(marked, strict_output)
+
+
+def parse_gold(c: Column) -> Column:
+    """struct of aspects and parse_success, as read_gold has them."""
+    return parsed_aspects(c, strict_gold)
+
+
+strict_output = vectorised(read_output, PARSED, ("aspects", "parse_success"))
+strict_gold = vectorised(read_gold, PARSED, ("aspects", "parse_success"))
+LISTED = f"struct<aspects:{ASPECT_ROWS}>"
 
 
 def parse_aspects(c: Column) -> Column:
     """The aspects of a column that holds them as JSON text."""
-    return vectorised(read_aspects, LISTED, ("aspects",))(c)["aspects"]
+    strict = lambda rest: vectorised(read_aspects, LISTED, ("aspects",))(rest)["aspects"]
+    return two_ways(c, c.rlike(LIST_TEXT), F.from_json(c, ASPECT_ROWS), strict, F.array().cast(ASPECT_ROWS))
 
 
 def parse_judgement(c: Column) -> Column:
     """struct of scores, null where there is no judgement; scores are cut to 1 to 5."""
-    held = vectorised(read_judgement, SCORED, (*SCORES, "explanation"))(c)
+    text = strip(c)
+    native = F.from_json(F.regexp_extract(text, SCORES_TEXT, 1), SCORED)
+    usual = text.rlike(SCORES_TEXT)
+    for s in SCORES:
+        usual = usual & text.contains(f'"{s}"')
+    held = two_ways(c, usual, native, vectorised(read_judgement, SCORED, (*SCORES, "explanation")), F.lit(None).cast(SCORED))
     return F.when(held["overall"].isNotNull(), held)
 
 
@@ -157,8 +226,8 @@ def python_repr(aspects: Column) -> Column:
 def lenient_output(c: Column) -> Column:
     """The native reading of well-formed output; it also takes some text that the strict parser rejects."""
     body = F.regexp_extract(F.replace(strip(c), F.lit("<|im_end|>"), F.lit("")), r"(?s)\{.*\}", 0)
-    held = F.from_json(body, "aspects array<struct<term:string,category:string,polarity:string>>")
-    return F.struct(F.coalesce(held["aspects"], F.array().cast("array<struct<term:string,category:string,polarity:string>>")).alias("aspects"), held.isNotNull().alias("parse_success"))
+    held = F.from_json(body, f"aspects {ASPECT_ROWS}")
+    return F.struct(F.coalesce(held["aspects"], F.array().cast(ASPECT_ROWS)).alias("aspects"), held.isNotNull().alias("parse_success"))
 
 
 def lenient_scores(c: Column) -> Column:

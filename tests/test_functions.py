@@ -130,3 +130,74 @@ def test_rules_take_the_first_match(spark):
 @pytest.mark.parametrize("rows", [[]])
 def test_empty_columns(spark, rows):
     assert values(spark, jsonx.parse_output, rows) == []
+
+
+ASPECT_VALUES = ['"narx"', '"a \\"b\\" \\u02bb \\n"', '""', "null", "5", "1.50", "true", '"\\ud83d\\ude00"', '"\\ud83d"', '"tab\t"', '"é😀ʻ"', "[1]", "NaN", '"x" 5', "01"]
+GAPS = ["", " ", "\n  ", "\t", "\u00a0", "\x0b"]
+
+
+def made_outputs(n=1500):
+    rnd = random.Random(12)
+    gap = lambda: rnd.choice(GAPS[:3] if rnd.random() < 0.97 else GAPS)
+    value = lambda: rnd.choice(ASPECT_VALUES[:4] if rnd.random() < 0.9 else ASPECT_VALUES)
+
+    def one():
+        names = rnd.choices(["term", "category", "polarity"], k=rnd.randint(0, 4)) if rnd.random() < 0.3 else ["term", "category", "polarity"]
+        if rnd.random() < 0.05:
+            names.append(rnd.choice(["Term", "score", "aspects"]))
+        return "{" + gap() + ",".join(f'{gap()}"{k}"{gap()}:{gap()}{value()}' for k in names) + gap() + "}"
+
+    out = []
+    for _ in range(n):
+        rows = f",{gap()}".join(one() for _ in range(rnd.randint(0, 3)))
+        text = f'{{{gap()}"aspects"{gap()}:{gap()}[{gap()}{rows}{gap()}]{gap()}}}'
+        k = rnd.random()
+        out.append(text if k < 0.6 else f"So: {text}<|im_end|> " if k < 0.7 else text + rnd.choice(["}", " {}", "x", "\x00", ",", '"']) if k < 0.8 else text[: rnd.randrange(len(text))] if k < 0.85 else text.replace('"', "'") if k < 0.88 else rows if k < 0.92 else f"[{rows}]")
+    return out + ["", " ", None, "{}", '{"aspects": null}', '{"aspects": [1, {"term": "a"}]}', '{"aspects": [{}]}', '{"aspects": []} {"aspects": []}', '{"aspects": [{"term": "' + "a" * 200_000 + '"}]}', '{"aspects": [{"term": "' + "\\\\" * 100_000 + '"}]}']
+
+
+def test_two_ways_of_parsing_agree(spark):
+    """What the pattern takes from_json reads as the strict parsers do; and it takes well-formed rows, but not the others."""
+    rows = made_outputs()
+    plain = lambda r: None if r is None else ([tuple(a) for a in r.aspects], r.parse_success) if hasattr(r, "parse_success") else [tuple(a) for a in r]
+    want = lambda d: ([(a["term"], a["category"], a["polarity"]) for a in d["aspects"]], d.get("parse_success"))
+    for f, strict in ((jsonx.parse_output, jsonx.read_output), (jsonx.parse_gold, jsonx.read_gold)):
+        for t, got in zip(rows, values(spark, f, rows), strict=True):
+            assert plain(got) == want(strict(t)), t
+    for t, got in zip(rows, values(spark, jsonx.parse_aspects, rows), strict=True):
+        assert plain(got) == want(jsonx.read_aspects(t))[0], t
+    usual = values(spark, lambda c: jsonx.in_braces(c).rlike(jsonx.ASPECTS_TEXT), rows)
+    assert 500 < sum(map(bool, usual)) < 1300
+
+
+def test_two_ways_of_judging_agree(spark):
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(600):
+        keys = list(jsonx.SCORES) + (["explanation"] if rnd.random() < 0.7 else [])
+        rnd.shuffle(keys)
+        if rnd.random() < 0.1:
+            keys.pop()
+        number = lambda: rnd.choice(["1", "3", "5"] if rnd.random() < 0.97 else ["0", "9", "4.7", '"4"', "null", "44"])
+        text = "{" + ", ".join(f'"{k}": {number()}' if k != "explanation" else rnd.choice(['"explanation": "good \\"overall\\" {x}"', '"explanation": null', '"explanation": ""']) for k in keys) + "}"
+        rows.append(rnd.choice([text, text, f"```json\n{text}\n```", f"```{text}```", f"Here: {text}", text + " x", text.replace("{", "{ \n")]))
+    rows += [None, "", "{}"]
+    for t, got in zip(rows, values(spark, jsonx.parse_judgement, rows), strict=True):
+        want = jsonx.read_judgement(t)
+        assert (None if got is None else got.asDict()) == want, t
+
+
+def test_python_reads_the_rest_only(spark, monkeypatch):
+    """The parser counts what it is given: of a hundred well-formed rows and three others, three."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(t):
+        seen.add(1)
+        return jsonx.read_output(t)
+
+    monkeypatch.setattr(jsonx, "strict_output", jsonx.vectorised(counting, jsonx.PARSED, ("aspects", "parse_success")))
+    rows = ['{"aspects": [{"term": "a", "category": null, "polarity": "positive"}]}'] * 100 + ["x", '{"aspects": [{"term": 5}]}', "{", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string").repartition(2).select(jsonx.parse_output(F.col("t")).alias("v"))
+    assert df.where("v.parse_success").count() == 101 and seen.value == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "from_json" in plan and "RLIKE" in plan
