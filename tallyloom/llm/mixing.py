@@ -22,7 +22,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -50,13 +50,14 @@ ORDERS = (1, 2, 3, 5)
 LETTER_ROUNDS = 3
 #: Evidence that a slot without counts has for either side; what a step moves weights by; the least probability.
 PRIOR, RATE, LEAST = 0.3, 0.01, 1 / 65536
-#: Cells of the correction table, and how many observations its start is worth.
-CELLS, TRUST = 24, 100.0
+#: Cells of the correction table, and the share of an error by which one moves, as its inverse.
+CELLS, TRUST = 24, 120.0
 #: The symbols before the words; the end's key, which no word can be.
 ESCAPE, END, END_KEY = 0, 1, b" "
 #: Rows of a table that travel together.
 PIECE_BITS = 14
-WORD_INPUTS, WORD_GATES = 4, 12
+WORD_INPUTS, WORD_GATES = 4, 16
+SCATTER = np.uint32(0x9E3779B1)
 LETTER_GATES = 9
 
 
@@ -79,12 +80,9 @@ def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Numbers below 2 ** bits; context and node: 32-bit."""
-    h = node * np.uint32(0x9E3779B1)
-    h ^= context
+    """Numbers below 2 ** bits; context: 32-bit; node: 32-bit, multiplied by SCATTER."""
+    h = context ^ node
     h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0xC2B2AE35)
     h >>= np.uint32(32 - bits)
     return h.astype(np.int64)
 
@@ -102,8 +100,7 @@ class Dictionary:
     outside: tuple[int, int]  # tokens and words outside, in training tokens
     lengths: np.ndarray = field(init=False)
     starts: np.ndarray = field(init=False)
-    nodes: np.ndarray = field(init=False)
-    sides: np.ndarray = field(init=False)
+    paths: np.ndarray = field(init=False)  # twice a node and the side taken there, from the root
     odds: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -125,10 +122,10 @@ class Dictionary:
             now = np.where(on, parent[now], now)
         self.lengths = np.sum([on for on, _, _ in steps], axis=0).astype(np.int64)
         self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
-        self.nodes, self.sides = np.zeros(self.lengths.sum(), np.uint32), np.zeros(self.lengths.sum(), np.uint8)
+        self.paths = np.zeros(self.lengths.sum(), np.uint32)
         for k, (on, node, bit) in enumerate(steps):  # from the leaves to the root
             at = (self.starts + self.lengths - 1 - k)[on]
-            self.nodes[at], self.sides[at] = node[on], bit[on]
+            self.paths[at] = node[on] * 2 + bit[on]
 
     @cached_property
     def symbol(self) -> dict[bytes, int]:
@@ -202,22 +199,30 @@ def hashes(texts: list[Text]) -> tuple[np.ndarray, np.ndarray]:
     one, two = [], []
     for t in texts:
         before = np.concatenate([[np.uint32(0xFFFFFFFF)] * 2, t.contexts[:-1]]).astype(np.uint32)
-        one.append(before[1:] * np.uint32(0x2C1B3C6D) + np.uint32(1))
-        two.append((before[1:] * np.uint32(0x297A2D39) ^ before[:-1] * np.uint32(0x1B873593)) + np.uint32(2))
-    return np.concatenate(one), np.concatenate(two)
+        one.append(before[1:])
+        two.append(before[1:] * np.uint32(0x297A2D39) ^ before[:-1] * np.uint32(0x1B873593))
+    return tuple(stirred(np.concatenate(c) + np.uint32(k)) for k, c in ((1, one), (2, two)))
+
+
+def stirred(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return h ^ (h >> np.uint32(16))
 
 
 def spread(known: Dictionary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(decisions of each symbol, node and side of each decision), in order."""
     n = known.lengths.take(symbols)
     ends = np.cumsum(n)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(known.starts.take(symbols) - ends + n, n)
-    return n, known.nodes.take(at), known.sides.take(at)
+    at = np.repeat(known.starts.take(symbols) - ends + n, n)
+    at += np.arange(len(at))
+    path = known.paths.take(at)
+    return n, path >> np.uint32(1), path & np.uint32(1)
 
 
 def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word, letter, node, side, contexts): of each bit of the words and of a blank after each, the word's number, the
-    byte's, the bits of the byte so far; of each byte the hash of every order's context.
+    byte's, the bits of the byte so far times SCATTER; of each byte the hash of every order's context.
     """
     data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -228,10 +233,10 @@ def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         before = np.where(place >= k, np.concatenate([np.zeros(min(k, len(data)), np.uint8), data[:-k]]), 0).astype(np.uint32)
         h = (h + before + np.uint32(1)) * np.uint32(0x01000193)
         if k in ORDERS:
-            contexts.append(h + np.uint32(k))
+            contexts.append(stirred(h + np.uint32(k)))
     bits = np.unpackbits(data).reshape(-1, 8)
     node = np.concatenate([np.ones((len(data), 1), np.uint32), (1 << np.arange(1, 8, dtype=np.uint32)) | np.stack([data >> (8 - i) for i in range(1, 8)], 1)], 1)
-    return np.repeat(word, 8), np.repeat(np.arange(len(data), dtype=np.int32), 8), node.astype(np.uint32).ravel(), bits.ravel(), np.stack(contexts)
+    return np.repeat(word, 8), np.repeat(np.arange(len(data), dtype=np.int32), 8), node.astype(np.uint32).ravel() * SCATTER, bits.ravel(), np.stack(contexts)
 
 
 @dataclass
@@ -246,7 +251,7 @@ class Tables:
 
     def take(self, table: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = self.slots[table].take(at)
-        return found, (found.view(np.uint32) & np.uint32(3)).astype(np.int64)
+        return found, found.view(np.uint32) & np.uint32(3)
 
 
 def gathered(rows: DataFrame, make: Callable, tables: int, bits: int, scratch: Scratch, name: str) -> tuple[Tables, Tables]:
@@ -313,14 +318,14 @@ class Sums:
     def none(cls, gates: int, inputs: int) -> Sums:
         return cls(np.zeros((gates, inputs)), np.zeros((gates, inputs, inputs)))
 
-    def add(self, x: np.ndarray, gate: np.ndarray, side: np.ndarray, p: np.ndarray) -> None:
+    def add(self, x: Sequence[np.ndarray], gate: np.ndarray, side: np.ndarray, p: np.ndarray) -> None:
         gates, inputs = self.slope.shape
         off, width = side - p, p * (1 - p)
         for i in range(inputs):
-            self.slope[:, i] += np.bincount(gate, off * x[:, i], gates)
-            wide = width * x[:, i]
+            self.slope[:, i] += np.bincount(gate, off * x[i], gates)
+            wide = width * x[i]
             for j in range(i + 1):
-                self.curve[:, i, j] += np.bincount(gate, wide * x[:, j], gates)
+                self.curve[:, i, j] += np.bincount(gate, wide * x[j], gates)
 
     def step(self, weights: np.ndarray) -> np.ndarray:
         """The weights after a step, drawn a little to where they were; rounded, so that the order of sums is forgotten."""
@@ -329,7 +334,10 @@ class Sums:
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return np.clip(1 / (1 + np.exp(-x)), LEAST, 1 - LEAST)
+    out = np.exp(-x)
+    out += 1
+    np.reciprocal(out, out=out)
+    return np.clip(out, LEAST, 1 - LEAST, out=out)
 
 
 @dataclass
@@ -342,7 +350,7 @@ class Letters:
         at = [slot(c[letter], node, LETTER_BITS) for c in contexts]
         found = [self.tables.take(k, a) for k, a in enumerate(at)]
         gate = np.minimum(found[1][1], 2) * 3 + np.minimum(found[3][1], 2)
-        return word, np.stack([x for x, _ in found], 1), gate, side
+        return word, np.stack([x for x, _ in found], 1), gate.astype(np.int64), side
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         """What the letters of each word and the blank after it cost."""
@@ -400,35 +408,46 @@ def lane_bits(known: Dictionary, tables: Tables, weights: np.ndarray, lanes: lis
     symbols, one, two = symbols.take(tok), one.take(tok), two.take(tok)
     counts = np.zeros((len(lanes) << OWN_BITS, 2), np.float32)
     flat = counts.reshape(-1)
-    w = np.tile(weights.astype(np.float32), (len(lanes), 1))
+    w = [np.tile(weights[:, k].astype(np.float32), len(lanes)) for k in range(WORD_INPUTS)]
     cells = np.tile(squash((np.arange(CELLS) - CELLS // 2 + 0.5) / 1.5).astype(np.float32), len(lanes))
-    out, every = np.zeros(len(lanes)), np.arange(WORD_INPUTS)
+    out = np.zeros(len(lanes))
     for a, b in zip(edges, edges[1:], strict=False):
         n, node, side = spread(known, symbols[a:b])
         lane, y = np.repeat(lane_of[a:b], n), side.astype(np.float32)
-        x = np.empty((len(node), WORD_INPUTS), np.float32)
-        x[:, 0] = known.odds.take(node)
-        x[:, 1], e1 = tables.take(0, slot(np.repeat(one[a:b], n), node, WORD_BITS))
-        x[:, 2], e2 = tables.take(1, slot(np.repeat(two[a:b], n), node, WORD_BITS))
-        own = (lane << OWN_BITS) + slot(np.uint32(7), node, OWN_BITS)
+        own = (lane << OWN_BITS) + (node & np.uint32((1 << OWN_BITS) - 1))  # frequent nodes have slots of their own
         pairs = counts.take(own, axis=0)
-        x[:, 3] = log_odds(pairs[:, 0], pairs[:, 1])
-        np.add.at(flat, own * 2 + side, np.float32(1))
-        gate = e1 * 3 + np.minimum(e2, 2)
-        row = lane * WORD_GATES + gate
-        dot = np.einsum("ij,ij->i", w.take(row, axis=0), x)
+        own += own
+        own += side
+        np.add.at(flat, own, np.float32(1))
+        x0, x3 = known.odds.take(node), log_odds(pairs[:, 0], pairs[:, 1])
+        node *= SCATTER
+        x1, gate = tables.take(0, slot(np.repeat(one[a:b], n), node, WORD_BITS))
+        x2, e2 = tables.take(1, slot(np.repeat(two[a:b], n), node, WORD_BITS))
+        gate <<= np.uint32(2)
+        gate |= e2
+        row, inputs = lane * WORD_GATES, (x0, x1, x2, x3)
+        row += gate
+        dot = w[0].take(row)
+        dot *= x0
+        for k in range(1, WORD_INPUTS):
+            dot += w[k].take(row) * inputs[k]
         p = squash(dot)
         if sums is not None:
-            sums.add(x, gate, y, p)
+            sums.add(inputs, gate.astype(np.int64), y, p)
             continue
-        cell = lane * CELLS + np.clip(np.floor(dot * np.float32(1.5)), -(CELLS // 2), CELLS // 2 - 1).astype(np.int64) + CELLS // 2
+        dot *= np.float32(1.5)
+        np.floor(dot, out=dot)
+        np.clip(dot, -(CELLS // 2), CELLS // 2 - 1, out=dot)
+        cell = lane * CELLS
+        cell += (dot + np.float32(CELLS // 2)).astype(np.int64)
         seen = cells.take(cell)
-        out += np.bincount(lane, -np.log2(np.abs((p + seen) * np.float32(0.5) + y - 1)), len(lanes))
-        x *= (y - p)[:, None]
-        w += RATE * np.bincount((row[:, None] * WORD_INPUTS + every).ravel(), x.ravel(), w.size).reshape(w.shape)
-        cells += np.bincount(cell, y - seen, len(cells)) / (np.bincount(cell, minlength=len(cells)) + TRUST)
+        out += np.bincount(lane, np.log2(np.abs((p + seen) * np.float32(0.5) + y - 1)), len(lanes))
+        off = y - p
+        for k in range(WORD_INPUTS):
+            w[k] += RATE * np.bincount(row, off * inputs[k], len(w[k]))
+        cells += np.bincount(cell, y - seen, len(cells)) / TRUST
         np.clip(cells, LEAST, 1 - LEAST, cells)
-    return out
+    return -out
 
 
 def start_weights(rows: DataFrame, make: Callable, weights: np.ndarray, rounds: int) -> np.ndarray:
@@ -523,6 +542,7 @@ def word_model(rows: DataFrame, known, scratch: Scratch) -> Words:
             for a in range(0, len(symbols), SPREAD):
                 some = slice(a, a + SPREAD)
                 n, node, side = spread(known.value, symbols[some])
+                node *= SCATTER
                 yield np.repeat(tuning[some], n), [slot(np.repeat(h[some], n), node, WORD_BITS) for h in (one, two)], side
 
         return work
@@ -557,7 +577,7 @@ def letter_model(rows: DataFrame, scratch: Scratch) -> Letters:
         def work(batch: pa.RecordBatch, sums: Sums) -> None:
             for words, _ in parted(batch.column(1).to_pylist()):
                 _, x, gate, side = Letters(held.value, weights).inputs(words)
-                sums.add(x, gate, side, squash(np.einsum("ij,ij->i", weights[gate], x)))
+                sums.add(x.T, gate, side, squash(np.einsum("ij,ij->i", weights[gate], x)))
 
         return lambda: work
 

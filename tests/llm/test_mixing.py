@@ -110,9 +110,12 @@ def plain_bits(known, tables, weights, text, segment, chunk):
     mul = lambda a, b: (a * b) & 0xFFFFFFFF
 
     def slot(context, node, size):
-        h = mul(context ^ mul(node, 0x9E3779B1), 0x85EBCA6B)
-        h ^= h >> 15
-        return mul(h, 0xC2B2AE35) >> (32 - size)
+        return mul(context ^ mul(node, 0x9E3779B1), 0x85EBCA6B) >> (32 - size)
+
+    def stirred(h):
+        h = mul(h ^ (h >> 16), 0x7FEB352D)
+        h = mul(h ^ (h >> 15), 0x846CA68B)
+        return h ^ (h >> 16)
 
     squash = lambda x: min(1 - mixing.LEAST, max(mixing.LEAST, 1 / (1 + math.exp(-x))))
     for start in range(0, len(text.symbols), segment):
@@ -123,28 +126,27 @@ def plain_bits(known, tables, weights, text, segment, chunk):
         for at in range(start, stop, chunk):
             decisions = []
             for i in range(at, min(stop, at + chunk)):
-                h1 = (mul(contexts[i + 1], 0x2C1B3C6D) + 1) & 0xFFFFFFFF
-                h2 = ((mul(contexts[i + 1], 0x297A2D39) ^ mul(contexts[i], 0x1B873593)) + 2) & 0xFFFFFFFF
+                h1 = stirred((contexts[i + 1] + 1) & 0xFFFFFFFF)
+                h2 = stirred(((mul(contexts[i + 1], 0x297A2D39) ^ mul(contexts[i], 0x1B873593)) + 2) & 0xFFFFFFFF)
                 s = text.symbols[i]
                 for k in range(known.starts[s], known.starts[s] + known.lengths[s]):
-                    decisions.append((h1, h2, int(known.nodes[k]), int(known.sides[k])))
-            moves, cell_moves = np.zeros_like(w), [[0.0, 0] for _ in cells]
-            seen = [tuple(own[slot(7, n, mixing.OWN_BITS)]) for _, _, n, _ in decisions]
+                    decisions.append((h1, h2, int(known.paths[k]) >> 1, int(known.paths[k]) & 1))
+            moves, cell_moves = np.zeros_like(w), [0.0 for _ in cells]
+            seen = [tuple(own[n % (1 << mixing.OWN_BITS)]) for _, _, n, _ in decisions]
             for d, (h1, h2, node, side) in enumerate(decisions):
                 (x1, e1), (x2, e2) = (tables.take(k, np.array([slot(h, node, bits)])) for k, h in enumerate((h1, h2)))
                 x = [known.odds[node], x1[0], x2[0], math.log((seen[d][1] + mixing.PRIOR) / (seen[d][0] + mixing.PRIOR))]
-                gate = e1[0] * 3 + min(2, e2[0])
+                gate = int(e1[0]) * 4 + int(e2[0])
                 dot = sum(p * q for p, q in zip(w[gate], x, strict=True))
                 p, c = squash(dot), max(0, min(mixing.CELLS - 1, math.floor(dot * 1.5) + mixing.CELLS // 2))
                 q = (p + cells[c]) / 2
                 total -= math.log2(q if side else 1 - q)
                 moves[gate] += mixing.RATE * (side - p) * np.array(x)
-                cell_moves[c][0] += side - cells[c]
-                cell_moves[c][1] += 1
+                cell_moves[c] += side - cells[c]
             for _, _, node, side in decisions:
-                own[slot(7, node, mixing.OWN_BITS)][side] += 1
+                own[node % (1 << mixing.OWN_BITS)][side] += 1
             w += moves
-            cells = [min(1 - mixing.LEAST, max(mixing.LEAST, c + m / (n + mixing.TRUST))) for c, (m, n) in zip(cells, cell_moves, strict=True)]
+            cells = [min(1 - mixing.LEAST, max(mixing.LEAST, c + m / mixing.TRUST)) for c, m in zip(cells, cell_moves, strict=True)]
     return total
 
 
@@ -186,7 +188,7 @@ def prefix_bits(model, prefix):
 def test_tree_and_prices():
     _, known, _, _ = some_model(random.Random(1))
     assert np.exp2(-known.lengths.astype(float)).sum() == pytest.approx(1)
-    assert len({tuple(zip(known.nodes[s : s + n].tolist(), known.sides[s : s + n].tolist(), strict=True)) for s, n in zip(known.starts, known.lengths, strict=True)}) == len(known.counts)
+    assert len({tuple(known.paths[s : s + n].tolist()) for s, n in zip(known.starts, known.lengths, strict=True)}) == len(known.counts)
     counts, spelt = np.array([1] * 20 + [2, 8] + [0] * 1024), np.full(1046, 10.0)
     spelt[:22] = 60
     assert np.exp2(-known.price(spelt, counts)).sum() < 1.05 and (known.price(np.array([5000.0]), np.array([0])) > 4999).all()
