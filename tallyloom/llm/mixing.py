@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from tallyloom.llm.common import Scratch, give_back, map_arrow, partitions, slic
 from tallyloom.workers import ship
 
 #: A word is in the dictionary if it is one of so many tokens at least; so there are no more words in it than that.
-SHARE = 1 << 18
+SHARE = 1 << 15
 #: Bytes of a word that has a row by itself; of a longer one its digest stands in tables.
 LONG = 64
 #: Words whose decisions a worker spreads at a time, few enough for a processor's cache.
@@ -52,6 +53,8 @@ LETTER_ROUNDS = 3
 PRIOR, RATE, LEAST = 0.3, 0.01, 1 / 65536
 #: Cells of the correction table, and the share of an error by which one moves, as its inverse.
 CELLS, TRUST = 24, 120.0
+#: What a repeated word of a text leaves to new ones.
+NEW = 0.97
 #: The symbols before the words; the end's key, which no word can be.
 ESCAPE, END, END_KEY = 0, 1, b" "
 #: Rows of a table that travel together.
@@ -151,34 +154,41 @@ class Dictionary:
 
 @dataclass
 class Text:
-    """A text as symbols, its end included, a number for each token as a context, its words outside the dictionary, and
-    the bits that tell which of these have stood in the text before.
-    """
+    """A text as symbols, its end included, a number for each token as a context, and its words outside the dictionary."""
 
     symbols: np.ndarray
     contexts: np.ndarray
     others: Counter
-    repeats: float
 
 
-def read(data: bytes, known: Dictionary, all_: bool = True) -> Text:
-    """Long texts are read some at a time, each part ending at white space; all_: with what stands outside."""
-    get, symbols, contexts, others, total, bits = known.symbol.get, [], [], Counter(), 0, 0.0
+def read(data: bytes, known: Dictionary) -> Text:
+    """Long texts are read some at a time, each part ending at white space."""
+    get, symbols, contexts, others = known.symbol.get, [], [], Counter()
     for part in parts_of(data):
         words = tokens(part)
-        found = np.fromiter([get(w, ESCAPE) for w in words], np.int32, len(words))
+        found = np.fromiter(map(get, words, repeat(ESCAPE)), np.int64, len(words))
         context = found.astype(np.uint32)
-        rare = np.flatnonzero(found == ESCAPE)
-        if len(rare):
-            out = [words[i] for i in rare.tolist()]
-            context[rare] = np.fromiter([zlib.crc32(w) for w in out], np.uint32, len(out)) | np.uint32(1 << 31)
-            for w in out if all_ else ():
-                before, again = others[w], total - len(others)  # a new word, or which of the earlier ones
-                bits += math.log2(total + 1) - math.log2(again + 0.5) + math.log2(total) - math.log2(before) if before else math.log2(total + 1) - math.log2(len(others) + 0.5) if total else 0.0
-                others[w], total = before + 1, total + 1
+        rare = found == ESCAPE
+        if len(out := list(compress(words, rare.tolist()))):
+            context[rare] = np.fromiter(map(zlib.crc32, out), np.uint32, len(out)) | np.uint32(1 << 31)
+            others.update(out)
         symbols.append(found)
         contexts.append(context)
-    return Text(np.concatenate([*symbols, [np.int32(END)]]), np.concatenate([*contexts, [np.uint32(END)]]), others, bits)
+    return Text(np.concatenate([*symbols, [END]]), np.concatenate([*contexts, [np.uint32(END)]]), others)
+
+
+def repeats(counts: Sequence[int]) -> float:
+    """Bits that tell which of a text's rare words are new there and which one another repeats, by how often each stands.
+
+    A word that stands c times among t so far comes next with (c - d) / (t + 1), a new one with what is left (Pitman and
+    Yor's process); so the order of the words makes no difference.
+    """
+    t, n, d = sum(counts), len(counts), NEW
+    if not t:
+        return 0.0
+    new = (n - 1) * math.log(d) + math.lgamma(n + 1 / d) - math.lgamma(1 + 1 / d)
+    again = sum([math.lgamma(c - d) - math.lgamma(1 - d) for c in counts if c > 1])
+    return (math.lgamma(t + 1) - new - again) / math.log(2)
 
 
 def parts_of(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -531,7 +541,7 @@ def word_model(rows: DataFrame, known, scratch: Scratch) -> Words:
     """Tables and start weights from (fold, text) of the training documents; known: the dictionary, broadcast."""
 
     def texts_of(batch: pa.RecordBatch) -> list[Text]:
-        return [read(x or b"", known.value, False) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        return [read(x or b"", known.value) for x in batch.column(1).cast(pa.binary()).to_pylist()]
 
     def events():
         def work(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -620,29 +630,31 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             data = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             texts = [read(x, d) for x in data]
             bits = mixed(d, mixer.value.tables, mixer.value.weights, texts)
-            base, found, others = [], [], []
-            fresh = list({w for t in texts for w in t.others if key_of(w) in d.frequent or len(w) > LONG} - costs.keys())
+            base, found = [], []
+            special = [[w for w in t.others if len(w) > LONG or w in d.frequent] for t in texts]
+            fresh = list({w for held in special for w in held} - costs.keys())
             costs.update(zip(fresh, d.price(spelt.value.bits(fresh), np.array([d.frequent.get(w, 0) for w in fresh])).tolist(), strict=True))
             for k, t in enumerate(texts):
+                bits[k] += repeats(t.others.values())
                 inside = t.symbols[t.symbols != ESCAPE]
-                bits[k] += t.repeats
                 b, n = float(d.base[inside].sum()), int((d.counts[inside] > 0).sum())
-                ask = []
-                for w, times in t.others.items():
-                    key = key_of(w)
-                    if w in costs:
-                        bits[k] += costs[w]
+                for w in special[k]:
+                    bits[k] += costs[w]
+                    times, key = t.others.pop(w), key_of(w)
                     if key in d.frequent:
                         b, n = b + d.base_of(d.frequent[key]) * times, n + times * (d.frequent[key] > 0)
                     else:
-                        ask.append({"word": key, "n": times})
+                        t.others[key] = times
                 base.append(b)
                 found.append(n)
-                others.append(ask)
-            while len(costs) > 100_000:
+            if len(costs) > 100_000:
                 costs.clear()
-            rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.symbols) for t in texts], pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(bits, pa.float64()), pa.array(others, rare_type)], ["doc_id", "n_tokens", "n_bytes", "n_known", "base", "bits", "others"])
+            words = pa.array(chain.from_iterable(t.others for t in texts), pa.binary())
+            times = pa.array(chain.from_iterable(t.others.values() for t in texts), pa.int64())
+            ends = np.cumsum([0, *(len(t.others) for t in texts)]).astype(np.int32)
+            others = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, times], ["word", "n"]))
+            numbers = [pa.array(c, pa.int64()) for c in ([len(t.symbols) for t in texts], [len(x) for x in data], found)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(base, pa.float64()), pa.array(bits, pa.float64()), others], ["doc_id", "n_tokens", "n_bytes", "n_known", "base", "bits", "others"])
 
         return work
 

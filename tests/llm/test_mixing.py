@@ -166,7 +166,7 @@ def test_lanes_do_what_one_text_does(monkeypatch):
 def test_one_token_texts_sum_to_one():
     """Over all first tokens the mixer's probabilities sum to 1, and so do those of letters up to a length."""
     _, known, tables, weights = some_model(random.Random(4))
-    start = [mixing.Text(np.array([s], np.int32), np.array([0], np.uint32), Counter(), 0.0) for s in range(len(known.counts))]
+    start = [mixing.Text(np.array([s], np.int32), np.array([0], np.uint32), Counter()) for s in range(len(known.counts))]
     assert np.exp2(-mixing.mixed(known, tables, weights, start)).sum() == pytest.approx(1, abs=1e-4)
     r = np.random.default_rng(1)
     model = mixing.Letters(mixing.Tables.of(r.normal(0, 1, (4, 1 << mixing.LETTER_BITS)), r.integers(0, 4, (4, 1 << mixing.LETTER_BITS)).astype(np.uint8)), r.normal(0.3, 0.1, (mixing.LETTER_GATES, 4)))
@@ -195,10 +195,18 @@ def test_tree_and_prices():
 
 
 def test_repeats_of_rare_words():
+    """The closed form is the product over the words in any order, and over all next words the process sums to 1."""
     _, known, _, _ = some_model(random.Random(1))
     text = mixing.read(b"xx yy XX zz xx", known)
-    want = -math.log2(1.5 / 2) - math.log2(0.5 / 3) - math.log2(1 / 2) - math.log2(2.5 / 4) - math.log2(1.5 / 5) - math.log2(2 / 4)
-    assert text.others == {b"xx": 3, b"yy": 1, b"zz": 1} and text.repeats == pytest.approx(want)
+    assert text.others == {b"xx": 3, b"yy": 1, b"zz": 1}
+    for order in (["xx", "yy", "xx", "zz", "xx"], ["zz", "xx", "xx", "xx", "yy"]):
+        want, seen = 0.0, Counter()
+        for t, w in enumerate(order):
+            if t:
+                want -= math.log2((seen[w] - mixing.NEW if seen[w] else 1 + mixing.NEW * len([c for c in seen.values() if c])) / (t + 1))
+            seen[w] += 1
+        assert mixing.repeats(text.others.values()) == pytest.approx(want)
+    assert mixing.repeats([]) == mixing.repeats([1]) == 0
 
 
 def test_long_texts_are_read_in_parts():
