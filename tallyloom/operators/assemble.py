@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.aspects import count, empty
 from tallyloom.functions.mathx import FLAG, INCLUDE, tier
-from tallyloom.operators.clean import top
 from tallyloom.schemas import ANNOTATION_SOURCE, NO_CATEGORY, SCORES
+from tallyloom.sources.readers import once
 
 TIERS = ("include", "flag_for_review", "exclude", "unjudged")
 
@@ -45,22 +45,39 @@ def published(merged: DataFrame) -> DataFrame:
     return merged.select("review_id", "text", "business_name", F.coalesce("business_category", F.lit(NO_CATEGORY)).alias("business_category"), "user_rating", F.coalesce("aspects", empty()).alias("aspects"), "num_aspects", "annotation_source", "quality_tier")
 
 
-def histogram(df: DataFrame, key: str) -> DataFrame:
-    """One row with a map of key to count; keys are classes, of which there are few."""
-    return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.col(key), F.lit("unknown")), "n"))).alias(f"{key}_counts"))
+SUMS = ("judged", "unjudged", "included", "flagged", "excluded", "silver", "total_aspects")
+
+
+def facts(merged: DataFrame) -> DataFrame:
+    """(kind, key, n, first_seen, sums): how often each domain, included domain, polarity and category stands, from one scan.
+
+    A row gives a fact of its own (kind row, which alone is summed up), one of its domain, a further one if it is
+    included, and two for each aspect; equal facts combine before the shuffle.
+    """
+    tier, aspects, domain = F.col("quality_tier"), F.coalesce("aspects", empty()), F.col("business_category")
+    numbers = (tier != "unjudged", tier == "unjudged", tier == "include", tier == "flag_for_review", tier == "exclude", tier.isin("include", "unjudged"))
+    sums = dict(zip(SUMS, [*(F.coalesce(c, F.lit(False)).cast("long") for c in numbers), count(F.col("aspects")).cast("long")], strict=True))
+    fact = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    of = lambda kind, field: F.transform(aspects, lambda a: fact(kind, F.coalesce(a[field], F.lit("unknown"))))
+    own = F.filter(F.array(fact("row", F.lit("")), fact("domain", domain), fact("included", domain)), lambda f: (f["kind"] != "included") | F.coalesce(tier == "include", F.lit(False)))
+    held = merged.select("ordinal", *[c.alias(k) for k, c in sums.items()], *[F.col(f"judge_{s}") for s in SCORES], F.explode(F.concat(own, of("polarity", "polarity"), of("category", "category"))).alias("f")).select("*", "f.kind", "f.key")
+    own_row = lambda c: F.when(F.col("kind") == "row", F.col(c))
+    return held.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("ordinal").alias("first_seen"), *[F.sum(own_row(c)).alias(c) for c in SUMS], *[F.avg(own_row(f"judge_{s}")).alias(f"avg_{s}") for s in SCORES])
 
 
 def dataset_stats(merged: DataFrame) -> DataFrame:
-    """One row: totals, tiers, aspects, judge means, and maps of domains, polarities and the 20 most frequent categories."""
-    t = lambda k: F.count_if(F.col("quality_tier") == k)
-    rows = merged.agg(
-        F.count("*").alias("total"), F.count_if(F.col("quality_tier") != "unjudged").alias("judged"), t("unjudged").alias("unjudged"), t("include").alias("included"), t("flag_for_review").alias("flagged"), t("exclude").alias("excluded"),
-        F.count_if(F.col("quality_tier").isin("include", "unjudged")).alias("silver"), F.sum(count(F.col("aspects")).cast("long")).alias("total_aspects"), F.avg(count(F.col("aspects"))).alias("avg_aspects"),
-        F.count_distinct("business_category").alias("n_domains"), *[F.avg(f"judge_{s}").alias(f"avg_{s}") for s in SCORES],
+    """One row: totals, tiers, aspects, judge means, and maps of domains, polarities and the 20 most frequent categories.
+
+    merged is scanned once; what is then put together is a row for each domain, polarity and category.
+    """
+    found = once(facts(merged))
+    whole = lambda c: F.max(F.when(F.col("kind") == "row", F.col(c)))
+    of = lambda kind: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.coalesce("key", F.lit("unknown")), "n"))))
+    total, zero = F.coalesce(whole("n"), F.lit(0).cast("long")), F.lit(0).cast("long")
+    rows = found.where("kind <> 'category'").agg(
+        total.alias("total"), *[F.coalesce(whole(c), zero).alias(c) for c in SUMS[:-1]], whole(SUMS[-1]).alias(SUMS[-1]), F.try_divide(whole(SUMS[-1]), total).alias("avg_aspects"), F.count(F.when(F.col("kind") == "domain", F.col("key"))).alias("n_domains"),
+        *[whole(f"avg_{s}").alias(f"avg_{s}") for s in SCORES], of("domain").alias("business_category_counts"), of("included").alias("included_counts"), of("polarity").alias("polarity_counts"),
     )
-    held = merged.select("ordinal", F.explode("aspects").alias("a")).select("ordinal", F.coalesce("a.polarity", F.lit("unknown")).alias("polarity"), F.coalesce("a.category", F.lit("unknown")).alias("category"))
-    categories = top(held, "category", 20).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("top_categories"))
-    parts = [histogram(merged, "business_category"), histogram(merged.where("quality_tier = 'include'"), "business_category").withColumnRenamed("business_category_counts", "included_counts"), histogram(held, "polarity"), categories]
-    for p in parts:
-        rows = rows.crossJoin(F.broadcast(p))  # one row each
-    return rows
+    first = found.where("kind = 'category'").orderBy(F.desc("n"), "first_seen").limit(20)
+    categories = first.agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("top_categories"))
+    return rows.crossJoin(F.broadcast(categories))  # one row each

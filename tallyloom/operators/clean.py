@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import script_class, snippet, strip
+from tallyloom.operators.stats import observed
 from tallyloom.sources.readers import dense_ordinal
 
 LEAST_CHARS = 10
@@ -35,6 +38,17 @@ def stage_counts(df: DataFrame, text: str = "review_text", least: int = LEAST_CH
     return df.agg(F.count("*").alias("n_rows"), F.count_if(there).alias("n_present"), F.count_if(full).alias("n_not_blank"), F.count_if(long).alias("n_long"), F.count_distinct(F.when(long, F.col(text))).alias("n_unique"))
 
 
+def clean_counted(df: DataFrame, text: str = "review_text", least: int = LEAST_CHARS, ordinal: str = "ordinal") -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """clean(df), and a function that gives the counts of stage_counts() once an action on the frame has run.
+
+    The counts are taken in the pass that makes the result, before and after the shuffle; the input isn't read for them.
+    """
+    there, full = F.col(text).isNotNull(), has_text(F.col(text))
+    before, first = observed(df, F.count("*").alias("n_rows"), F.count_if(there).alias("n_present"), F.count_if(full).alias("n_not_blank"), F.count_if(full & (F.length(text) >= least)).alias("n_long"))
+    after, last = observed(clean(before, text, least, ordinal=ordinal), F.count("*").alias("n_unique"))
+    return after, lambda: {**first.get, **last.get}
+
+
 def explore_clean(df: DataFrame, text: str = "review_text") -> DataFrame:
     return df.where(has_text(F.col(text)))
 

@@ -1,8 +1,8 @@
-"""Profiles and aggregates (AG1 to AG12, AG17, AG20)."""
+"""Profiles and aggregates (AG1 to AG12, AG17, AG20), each from one scan of its input."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.aspects import count
@@ -23,17 +23,19 @@ def text_stats(df: DataFrame, text: str = "review_text", median: bool = False) -
     return sized.agg(*out)
 
 
+def percent_of_all(n: str) -> Column:
+    """A count's share in percent of the sum of all: over counted rows, a row for each class."""
+    return F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(0))) * 100
+
+
 def shares(df: DataFrame, key: str) -> DataFrame:
-    """Rows and their share in percent by key."""
-    total = df.agg(F.count("*").alias("total"))
-    counted = df.groupBy(key).agg(F.count("*").alias("n"))
-    return counted.crossJoin(F.broadcast(total)).select(key, "n", (F.col("n") / F.col("total") * 100).alias("pct"))  # total is one row
+    """Rows and their share in percent by key, from one scan."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).withColumn("pct", percent_of_all("n"))
 
 
 def category_stats(df: DataFrame, category: str = "business_category", name: str = "object_name") -> DataFrame:
     counted = df.groupBy(category).agg(F.count("*").alias("review_count"), F.count_distinct(name).alias("unique_businesses"))
-    total = df.agg(F.count("*").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).withColumn("pct", F.col("review_count") / F.col("total") * 100).drop("total")
+    return counted.withColumn("pct", percent_of_all("review_count"))
 
 
 def domain_distribution(annotations: DataFrame, domain: str = "business_category") -> DataFrame:
@@ -41,12 +43,31 @@ def domain_distribution(annotations: DataFrame, domain: str = "business_category
     return annotations.groupBy(domain).agg(F.count("*").alias("n"), F.sum(n).alias("total_aspects"), F.avg(n).alias("avg_aspects"))
 
 
-def annotation_quality(annotations: DataFrame) -> DataFrame:
+def quality_counts() -> list[Column]:
     """Annotations that are good, without aspects, failed, and flagged (good, with more than five aspects)."""
     ok, n = F.coalesce(F.col("parse_success"), F.lit(False)), F.coalesce(F.col("num_aspects"), F.lit(0))
     good = ok & (n > 0)
-    out = annotations.agg(F.count("*").alias("total"), F.count_if(good).alias("good"), F.count_if(ok & (n == 0)).alias("no_aspects"), F.count_if(~ok).alias("failed"), F.count_if(good & (n > MANY_ASPECTS)).alias("flagged"))
-    return out.withColumn("usable_rate", F.coalesce(F.try_divide(F.col("good") * 100.0, F.col("total").cast("double")), F.lit(0.0)))
+    return [F.count("*").alias("total"), F.count_if(good).alias("good"), F.count_if(ok & (n == 0)).alias("no_aspects"), F.count_if(~ok).alias("failed"), F.count_if(good & (n > MANY_ASPECTS)).alias("flagged")]
+
+
+def with_usable_rate(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("usable_rate", F.coalesce(F.try_divide(F.col("good") * 100.0, F.col("total").cast("double")), F.lit(0.0)))
+
+
+def annotation_quality(annotations: DataFrame) -> DataFrame:
+    return with_usable_rate(annotations.agg(*quality_counts()))
+
+
+def observed(df: DataFrame, *counts: Column) -> tuple[DataFrame, Observation]:
+    """df, and what its rows count up to in the pass of whatever action is run on it first: no scan of its own."""
+    seen = Observation()
+    return df.observe(seen, *counts), seen
+
+
+def observed_row(df: DataFrame, seen: Observation) -> DataFrame:
+    """The one row of what was counted; waits for the action."""
+    found = seen.get
+    return df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in found.items()))
 
 
 def converted_stats(df: DataFrame, text: str = "text", aspects: str = "aspects") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.jsonx import parse_output
 from tallyloom.operators import assemble, boundary, chatml, clean, evaluate, history, sample, stats
+from tallyloom.sources.readers import once
 
 
 def prepare(semeval: DataFrame, validation: float = 0.1, seed: int = 42, most: int | None = None, key: str = "sentence_id") -> DataFrame:
@@ -28,13 +29,16 @@ def build_dataset(reviews: DataFrame, categories: DataFrame, annotator: Callable
 
 
 def evaluate_outputs(df: DataFrame, chat: str = "chatml", output: str = "raw_output") -> dict[str, DataFrame]:
-    """All metrics of model outputs against the gold in chat text; rows without review text are left out and counted."""
+    """All metrics of model outputs against the gold in chat text; rows without review text are left out and counted.
+
+    Chat text and outputs are parsed once, and the rows' counts are taken in that pass; the metrics read what it wrote.
+    """
     parsed = chatml.parse(df, chat)
-    skipped = parsed.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(F.col("review_text"), F.lit("")) == "").alias("skipped_empty_gold"))
-    rows = parsed.where("review_text <> ''").withColumn("__p", parse_output(F.col(output)))
-    rows = rows.withColumns({"predicted": F.col("__p.aspects"), "parse_success": F.col("__p.parse_success")}).drop("__p")
+    counted, seen = stats.observed(parsed, F.count("*").alias("rows"), F.count_if(F.coalesce(F.col("review_text"), F.lit("")) == "").alias("skipped_empty_gold"))
+    rows = counted.where("review_text <> ''").withColumn("__p", parse_output(F.col(output)))
+    rows = once(rows.withColumns({"predicted": F.col("__p.aspects"), "parse_success": F.col("__p.parse_success")}).drop("__p"))
     matched = evaluate.matched_polarities(rows)
-    return {"exact": evaluate.term_metrics(rows), "partial": evaluate.term_metrics(rows, partial=True), "pairs": evaluate.pair_metrics(rows), "accuracy": evaluate.sentiment_accuracy(matched), "macro_f1": evaluate.sentiment_macro_f1(matched), "parse_rate": stats.parse_rate(rows, aspects="predicted"), "skipped": skipped}
+    return {"exact": evaluate.term_metrics(rows), "partial": evaluate.term_metrics(rows, partial=True), "pairs": evaluate.pair_metrics(rows), "accuracy": evaluate.sentiment_accuracy(matched), "macro_f1": evaluate.sentiment_macro_f1(matched), "parse_rate": stats.parse_rate(rows, aspects="predicted"), "skipped": stats.observed_row(df, seen)}
 
 
 def compare_runs(logs: DataFrame, runs: list[str]) -> dict[str, DataFrame]:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.mathx import FLAG, INCLUDE
 from tallyloom.operators import assemble, stats
 from tallyloom.schemas import SCORES
-from tallyloom.sources.readers import exists, not_yet_done, remove
+from tallyloom.sources.readers import exists, not_yet_done, once, remove
 
 
 def save_reviews(reviews: DataFrame, path: str) -> None:
@@ -31,11 +32,16 @@ def save_splits(df: DataFrame, path: str) -> None:
 
 
 def save_annotations(annotations: DataFrame, folder: str, stamp: str) -> None:
-    """Annotations without their raw output, all of them under the stamp, their counts and their domains."""
-    annotations.drop("raw_output").write.mode("overwrite").json(f"{folder}/annotated")
-    annotations.write.mode("overwrite").json(f"{folder}/annotated_full_{stamp}")
-    stats.annotation_quality(annotations).write.mode("overwrite").json(f"{folder}/annotation_stats")
-    stats.domain_distribution(annotations).write.mode("overwrite").json(f"{folder}/domain_distribution")
+    """Annotations without their raw output, all of them under the stamp, their counts and their domains.
+
+    The annotations are computed once, which also counts them; the files are made from what was written then.
+    """
+    counted, seen = stats.observed(annotations, *stats.quality_counts())
+    held = once(counted)
+    held.drop("raw_output").write.mode("overwrite").json(f"{folder}/annotated")
+    held.write.mode("overwrite").json(f"{folder}/annotated_full_{stamp}")
+    stats.with_usable_rate(stats.observed_row(held, seen)).write.mode("overwrite").json(f"{folder}/annotation_stats")
+    stats.domain_distribution(held).write.mode("overwrite").json(f"{folder}/domain_distribution")
 
 
 def save_assembled(merged: DataFrame, folder: str, stamp: str) -> None:
@@ -55,17 +61,24 @@ def save_assembled(merged: DataFrame, folder: str, stamp: str) -> None:
 
 
 def judge_report(results: DataFrame) -> DataFrame:
-    """One row: counts, overall means, means by domain, the histogram of each score, and the tiers."""
-    means = stats.judge_means(results).withColumns({s: F.round(s, 2) for s in SCORES})
-    overall = means.where("over_all = 1").agg(F.first(F.struct(*SCORES)).alias("overall_averages"))
-    domains = means.where("over_all = 0").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "business_category", F.col("n").alias("count"), *SCORES))).alias("d")).select(F.transform("d", lambda r: r.dropFields("order")).alias("domain_averages"))
-    shape = stats.score_histogram(results)
-    histogram = shape.agg(F.map_from_entries(F.collect_list(F.struct("dimension", F.struct(*[F.col(f"n{k}").alias(str(k)) for k in range(1, 6)])))).alias("score_distribution"))
-    tiers = stats.tier_counts(results).select(F.struct(F.col("include").alias("include_gte_3.5"), F.col("flag_for_review").alias("flag_2.5_to_3.5"), F.col("exclude").alias("exclude_lt_2.5")).alias("quality_tiers"))
-    counts = results.agg(F.count("*").alias("total_judged"), F.count("judge_scores").alias("successfully_scored")).withColumn("parse_failures", F.col("total_judged") - F.col("successfully_scored"))
-    for part in (overall, domains, histogram, tiers):
-        counts = counts.crossJoin(F.broadcast(part))  # one row each
-    return counts
+    """One row: counts, overall means, means by domain, the histogram of each score, and the tiers, from one scan.
+
+    Everything is summed up by domain first; the whole is the sum of the domains.
+    """
+    scored, overall = F.col("judge_scores").isNotNull(), F.coalesce("judge_scores.overall", F.lit(0))
+    score = lambda s: F.when(scored, F.col(f"judge_scores.{s}"))
+    tiers = {"include_gte_3.5": overall >= INCLUDE, "flag_2.5_to_3.5": (overall >= FLAG) & (overall < INCLUDE), "exclude_lt_2.5": overall < FLAG}
+    by = results.groupBy("business_category").agg(
+        F.count("*").alias("total"), F.count_if(scored).alias("scored"), *[x for s in SCORES for x in (F.sum(score(s)).alias(f"sum_{s}"), F.count(score(s)).alias(f"n_{s}"))],
+        *[F.count_if(score(s) == k).alias(f"{s}_{k}") for s in SCORES for k in range(1, 6)], *[F.count_if(scored & c).alias(f"tier_{i}") for i, c in enumerate(tiers.values())],
+    )
+    mean = lambda total, n, s: F.round(F.try_divide(total, n), 2).alias(s)
+    own = F.struct((-F.col("scored")).alias("order"), "business_category", F.col("scored").alias("count"), *[mean(F.col(f"sum_{s}"), F.col(f"n_{s}"), s) for s in SCORES])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    means = F.when(total("scored") > 0, F.struct(*[mean(F.sum(f"sum_{s}"), F.sum(f"n_{s}"), s) for s in SCORES]))
+    shape = F.create_map(*[x for s in sorted(SCORES) for x in (F.lit(s), F.struct(*[total(f"{s}_{k}").alias(str(k)) for k in range(1, 6)]))])
+    domains = F.transform(F.sort_array(F.collect_list(F.when(F.col("scored") > 0, own))), lambda r: r.dropFields("order"))
+    return by.agg(total("total").alias("total_judged"), total("scored").alias("successfully_scored"), (total("total") - total("scored")).alias("parse_failures"), means.alias("overall_averages"), domains.alias("domain_averages"), shape.alias("score_distribution"), F.struct(*[total(f"tier_{i}").alias(k) for i, k in enumerate(tiers)]).alias("quality_tiers"))
 
 
 def save_judgements(results: DataFrame, folder: str, provider: str, model: str) -> None:

@@ -8,9 +8,10 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import assemble, boundary, clean, config, evaluate, history, match, sample, stats
+from tallyloom.operators import assemble, boundary, chatml, clean, config, evaluate, history, match, sample, stats
 from tallyloom.plans import pipelines
 from tallyloom.schemas import SCORES
+from tallyloom.sources import writers
 
 ASPECTS = "array<struct<term:string,category:string,polarity:string>>"
 
@@ -364,3 +365,66 @@ def test_refused_prompts_stay_without_an_answer(spark):
     df = spark.createDataFrame([(f"p{i}",) for i in range(6)], "prompt string").coalesce(1)
     assert [r.answer for r in boundary.ask(df, "prompt", "answer", make, size=1, window=2).collect()] == ["yes"] * 3 + [None] + ["yes"] * 2
     assert boundary.ask(df.limit(0), "prompt", "answer", make, size=1, window=2).count() == 0
+
+
+@pytest.fixture()
+def counted(spark):
+    """A function that makes a frame whose rows are counted each time they are computed, and the counter."""
+
+    def make(df):
+        seen = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b
+
+        return df.mapInPandas(run, df.schema), seen
+
+    return make
+
+
+def test_counts_are_taken_in_the_pass_that_writes(spark, counted, tmp_path):
+    texts = ["same text here", None, "", "   ", "nine char", "ten chars.", "  8 strip  ", "same text here", None]
+    df, seen = counted(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ordinal long, review_text string").repartition(3))
+    kept, counts = clean.clean_counted(df)
+    kept.write.parquet(str(tmp_path / "kept"))
+    assert counts() == {"n_rows": 9, "n_present": 7, "n_not_blank": 5, "n_long": 4, "n_unique": 3} and seen.value == 9
+    assert sorted(r.ordinal for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [0, 5, 6]
+
+
+def test_reports_scan_once(spark, counted, tmp_path):
+    """Every row of the input is computed once for the statistics, the judge's report, shares, annotations and metrics."""
+    aspects = "array<struct<term:string,category:string,polarity:string>>"
+    rows = [(f"r{i}", i, [("t", "c" if i % 2 else None, "positive" if i % 3 else None)] * (i % 3), None if i % 11 == 0 else f"d{i % 4}", "include" if i % 5 == 0 else "unjudged" if i % 5 == 1 else "exclude", i % 3) for i in range(120)]
+    plain = spark.createDataFrame(rows, f"review_id string, ordinal int, aspects {aspects}, business_category string, quality_tier string, num_aspects int").withColumns({f"judge_{s}": (F.col("ordinal") % 5).cast("int") for s in SCORES})
+    df, seen = counted(plain)
+    got = assemble.dataset_stats(df).first()
+    assert seen.value == 120 and (got.total, got.included, got.n_domains, got.total_aspects) == (120, 24, 4, 120)
+    assert got.polarity_counts == {"positive": 80, "unknown": 40} or sum(got.polarity_counts.values()) == 120
+    assert got.business_category_counts == {k: sum((r[3] or "unknown") == k for r in rows) for k in ("d0", "d1", "d2", "d3", "unknown")}
+    assert got.included_counts == {k: n for k in ("d0", "d1", "d2", "d3", "unknown") if (n := sum((r[3] or "unknown") == k and r[4] == "include" for r in rows))}
+    assert sum(got.top_categories.values()) == 120 and got.avg_overall == pytest.approx(2.0)
+    df, seen = counted(plain)
+    assert sum(r.pct for r in stats.shares(df, "business_category").collect()) == pytest.approx(100) and seen.value == 120
+    judged = plain.select("business_category", F.when(F.col("ordinal") % 7 > 0, F.struct(*[(F.col("ordinal") % 5 + 1).cast("int").alias(s) for s in SCORES], F.lit("").alias("explanation"))).alias("judge_scores"))
+    df, seen = counted(judged)
+    report = writers.judge_report(df).first()
+    assert seen.value == 120 and (report.total_judged, report.parse_failures) == (120, 18) and sum(d["count"] for d in report.domain_averages) == 102
+    assert sum(report.score_distribution["overall"]) == 102 and sum(report.quality_tiers) == 102 and set(report.score_distribution) == set(SCORES)
+    df, seen = counted(plain.select("review_id", "business_category", "num_aspects", (F.col("ordinal") % 2 == 0).alias("parse_success"), F.lit("x").alias("raw_output")))
+    writers.save_annotations(df, str(tmp_path / "a"), "s")
+    assert seen.value == 120 and spark.read.json(str(tmp_path / "a/annotation_stats")).first().total == 120
+    chat = plain.select("review_id", chatml.training_text(F.lit("some text"), F.col("aspects")).alias("chatml"), F.lit('{"aspects": []}').alias("raw_output"))
+    df, seen = counted(chat)
+    found = pipelines.evaluate_outputs(df)
+    assert [f.count() for f in found.values()] == [1] * len(found) and seen.value == 120
+    assert tuple(found["skipped"].first()) == (120, 0)
+
+
+def test_reports_of_nothing(spark):
+    none = spark.createDataFrame([], "review_id string, ordinal int, aspects array<struct<term:string,category:string,polarity:string>>, business_category string, quality_tier string").withColumns({f"judge_{s}": F.lit(1) for s in SCORES})
+    got = assemble.dataset_stats(none).first()
+    assert (got.total, got.judged, got.n_domains, got.avg_aspects, got.top_categories) == (0, 0, 0, None, {})
+    report = writers.judge_report(none.select("business_category", F.lit(None).cast("struct<" + ",".join(f"{s}:int" for s in SCORES) + ">").alias("judge_scores"))).first()
+    assert (report.total_judged, report.overall_averages, report.domain_averages) == (0, None, [])
