@@ -5,13 +5,16 @@ A rule file is JSON: a list of {"category": ..., "keywords": [...]} in order of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.domains import DOMAINS
 from tallyloom.schemas import NO_CATEGORY
+from tallyloom.workers import ship
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 #: Characters of a keyword by which it meets names.
@@ -50,6 +53,47 @@ def classify_by_table(names: DataFrame, rules: DataFrame, name: str = "object_na
     return names.join(hits, name, "left").withColumn("category", F.coalesce("category", F.lit(default)))
 
 
+def matcher(rules: Rules, default: str) -> Callable[[str], str]:
+    """The category of a lower-case name by an Aho-Corasick automaton: all keywords are looked for in one walk over it.
+
+    Every keyword leads to the first rule that has it; of the rules met the first wins. An empty keyword is in every name.
+    """
+    first: dict[str, int] = {}
+    for i, (_, keywords) in enumerate(rules):
+        for k in keywords:
+            first.setdefault(k.lower(), i)
+    always = first.pop("", len(rules))
+    names = [c for c, _ in rules] + [default]
+    tree = ahocorasick.Automaton()
+    for k, i in first.items():
+        tree.add_word(k, i)
+    if not first:
+        return lambda name: names[always]
+    tree.make_automaton()
+    return lambda name: names[min(always, min((i for _, i in tree.iter(name)), default=always))]
+
+
+def classify_names(names: DataFrame, rules: Rules, name: str = "object_name", default: str = NO_CATEGORY) -> DataFrame:
+    """names with a category column, as classify() gives it, for rule lists of hundreds of keywords or more.
+
+    The rules, which a driver has read, travel once; each distinct name is walked through once, whatever the number of
+    keywords, and names meet their category again by equality. A null name has the default.
+    """
+    spark = names.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast([(c, list(ks)) for c, ks in rules])
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = matcher(held.value, default)
+        for low in batches:
+            yield low.map(find)
+
+    distinct = names.select(name).where(F.col(name).isNotNull()).distinct()
+    found = distinct.withColumn("category", run(F.lower(F.col(name))))
+    return names.drop("category").join(found, name, "left").withColumn("category", F.coalesce("category", F.lit(default)))
+
+
 def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
     return spark.createDataFrame([(i, c, k) for i, (c, ks) in enumerate(rules) for k in ks], "prio int, category string, keyword string")
 

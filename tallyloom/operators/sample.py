@@ -33,21 +33,17 @@ def allocation(df: DataFrame, domain: str = "business_category", size: int = 300
 
 
 def stratified(df: DataFrame, key: str, domain: str = "business_category", size: int = 300, seed: int = 42, targets: Mapping[str, int] = TARGETS) -> DataFrame:
-    """As many rows of each domain as allocated, or all if fewer. A bound on the digest first drops most of a large domain.
+    """As many rows of each domain as allocated, or all if fewer: those of least digests.
 
-    The bound keeps four times the expected number and 200; the rank of what is kept then gives the exact number, for the
-    least digests are all kept unless fewer than asked fall below the bound, in which case the domain is ranked whole.
+    No domain is allocated more than most, so a task hands on its most rows of least digest of each domain, and these are
+    merged: what is shuffled is bounded by tasks and domains, not by rows.
     """
-    wanted = allocation(df, domain, size, targets)
-    held = df.withColumn("domain", F.coalesce(F.col(domain), F.lit(NO_CATEGORY))).join(wanted, "domain")
-    held = held.withColumn("__draw", draw(seed, key))
-    unit = F.conv(F.substring("__draw", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    low = unit * F.col("available") <= 4 * F.col("target") + 200
-    enough = held.where(low).groupBy("domain").agg(F.count("*").alias("__low"))
-    marked = held.join(enough, "domain", "left")
-    kept = marked.where(low | (F.coalesce("__low", F.lit(0)) < F.least("target", "available")))
+    most = max(size, FLOOR, *targets.values()) if targets else max(size, FLOOR)
+    held = df.withColumn("domain", F.coalesce(F.col(domain), F.lit(NO_CATEGORY))).withColumn("__draw", draw(seed, key))
     place = F.row_number().over(Window.partitionBy("domain").orderBy("__draw", key))
-    return kept.withColumn("__place", place).where(F.col("__place") <= F.col("target")).drop("__place", "__draw", "__low", "available", "target")
+    least = held.withColumn("__place", place).where(F.col("__place") <= most)
+    wanted = allocation(df, domain, size, targets).withColumnRenamed("available", "__available")
+    return least.join(wanted, "domain").where(F.col("__place") <= F.col("target")).drop("__place", "__draw", "__available", "target")
 
 
 def split(df: DataFrame, key: str, validation: float = 0.1, seed: int = 42, test: float = 0.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,103 @@ from tallyloom.functions.aspects import count
 from tallyloom.functions.mathx import FLAG, INCLUDE
 from tallyloom.functions.text import word_count
 from tallyloom.schemas import POLARITIES, SCORES
+from tallyloom.sources.readers import once
 
 MANY_ASPECTS = 5
 
 
+#: Bits of a value that a round of selection settles.
+DIGIT = 16
+
+
+def at_ranks(df: DataFrame, columns: Sequence[str], ranks: Callable[[int], Sequence[int]]) -> dict[str, list[int]]:
+    """The values of whole-number columns at some ranks, from 0, of their sorted values without nulls; [] if there are none.
+
+    Each round counts the next DIGIT bits of the values that agree with what is settled, by column and rank at once: counts
+    combine in the tasks, and a histogram of 2 ** DIGIT rows for each is all that anyone sees.
+    """
+    flip = 1 << 63  # so that negative numbers come first as unsigned ones
+    values = df.select(*[F.col(c).cast("long").alias(c) for c in columns]).unpivot([], list(columns), "column", "value").where("value is not null")
+    bits = F.col("value").bitwiseXOR(F.lit(-flip))
+    digit = lambda shift: F.shiftrightunsigned(bits, shift).bitwiseAND((1 << DIGIT) - 1).cast("int")
+    open_: dict[str, list[list[int]]] = {}  # column to [settled, rank within it]
+    for k, shift in enumerate(range(64 - DIGIT, -1, -DIGIT)):
+        if k == 0:
+            seen, key = values, F.lit(0).cast("long")
+        else:
+            key = F.shiftrightunsigned(bits, shift + DIGIT)
+            alike = F.lit(False)
+            for c, settled in sorted({(c, s) for c, held in open_.items() for s, _ in held}):
+                alike = alike | ((F.col("column") == c) & (key == settled))
+            seen = values.where(alike)
+        counted = seen.groupBy("column", key.alias("settled"), digit(shift).alias("digit")).agg(F.count("*").alias("n")).toArrow().to_pylist()
+        histogram: dict[tuple[str, int], dict[int, int]] = {}
+        for r in counted:
+            histogram.setdefault((r["column"], r["settled"]), {})[r["digit"]] = r["n"]
+        if k == 0:
+            open_ = {c: [[0, rank] for rank in ranks(sum(h.values()))] for (c, _), h in histogram.items()}
+        for c, held in open_.items():
+            for one in held:
+                left = one[1]
+                for d in sorted(h := histogram[c, one[0]]):
+                    if left < h[d]:
+                        break
+                    left -= h[d]
+                one[:] = [one[0] << DIGIT | d, left]
+    return {c: [s - flip for s, _ in open_.get(c, [])] for c in columns}
+
+
+def medians(df: DataFrame, *columns: str) -> dict[str, float | None]:
+    """Exact medians, the mean of the middle two of an even number of values; None of no values."""
+    found = at_ranks(df, columns, lambda n: [(n - 1) // 2, n // 2])
+    return {c: sum(v) / 2 if v else None for c, v in found.items()}
+
+
 def text_stats(df: DataFrame, text: str = "review_text", median: bool = False) -> DataFrame:
     """Counts, means and extremes of words and characters, and exact medians, cut to integers, if asked."""
     sized = df.where(F.col(text).isNotNull()).select(word_count(F.col(text)).alias("words"), F.length(text).alias("chars"))
-    out = [F.count("*").alias("n")]
+    out, held = [F.count("*").alias("n")], {}
+    if median:
+        sized = once(sized)
+        held = medians(sized, "words", "chars")
     for c in ("words", "chars"):
         out += [F.avg(c).alias(f"avg_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
-        out += [F.percentile(c, 0.5).cast("int").alias(f"median_{c}")] if median else []
+        out += [F.lit(held[c]).cast("int").alias(f"median_{c}")] if median else []
     return sized.agg(*out)
 
 
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(value, rank): the mean place, from 1, of the rows that have a value, in the order of the values.
+
+    Values are counted, dealt by ranges, and numbered within each; what the ranges before one hold is added, a row a range.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranged = once(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("held"))
+    before = sums.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"))  # a row for each range
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    return ranged.withColumn("upto", within).join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: rho, the correlation of the average ranks of two columns where both are there, and the number of rows.
+
+    Equal pairs are counted first, so a frequent value is one row, not a hot key, where ranks are looked up. rho is null for
+    less than two rows, or where a column has one value alone.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    counted = once(pairs.groupBy("x", "y").agg(F.count("*").alias("w")))
+    both = counted
+    for c in ("x", "y"):
+        ranks = average_ranks(pairs, c)
+        both = both.join(ranks.select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")), c)
+    w = F.col("w").cast("double")
+    sums = both.agg(F.sum("w").alias("n"), *[F.sum(w * a).alias(k) for k, a in {"sx": F.col("rx"), "sy": F.col("ry"), "xx": F.col("rx") * F.col("rx"), "yy": F.col("ry") * F.col("ry"), "xy": F.col("rx") * F.col("ry")}.items()])
+    spread = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
+    rho = spread("sx", "sy", "xy") / F.nullif(F.sqrt(spread("sx", "sx", "xx") * spread("sy", "sy", "yy")), F.lit(0.0))
+    return sums.select(F.coalesce("n", F.lit(0).cast("long")).alias("n"), rho.alias("rho"))
+
+
 def percent_of_all(n: str) -> Column:
     """A count's share in percent of the sum of all: over counted rows, a row for each class."""
     return F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(0))) * 100

@@ -201,3 +201,24 @@ def test_python_reads_the_rest_only(spark, monkeypatch):
     assert df.where("v.parse_success").count() == 101 and seen.value == 3
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "from_json" in plan and "RLIKE" in plan
+
+
+def test_automaton_is_the_chain_of_rules(spark, tmp_path):
+    """394 keywords in 22 categories, read from a file, over names made of them: as CASE WHEN says, without a chain in the plan."""
+    rnd = random.Random(22)
+    word = lambda: "".join(rnd.choice("abcdeou'") for _ in range(rnd.randint(2, 6)))
+    rules = [(f"category {i}", [word() for _ in range(18)] + (["BAR "] if i == 3 else [])) for i in range(22)]
+    path = str(tmp_path / "rules")
+    spark.sparkContext.parallelize([json.dumps([{"category": c, "keywords": ks} for c, ks in rules])]).coalesce(1).saveAsTextFile(path)
+    read = taxonomy.read_rules(spark, path)
+    assert [(c, list(k)) for c, k in read] == rules and sum(len(k) for _, k in read) == 397
+    names = [" ".join(rnd.choice([word(), rnd.choice(rnd.choice(rules)[1]).upper(), "zzz", "xyz"]) for _ in range(rnd.randint(1, 3))) for _ in range(700)] + [None, "", "zzz", "Bar None", "barnone"]
+    df = spark.createDataFrame([(n,) for n in names], "object_name string").repartition(3)
+    want = df.select("object_name", taxonomy.classify(F.col("object_name"), read).alias("category"))
+    got = taxonomy.classify_names(df, read)
+    assert sorted(map(repr, want.collect())) == sorted(map(repr, got.select("object_name", "category").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Contains" not in plan and "contains" not in plan
+    for some in ([], [("a", [])], [("a", ["x"]), ("b", [""]), ("c", ["y"])]):
+        plain = {r.object_name: r.category for r in df.select("object_name", taxonomy.classify(F.col("object_name"), some).alias("category")).collect()}
+        assert {r.object_name: r.category for r in taxonomy.classify_names(df, some).collect() if r.object_name is not None} == {k: v for k, v in plain.items() if k is not None}

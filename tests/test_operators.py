@@ -12,6 +12,7 @@ from tallyloom.operators import assemble, boundary, chatml, clean, config, evalu
 from tallyloom.plans import pipelines
 from tallyloom.schemas import SCORES
 from tallyloom.sources import writers
+from tallyloom.streaming import incremental
 
 ASPECTS = "array<struct<term:string,category:string,polarity:string>>"
 
@@ -428,3 +429,75 @@ def test_reports_of_nothing(spark):
     assert (got.total, got.judged, got.n_domains, got.avg_aspects, got.top_categories) == (0, 0, 0, None, {})
     report = writers.judge_report(none.select("business_category", F.lit(None).cast("struct<" + ",".join(f"{s}:int" for s in SCORES) + ">").alias("judge_scores"))).first()
     assert (report.total_judged, report.overall_averages, report.domain_averages) == (0, None, [])
+
+
+def test_medians_by_selection(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.randint(-(2**40), 2**40), rnd.choice([0, 1, 2, None]), None) for _ in range(501)] + [(-(2**63), 2**62, None), (2**63 - 1, 5, None)]
+    df = spark.createDataFrame(rows, "a long, b long, c long").repartition(3)
+    for some in (df, df.limit(0)):
+        got = stats.medians(some, "a", "b", "c")
+        for c in "abc":
+            want = sorted(r[c] for r in some.collect() if r[c] is not None)
+            assert got[c] == ((want[(len(want) - 1) // 2] + want[len(want) // 2]) / 2 if want else None)
+    assert stats.at_ranks(df, ["a"], lambda n: [0, n - 1]) == {"a": [-(2**63), 2**63 - 1]}
+    texts = spark.createDataFrame([("a b",), ("a",), ("a b c d",), ("a b c",), (None,)], "t string")
+    assert tuple(stats.text_stats(texts, "t", median=True).select("n", "median_words", "median_chars").first()) == (4, 2, 4)
+    assert stats.text_stats(texts.limit(0), "t", median=True).first().median_words is None
+
+
+def test_spearman(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1.0, 2.0, 3.5, None]), float(rnd.randint(0, 400))) for _ in range(700)]
+    pairs = [r for r in rows if r[0] is not None]
+
+    def ranks(values):
+        order = sorted(values)
+        return {v: (order.index(v) + 1 + len(order) - order[::-1].index(v)) / 2 for v in set(values)}
+
+    x, y = ([ranks([p[k] for p in pairs])[p[k]] for p in pairs] for k in range(2))
+    mean = lambda v: sum(v) / len(v)
+    cov = lambda a, b: sum((p - mean(a)) * (q - mean(b)) for p, q in zip(a, b, strict=True))
+    df = spark.createDataFrame(rows, "a double, b double").repartition(4)
+    got = stats.spearman(df, "a", "b").first()
+    assert got.n == len(pairs) and got.rho == pytest.approx(cov(x, y) / (cov(x, x) * cov(y, y)) ** 0.5)
+    assert stats.spearman(df, "b", "b").first().rho == pytest.approx(1)
+    assert tuple(stats.spearman(df.limit(0), "a", "b").first()) == (0, None) and stats.spearman(df.withColumn("c", F.lit(1)), "a", "c").first().rho is None
+    assert {r.value: r.rank for r in stats.average_ranks(df, "b").collect()} == ranks([r[1] for r in rows])
+
+
+def test_samples_hand_on_a_bounded_number_of_rows(spark):
+    df = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("d"), F.col("id") % 7)).otherwise("big").alias("business_category")).repartition(4)
+    got = sample.stratified(df, "id", size=60, targets={"d1": 5})
+    wanted = {r.domain: r.target for r in sample.allocation(df, size=60, targets={"d1": 5}).collect()}
+    by = {}
+    for r in df.select("id", "business_category", sample.draw(42, "id").alias("w")).collect():
+        by.setdefault(r.business_category, []).append((r.w, r.id))
+    assert {r.id for r in got.collect()} == {i for d, rows in by.items() for _, i in sorted(rows)[: wanted[d]]}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_live_history_is_what_the_table_says(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(f"r{i % 3}", i, i * 10, None if i % 7 == 0 else round(rnd.random(), 3), None) for i in range(300)]
+    kind = "run_id string, seq long, step long, train_loss double, eval_loss double"
+    source = str(tmp_path / "log")
+    for k in range(0, 300, 60):
+        part = rows[max(0, k - 5) : k + 60]  # a few come twice
+        rnd.shuffle(part)
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.01)
+        stream = spark.readStream.schema(kind).parquet(source)
+        incremental.follow(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    after = incremental.results(spark, str(tmp_path / "out"))
+    last = after.groupBy("run_id").agg(F.max_by(F.struct("n", "ema", "best", "best_step"), "batch").alias("s")).select("run_id", "s.*")
+    table = spark.createDataFrame(rows, kind)
+    want = {r.run_id: (r.n, r.ema) for r in history.ema_last(table).collect()}
+    least = {r.run_id: r for r in table.groupBy("run_id").agg(F.min("train_loss").alias("m"), F.min_by("step", F.struct("train_loss", "seq")).alias("x")).collect()}
+    counts = {r.run_id: r.n for r in table.groupBy("run_id").agg(F.count("train_loss").alias("n")).collect()}
+    got = {r.run_id: r for r in last.collect()}
+    assert set(got) == set(want)
+    for k, r in got.items():
+        assert r.n == counts[k] and r.ema == pytest.approx(want[k][1]) and r.best == least[k].m
+        assert r.best_step in {s for run, _, s, v, _ in rows if run == k and v == least[k].m}
