@@ -37,18 +37,21 @@ from tallyloom.workers import ship
 
 #: A word is in the dictionary if it is one of so many tokens at least; so there are no more words in it than that.
 SHARE = 1 << 15
+#: A rare word is priced where it stands if it is one of so many tokens at least, of training documents or of all; the
+#: others meet their prices in a join, in which no word is frequent, then.
+PRICED = 1 << 18
 #: Bytes of a word that has a row by itself; of a longer one its digest stands in tables.
 LONG = 64
 #: Words whose decisions a worker spreads at a time, few enough for a processor's cache.
 SPREAD = 4096
 #: Slots of a hashed table, as a power of 2: of words, of letters; and slots of a text's own tables.
-WORD_BITS, LETTER_BITS, OWN_BITS = 20, 20, 11
+WORD_BITS, LETTER_BITS, OWN_BITS = 20, 19, 11
 #: Words after which the mixer starts afresh, words between two steps of it, and lanes (texts, segments) worked on together.
 SEGMENT, CHUNK, LANES = 2048, 16, 192
 #: Orders of the letters' contexts.
 ORDERS = (1, 2, 3, 5)
 #: Steps of Newton's method that fit the letters' weights, which stay as they are; the words' go on in every text, so one.
-LETTER_ROUNDS = 3
+LETTER_ROUNDS = 2
 #: Evidence that a slot without counts has for either side; what a step moves weights by; the least probability.
 PRIOR, RATE, LEAST = 0.3, 0.01, 1 / 65536
 #: Cells of the correction table, and the share of an error by which one moves, as its inverse.
@@ -98,7 +101,6 @@ class Dictionary:
     counts: np.ndarray  # of escape, end and words, in training tokens
     total: int
     distinct: int
-    frequent: dict[bytes, int]  # counts of words outside that all documents have often, by key
     discount: float  # of each count of a word outside
     outside: tuple[int, int]  # tokens and words outside, in training tokens
     lengths: np.ndarray = field(init=False)
@@ -329,17 +331,19 @@ class Sums:
         return cls(np.zeros((gates, inputs)), np.zeros((gates, inputs, inputs)))
 
     def add(self, x: Sequence[np.ndarray], gate: np.ndarray, side: np.ndarray, p: np.ndarray) -> None:
-        gates, inputs = self.slope.shape
-        off, width = side - p, p * (1 - p)
-        for i in range(inputs):
-            self.slope[:, i] += np.bincount(gate, off * x[i], gates)
-            wide = width * x[i]
-            for j in range(i + 1):
-                self.curve[:, i, j] += np.bincount(gate, wide * x[j], gates)
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        off, root = (side - p).take(order), np.sqrt(p * (1 - p)).take(order)
+        x = np.stack([c.take(order) for c in x])
+        wide = x * root
+        ends = np.cumsum(np.bincount(gate, minlength=len(self.slope))).tolist()
+        for g, (s, e) in enumerate(zip([0, *ends], ends, strict=False)):
+            if s < e:
+                self.slope[g] += x[:, s:e] @ off[s:e]
+                self.curve[g] += wide[:, s:e] @ wide[:, s:e].T
 
     def step(self, weights: np.ndarray) -> np.ndarray:
         """The weights after a step, drawn a little to where they were; rounded, so that the order of sums is forgotten."""
-        curve = self.curve + np.tril(self.curve, -1).transpose(0, 2, 1) + 10 * np.eye(weights.shape[1])
+        curve = self.curve + 10 * np.eye(weights.shape[1])
         return np.round(weights + np.linalg.solve(curve, self.slope[:, :, None])[:, :, 0], 3)
 
 
@@ -511,24 +515,22 @@ def counted(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(each.groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "counts")
 
 
-def least_count(total: int) -> int:
-    return max(1, -(-total // SHARE))
+def least_count(total: int, share: int | None = None) -> int:
+    return max(1, -(-total // (share or SHARE)))
 
 
 def dictionary(counts: DataFrame) -> Dictionary:
-    """What is frequent goes to the driver: SHARE words of training documents at most, and as many of all."""
+    """What is frequent goes to the driver: SHARE words of training documents at most."""
     sums = counts.agg(F.sum("c").alias("c"), F.sum("m").alias("m"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = sums.c or 0, sums.v or 0
-    often = counts.where((F.col("c") >= least_count(total)) | (F.col("m") >= least_count(sums.m or 0))).toArrow()
+    often = counts.where((F.col("c") >= least_count(total)) | (F.col("word") == F.lit(END_KEY))).toArrow()
     rows = sorted(zip(*(often.column(c).to_pylist() for c in ("word", "c")), strict=True), key=lambda r: (-r[1], r[0]))
-    inside = [(w, c) for w, c in rows if c >= least_count(total) and not w.startswith(END_KEY)]
+    inside = [(w, c) for w, c in rows if not w.startswith(END_KEY)]
     end = next((c for w, c in rows if w == END_KEY), 0)
-    held = {w for w, _ in inside}
     rest = total - end - sum(c for _, c in inside)
     once = counts.where((F.col("c") < least_count(total)) & F.col("c").between(1, 2)).groupBy("c").count().toArrow().to_pylist()
     n1, n2 = (sum(r["count"] for r in once if r["c"] == c) for c in (1, 2))
-    frequent = {w: c for w, c in rows if w not in held and w != END_KEY}
-    return Dictionary([w for w, _ in inside], np.array([rest, end, *(c for _, c in inside)], np.int64), total, distinct, frequent, max(0.1, n1 / max(1, n1 + 2 * n2)), (rest, distinct - len(inside) - (end > 0)))
+    return Dictionary([w for w, _ in inside], np.array([rest, end, *(c for _, c in inside)], np.int64), total, distinct, max(0.1, n1 / max(1, n1 + 2 * n2)), (rest, distinct - len(inside) - (end > 0)))
 
 
 @dataclass
@@ -616,35 +618,39 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def price():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bits = known.value.price(spelt.value.bits(batch.column(1).to_pylist()), batch.column(0).to_numpy())
-            return pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(bits)], ["word", "c", "bits"])
+            bits = known.value.price(spelt.value.bits(batch.column(2).to_pylist()), batch.column(0).to_numpy())
+            return pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), pa.array(bits)], ["word", "c", "m", "bits"])
 
         return work
 
-    priced = scratch.save(map_arrow(rare.select("c", "word"), price, "word binary, c long, bits double", "word"), "priced")
+    priced = scratch.save(map_arrow(rare.select("c", "m", "word"), price, "word binary, c long, m long, bits double", "word"), "priced")
+    listed = priced.union(counts.where(digest & (F.col("word") != F.lit(END_KEY))).select("word", "c", "m", F.lit(0.0)))
+    all_tokens = counts.agg(F.sum("m").alias("m")).first().m or 0
+    often = listed.where((F.col("c") >= least_count(known.value.total, PRICED)) | (F.col("m") >= least_count(all_tokens, PRICED))).toArrow()
+    near = spark.sparkContext.broadcast({w: (c, x) for w, c, x in zip(*(often.column(k).to_pylist() for k in ("word", "c", "bits")), strict=True)})
 
     def make():
-        d, costs = known.value, {}
+        d, costs = known.value, dict[bytes, float]()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             data = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             texts = [read(x, d) for x in data]
             bits = mixed(d, mixer.value.tables, mixer.value.weights, texts)
             base, found = [], []
-            special = [[w for w in t.others if len(w) > LONG or w in d.frequent] for t in texts]
-            fresh = list({w for held in special for w in held} - costs.keys())
-            costs.update(zip(fresh, d.price(spelt.value.bits(fresh), np.array([d.frequent.get(w, 0) for w in fresh])).tolist(), strict=True))
+            long = [[w for w in t.others if len(w) > LONG] for t in texts]
+            fresh = list({w for held in long for w in held} - costs.keys())
+            costs.update(zip(fresh, d.price(spelt.value.bits(fresh), np.zeros(len(fresh))).tolist(), strict=True))
             for k, t in enumerate(texts):
                 bits[k] += repeats(t.others.values())
                 inside = t.symbols[t.symbols != ESCAPE]
                 b, n = float(d.base[inside].sum()), int((d.counts[inside] > 0).sum())
-                for w in special[k]:
+                for w in long[k]:  # goes by its key, which has a count but no price
                     bits[k] += costs[w]
-                    times, key = t.others.pop(w), key_of(w)
-                    if key in d.frequent:
-                        b, n = b + d.base_of(d.frequent[key]) * times, n + times * (d.frequent[key] > 0)
-                    else:
-                        t.others[key] = times
+                    t.others[key_of(w)] = t.others.pop(w)
+                for w in t.others.keys() & near.value.keys():
+                    c, x = near.value[w]
+                    times = t.others.pop(w)
+                    bits[k], b, n = bits[k] + x, b + d.base_of(c) * times, n + times * (c > 0)
                 base.append(b)
                 found.append(n)
             if len(costs) > 100_000:
@@ -663,7 +669,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     each = map_arrow(ids, make, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, {kinds}", "text")
     done = scratch.save(each.withColumn("rid", F.monotonically_increasing_id()), "done")
     asked = done.select("rid", F.explode("others").alias("o")).select("rid", F.col("o.word").alias("word"), F.col("o.n").alias("n"))
-    met = asked.join(priced.union(counts.where(digest).select("word", "c", F.lit(0.0).alias("bits"))), "word")
+    met = asked.join(listed, "word")
     total = known.value.total + known.value.distinct + 1
     log = F.log10((F.col("c") + 1) / F.lit(float(total)))
     parts = met.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.col("n") * log).alias("b1"), F.sum("bits").alias("x1"))

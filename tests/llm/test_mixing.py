@@ -46,6 +46,7 @@ def rows():
 @pytest.fixture(scope="module")
 def small(monkeypatch_module):
     monkeypatch_module.setattr(mixing, "SHARE", 1000)
+    monkeypatch_module.setattr(mixing, "PRICED", 3000)
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +98,7 @@ def test_held_out_texts_beat_the_base(rows, scored):
 def some_model(rnd, words=40):
     names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 4))) for _ in range(words)})
     counts = np.array([30, 20, *(rnd.randint(1, 200) for _ in names)])
-    known = mixing.Dictionary([n.encode() for n in names], counts, int(counts.sum()), len(names) + 25, {}, 0.6, (30, 24))
+    known = mixing.Dictionary([n.encode() for n in names], counts, int(counts.sum()), len(names) + 25, 0.6, (30, 24))
     r = np.random.default_rng(3)
     tables = mixing.Tables.of(r.normal(0, 1.5, (2, 1 << mixing.WORD_BITS)), r.integers(0, 4, (2, 1 << mixing.WORD_BITS)).astype(np.uint8))
     return names, known, tables, r.normal(0.3, 0.1, (mixing.WORD_GATES, mixing.WORD_INPUTS))
