@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import schemas
 from tallyloom.functions import taxonomy, text
-from tallyloom.operators import assemble, clean, config, sample, stats
+from tallyloom.operators import assemble, boundary, clean, config, sample, stats
 from tallyloom.plans import pipelines
 from tallyloom.sources import readers, writers
+from tallyloom.streaming import incremental
 
 
 def is_chat(df: DataFrame) -> bool:
@@ -39,6 +42,40 @@ def load_raw(spark: SparkSession, a: argparse.Namespace) -> None:
     clean.clean(rows).select(F.col("review_text").alias("text")).write.mode("overwrite").parquet(a.output)
 
 
+def client_of(name: str) -> Callable[[], boundary.Answer]:
+    """What builds a client, by MODULE:FUNCTION; it is looked up where it is used, in each task."""
+    module, _, function = name.partition(":")
+    return lambda: getattr(importlib.import_module(module), function)()
+
+
+def calls_of(a: argparse.Namespace) -> dict:
+    return {"window": a.window, "size": a.call_size, "rate": a.rate}
+
+
+def annotate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Reviews cleaned, numbered and annotated in batches; a run that was stopped goes on when it is started again."""
+    none = spark.createDataFrame([], "object_name string, business_category string")
+    rows = clean.prepare(readers.read_reviews(spark, a.input), readers.read_categories(spark, a.categories) if a.categories else none)
+    ready = pipelines.as_annotations(rows).drop("ordinal")
+    done, _ = boundary.annotate_all(ready, f"{a.output}/checkpoint", client_of(a.client), every=a.every, english=a.use_english, **calls_of(a))
+    writers.save_annotations(done, a.output, a.stamp)
+    readers.remove(spark, f"{a.output}/checkpoint")
+
+
+def judge(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A sample of annotations judged in batches, with its report."""
+    drawn = sample.stratified(clean.scoreable(readers.read_annotations(spark, a.input)), "review_id", size=a.sample_size, seed=a.seed)
+    judged = incremental.resumable(drawn, f"{a.output}/checkpoint", lambda rows: boundary.judge(rows, client_of(a.client), **calls_of(a)), every=a.every)
+    writers.save_judgements(judged, a.output, a.client, a.model)
+    readers.remove(spark, f"{a.output}/checkpoint")
+
+
+def infer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The aspects of each line of a text file."""
+    rows = readers.read_lines(spark, a.input)
+    boundary.annotate(rows, client_of(a.client), english=a.use_english, **calls_of(a)).write.mode("overwrite").json(a.output)
+
+
 def draw(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = clean.scoreable(readers.read_annotations(spark, a.input))
     (rows if a.no_sample else sample.stratified(rows, "review_id", size=a.sample_size, seed=a.seed)).write.mode("overwrite").json(a.output)
@@ -92,6 +129,19 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--max-examples", type=int)
     command("profile", profile).add_argument("--rules")
+    for name, run in (("annotate", annotate), ("judge", judge), ("inference", infer)):
+        p = command(name, run)
+        p.add_argument("--client", required=True, help="MODULE:FUNCTION that builds a client")
+        p.add_argument("--every", type=int, default=1000)
+        p.add_argument("--window", type=int, default=1)
+        p.add_argument("--call-size", type=int, default=1)
+        p.add_argument("--rate", type=float)
+        p.add_argument("--use-english", action="store_true")
+        p.add_argument("--categories")
+        p.add_argument("--stamp", default="")
+        p.add_argument("--model", default="")
+        p.add_argument("--sample-size", type=int, default=300)
+        p.add_argument("--seed", type=int, default=42)
     command("load-raw", load_raw)
     p = command("sample", draw)
     p.add_argument("--sample-size", type=int, default=300)

@@ -85,8 +85,9 @@ def whole_scores(text: str) -> dict | None:
         return None
 
 
-#: The fence around JSON, the flat object in prose.
+#: The fence around JSON, the flat object in prose, a digit after a key, the explanation.
 FENCE, FLAT = (r"^```(?:json)?\s*", r"\s*```$"), r"\{[^{}]*\}"
+KEY, SAID = r'"{}"\s*:\s*(\d)', r'"explanation"\s*:\s*"([^"]*)"'
 
 
 def read_judgement(text: str | None) -> dict | None:
@@ -96,10 +97,10 @@ def read_judgement(text: str | None) -> dict | None:
     found = whole_scores(clean) or (whole_scores(flat[0]) if flat else None)
     if found:
         return found
-    hits = {k: re.search(rf'"{k}"\s*:\s*(\d)', clean, re.IGNORECASE) for k in SCORES}
+    hits = {k: re.search(KEY.format(k), clean, re.IGNORECASE) for k in SCORES}
     if not all(hits.values()):
         return None
-    said = re.search(r'"explanation"\s*:\s*"([^"]*)"', clean)
+    said = re.search(SAID, clean)
     return {k: min(5, max(1, int(m[1]))) for k, m in hits.items()} | {"explanation": said[1] if said else ""}
 
 
@@ -232,10 +233,10 @@ def lenient_output(c: Column) -> Column:
 
 def lenient_scores(c: Column) -> Column:
     """The digit after each key, natively; null unless all keys have one."""
-    got = {k: F.regexp_extract(c, rf'(?i)"{k}"\s*:\s*(\d)', 1) for k in SCORES}
+    got = {k: F.regexp_extract(c, f"(?i){KEY.format(k)}", 1) for k in SCORES}
     cut = {k: F.greatest(F.lit(1), F.least(F.lit(5), F.try_to_number(v, F.lit("9")).cast("int"))) for k, v in got.items()}
     full = F.lit(True)
     for v in got.values():
         full = full & (v != "")
-    said = F.regexp_extract(c, r'"explanation"\s*:\s*"([^"]*)"', 1)
+    said = F.regexp_extract(c, SAID, 1)
     return F.when(full, F.struct(*[cut[k].alias(k) for k in SCORES], said.alias("explanation")))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -30,6 +30,11 @@ def backoff(attempt: int, first: float = 5, most: float = 60) -> float:
     return min(most, first * 2**attempt)
 
 
+def pause(attempt: Column, first: float = 5, most: float = 60) -> Column:
+    """backoff() of a column of attempts."""
+    return F.least(F.lit(float(most)), F.lit(float(first)) * F.pow(F.lit(2.0), attempt))
+
+
 class Busy(Exception):
     """The service asks to come again later."""
 
@@ -127,9 +132,9 @@ def ask(
     return df.mapInPandas(run, df.withColumn(answer, F.lit(None).cast("string")).schema)
 
 
-def annotate(df: DataFrame, make: Callable[[], Answer] | None = None, text: str = "text", recorded: str = "raw_output", **calls) -> DataFrame:
+def annotate(df: DataFrame, make: Callable[[], Answer] | None = None, text: str = "text", recorded: str = "raw_output", english: bool = False, **calls) -> DataFrame:
     """df with raw_output, aspects, num_aspects and parse_success; without a client recorded answers are read again."""
-    asked = df if make is None else ask(df.withColumn("prompt", inference_prompt(F.col(text))), "prompt", recorded, make, **calls).drop("prompt")
+    asked = df if make is None else ask(df.withColumn("prompt", inference_prompt(F.col(text), english)), "prompt", recorded, make, **calls).drop("prompt")
     held = asked.withColumn("__parsed", parse_output(F.col(recorded)))
     return held.select(*[c for c in asked.columns if c not in ("aspects", "num_aspects", "parse_success", "annotation_source")], F.col("__parsed.aspects").alias("aspects"), F.size("__parsed.aspects").alias("num_aspects"), F.lit(ANNOTATION_SOURCE).alias("annotation_source"), F.col("__parsed.parse_success").alias("parse_success"))
 

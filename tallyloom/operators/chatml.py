@@ -96,14 +96,19 @@ def judge_prompt(text: Column, name: Column, category: Column, rating: Column, a
     return F.concat_ws("\n\n", F.lit(JUDGE_OPENING), review, F.concat(F.lit("== MODEL PREDICTION ==\n"), aspects_json(aspects, 2)), F.lit(JUDGE_RUBRIC))
 
 
+#: Where chat text holds a review, and the assistant's answer.
+REVIEW, REVIEW_ENGLISH = r'(?s)Matn:\s*"(.+?)"', r'(?s)Text:\s*"(.+?)"'
+ANSWER = r"(?s)<\|im_start\|>assistant\s*\n(.*?)(?:<\|im_end\|>|$)"
+
+
 def review_text(chat: Column) -> Column:
     """The text between the first quote after the marker and the next quote, so it ends at a quote inside it."""
-    first = F.regexp_extract(chat, r'(?s)Matn:\s*"(.+?)"', 1)
-    return strip(F.when(first != "", first).otherwise(F.regexp_extract(chat, r'(?s)Text:\s*"(.+?)"', 1)))
+    first = F.regexp_extract(chat, REVIEW, 1)
+    return strip(F.when(first != "", first).otherwise(F.regexp_extract(chat, REVIEW_ENGLISH, 1)))
 
 
 def assistant_text(chat: Column) -> Column:
-    return strip(F.regexp_extract(chat, r"(?s)<\|im_start\|>assistant\s*\n(.*?)(?:<\|im_end\|>|$)", 1))
+    return strip(F.regexp_extract(chat, ANSWER, 1))
 
 
 def parse(df: DataFrame, chat: str = "text") -> DataFrame:

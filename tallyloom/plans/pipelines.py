@@ -19,9 +19,15 @@ def prepare(semeval: DataFrame, validation: float = 0.1, seed: int = 42, most: i
     return sample.split(chat, key, validation, seed)
 
 
+def as_annotations(ready: DataFrame) -> DataFrame:
+    """Reviews ready to annotate under the names that annotations have; recorded answers stay."""
+    rating = F.col("rating_value").cast("int") if "rating_value" in ready.columns else F.lit(None).cast("int")
+    return ready.select("review_id", "ordinal", F.col("review_text").alias("text"), F.col("object_name").alias("business_name"), "business_category", rating.alias("user_rating"), *[c for c in ("raw_output", "judge_raw") if c in ready.columns])
+
+
 def build_dataset(reviews: DataFrame, categories: DataFrame, annotator: Callable | None = None, judge: Callable | None = None, size: int = 300, seed: int = 42) -> DataFrame:
     """Raw reviews cleaned, annotated, sampled, judged and merged with their scores."""
-    ready = clean.prepare(reviews, categories).select("review_id", "ordinal", F.col("review_text").alias("text"), F.col("object_name").alias("business_name"), "business_category", F.col("rating_value").cast("int").alias("user_rating"), *[c for c in ("raw_output", "judge_raw") if c in reviews.columns])
+    ready = as_annotations(clean.prepare(reviews, categories))
     annotated = boundary.annotate(ready, annotator)
     drawn = sample.stratified(clean.scoreable(annotated), "review_id", size=size, seed=seed)
     judged = boundary.judge(drawn, judge).where("judge_scores is not null").select("review_id", "judge_scores")

@@ -180,6 +180,22 @@ def lang_share(spark: SparkSession, sf: str) -> DataFrame:
     return stats.shares(table(spark, sf, "documents"), "lang").select("lang", "n", r4("pct"))
 
 
+RANKS_SQL = "SELECT '{0}' AS pair, count(*) AS n, round(corr(rx, ry), 4) AS rho FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM ({1}))"
+
+
+@query(" UNION ALL ".join(RANKS_SQL.format(s, f"SELECT {SCORE_SQL[s]} AS x, {SCORE_SQL['overall']} AS y FROM labels") for s in SCORES[:-1]))
+def score_rank_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Spearman's rho of each judge's score and the overall one."""
+    flat = judgements(spark, sf).select("judge_scores.*")
+    return readers.union_of([stats.spearman(flat, s, "overall").select(F.lit(s).alias("pair"), "n", r4("rho")) for s in SCORES[:-1]])
+
+
+@query(RANKS_SQL.format("price and quantity", "SELECT l_extendedprice AS x, l_quantity AS y FROM lineitem"))
+def price_rank_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Spearman's rho of columns with many values and with few."""
+    return stats.spearman(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity").select(F.lit("price and quantity").alias("pair"), "n", r4("rho"))
+
+
 CYRILLIC = ("абцдефгҳижклмнопқрстувўхйз", "abcdefghijklmnopqrstuvwxyz")
 SCRIPT_SQL = f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN translate(lower(text), '{CYRILLIC[1]}', '{CYRILLIC[0]}') WHEN doc_id % 4 = 1 THEN translate(lower(text), 'aeiou', 'аеиоу') ELSE text END AS t FROM documents"
 
@@ -207,6 +223,24 @@ def lexicon_share(spark: SparkSession, sf: str) -> DataFrame:
     return scripted(spark, sf).select("doc_id", r4(text.lexicon_share(F.col("t"), text.RUSSIAN_WORDS), "share"))
 
 
+#: Cyrillic letters that both languages have, and a word of one's lexicon after every third word of half the texts.
+PLAIN_CYRILLIC = "абцдефггижклмнопкрстуввхйз"
+LEXICON_SQL = rf"""
+WITH c AS (SELECT doc_id, translate(lower(text), '{CYRILLIC[1]}', '{PLAIN_CYRILLIC}') AS c FROM documents),
+t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(c, '(\S+\s+\S+\s+\S+)', '\1 жуда', 'g') ELSE c END AS t FROM c),
+n AS (SELECT doc_id, t, length(regexp_replace(t, '[^Ѐ-ӿ]', '', 'g')) AS cy, length(regexp_replace(t, '[^A-Za-zʻʼ]', '', 'g')) AS la, regexp_extract_all(lower(t), '[а-яёўқғҳА-ЯЁЎҚҒҲ]+') AS ws FROM t)
+SELECT doc_id, CASE WHEN cy + la = 0 OR la > 0.7 * (cy + la) THEN '{text.LATIN}' WHEN cy > 0.7 * (cy + la) THEN CASE WHEN regexp_matches(t, '[{text.UZBEK_LETTERS}]') OR len(list_filter(ws, lambda x: list_contains({list(text.UZBEK_WORDS)}, x))) > 0.05 * len(ws) THEN '{text.UZBEK}' ELSE '{text.RUSSIAN}' END ELSE '{text.MIXED}' END AS script FROM n
+"""
+
+
+@query(LEXICON_SQL)
+def script_by_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """ST13: texts without a letter that tells the languages apart go by their words."""
+    plain = F.translate(F.lower("text"), CYRILLIC[1], PLAIN_CYRILLIC)
+    t = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(plain, r"(\S+\s+\S+\s+\S+)", "$1 жуда")).otherwise(plain)
+    return table(spark, sf, "documents").select("doc_id", text.script_class(t).alias("script"))
+
+
 def case_sql(name: str, rules, default: str) -> str:
     arms = " ".join("WHEN " + " OR ".join(f"contains(lower({name}), '{k}')" for k in ks) + f" THEN '{c}'" for c, ks in rules)
     return f"CASE {arms} ELSE '{default}' END"
@@ -225,6 +259,13 @@ def business_class_by_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query(SQL["business_class"])
+def business_class_by_automaton(spark: SparkSession, sf: str) -> DataFrame:
+    """ST14, JN9: all keywords in one walk over each distinct name."""
+    rows = taxonomy.classify_names(table(spark, sf, "part").select("p_name"), PART_RULES, "p_name")
+    return rows.groupBy("category").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH p AS (SELECT p_name, {case_sql('p_type', RULES, 'Boshqa')} AS business_category FROM part) SELECT business_category, count(*) AS review_count, count(DISTINCT p_name) AS unique_businesses, round(count(*) * 100.0 / (SELECT count(*) FROM part), 4) AS pct FROM p GROUP BY 1")
 def business_stats(spark: SparkSession, sf: str) -> DataFrame:
     """AG4, AG20."""
@@ -562,10 +603,16 @@ def fuzzy_merge(spark: SparkSession, sf: str) -> DataFrame:
     return match.fuzzy(raw, docs, "ordinal", "text", "doc_id", "text").select("ordinal", "annotated_index", r4("match_score"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({sql_text(d)}, {i}, {sql_text(s)})" for d, (_, ss) in DOMAINS.items() for i, s in enumerate(ss)) + ") t(domain, position, subcategory)")
+TAXONOMY_SQL = "(VALUES " + ", ".join(f"({k}, {sql_text(d)}, {i}, {sql_text(s)})" for k, (d, (_, ss)) in enumerate(DOMAINS.items()) for i, s in enumerate(ss)) + ") t(k, domain, position, subcategory)"
+
+
+@query(f"SELECT doc_id, domain, count(*) AS subcategories, max(CASE WHEN position = doc_id % 5 THEN subcategory END) AS subcategory FROM documents JOIN {TAXONOMY_SQL} ON doc_id % {len(DOMAINS)} = k GROUP BY 1, 2")
 def taxonomy_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """MAP1."""
-    return taxonomy.domains(spark)
+    """MAP1: the aspect categories of each document's domain, and one of them."""
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), (F.col("doc_id") % len(DOMAINS) + 1).cast("int"))
+    docs = table(spark, sf, "documents").select("doc_id", domain.alias("domain"))
+    met = docs.join(taxonomy.domains(spark), "domain")
+    return met.groupBy("doc_id", "domain").agg(F.count("*").alias("subcategories"), F.max(F.when(F.col("position") == F.col("doc_id") % 5, F.col("subcategory"))).alias("subcategory"))
 
 
 @query("SELECT doc_id AS ordinal, CASE WHEN source <> 'src1' THEN 'cat ' || source END AS business_category FROM documents")

@@ -11,9 +11,10 @@ import json
 import re
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +23,12 @@ from tallyloom import schemas
 from tallyloom.functions import aspects as A
 from tallyloom.functions import jsonx, mathx, taxonomy
 from tallyloom.functions.domains import DOMAINS
-from tallyloom.operators import assemble, boundary, chatml, config, evaluate, sample
+from tallyloom.operators import assemble, boundary, chatml, clean, config, evaluate, sample
 from tallyloom.plans import pipelines, registry
 from tallyloom.plans.registry import ANN_SQL, JUDGED_SQL, LOGS_SQL, MERGED_SQL, SCORES, annotations, judgements, logs, merged, one_aspect, query, r4, scored, table
 from tallyloom.sources import readers, writers
 from tallyloom.streaming import incremental
+from tallyloom.workers import ship
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -109,12 +111,14 @@ def split_on_disk(spark: SparkSession, sf: str) -> DataFrame:
     return readers.pick_split(readers.read_split(spark, path)).select("doc_id", "split")
 
 
-@query("SELECT 'line ' || doc_id AS text FROM documents")
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT text FROM (SELECT {STRIPPED.format('line')} AS text FROM (SELECT unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents)) WHERE text <> ''")
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC10: lines are stripped and blank ones left out."""
+    """SRC10: the lines of all texts, stripped, without blank ones."""
     path = folder(spark, "lines")
-    rows = documents(spark, sf).select(F.explode(F.array(F.concat(F.lit(" \tline "), F.col("doc_id").cast("string"), F.lit("  ")), F.lit("   "), F.lit(""))).alias("value"))
-    rows.write.text(path)
+    documents(spark, sf).select("text").write.text(path)
     return readers.read_lines(spark, path)
 
 
@@ -137,13 +141,15 @@ def optional_summary(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_optional_json(spark, path, schemas.T.StructType().add("n_train", "long")).select("n_train", F.lit(absent).alias("absent"))
 
 
-@query("SELECT event_type AS run_id, count(*) AS n, CAST(sum(event_id % 100) AS BIGINT) AS steps, CASE WHEN event_type = 'click' THEN count(*) FILTER (event_id % 10 = 0) ELSE 0 END AS evals FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
+@query("WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)) SELECT event_type AS run_id, count(*) AS n, CAST(sum(event_id % 100) AS BIGINT) AS steps, CASE WHEN any_value(i) % 2 = 1 THEN count(*) FILTER (event_id % 10 = 0) ELSE 0 END AS evals FROM events JOIN t USING (event_type) GROUP BY event_type")
 def run_histories(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC13, SNK7, SET4: logs of several folders with different columns; a folder without one is skipped."""
+    """SRC13, SNK7, SET4: logs of a folder for each run, with different columns by turns; a folder without one is skipped."""
     path = folder(spark, "runs")
-    for run, columns in (("click", ["step", "train_loss", "eval_loss"]), ("view", ["train_loss", "step"])):
+    runs = sorted(r.run_id for r in logs(spark, sf).select("run_id").distinct().collect())  # a run for each type of event
+    for i, run in enumerate(runs):
+        columns = ["step", "train_loss", "eval_loss"] if i % 2 == 0 else ["train_loss", "step"]
         logs(spark, sf).where(F.col("run_id") == run).select(*columns).write.option("header", True).csv(f"{path}/{run}/training_history.csv")
-    rows = readers.read_histories(spark, [f"{path}/{r}" for r in ("click", "none", "view")])
+    rows = readers.read_histories(spark, [f"{path}/{r}" for r in ("none", *runs)])
     return rows.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("step").alias("steps"), F.count("eval_loss").alias("evals"))
 
 
@@ -309,20 +315,26 @@ def aspects_from_text(spark: SparkSession, sf: str) -> DataFrame:
     return held.select("doc_id", F.size("a").alias("n"), F.get("a", F.lit(0))["term"].alias("term"))
 
 
-@query("SELECT * FROM (VALUES ('chat', true), ('rows', false), ('other', false)) t(name, chat)")
+@query("SELECT 'chat' AS name, true AS chat, count(*) FILTER (doc_id % 3 <> 0) AS aspects FROM documents UNION ALL SELECT 'rows', false, CAST(sum(doc_id % 8) AS BIGINT) FROM documents UNION ALL SELECT 'other', false, 0 FROM documents HAVING count(*) > 0")
 def chat_or_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """JS9: chat text rather than rows of aspects."""
+    """JS9: chat text is parsed, rows of aspects are taken as they are, and other frames have none."""
     from tallyloom.__main__ import is_chat
 
     docs = documents(spark, sf)
-    frames = {"chat": docs.select("text"), "rows": annotations(spark, sf), "other": docs.select("lang")}
-    return spark.createDataFrame([(k, is_chat(f)) for k, f in frames.items()], "name string, chat boolean")
+    held = F.when(F.col("doc_id") % 3 == 0, A.empty()).otherwise(one_aspect())
+    frames = {"chat": docs.select(chatml.training_text(F.col("source"), held).alias("text")), "rows": annotations(spark, sf), "other": docs.select("lang")}
+    out = []
+    for name, f in frames.items():
+        of = chatml.parse(f).select(F.size("gold").alias("n")) if is_chat(f) else f.select((F.size("aspects") if "aspects" in f.columns else F.lit(0)).alias("n"))
+        out.append(of.agg(F.lit(name).alias("name"), F.lit(is_chat(f)).alias("chat"), F.sum("n").alias("aspects")))
+    return readers.union_of(out)
 
 
-@query("SELECT CAST(i AS INT) AS attempt, CAST(least(60, 5 * pow(2, i)) AS DOUBLE) AS seconds FROM range(0, 10) r(i)")
+@query("SELECT event_id, CAST(event_id % 10 AS INT) AS attempt, CAST(least(60, 5 * pow(2, event_id % 10)) AS DOUBLE) AS seconds FROM events")
 def back_off(spark: SparkSession, sf: str) -> DataFrame:
-    """MA5."""
-    return spark.createDataFrame([(i, float(boundary.backoff(i))) for i in range(10)], "attempt int, seconds double")
+    """MA5: the pause before each attempt."""
+    attempt = (F.col("event_id") % 10).cast("int")
+    return table(spark, sf, "events").select("event_id", attempt.alias("attempt"), boundary.pause(attempt).alias("seconds"))
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN p_size * 2 >= 90 THEN 8 WHEN p_size * 2 >= 40 THEN 4 WHEN p_size * 2 >= 24 THEN 2 ELSE 1 END AS INT) AS batch FROM part")
@@ -444,34 +456,72 @@ def stopped_and_resumed(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("review_id", F.get("aspects", F.lit(0))["term"].alias("term"), F.lit(stopped).alias("stopped"), F.lit(not readers.exists(spark, f"{path}_todo")).alias("cleared"))
 
 
-@query("SELECT 'shop' AS term, true AS parse_success")
+@query(f"SELECT {LAST_WORD} AS term, true AS parse_success FROM (SELECT arg_max(text, row(length(text), -doc_id)) AS text FROM documents)")
 def single_text(spark: SparkSession, sf: str) -> DataFrame:
-    """UD6."""
-    return boundary.analyze(spark, "a fine shop", echo).select(F.col("aspects")[0]["term"].alias("term"), "parse_success")
+    """UD6: the longest text by itself."""
+    longest = documents(spark, sf).agg(F.max_by("text", F.struct(F.length("text"), -F.col("doc_id"))).alias("text")).first().text
+    return boundary.analyze(spark, longest, echo).select(F.col("aspects")[0]["term"].alias("term"), "parse_success")
+
+
+KEPT = f"doc_id % 7 <> 0 AND {STRIPPED.format('text')} <> ''"
 
 
-@query("SELECT CAST(count(*) FILTER (doc_id % 7 <> 0) AS BIGINT) AS n, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 4 <> 0) AS parsed, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 4 = 0) AS failed, count(*) FILTER (doc_id % 7 = 0) AS skipped, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 4 <> 0) AS tp, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 4 = 0) AS fn FROM documents")
+@query(f"SELECT count(*) FILTER ({KEPT}) AS n, count(*) FILTER ({KEPT} AND doc_id % 4 <> 0) AS parsed, count(*) FILTER ({KEPT} AND doc_id % 4 = 0) AS failed, count(*) FILTER (NOT ({KEPT})) AS skipped, count(*) FILTER ({KEPT} AND doc_id % 4 <> 0) AS tp, count(*) FILTER ({KEPT} AND doc_id % 4 = 0) AS fn FROM documents")
 def evaluation_flow(spark: SparkSession, sf: str) -> DataFrame:
     """UD10, FLT10, JN8, AG17: outputs beside their gold, some without review text, some that don't parse."""
     k, aspects = F.col("doc_id"), one_aspect()
-    review = F.when(k % 7 == 0, " ").otherwise(F.concat_ws(" ", "source", "lang"))
+    review = F.when(k % 7 == 0, " ").otherwise(F.col("text"))
     rows = documents(spark, sf).select("doc_id", chatml.training_text(review, aspects).alias("chatml"), F.when(k % 4 == 0, "none").otherwise(jsonx.aspects_json(aspects)).alias("raw_output"))
     found = pipelines.evaluate_outputs(rows)
     parts = found["parse_rate"].select("n", "parsed", "failed").crossJoin(F.broadcast(found["skipped"].select(F.col("skipped_empty_gold").alias("skipped"))))
     return parts.crossJoin(F.broadcast(found["exact"].select("tp", "fn")))  # one row each
 
 
-@query("SELECT CAST(i AS INT) AS step, CAST(i AS BIGINT) AS seq, CASE WHEN i % 5 <> 4 THEN round(1.0 / (i + 1), 6) END AS train_loss, CASE WHEN i % 5 = 4 THEN i / 2.0 END AS eval_loss, 'run' AS run_id FROM range(0, 20) r(i)")
+@query("SELECT CAST(event_id AS INT) AS step, event_id / 10 AS epoch, CASE WHEN event_id % 5 <> 4 THEN round(value, 4) END AS train_loss, CASE WHEN event_id % 5 = 4 THEN round(value, 4) END AS eval_loss, true AS ended FROM events")
 def captured_logs(spark: SparkSession, sf: str) -> DataFrame:
-    """UD11: records of a trainer as rows of the training log."""
-    capture = boundary.LogCapture("run")
-    for i in range(20):
-        if i % 5 == 4:
-            capture.on_evaluate(i, i / 10, {"eval_loss": i / 2})
-        else:
-            capture.on_log(i, i / 10, {"loss": 1 / (i + 1), "unknown": 3.0})
-    capture.on_train_end()
-    return capture.frame(spark).select("step", "seq", "train_loss", "eval_loss", "run_id")
+    """UD11: what a trainer in each task logs, as rows of the training log."""
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            capture = boundary.LogCapture("run")
+            for i, v in zip(rows["event_id"].tolist(), rows["value"].tolist(), strict=True):
+                if i % 5 == 4:
+                    capture.on_evaluate(i, i / 10, {"eval_loss": v})
+                else:
+                    capture.on_log(i, i / 10, {"loss": v, "unknown": 3.0})
+            capture.on_train_end()
+            held = pd.DataFrame(capture.rows).reindex(columns=["step", "epoch", "train_loss", "eval_loss"])
+            yield held.assign(ended=capture.ended)
+
+    ship(spark)
+    rows = table(spark, sf, "events").select("event_id", "value").mapInPandas(train, "step int, epoch double, train_loss double, eval_loss double, ended boolean")
+    return rows.select("step", "epoch", r4("train_loss"), r4("eval_loss"), "ended")
+
+
+LIVE_SQL = f"WITH l AS ({LOGS_SQL}), v AS (SELECT run_id, step, train_loss AS v, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY run_id) AS n FROM l WHERE train_loss IS NOT NULL) SELECT run_id, max(n) AS n, round(sum(v * CASE WHEN i = 1 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - i) END), 4) AS ema, round(min(v), 4) AS best, CAST(arg_min(step, row(v, i)) AS BIGINT) AS best_step FROM v GROUP BY 1"
+
+
+@query(LIVE_SQL)
+def live_history(spark: SparkSession, sf: str) -> DataFrame:
+    """WIN1, WIN4, AG18 over a log that grows: the state of each run after four parts of it have come."""
+    path, last = folder(spark, "live"), table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    rows, parts = logs(spark, sf), 4
+    for k in range(parts):
+        rows.where((F.col("seq") * parts >= k * (last + 1)) & (F.col("seq") * parts < (k + 1) * (last + 1))).write.mode("append").parquet(f"{path}/log")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/log")
+        incremental.follow(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    after = incremental.results(spark, f"{path}/out")
+    held = after.groupBy("run_id").agg(F.max_by(F.struct("n", "ema", "best", "best_step"), "batch").alias("s")).select("run_id", "s.*")
+    return held.select("run_id", "n", r4("ema"), r4("best"), "best_step")
+
+
+@query("SELECT count(*) AS n_rows, count(text) AS n_present, count(*) FILTER (" + STRIPPED.format("text") + " <> '') AS n_not_blank, count(*) FILTER (" + STRIPPED.format("text") + " <> '' AND length(text) >= 10) AS n_long, count(DISTINCT CASE WHEN " + STRIPPED.format("text") + " <> '' AND length(text) >= 10 THEN text END) AS n_unique, count(DISTINCT CASE WHEN " + STRIPPED.format("text") + " <> '' AND length(text) >= 10 THEN text END) AS written FROM documents")
+def observed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """FLT1, FLT10: the counts of each step, taken while the cleaned reviews are written."""
+    path = folder(spark, "cleaned")
+    kept, counts = clean.clean_counted(registry.reviews(spark, sf))
+    kept.write.parquet(path)
+    return spark.read.parquet(path).agg(*[F.lit(v).cast("long").alias(k) for k, v in counts().items()], F.count("*").alias("written"))
 
 
 @query("SELECT p_partkey, round(p_retailprice / 7, 2) AS two, round(p_retailprice / 7, 4) AS four, round(p_retailprice / 7, 6) AS six FROM part")

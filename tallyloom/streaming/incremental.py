@@ -51,7 +51,7 @@ def resumable(df: DataFrame, path: str, work: Callable[[DataFrame], DataFrame],
             run, fresh = uuid.uuid4().hex, True
             left = not_yet_done(df, results(spark, path) if exists(spark, path) else None, key)
             left.write.option("maxRecordsPerFile", max(1, every // slots)).parquet(f"{todo}/{run}/rows")
-        if not exists(spark, f"{todo}/{run}/rows/_SUCCESS"):  # stopped while it wrote them
+        if not fresh and not exists(spark, f"{todo}/{run}/rows/_SUCCESS"):  # stopped while it wrote them
             remove(spark, f"{todo}/{run}")
             continue
 

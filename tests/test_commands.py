@@ -31,3 +31,27 @@ def test_commands(spark, tmp_path):
     main(["evaluate", p("outputs"), p("scores")])
     assert spark.read.json(p("scores/exact")).first().f1 == 1.0
     main(["memory", "7"])
+
+
+def test_model_commands(spark, tmp_path):
+    """A client by its name: the first commands' answers go through the whole chain."""
+    p = lambda n: str(tmp_path / n)
+    (tmp_path / "standin.py").write_text(
+        "import json\n"
+        "def annotator():\n    return lambda ps: [json.dumps({'aspects': [{'term': 'english' if 'sentiment' in p.lower() else 'joy', 'category': 'c', 'polarity': 'positive'}]}) for p in ps]\n"
+        "def judge():\n    return lambda ps: [json.dumps(dict.fromkeys(('completeness', 'accuracy', 'sentiment', 'relevance', 'overall'), 4)) for _ in ps]\n"
+    )
+    spark.sparkContext.addPyFile(p("standin.py"))
+    (tmp_path / "r.csv").write_text("review_text,object_name,rating_value\n" + "".join(f"Bu juda yaxshi joy {i},Evos,{i % 5 + 1}\n" for i in range(30)), encoding="utf-8")
+    main(["annotate", p("r.csv"), p("annotated"), "--client", "standin:annotator", "--every", "7", "--window", "3", "--call-size", "2"])
+    stats = spark.read.json(p("annotated/annotation_stats")).first()
+    assert (stats.total, stats.good) == (30, 30) and not (tmp_path / "annotated/checkpoint").exists()
+    rows = spark.read.json(p("annotated/annotated")).collect()
+    assert len({r.review_id for r in rows}) == 30 and {r.user_rating for r in rows} == {1, 2, 3, 4, 5}
+    (tmp_path / "a.json").write_text(json.dumps([r.asDict(True) for r in rows]))
+    main(["judge", p("a.json"), p("judged"), "--client", "standin:judge", "--sample-size", "8", "--model", "m"])
+    report = spark.read.json(p("judged/judge_report")).first()
+    assert report.successfully_scored == 8 and report.overall_averages.overall == 4 and report.model == "m"
+    (tmp_path / "lines.txt").write_text("a line\n\n another \n")
+    main(["inference", p("lines.txt"), p("inferred"), "--client", "standin:annotator"])
+    assert sorted(r.text for r in spark.read.json(p("inferred")).collect()) == ["a line", "another"]

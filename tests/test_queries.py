@@ -9,7 +9,7 @@ import __spark_entry__
 from tallyloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PYTHON = {"chatml_parse", "judge_parse", "output_parse", "fuzzy_merge", "aspects_from_text", "aspect_repr", "judged_again", "annotated_by_client", "annotated_in_batches", "stopped_and_resumed", "single_text", "evaluation_flow", "output_parse_many"}
+PYTHON = {"chatml_parse", "judge_parse", "output_parse", "fuzzy_merge", "aspects_from_text", "aspect_repr", "judged_again", "annotated_by_client", "annotated_in_batches", "stopped_and_resumed", "captured_logs", "chat_or_rows", "live_history", "business_class_by_automaton", "single_text", "evaluation_flow", "output_parse_many"}
 
 
 @pytest.fixture(scope="module")
