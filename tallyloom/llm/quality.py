@@ -170,7 +170,10 @@ def lasso(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE) -> RuleEnsemble:
-    """An ensemble from at most 2 * most labelled rows; without any, every text scores 0.5."""
+    """An ensemble from at most 2 * most labelled rows; without any, every text scores 0.5.
+
+    Rows without a label of 0 or 1 teach nothing, repeated rows as often as they are drawn; a null text counts as empty.
+    """
     known = labels.where(F.col(label).isNotNull())
     shares = {r[0]: r[1] for r in known.groupBy(F.col(label).cast("int")).count().collect() if r[0] in (0, 1)}
     chosen = with_statistics(sample(docs, known, label, most, doc_id, text).where("y in (0, 1)"))

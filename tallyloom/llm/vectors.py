@@ -4,7 +4,8 @@ Rotations learned on a bounded sample turn centred vectors into balanced binary
 each the index of a Hamming table; vectors of one label that agree on a substring meet and are compared by the cosine
 of their original components. The larger the largest label, the longer the substrings, so that strangers meet no more
 often; rotations are added until vectors at the threshold, made from the sample, meet with a probability of 0.99.
-What is found is exact.
+Vectors longer than all of the sample, and all if no number of rotations allowed does, are compared with every vector of
+their label and length instead. What is found is exact.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class Quantiser:
     mean: np.ndarray
     rotations: tuple[np.ndarray, ...]  # components x bits
     substring: int = SUBSTRING
+    enough: bool = True  # whether pairs at the threshold meet as often as RECALL says
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """A row for each vector: the substrings of its codes, one for each table."""
@@ -55,7 +57,7 @@ def learn(x: np.ndarray, rows: int = 0, least: float = 0.98, bits: int = BITS, s
     """Principal directions, then for each random start the rotation that brings their signs nearest to them.
 
     x: unit vectors; rows: of the largest label. Rotations are added until pairs at the cosine least share a substring
-    often enough, ROTATIONS at least and MOST_ROTATIONS at most.
+    often enough, ROTATIONS at least and MOST_ROTATIONS at most; if so many don't do, the codes say so.
     """
     mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
     k = min(bits, x.shape[1])
@@ -77,7 +79,7 @@ def learn(x: np.ndarray, rows: int = 0, least: float = 0.98, bits: int = BITS, s
         out.append(directions @ r)
         one = Quantiser(mean, (out[-1],), substring_for(rows))
         met |= (one.codes(near) == one.codes(moved)).any(1)
-    return Quantiser(mean, tuple(out), substring_for(rows))
+    return Quantiser(mean, tuple(out), substring_for(rows), not len(near) or met.mean() >= RECALL)
 
 
 def stacked(column: pa.Array, width: int) -> np.ndarray:
@@ -121,7 +123,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     def index():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             codes = model.value.codes(stacked(batch.column(1), width))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1], codes.ravel())], ["node", "codes"])
+            coded = (np.diff(batch.column(1).offsets.to_numpy()) <= width) & model.value.enough
+            n = np.where(coded, codes.shape[1], 1)  # others share one code, and so meet all of their label and length
+            flat = np.where(coded[:, None], codes, 0)[np.arange(codes.shape[1]) < n[:, None]]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), flat)], ["node", "codes"])
 
         return work
 

@@ -184,6 +184,23 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(df.where("label is null")).first().n_links == 0
 
 
+@pytest.mark.parametrize("setting", [{"RECALL": 1.1, "MOST_ROTATIONS": 4}, {"stacked": None}])
+def test_vectors_beyond_the_tables_are_all_compared(spark, monkeypatch, setting):
+    """Where no number of rotations is enough, and for vectors longer than the sample's, every link is found."""
+    monkeypatch.setattr(graph, "TILE", 16)
+    for k, v in setting.items():
+        if v is not None:
+            monkeypatch.setattr(vectors, k, v)
+        else:  # a sample without the longer vectors
+            monkeypatch.setattr(vectors, "least_hashed", lambda rows, *a: rows.where(F.size("e") < 24))
+    rnd = np.random.default_rng(9)
+    base = rnd.standard_normal((6, 24))
+    rows = [(i, (base[i % 6] + rnd.standard_normal(24) * 0.13).astype(np.float32).tolist()[: 24 if i % 5 else 7], int(i % 2)) for i in range(120)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    want = brute_vectors(rows)
+    assert sum(w[0] for w in want.values()) > 50 and got == want
+
+
 def test_vector_ids_that_repeat_or_lack(spark):
     rows = [(8, [1.0, 0.0], 1), (8, [0.0, 1.0], 1), (3, [0.01, 1.0], 1), (4, [1.0, 0.01], 1), (None, [1.0, 0.02], 1), (-5, [0.7, 0.7], 1), (None, [-1.0, 0.0], 1)]
     got = sorted((r.vec_id if r.vec_id is not None else 99, r.n_links, r.component_id if r.component_id is not None else 99) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
