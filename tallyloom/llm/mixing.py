@@ -232,23 +232,28 @@ def spread(known: Dictionary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return n, path >> np.uint32(1), path & np.uint32(1)
 
 
-def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, letter, node, side, contexts): of each bit of the words and of a blank after each, the word's number, the
-    byte's, the bits of the byte so far times SCATTER; of each byte the hash of every order's context.
+#: For each byte its eight decisions from the top: the node, which is 1 and the bits before, times SCATTER; and the bit.
+BYTE_NODES = np.array([[(256 | b) >> (8 - i) for i in range(8)] for b in range(256)], np.uint32) * SCATTER
+BYTE_SIDES = np.array([[b >> (7 - i) & 1 for i in range(8)] for b in range(256)], np.uint32)
+
+
+def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(word, node, side, contexts): the number of the word of each byte of the words and of a blank after each; node and
+    side of each of its eight decisions, end to end, and for those the hash of every order's context.
     """
     data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    word = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     h, contexts = np.zeros(len(data), np.uint32), []
     for k in range(1, max(ORDERS) + 1):
-        before = np.where(place >= k, np.concatenate([np.zeros(min(k, len(data)), np.uint8), data[:-k]]), 0).astype(np.uint32)
+        before = np.zeros(len(data), np.uint32)
+        before[k:] = data[:-k]
+        before[place < k] = 0
         h = (h + before + np.uint32(1)) * np.uint32(0x01000193)
         if k in ORDERS:
-            contexts.append(stirred(h + np.uint32(k)))
-    bits = np.unpackbits(data).reshape(-1, 8)
-    node = np.concatenate([np.ones((len(data), 1), np.uint32), (1 << np.arange(1, 8, dtype=np.uint32)) | np.stack([data >> (8 - i) for i in range(1, 8)], 1)], 1)
-    return np.repeat(word, 8), np.repeat(np.arange(len(data), dtype=np.int32), 8), node.astype(np.uint32).ravel() * SCATTER, bits.ravel(), np.stack(contexts)
+            contexts.append(np.repeat(stirred(h + np.uint32(k)), 8))
+    return word, BYTE_NODES.take(data, axis=0).ravel(), BYTE_SIDES.take(data, axis=0).ravel(), contexts
 
 
 @dataclass
@@ -359,24 +364,27 @@ class Letters:
     tables: Tables
     weights: np.ndarray
 
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        word, letter, node, side, contexts = letters(words)
-        at = [slot(c[letter], node, LETTER_BITS) for c in contexts]
-        found = [self.tables.take(k, a) for k, a in enumerate(at)]
-        gate = np.minimum(found[1][1], 2) * 3 + np.minimum(found[3][1], 2)
-        return word, np.stack([x for x, _ in found], 1), gate.astype(np.int64), side
+    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """(word of each byte, inputs, gate, side and probability of each decision)."""
+        word, node, side, contexts = letters(words)
+        found = [self.tables.take(k, slot(c, node, LETTER_BITS)) for k, c in enumerate(contexts)]
+        gate = (np.minimum(found[1][1], 2) * np.uint32(3) + np.minimum(found[3][1], 2)).astype(np.int64)
+        dot = np.zeros(len(node), np.float32)
+        for (x, _), w in zip(found, self.weights.T.astype(np.float32), strict=True):
+            dot += w.take(gate) * x
+        return word, [x for x, _ in found], gate, side, squash(dot)
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         """What the letters of each word and the blank after it cost."""
         out = np.zeros(len(words))
         for some, at in parted(words):
-            word, x, gate, side = self.inputs(some)
-            p = squash(np.einsum("ij,ij->i", self.weights.take(gate, axis=0), x))
-            out += np.bincount(np.asarray(at)[word], -np.log2(np.where(side, p, 1 - p)), len(words))
+            word, _, _, side, p = self.inputs(some)
+            cost = np.log2(np.abs(p + side.astype(np.float32) - 1)).reshape(-1, 8).sum(1)
+            out -= np.bincount(np.asarray(at)[word], cost, len(words))
         return out
 
 
-def parted(words: list[bytes], size: int = 1 << 16) -> Iterator[tuple[list[bytes], list[int]]]:
+def parted(words: list[bytes], size: int = 1 << 14) -> Iterator[tuple[list[bytes], list[int]]]:
     """Words, and their numbers, so many bytes at a time; a longer word by itself."""
     some, at, n = [], [], 0
     for i, w in enumerate(words):
@@ -450,10 +458,10 @@ def lane_bits(known: Dictionary, tables: Tables, weights: np.ndarray, lanes: lis
             sums.add(inputs, gate.astype(np.int64), y, p)
             continue
         dot *= np.float32(1.5)
-        np.floor(dot, out=dot)
-        np.clip(dot, -(CELLS // 2), CELLS // 2 - 1, out=dot)
+        dot += np.float32(CELLS // 2)
+        np.clip(dot, 0, CELLS - 1, out=dot)
         cell = lane * CELLS
-        cell += (dot + np.float32(CELLS // 2)).astype(np.int64)
+        cell += dot.astype(np.int64)
         seen = cells.take(cell)
         out += np.bincount(lane, np.log2(np.abs((p + seen) * np.float32(0.5) + y - 1)), len(lanes))
         off = y - p
@@ -577,8 +585,8 @@ def letter_model(rows: DataFrame, scratch: Scratch) -> Letters:
         def work(batch: pa.RecordBatch) -> Iterator[tuple]:
             tunes = batch.column(0).to_numpy() % 7 == 3
             for words, at in parted(batch.column(1).to_pylist()):
-                word, letter, node, side, contexts = letters(words)
-                yield tunes[np.asarray(at)][word], [slot(c[letter], node, LETTER_BITS) for c in contexts], side
+                word, node, side, contexts = letters(words)
+                yield np.repeat(tunes[np.asarray(at)][word], 8), [slot(c, node, LETTER_BITS) for c in contexts], side
 
         return work
 
@@ -588,8 +596,8 @@ def letter_model(rows: DataFrame, scratch: Scratch) -> Letters:
     def make(weights: np.ndarray):
         def work(batch: pa.RecordBatch, sums: Sums) -> None:
             for words, _ in parted(batch.column(1).to_pylist()):
-                _, x, gate, side = Letters(held.value, weights).inputs(words)
-                sums.add(x.T, gate, side, squash(np.einsum("ij,ij->i", weights[gate], x)))
+                _, x, gate, side, p = Letters(held.value, weights).inputs(words)
+                sums.add(x, gate, side, p)
 
         return lambda: work
 

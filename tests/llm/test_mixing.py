@@ -177,13 +177,13 @@ def test_one_token_texts_sum_to_one():
     cost = np.array([model.bits([w + bytes([b]) for b in range(256)]) for w in (b"a", b"b")])
     assert (first > 0).all() and cost.shape == (2, 256) and len({*first.round(9)}) > 200
     whole = sum(np.exp2(-prefix_bits(model, w)) for w in every)
-    assert whole == pytest.approx(1, abs=1e-6)
+    assert whole == pytest.approx(1, abs=1e-4)
 
 
 def prefix_bits(model, prefix):
-    _, x, gate, side = model.inputs([prefix])
-    p = mixing.squash(np.einsum("ij,ij->i", model.weights[gate], x))[: 8 * len(prefix)]
-    return float(-np.log2(np.where(side[: 8 * len(prefix)], p, 1 - p)).sum())
+    _, _, _, side, p = model.inputs([prefix])
+    p = p[: 8 * len(prefix)]
+    return float(-np.log2(np.where(side[: 8 * len(prefix)], p, 1 - p).astype(float)).sum())
 
 
 def test_tree_and_prices():
