@@ -209,6 +209,53 @@ def test_few_pairs_are_candidates(spark):
     assert len(got) < 400
 
 
+def test_one_block_is_difflib():
+    """Where the common beginning or end is said to be all that difflib finds, it is; rare letters run into the edit or not."""
+    rnd, sure = random.Random(11), 0
+    for _ in range(3000):
+        y = "".join(rnd.choice("abcd" * 8 + "xyz" + "éq" * rnd.randint(0, 1)) for _ in range(rnd.choice([0, 1, 30, 199, 200, 260, 400])))
+        other = "".join(rnd.choice("#xa") for _ in range(rnd.randint(0, 3)))
+        x = rnd.choice([y + other, other + y[rnd.randint(0, 3) :], y[: len(y) - rnd.randint(0, 3)] + other, other + y + other])
+        got = match.one_block(x, y)
+        sure += got is not None
+        assert got is None or got == SequenceMatcher(None, x, y).ratio(), (x, y)
+    assert sure > 1000
+
+
+def test_near_texts_are_matched_by_few_segments(spark, monkeypatch):
+    """Texts that differ by a character write a few rows each; all were cut as fine as the lowest ratio asks, 150 rows each."""
+    rnd, rows = random.Random(12), []
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(1000)) for _ in range(100)]
+    once = match.once
+
+    def counted(df):
+        held = once(df)
+        rows.append(held.count())
+        return held
+
+    monkeypatch.setattr(match, "once", counted)
+    got = fuzzy_rows(spark, [t + "#" for t in texts], texts)
+    assert got == {i: (i, 2000 / 2001) for i in range(100)}
+    assert sum(rows) < 40 * len(texts)
+
+
+def test_rounds_leave_no_match_out(spark):
+    """Best matches just above and below each ratio that is looked for first."""
+    rnd = random.Random(13)
+    base = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150)) for _ in range(20)]
+    base += [t * 3 + "".join(rnd.choice("abcdefgh") for _ in range(1000)) for t in base[:6]]
+
+    def edited(t, n):
+        for _ in range(n):
+            k = rnd.randrange(len(t))
+            t = t[:k] + rnd.choice("#ABé") + t[k + rnd.randint(0, 1) :]
+        return t
+
+    raw = [edited(t, max(1, int(len(t) * share))) for t in base for share in (0.001, 0.012, 0.018, 0.045, 0.06)]
+    want = brute_fuzzy(raw, base)
+    assert len(want) > 60 and fuzzy_rows(spark, raw, base) == want
+
+
 def test_exact_match(spark):
     raw = spark.createDataFrame([(0, " a "), (1, "b"), (2, None)], "i int, t string")
     ann = spark.createDataFrame([(5, "a"), (3, "a\n"), (4, "c"), (6, None)], "j int, u string")
