@@ -295,6 +295,14 @@ def test_memory_and_batches(spark):
     assert {x.host: (x.num_gpus, x.batch_size, x.grad_accum, x.device_map) for x in config.recommend(d).collect()} == {"h": (2, 4, 2, "auto"), "cpu": (0, 1, 8, "cpu")}
 
 
+def test_calls_take_some_rows_at_a_time(spark):
+    """A call without a size had the prompts of a whole Arrow batch, 3000 here, all of them Python strings at once."""
+    df = spark.range(3000).select("id", F.concat(F.lit("p"), F.col("id")).alias("prompt"), F.lit("old").alias("answer")).coalesce(1)
+    got = boundary.ask(df, "prompt", "answer", lambda: lambda prompts: [f"{len(prompts)} {p}" for p in prompts]).collect()
+    assert [r.answer.split()[1] for r in got] == [f"p{i}" for i in range(3000)] and got[0].__fields__ == ["id", "prompt", "answer"]
+    assert max(int(r.answer.split()[0]) for r in got) <= boundary.ROWS
+
+
 def test_boundary_tries_again(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "i int, prompt string").coalesce(1)
 
