@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import assemble, boundary, chatml, clean, config, evaluate, history, match, sample, stats
 from tallyloom.plans import pipelines
+from tallyloom.plans.roundtrips import Repeater
 from tallyloom.schemas import SCORES
 from tallyloom.sources import writers
 from tallyloom.streaming import incremental
@@ -303,6 +304,14 @@ def test_calls_take_some_rows_at_a_time(spark):
     assert max(int(r.answer.split()[0]) for r in got) <= boundary.ROWS
 
 
+def test_stand_in_judge_forgets_what_it_answered():
+    """It kept every prompt of a partition."""
+    judge, prompts = Repeater(), [f"{i} User rating: {i % 5 + 1}/5" for i in range(50)]
+    for some in (prompts, [*prompts, prompts[0]]):
+        assert all(a.startswith("Sorry") for a in judge(some)) and judge.asked == set(some)
+        assert not any(a.startswith("Sorry") for a in judge(some)) and not judge.asked
+
+
 def test_boundary_tries_again(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "i int, prompt string").coalesce(1)
 
