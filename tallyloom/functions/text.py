@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,11 @@ def strip(c: Column) -> Column:
     return F.when(ends.rlike(f"(?U){WHITE}"), F.regexp_replace(c, f"(?U)^{WHITE}+|{WHITE}+$", "")).otherwise(c)
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """of(c) with c, which of may name many times, worked out once for a row: Spark shares nothing between branches or within a lambda."""
+    return F.element_at(F.transform(F.array(c), of), 1)
+
+
 def words(c: Column) -> Column:
     stripped = strip(c)
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, f"(?U){WHITE}+"))
@@ -56,13 +64,14 @@ def script_shares(c: Column) -> Column:
 
 
 def has_uzbek_letters(c: Column) -> Column:
-    return c.rlike(f"[{UZBEK_LETTERS}]")
+    """By searches for each letter's bytes, which take a third of a pattern's time."""
+    return reduce(Column.__or__, (c.contains(x) for x in UZBEK_LETTERS))
 
 
 def lexicon_share(c: Column, lexicon: tuple[str, ...]) -> Column:
     """The share of Cyrillic words that are in a lexicon."""
-    found = F.regexp_extract_all(F.lower(c), F.lit("[а-яёўқғҳА-ЯЁЎҚҒҲ]+"), F.lit(0))
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: w.isin(*lexicon))) / F.size(found)).otherwise(0.0)
+    found = F.regexp_extract_all(F.lower(c), F.lit("[а-яёўқғҳ]+"), F.lit(0))
+    return once(found, lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, lambda w: w.isin(*lexicon))) / F.size(ws)).otherwise(0.0))
 
 
 def letter_counts(c: Column) -> Column:
@@ -77,8 +86,9 @@ def class_of(c: Column, n: Column) -> Column:
 
 
 def script_class(c: Column) -> Column:
-    """class_of with the letters counted once, for all branches."""
-    return F.when(c.isNotNull(), F.element_at(F.transform(F.array(letter_counts(c)), lambda n: class_of(c, n)), 1)).otherwise(MIXED)
+    """class_of with the text made and its letters counted once, for all branches."""
+    of = lambda t: F.when(t.isNotNull(), once(letter_counts(t), lambda n: class_of(t, n))).otherwise(MIXED)
+    return once(c, of)
 
 
 def snippet(c: Column, size: int) -> Column:

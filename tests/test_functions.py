@@ -222,3 +222,11 @@ def test_automaton_is_the_chain_of_rules(spark, tmp_path):
     for some in ([], [("a", [])], [("a", ["x"]), ("b", [""]), ("c", ["y"])]):
         plain = {r.object_name: r.category for r in df.select("object_name", taxonomy.classify(F.col("object_name"), some).alias("category")).collect()}
         assert {r.object_name: r.category for r in taxonomy.classify_names(df, some).collect() if r.object_name is not None} == {k: v for k, v in plain.items() if k is not None}
+
+
+def test_script_class_works_its_text_out_once(spark):
+    """The text was named in each branch and count, and made anew for each."""
+    df = spark.createDataFrame([("адуж",), ("ғоз",), ("hello",), ("ab где",), ("1 2",), (None,)], "t string")
+    made = df.select("t", text.script_class(F.reverse("t")).alias("s"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    assert [r.s for r in made.collect()] == [text.UZBEK, text.UZBEK, text.LATIN, text.MIXED, text.LATIN, text.MIXED]
