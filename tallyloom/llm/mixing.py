@@ -20,15 +20,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain, compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +48,16 @@ SPREAD = 4096
 WORD_BITS, LETTER_BITS, OWN_BITS = 20, 19, 11
 #: Words after which the mixer starts afresh, words between two steps of it, and lanes (texts, segments) worked on together.
 SEGMENT, CHUNK, LANES = 2048, 16, 192
+#: Bytes of texts that are cut together and whose lanes are put together by their lengths.
+TOGETHER = 2 << 20
 #: Orders of the letters' contexts.
 ORDERS = (1, 2, 3, 5)
 #: Steps of Newton's method that fit the letters' weights, which stay as they are; the words' go on in every text, so one.
 LETTER_ROUNDS = 2
 #: Evidence that a slot without counts has for either side; what a step moves weights by; the least probability.
 PRIOR, RATE, LEAST = 0.3, 0.01, 1 / 65536
+#: Steps of log-odds in a table: two bytes reach 32 either way, beyond any count's; so a worker's tables stay in its cache.
+UNIT = 1 / 1024
 #: Cells of the correction table, and the share of an error by which one moves, as its inverse.
 CELLS, TRUST = 24, 120.0
 #: What a repeated word of a text leaves to new ones.
@@ -76,13 +80,54 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= LONG else END_KEY + hashlib.sha256(word).digest()
 
 
+def pieces(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Texts and the number of each, all at once if they aren't more than TOGETHER; else one by one, long ones in parts."""
+    if (pc.sum(pc.binary_length(column)).as_py() or 0) <= TOGETHER:
+        yield column, np.arange(len(column))
+        return
+    for k in range(len(column)):
+        for part in parts_of(column[k].as_py() or b""):
+            yield pa.array([part], pa.binary()), np.array([k])
+
+
+def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of texts end to end, and the row of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, b"").view(pa.string())))
+    words, row = lists.flatten(), np.repeat(np.arange(len(column)), pc.list_value_length(lists).to_numpy())
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty one
+    return words.filter(full), row[full.to_numpy(zero_copy_only=False)]
+
+
+def numbers(words: pa.Array) -> np.ndarray:
+    """A number for each word that is none of a symbol: 31 bits by a table of places and bytes, and one above."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    out = np.zeros(len(words), np.uint32)
+    for a in range(0, len(words), SPREAD):
+        edges = ends[a : a + SPREAD + 1]
+        data = np.frombuffer(words.buffers()[2], np.uint8, edges[-1] - edges[0], edges[0])
+        edges = edges - edges[0]
+        at = np.arange(len(data)) - np.repeat(edges[:-1], np.diff(edges))
+        at &= LONG - 1
+        at <<= 8
+        at += data
+        out[a : a + SPREAD] = np.add.reduceat(PLACED.take(at), edges[:-1], dtype=np.uint32)
+    return out | np.uint32(1 << 31)
+
+
+def keyed(words: pa.Array) -> pa.Array:
+    """Keys of words, as bytes."""
+    if (pc.max(pc.binary_length(words)).as_py() or 0) <= LONG:
+        return words.view(pa.binary())
+    return pa.array(map(key_of, words.view(pa.binary()).to_pylist()), pa.binary())
+
+
 def bucket(n: np.ndarray) -> np.ndarray:
     """0 without evidence, then 1 to 2, 3 to 15, more."""
     return ((n > 0).astype(np.uint8) + (n > 2) + (n > 15)).astype(np.uint8)
 
 
 def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR)))
+    return np.log((one.astype(np.float32) + np.float32(PRIOR)) / (zero.astype(np.float32) + np.float32(PRIOR)))
 
 
 def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -133,8 +178,9 @@ class Dictionary:
             self.paths[at] = node[on] * 2 + bit[on]
 
     @cached_property
-    def symbol(self) -> dict[bytes, int]:
-        return {w: i + 2 for i, w in enumerate(self.words)}
+    def listed(self) -> pa.Array:
+        """The words from symbol 2 on."""
+        return pa.array(self.words, pa.binary()).view(pa.string())
 
     @cached_property
     def base(self) -> np.ndarray:
@@ -163,20 +209,32 @@ class Text:
     others: Counter
 
 
+def read_all(column: pa.Array, known: Dictionary) -> tuple[list[Text], pa.Array, np.ndarray]:
+    """Texts, their words outside the dictionary end to end, and the text of each of these; others are left empty."""
+    found, contexts, rows, others, owners = [], [], [], [], []
+    for part, which in pieces(column):
+        words, row = cut(part)
+        symbol = pc.fill_null(pc.index_in(words, known.listed), -2).to_numpy() + 2
+        rare = symbol == ESCAPE
+        others.append(words.filter(pa.array(rare)))
+        context = symbol.astype(np.uint32)
+        context[rare] = numbers(others[-1])
+        row = which.take(row)
+        for held, x in ((found, symbol), (contexts, context), (rows, row), (owners, row[rare])):
+            held.append(x)
+    row = np.concatenate(rows)
+    at = np.arange(len(row)) + row  # each text before has an end
+    symbols, numbered = np.full(len(row) + len(column), END), np.full(len(row) + len(column), END, np.uint32)
+    symbols[at], numbered[at] = np.concatenate(found), np.concatenate(contexts)
+    edges = np.cumsum([0, *(np.bincount(row, minlength=len(column)) + 1)]).tolist()
+    texts = [Text(symbols[a:b], numbered[a:b], Counter()) for a, b in zip(edges, edges[1:], strict=False)]
+    return texts, pa.concat_arrays(others), np.concatenate(owners)
+
+
 def read(data: bytes, known: Dictionary) -> Text:
-    """Long texts are read some at a time, each part ending at white space."""
-    get, symbols, contexts, others = known.symbol.get, [], [], Counter()
-    for part in parts_of(data):
-        words = tokens(part)
-        found = np.fromiter(map(get, words, repeat(ESCAPE)), np.int64, len(words))
-        context = found.astype(np.uint32)
-        rare = found == ESCAPE
-        if len(out := list(compress(words, rare.tolist()))):
-            context[rare] = np.fromiter(map(zlib.crc32, out), np.uint32, len(out)) | np.uint32(1 << 31)
-            others.update(out)
-        symbols.append(found)
-        contexts.append(context)
-    return Text(np.concatenate([*symbols, [END]]), np.concatenate([*contexts, [np.uint32(END)]]), others)
+    (text,), others, _ = read_all(pa.array([data], pa.binary()), known)
+    text.others.update(others.view(pa.binary()).to_pylist())
+    return text
 
 
 def repeats(counts: Sequence[int]) -> float:
@@ -222,16 +280,22 @@ def stirred(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-def spread(known: Dictionary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(decisions of each symbol, node and side of each decision), in order."""
+def spread(known: Dictionary, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the symbol, node and side of each decision, where each symbol's decisions start), in order."""
     n = known.lengths.take(symbols)
-    ends = np.cumsum(n)
-    at = np.repeat(known.starts.take(symbols) - ends + n, n)
+    first = np.cumsum(n)
+    first -= n
+    which = np.repeat(np.arange(len(n)), n)
+    at = (known.starts.take(symbols) - first).take(which)
     at += np.arange(len(at))
     path = known.paths.take(at)
-    return n, path >> np.uint32(1), path & np.uint32(1)
+    side = path & np.uint32(1)
+    path >>= np.uint32(1)
+    return which, path, side, first
 
 
+#: For each place in a word, up to LONG, and each byte there a number.
+PLACED = stirred(np.arange(LONG << 8, dtype=np.uint32) * SCATTER + np.uint32(1))
 #: For each byte its eight decisions from the top: the node, which is 1 and the bits before, times SCATTER; and the bit.
 BYTE_NODES = np.array([[(256 | b) >> (8 - i) for i in range(8)] for b in range(256)], np.uint32) * SCATTER
 BYTE_SIDES = np.array([[b >> (7 - i) & 1 for i in range(8)] for b in range(256)], np.uint32)
@@ -239,12 +303,12 @@ BYTE_SIDES = np.array([[b >> (7 - i) & 1 for i in range(8)] for b in range(256)]
 
 def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(word, node, side, contexts): the number of the word of each byte of the words and of a blank after each; node and
-    side of each of its eight decisions, end to end, and for those the hash of every order's context.
+    side of each of its eight decisions, a row for a byte; and the hash of every order's context of each byte.
     """
     data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(data)) - (np.cumsum(sizes) - sizes).take(word)
     h, contexts = np.zeros(len(data), np.uint32), []
     for k in range(1, max(ORDERS) + 1):
         before = np.zeros(len(data), np.uint32)
@@ -252,23 +316,29 @@ def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
         before[place < k] = 0
         h = (h + before + np.uint32(1)) * np.uint32(0x01000193)
         if k in ORDERS:
-            contexts.append(np.repeat(stirred(h + np.uint32(k)), 8))
-    return word, BYTE_NODES.take(data, axis=0).ravel(), BYTE_SIDES.take(data, axis=0).ravel(), contexts
+            contexts.append(stirred(h + np.uint32(k))[:, None])
+    return word, BYTE_NODES.take(data, axis=0), BYTE_SIDES.take(data, axis=0), contexts
 
 
 @dataclass
 class Tables:
-    """Log-odds of every slot of each table, whose last two bits tell the evidence."""
+    """Log-odds of every slot of each table in units of UNIT, as two bytes, whose last two bits tell the evidence."""
 
     slots: np.ndarray  # tables x slots
 
     @classmethod
     def of(cls, odds: np.ndarray, evidence: np.ndarray) -> Tables:
-        return cls(((odds.astype(np.float32).view(np.uint32) & np.uint32(0xFFFFFFFC)) | evidence).view(np.float32))
+        slots = np.clip(np.rint(odds * np.float32(1 / UNIT)), -(1 << 15), (1 << 15) - 1).astype(np.int16)
+        slots &= np.int16(-4)
+        slots |= evidence.astype(np.int16)
+        return cls(slots)
 
     def take(self, table: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = self.slots[table].take(at)
-        return found, found.view(np.uint32) & np.uint32(3)
+        odds = found.astype(np.float32)
+        odds *= np.float32(UNIT)
+        found &= np.int16(3)
+        return odds, found
 
 
 def gathered(rows: DataFrame, make: Callable, tables: int, bits: int, scratch: Scratch, name: str) -> tuple[Tables, Tables]:
@@ -283,11 +353,15 @@ def gathered(rows: DataFrame, make: Callable, tables: int, bits: int, scratch: S
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd, work, held = pa.Codec("zstd", 1), make(), np.zeros((tables, 2 << bits + 1), np.uint32)  # tuning, slot, side
         for batch in batches:
-            for part in slices(batch, batch.schema.names[-1]):
+            for part in slices(batch, batch.schema.names[-1], TOGETHER):
                 for tuning, slots, side in work(part):
-                    rest = (tuning.astype(np.int64) << bits + 1) + side
-                    for k in range(tables):
-                        np.add.at(held[k], slots[k] * 2 + rest, np.uint32(1))
+                    rest = tuning.astype(np.int64)
+                    rest <<= bits + 1
+                    rest += side
+                    for k, at in enumerate(slots):
+                        at += at
+                        at += rest
+                        np.add.at(held[k], at, np.uint32(1))
         for k in range(tables):
             for tuning, whole in enumerate(held[k].reshape(2, -1, 2 << piece)):
                 some = np.flatnonzero(whole.any(1))
@@ -367,21 +441,25 @@ class Letters:
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """(word of each byte, inputs, gate, side and probability of each decision)."""
         word, node, side, contexts = letters(words)
-        found = [self.tables.take(k, slot(c, node, LETTER_BITS)) for k, c in enumerate(contexts)]
-        gate = (np.minimum(found[1][1], 2) * np.uint32(3) + np.minimum(found[3][1], 2)).astype(np.int64)
-        dot = np.zeros(len(node), np.float32)
+        found = [self.tables.take(k, slot(c, node, LETTER_BITS).ravel()) for k, c in enumerate(contexts)]
+        gate = (np.minimum(found[1][1], 2) * np.int16(3) + np.minimum(found[3][1], 2)).astype(np.int64)
+        dot = np.zeros(node.size, np.float32)
         for (x, _), w in zip(found, self.weights.T.astype(np.float32), strict=True):
-            dot += w.take(gate) * x
-        return word, [x for x, _ in found], gate, side, squash(dot)
+            part = w.take(gate)
+            part *= x
+            dot += part
+        return word, [x for x, _ in found], gate, side.ravel(), squash(dot)
 
     def bits(self, words: list[bytes]) -> np.ndarray:
         """What the letters of each word and the blank after it cost."""
         out = np.zeros(len(words))
         for some, at in parted(words):
             word, _, _, side, p = self.inputs(some)
-            cost = np.log2(np.abs(p + side.astype(np.float32) - 1)).reshape(-1, 8).sum(1)
-            out -= np.bincount(np.asarray(at)[word], cost, len(words))
-        return out
+            p += side.astype(np.float32)
+            p -= 1
+            np.abs(p, out=p)
+            out[at[0] : at[-1] + 1] = np.bincount(word, np.log(p, out=p).reshape(-1, 8).sum(1))
+        return out / -math.log(2)
 
 
 def parted(words: list[bytes], size: int = 1 << 14) -> Iterator[tuple[list[bytes], list[int]]]:
@@ -412,64 +490,80 @@ def mixed(known: Dictionary, tables: Tables, weights: np.ndarray, texts: list[Te
         n = len(t.symbols)
         lanes += [(k, at + i, min(SEGMENT, n - i)) for i in range(0, n, SEGMENT)]
         at += n
+    lanes.sort(key=lambda x: -x[2])  # lanes of like length end together, so that steps are wide
     for first in range(0, len(lanes), LANES):
-        some = lanes[first : first + LANES]
-        owner = np.array([k for k, _, _ in some])
-        cost = lane_bits(known, tables, weights, [np.arange(s, s + n) for _, s, n in some], symbols, one, two, sums)
-        bits += np.bincount(owner, cost, len(texts))
+        owner, starts, sizes = np.array(lanes[first : first + LANES]).T
+        bits += np.bincount(owner, lane_bits(known, tables, weights, starts, sizes, symbols, one, two, sums), len(texts))
     return bits
 
 
-def lane_bits(known: Dictionary, tables: Tables, weights: np.ndarray, lanes: list[np.ndarray], symbols: np.ndarray, one: np.ndarray, two: np.ndarray, sums: Sums | None) -> np.ndarray:
-    """Bits of each lane; a lane has the numbers of its tokens, one and two the hashes of every token's contexts."""
-    place = np.concatenate([np.arange(len(x)) for x in lanes]) // CHUNK
-    lane_of = np.repeat(np.arange(len(lanes)), [len(x) for x in lanes])
-    order = np.lexsort((lane_of, place))  # stable: tokens of a lane stay in order
-    tok, lane_of, place = np.concatenate(lanes)[order], lane_of[order], place[order]
-    edges = np.searchsorted(place, np.arange(place[-1] + 2)).tolist()
-    symbols, one, two = symbols.take(tok), one.take(tok), two.take(tok)
-    counts = np.zeros((len(lanes) << OWN_BITS, 2), np.float32)
-    flat = counts.reshape(-1)
-    w = [np.tile(weights[:, k].astype(np.float32), len(lanes)) for k in range(WORD_INPUTS)]
-    cells = np.tile(squash((np.arange(CELLS) - CELLS // 2 + 0.5) / 1.5).astype(np.float32), len(lanes))
-    out = np.zeros(len(lanes))
-    for a, b in zip(edges, edges[1:], strict=False):
-        n, node, side = spread(known, symbols[a:b])
-        lane, y = np.repeat(lane_of[a:b], n), side.astype(np.float32)
-        own = (lane << OWN_BITS) + (node & np.uint32((1 << OWN_BITS) - 1))  # frequent nodes have slots of their own
-        pairs = counts.take(own, axis=0)
+def steps(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each step the next CHUNK tokens of each lane that has some, end to end, and the lanes of these; lanes lie by
+    falling sizes, so that those still at work come first.
+    """
+    for a in range(0, int(sizes[0]), CHUNK):
+        n = np.minimum(sizes[: np.searchsorted(-sizes, -a)] - a, CHUNK)
+        lane = np.repeat(np.arange(len(n)), n)
+        yield np.arange(len(lane)) + np.repeat(starts[: len(n)] + a - np.cumsum(n) + n, n), lane
+
+
+def lane_bits(known: Dictionary, tables: Tables, weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, one: np.ndarray, two: np.ndarray, sums: Sums | None) -> np.ndarray:
+    """Bits of each lane, by falling sizes; a lane is so many tokens from its start, one and two hash every token's contexts."""
+    counts = np.zeros(len(sizes) << OWN_BITS + 1, np.uint16)  # of two sides; a lane's few words can't fill them
+    pairs = counts.view(np.uint32)
+    w = [np.tile(weights[:, k].astype(np.float32), len(sizes)) for k in range(WORD_INPUTS)]
+    cells = np.tile(squash((np.arange(CELLS) - CELLS // 2 + 0.5) / 1.5).astype(np.float32), len(sizes))
+    out = np.zeros(len(sizes))
+    for tok, lane_of in steps(starts, sizes):
+        which, node, side, first = spread(known, symbols.take(tok))
+        lane, y = lane_of.take(which), side.astype(np.float32)
+        own = lane << OWN_BITS
+        own += node & np.uint32((1 << OWN_BITS) - 1)  # frequent nodes have slots of their own
+        pair = pairs.take(own)
         own += own
         own += side
-        np.add.at(flat, own, np.float32(1))
-        x0, x3 = known.odds.take(node), log_odds(pairs[:, 0], pairs[:, 1])
+        np.add.at(counts, own, np.uint16(1))
+        x0, x3 = known.odds.take(node), log_odds(pair & np.uint32(0xFFFF), pair >> np.uint32(16))
         node *= SCATTER
-        x1, gate = tables.take(0, slot(np.repeat(one[a:b], n), node, WORD_BITS))
-        x2, e2 = tables.take(1, slot(np.repeat(two[a:b], n), node, WORD_BITS))
-        gate <<= np.uint32(2)
+        x1, gate = tables.take(0, slot(one.take(tok).take(which), node, WORD_BITS))
+        x2, e2 = tables.take(1, slot(two.take(tok).take(which), node, WORD_BITS))
+        gate <<= np.int16(2)
         gate |= e2
         row, inputs = lane * WORD_GATES, (x0, x1, x2, x3)
         row += gate
         dot = w[0].take(row)
         dot *= x0
         for k in range(1, WORD_INPUTS):
-            dot += w[k].take(row) * inputs[k]
+            part = w[k].take(row)
+            part *= inputs[k]
+            dot += part
         p = squash(dot)
         if sums is not None:
-            sums.add(inputs, gate.astype(np.int64), y, p)
+            sums.add(inputs, gate, y, p)
             continue
         dot *= np.float32(1.5)
         dot += np.float32(CELLS // 2)
         np.clip(dot, 0, CELLS - 1, out=dot)
-        cell = lane * CELLS
-        cell += dot.astype(np.int64)
-        seen = cells.take(cell)
-        out += np.bincount(lane, np.log2(np.abs((p + seen) * np.float32(0.5) + y - 1)), len(lanes))
-        off = y - p
+        lane *= CELLS
+        lane += dot.astype(np.int64)
+        seen = cells.take(lane)
+        y -= p
+        p += seen
+        p *= np.float32(0.5)
+        p += side
+        p -= 1
+        np.abs(p, out=p)
+        np.log(p, out=p)
+        at = first.take(np.searchsorted(lane_of, np.arange(lane_of[-1] + 1)))
+        out[: len(at)] += np.add.reduceat(p, at, dtype=np.float64)
+        np.subtract(side, seen, out=seen, casting="unsafe")
+        seen /= np.float32(TRUST)
+        y *= np.float32(RATE)
         for k in range(WORD_INPUTS):
-            w[k] += RATE * np.bincount(row, off * inputs[k], len(w[k]))
-        cells += np.bincount(cell, y - seen, len(cells)) / TRUST
+            np.add.at(w[k], row, y * inputs[k])
+        np.add.at(cells, lane, seen)
         np.clip(cells, LEAST, 1 - LEAST, cells)
-    return -out
+    return out / -math.log(2)
 
 
 def start_weights(rows: DataFrame, make: Callable, weights: np.ndarray, rounds: int) -> np.ndarray:
@@ -483,7 +577,7 @@ def start_weights(rows: DataFrame, make: Callable, weights: np.ndarray, rounds:
         def run(batches: Iterator[pa.RecordBatch], work_of=work_of) -> Iterator[pa.RecordBatch]:
             work, sums = work_of(), Sums.none(*weights.shape)
             for batch in batches:
-                for part in slices(batch, batch.schema.names[-1]):
+                for part in slices(batch, batch.schema.names[-1], TOGETHER):
                     work(part, sums)
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([sums.slope.ravel(), sums.curve.ravel()]).tolist()])], ["sums"])
             give_back()
@@ -506,20 +600,22 @@ def counted(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            seen: tuple[Counter, Counter] = Counter(), Counter()
-            for f, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                held = seen[f == 2]
-                for part in parts_of(t or b""):
-                    held.update(tokens(part))
-                held[END_KEY] += 1
-            words = pa.array([w if len(w) <= LONG else key_of(w) for held in seen for w in held], pa.binary())
-            m = np.fromiter([n for held in seen for n in held.values()], np.int64)
-            c = np.where(np.arange(len(m)) < len(seen[0]), m, 0)
-            return pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(m)], ["word", "c", "m"])
+            held = batch.column(0).to_numpy() == 2
+            ends = [int((~held).sum()), int(held.sum())]
+            words, m, c = [pa.array([END_KEY] * 2, pa.binary())], [np.array(ends)], [np.array([ends[0], 0])]
+            for part, which in pieces(batch.column(1).cast(pa.binary())):
+                found, row = cut(part)
+                out = held.take(which.take(row))
+                for some in (~out, out):
+                    seen = pc.value_counts(found.filter(pa.array(some)))
+                    words.append(keyed(seen.field("values")))
+                    m.append(seen.field("counts").to_numpy())
+                    c.append(m[-1] * (some is not out))
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(words), *(pa.array(np.concatenate(x), pa.int64()) for x in (c, m))], ["word", "c", "m"])
 
         return work
 
-    each = map_arrow(docs, make, "word binary, c long, m long", "text", 8 << 20)
+    each = map_arrow(docs, make, "word binary, c long, m long", "text", TOGETHER)
     return scratch.save(each.groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m")), "counts")
 
 
@@ -551,7 +647,7 @@ def word_model(rows: DataFrame, known, scratch: Scratch) -> Words:
     """Tables and start weights from (fold, text) of the training documents; known: the dictionary, broadcast."""
 
     def texts_of(batch: pa.RecordBatch) -> list[Text]:
-        return [read(x or b"", known.value) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        return read_all(batch.column(1).cast(pa.binary()), known.value)[0]
 
     def events():
         def work(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -561,9 +657,9 @@ def word_model(rows: DataFrame, known, scratch: Scratch) -> Words:
             symbols = np.concatenate([t.symbols for t in texts])
             for a in range(0, len(symbols), SPREAD):
                 some = slice(a, a + SPREAD)
-                n, node, side = spread(known.value, symbols[some])
+                which, node, side, _ = spread(known.value, symbols[some])
                 node *= SCATTER
-                yield np.repeat(tuning[some], n), [slot(np.repeat(h[some], n), node, WORD_BITS) for h in (one, two)], side
+                yield tuning[some].take(which), [slot(h[some].take(which), node, WORD_BITS) for h in (one, two)], side
 
         return work
 
@@ -586,7 +682,7 @@ def letter_model(rows: DataFrame, scratch: Scratch) -> Letters:
             tunes = batch.column(0).to_numpy() % 7 == 3
             for words, at in parted(batch.column(1).to_pylist()):
                 word, node, side, contexts = letters(words)
-                yield np.repeat(tunes[np.asarray(at)][word], 8), [slot(c, node, LETTER_BITS) for c in contexts], side
+                yield np.repeat(tunes[at[0] :].take(word), 8), [slot(c, node, LETTER_BITS).ravel() for c in contexts], side.ravel()
 
         return work
 
@@ -635,46 +731,53 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     listed = priced.union(counts.where(digest & (F.col("word") != F.lit(END_KEY))).select("word", "c", "m", F.lit(0.0)))
     all_tokens = counts.agg(F.sum("m").alias("m")).first().m or 0
     often = listed.where((F.col("c") >= least_count(known.value.total, PRICED)) | (F.col("m") >= least_count(all_tokens, PRICED))).toArrow()
-    near = spark.sparkContext.broadcast({w: (c, x) for w, c, x in zip(*(often.column(k).to_pylist() for k in ("word", "c", "bits")), strict=True)})
+    near = spark.sparkContext.broadcast(({w: i for i, w in enumerate(often.column("word").to_pylist())}, *(np.append(often.column(k).to_numpy(), 0) for k in ("c", "bits"))))
 
     def make():
         d, costs = known.value, dict[bytes, float]()
+        place, count, cost = near.value  # the last of the counts and costs is for words that aren't there
+        base_of, known_of, near_base = d.base.copy(), (d.counts > 0).astype(np.int64), np.array([d.base_of(c) for c in count.tolist()])
+        base_of[ESCAPE] = known_of[ESCAPE] = near_base[-1] = 0
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            data = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            texts = [read(x, d) for x in data]
+            column = batch.column(1).cast(pa.binary())
+            texts, others, owner = read_all(column, d)
             bits = mixed(d, mixer.value.tables, mixer.value.weights, texts)
-            base, found = [], []
-            long = [[w for w in t.others if len(w) > LONG] for t in texts]
-            fresh = list({w for held in long for w in held} - costs.keys())
-            costs.update(zip(fresh, d.price(spelt.value.bits(fresh), np.zeros(len(fresh))).tolist(), strict=True))
-            for k, t in enumerate(texts):
-                bits[k] += repeats(t.others.values())
-                inside = t.symbols[t.symbols != ESCAPE]
-                b, n = float(d.base[inside].sum()), int((d.counts[inside] > 0).sum())
-                for w in long[k]:  # goes by its key, which has a count but no price
-                    bits[k] += costs[w]
-                    t.others[key_of(w)] = t.others.pop(w)
-                for w in t.others.keys() & near.value.keys():
-                    c, x = near.value[w]
-                    times = t.others.pop(w)
-                    bits[k], b, n = bits[k] + x, b + d.base_of(c) * times, n + times * (c > 0)
-                base.append(b)
-                found.append(n)
-            if len(costs) > 100_000:
-                costs.clear()
-            words = pa.array(chain.from_iterable(t.others for t in texts), pa.binary())
-            times = pa.array(chain.from_iterable(t.others.values() for t in texts), pa.int64())
-            ends = np.cumsum([0, *(len(t.others) for t in texts)]).astype(np.int32)
-            others = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, times], ["word", "n"]))
-            numbers = [pa.array(c, pa.int64()) for c in ([len(t.symbols) for t in texts], [len(x) for x in data], found)]
-            return pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(base, pa.float64()), pa.array(bits, pa.float64()), others], ["doc_id", "n_tokens", "n_bytes", "n_known", "base", "bits", "others"])
+            symbols, sizes = np.concatenate([t.symbols for t in texts]), np.array([len(t.symbols) for t in texts])
+            starts = np.cumsum(sizes) - sizes
+            base, found = (np.add.reduceat(x.take(symbols), starts) for x in (base_of, known_of))
+            coded = others.dictionary_encode()
+            words = coded.dictionary
+            pairs, times = np.unique(owner * len(words) + coded.indices.to_numpy(), return_counts=True)
+            text, word = np.divmod(pairs, max(1, len(words)))
+            edges = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            bits += [repeats(times[a:b].tolist()) for a, b in zip(edges, edges[1:], strict=False)]
+            spelt_out = np.zeros(len(words))  # a long word goes by its key, which has a count but no price
+            long = np.flatnonzero(pc.greater(pc.binary_length(words), LONG).to_numpy(zero_copy_only=False))
+            if len(long):
+                names = words.take(pa.array(long)).view(pa.binary()).to_pylist()
+                fresh = [w for w in names if w not in costs]
+                costs.update(zip(fresh, d.price(spelt.value.bits(fresh), np.zeros(len(fresh))).tolist(), strict=True))
+                spelt_out[long] = [costs[w] for w in names]
+                if len(costs) > 100_000:
+                    costs.clear()
+            keys = keyed(words)
+            at = np.fromiter(map(place.get, keys.to_pylist(), repeat(-1)), np.int64, len(keys))
+            bits += np.bincount(text, (spelt_out + cost.take(at)).take(word), len(texts))
+            at = at.take(word)
+            base += np.bincount(text, near_base.take(at) * times, len(texts))
+            found += np.bincount(text, (count.take(at) > 0) * times, len(texts)).astype(np.int64)
+            rest = np.flatnonzero(at < 0)
+            ends = np.searchsorted(rest, edges).astype(np.int32)
+            left = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([keys.take(pa.array(word.take(rest))), pa.array(times.take(rest), pa.int64())], ["word", "n"]))
+            columns = [pa.array(sizes, pa.int64()), pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(bits, pa.float64())]
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns, left], ["doc_id", "n_tokens", "n_bytes", "n_known", "base", "bits", "others"])
 
         return work
 
     kinds = "n_tokens long, n_bytes long, n_known long, base double, bits double, others array<struct<word:binary,n:long>>"
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    each = map_arrow(ids, make, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, {kinds}", "text")
+    each = map_arrow(ids, make, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, {kinds}", "text", TOGETHER)
     done = scratch.save(each.withColumn("rid", F.monotonically_increasing_id()), "done")
     asked = done.select("rid", F.explode("others").alias("o")).select("rid", F.col("o.word").alias("word"), F.col("o.n").alias("n"))
     met = asked.join(listed, "word")
