@@ -5,6 +5,7 @@ import threading
 import time
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,74 @@ def test_rounds_leave_no_match_out(spark):
     assert len(want) > 60 and fuzzy_rows(spark, raw, base) == want
 
 
+def repeated_words(rnd, n):
+    """Texts of a few words, each many times in turn: difflib takes their letters for junk."""
+    words = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    return [" ".join(w for w in rnd.sample(words, rnd.randint(3, 6)) for _ in range(rnd.randint(12, 20))) for _ in range(n)]
+
+
+def test_texts_that_difflib_sees_nothing_in_write_few_rows(spark, monkeypatch):
+    """Texts with another first character but no match were cut into some hundred segments; each place of one was a row."""
+    rnd, rows, once = random.Random(14), [], match.once
+    texts = repeated_words(rnd, 60)
+    raw = ["#" + t[1:] if k % 3 else t + "#" for k, t in enumerate(texts)]
+    want = brute_fuzzy(raw, texts)
+
+    def counted(df):
+        held = once(df)
+        rows.append(held.count())
+        return held
+
+    monkeypatch.setattr(match, "once", counted)
+    assert 20 <= len(want) < 40 and fuzzy_rows(spark, raw, texts) == want
+    assert sum(rows) < 40 * len(texts)
+
+
+def test_block_and_ratio_order_leave_no_match_out(spark, monkeypatch):
+    """Many small blocks, with and without the rounds of high ratios before; best matches of few and of many edits."""
+    rnd = random.Random(15)
+    base = repeated_words(rnd, 12) + ["".join(rnd.choice("abcdefghijklmnopqrst ") for _ in range(rnd.choice([12, 25, 90, 400]))) for _ in range(30)]
+    raw = [rnd.choice(base) for _ in range(70)]
+    for k, t in enumerate(raw):
+        for _ in range(rnd.choice([1, 2, 3, 1 + len(t) // 50])):
+            at = rnd.randrange(len(t))
+            t = t[:at] + rnd.choice(["", "#", "é"]) + t[at + rnd.randint(0, 1) :]
+        raw[k] = t
+    ann = base + [t[:9] + "b" + t[10:] for t in base]
+    want = brute_fuzzy(raw, ann)
+    monkeypatch.setattr(match, "BLOCK", 20_000)
+    assert 20 < len(want) < 70 and fuzzy_rows(spark, raw, ann) == want
+    monkeypatch.setattr(match, "PASSES", 0)
+    assert fuzzy_rows(spark, raw, ann) == want
+
+
+def test_pieces_meet_wherever_few_edits_are():
+    rnd, cut, all_set = random.Random(16), match.Pieces(), np.full(1 << 12, 255, np.uint8)
+    codes = lambda t: (np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64), np.array([len(t)]))
+    for _ in range(2000):
+        x = y = "".join(rnd.choice("ab") for _ in range(rnd.randint(3, 30)))
+        for _ in range(rnd.randint(0, match.EDITS)):
+            at = rnd.randint(0, len(y))
+            y = y[:at] + rnd.choice("ab") + y[at:] if rnd.random() < 0.5 else y[:at] + y[at + 1 :]
+        if y:
+            assert np.intersect1d(cut.of_raw(*codes(x))[1], cut.of_annotated(*codes(y), all_set, (1 << 15) - 1)[1]).size, (x, y)
+
+
+def test_block_turns_away_no_match():
+    rnd = random.Random(17)
+    texts = repeated_words(rnd, 40) + ["".join(rnd.choice("abcdefghijklmnopqrst ") for _ in range(rnd.choice([0, 3, 40, 300, 900]))) for _ in range(80)]
+    block = match.Block(list(range(len(texts))), texts, 0.95)
+    met = 0
+    for t in texts:
+        for _ in range(rnd.randint(0, len(t) // 15)):
+            at = rnd.randrange(len(t))
+            t = t[:at] + rnd.choice(["", "x"]) + t[at + rnd.randint(0, 1) :]
+        got = {block.ids[k] for k in block.near_to(t)}
+        assert {k for k, x in enumerate(texts) if len(x) + len(t) and 2 * match.common_subsequence(x, t) / (len(x) + len(t)) > 0.95} <= got
+        met += len(got)
+    assert met < 400
+
+
 def test_exact_match(spark):
     raw = spark.createDataFrame([(0, " a "), (1, "b"), (2, None)], "i int, t string")
     ann = spark.createDataFrame([(5, "a"), (3, "a\n"), (4, "c"), (6, None)], "j int, u string")
