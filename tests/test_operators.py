@@ -224,6 +224,15 @@ def test_one_block_is_difflib():
     assert sure > 1000
 
 
+def test_one_block_knows_texts_without_rare_letters():
+    """difflib was asked for each of them."""
+    rnd = random.Random(18)
+    for y in repeated_words(rnd, 100):
+        x = rnd.choice(["#" + y[1:], y[:-3] + "##", y[:50] + "#" + y[50:], y + y[:9]])
+        got, junk = match.one_block(x, y), all(y.count(c) > len(y) // 100 + 1 for c in set(y)) and len(y) >= 200
+        assert got == SequenceMatcher(None, x, y).ratio() if junk else got is None or got == SequenceMatcher(None, x, y).ratio()
+
+
 def test_near_texts_are_matched_by_few_segments(spark, monkeypatch):
     """Texts that differ by a character write a few rows each; all were cut as fine as the lowest ratio asks, 150 rows each."""
     rnd, rows = random.Random(12), []
