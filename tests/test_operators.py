@@ -320,6 +320,26 @@ def test_pieces_meet_wherever_few_edits_are():
             assert np.intersect1d(cut.of_raw(*codes(x))[1], cut.of_annotated(*codes(y), all_set, (1 << 15) - 1)[1]).size, (x, y)
 
 
+def test_a_quarter_of_long_texts_tells_most_apart():
+    """It turns away what the whole does; other texts of the same words cost a full comparison of each character."""
+    rnd, asked, whole = random.Random(19), [], match.common_subsequence
+    words = ["".join(rnd.choice("aeiounrst") for _ in range(rnd.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(rnd.choice(words) for _ in range(600)) for _ in range(6)]
+    for k in range(24):
+        t = texts[k % 6]
+        for _ in range(rnd.choice([1, len(t) // 30, len(t) // 19, len(t) // 12])):
+            at = rnd.choice([0, 40, rnd.randrange(len(t))])
+            t = t[:at] + rnd.choice(["", "#"]) + t[at + rnd.randint(0, 1) :]
+        texts.append(t)
+    match.common_subsequence = lambda a, b: asked.append(len(b)) or whole(a, b)
+    try:
+        got = {(x, y): match.may_exceed(x, y, 0.95) for x in texts for y in texts}
+    finally:
+        match.common_subsequence = whole
+    assert got == {(x, y): 2 * whole(x, y) / (len(x) + len(y)) > 0.95 for x in texts for y in texts}
+    assert sum(n > 1500 for n in asked) < len(got) // 2
+
+
 def test_block_turns_away_no_match():
     rnd = random.Random(17)
     texts = repeated_words(rnd, 40) + ["".join(rnd.choice("abcdefghijklmnopqrst ") for _ in range(rnd.choice([0, 3, 40, 300, 900]))) for _ in range(80)]
